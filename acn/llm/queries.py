@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_rules, sentence_spans, token_store, warc
+from . import exact_dedup, jaccard_join, mixing, packing, quality_rules, sentence_spans, suffix_dedup, token_store, warc
 from ._shared import documents
 
 
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_groups(documents(spark, sf_dir), k=3, percent=90)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(documents(spark, sf_dir))
 
@@ -37,6 +41,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digest(documents(spark, sf_dir))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,5 +52,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(token_store.read_store(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_exact_dedup, op6_sentence_spans, op7_warc, op8_quality_rules, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_jaccard_join, op4_exact_dedup, op6_sentence_spans, op7_warc, op8_quality_rules, op9_suffix_dedup, op10_token_store)}
 ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
