@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, packing, quality_rules, sentence_spans, suffix_dedup, token_store, warc
+from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, sentence_spans, suffix_dedup, token_store, warc
 from ._shared import documents
 
 
@@ -27,6 +27,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removal_report(documents(spark, sf_dir))
+
+
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.remove_repeats(documents(spark, sf_dir)).select("doc_id", *sentence_spans.COUNTED, F.sha2("text", 256).alias("kept_sha256"))
 
@@ -52,5 +56,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(token_store.read_store(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_jaccard_join, op4_exact_dedup, op6_sentence_spans, op7_warc, op8_quality_rules, op9_suffix_dedup, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_jaccard_join, op4_exact_dedup, op5_line_dedup, op6_sentence_spans, op7_warc, op8_quality_rules, op9_suffix_dedup, op10_token_store)}
 ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
