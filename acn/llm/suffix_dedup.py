@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bytes_of, materialise, release, table_batch
+from ._shared import bytes_of, discard, materialise, release, table_batch
 
 LENGTH, GRAM, SLIDE, SIDE = 50, 26, 25, 24  # GRAM + SLIDE - 1 = LENGTH = GRAM + SIDE
 PER_BUCKET = 50_000
@@ -207,10 +207,31 @@ def _chosen_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.filter(pa.array(good, pa.bool_()))
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays, column by column, with entropy coding: contexts are text without repeats, which the shuffle's own codec can't shrink."""
+    data = b"".join(x.tobytes() for x in arrays)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, *types) -> list[np.ndarray]:
+    raw, at, out = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), 0, []
+    for t in map(np.dtype, types):
+        out.append(np.frombuffer(raw, t, n, at) if t.itemsize else np.empty(n, t))
+        at += n * t.itemsize
+    return out
+
+
 _CONTEXT = np.dtype([("hash", "<i8"), ("before", "u1", SIDE), ("behind", "u1", SIDE), ("n_before", "u1"), ("n_behind", "u1")])
 _PLACE = np.dtype([("context", "<u4"), ("doc_id", "<i8"), ("key", "<i8"), ("at", "<u4")])
 
 
+def _records(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    out = np.empty(n, kind)
+    for name, column in zip(kind.names, unpacked(data, n, *(kind[x] for x in kind.names)), strict=True):
+        out[name] = column
+    return out
+
+
 def _fingerprints(contexts: np.ndarray) -> np.ndarray:
     """64 bits for a context's hash and bytes."""
     out = contexts["hash"].astype(_U)
@@ -223,7 +244,7 @@ def _fingerprints(contexts: np.ndarray) -> np.ndarray:
 
 
 def _context_batches(buckets: int):
-    """(doc_id, key, hashes, text) -> (bucket, contexts, places): each context once for the rows of a chunk."""
+    """(doc_id, key, hashes, text) -> (bucket, n, contexts, m, places): each context once for the rows of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -247,8 +268,8 @@ def _context_batches(buckets: int):
             for a, b, c, d in zip(cut.tolist(), ends.tolist(), low.tolist(), high.tolist(), strict=True):
                 own = places[c:d].copy()
                 own["context"] -= a
-                out.append((int(bucket[a]), contexts[a:b].tobytes(), own.tobytes()))
-            return table_batch(["bucket", "contexts", "places"], [pa.int64(), pa.binary(), pa.binary()], list(zip(*out, strict=True)))
+                out.append((int(bucket[a]), b - a, packed(*(contexts[a:b][x] for x in _CONTEXT.names)), d - c, packed(*(own[x] for x in _PLACE.names))))
+            return table_batch(["bucket", "n", "contexts", "m", "places"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()], list(zip(*out, strict=True)))
 
         for batch in batches:
             ids, keys, wanted = (batch.column(i).to_pylist() for i in range(3))
@@ -276,7 +297,7 @@ def _context_batches(buckets: int):
                 places["doc_id"], places["key"], places["at"] = np.array(ids[start : start + len(some)], np.int64)[text], np.array(keys[start : start + len(some)], np.int64)[text], at - starts[text]
                 held.append((contexts, places))
                 size += len(h)
-                if size > 300_000:
+                if size > 500_000:
                     yield flushed()
                     held, size = [], 0
         if held:
@@ -314,7 +335,7 @@ def first_owners(contexts: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def _mark_batches(doc_buckets: int):
-    """(bucket, contexts, places) sorted by bucket -> (bucket by document, places as key, first byte of a string to remove)."""
+    """(bucket, n, contexts, m, places) sorted by bucket -> (bucket by document, n, marks: key and first byte of a string to remove)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -322,12 +343,16 @@ def _mark_batches(doc_buckets: int):
 
         def flushed() -> pa.RecordBatch:
             keys, starts = (np.concatenate(x) for x in zip(*held, strict=True))
-            where, (k, s) = _split(keys % doc_buckets, keys, starts)
-            return table_batch(["bucket", "keys", "starts"], [pa.int64(), pa.binary(), pa.binary()], [where, k, s])
+            order = np.lexsort((starts, keys, keys % doc_buckets))
+            keys, starts = keys[order], starts[order]
+            bucket = keys % doc_buckets
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True))
+            return table_batch(["bucket", "n", "marks"], [pa.int64(), pa.int64(), pa.binary()], [bucket[cut], [b - a for a, b in spans], [packed(keys[a:b], starts[a:b]) for a, b in spans]])
 
         for _, rows in _by_bucket(batches):
-            contexts = [np.frombuffer(x[0], _CONTEXT) for x in rows]
-            places = [np.frombuffer(x[1], _PLACE).copy() for x in rows]
+            contexts = [_records(x[1], x[0], _CONTEXT) for x in rows]
+            places = [_records(x[3], x[2], _PLACE) for x in rows]
             for p, shift in zip(places, np.cumsum([0, *map(len, contexts)]), strict=False):
                 p["context"] += np.uint32(shift)
             contexts, places = np.concatenate(contexts), np.concatenate(places)
@@ -343,7 +368,7 @@ def _mark_batches(doc_buckets: int):
                 # of the strings that overlap in a row, spans need the outermost and no gap above LENGTH: first and last of each run do
                 edge = marked & ~(np.pad(marked, ((0, 0), (1, 0)))[:, :-1] & np.pad(marked, ((0, 0), (0, 1)))[:, 1:])
                 row, m = np.nonzero(edge)
-                held.append((own["key"][row], own["at"][row].astype(np.uint32) - m.astype(np.uint32)))
+                held.append((own["key"][row], own["at"][row] - m.astype(np.uint32)))
                 size += len(row)
             if size > 300_000:
                 yield flushed()
@@ -355,9 +380,9 @@ def _mark_batches(doc_buckets: int):
 
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, keys, starts) sorted by bucket -> (key, starts, ends) of the maximal removed spans of each document."""
+    """(bucket, n, marks) sorted by bucket -> (key, starts, ends) of the maximal removed spans of each document."""
     for _, rows in _by_bucket(batches):
-        keys, starts = np.concatenate([np.frombuffer(x[0], np.int64) for x in rows]), np.concatenate([np.frombuffer(x[1], np.uint32) for x in rows]).astype(np.int64)
+        keys, starts = (np.concatenate(x).astype(np.int64) for x in zip(*(unpacked(x[1], x[0], "<i8", "<u4") for x in rows), strict=True))
         order = np.lexsort((starts, keys))
         keys, starts = keys[order], starts[order]
         fresh = np.r_[True, (keys[1:] != keys[:-1]) | (starts[1:] > starts[:-1] + LENGTH)]
@@ -386,20 +411,26 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, size // (SLIDE // 2) // PER_BUCKET)
     scanned = materialise(texts.mapInArrow(_anchor_batches(buckets), _SCHEMA), "anchors")
-    documents = scanned.filter("chunk is null").select("doc_id", "key", "n_bytes", "sha256")
+    documents = materialise(scanned.filter("chunk is null").select("doc_id", "key", "n_bytes", "sha256"), "span-documents")
     dealt = scanned.filter("bucket >= 0").select("bucket", "chunk", "a", "b").repartition("bucket").sortWithinPartitions("bucket")
     repeated = dealt.mapInArrow(_repeated_batches, "chunk long, bucket long, a binary, b binary")
     together = repeated.union(scanned.filter("bucket = -1").select("chunk", "bucket", "a", "b")).repartition("chunk").sortWithinPartitions("chunk", "bucket")
     found = together.mapInArrow(_document_batches, "doc_id long, key long, hashes binary").groupBy("doc_id", "key").agg(F.first("hashes").alias("hashes"))
     wanted = materialise(found, "repeated-anchors")
+    discard(scanned)
+    release(docs.sparkSession)
     own = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
     chosen = wanted.join(own, "doc_id").select("doc_id", "key", "hashes", "text").mapInArrow(_chosen_batches, "doc_id long, key long, hashes binary, text string")
-    chosen = materialise(chosen, "anchor-texts")
-    contexts = chosen.mapInArrow(_context_batches(buckets), "bucket long, contexts binary, places binary").repartition("bucket").sortWithinPartitions("bucket")
-    marks = contexts.mapInArrow(_mark_batches(buckets), "bucket long, keys binary, starts binary").repartition("bucket").sortWithinPartitions("bucket")
+    chosen = materialise(chosen, "anchor-texts", "zstd")
+    discard(wanted)
+    release(docs.sparkSession)
+    contexts = chosen.mapInArrow(_context_batches(buckets), "bucket long, n long, contexts binary, m long, places binary").repartition("bucket").sortWithinPartitions("bucket")
+    marks = contexts.mapInArrow(_mark_batches(buckets), "bucket long, n long, marks binary").repartition("bucket").sortWithinPartitions("bucket")
     spans = materialise(marks.mapInArrow(_span_batches, "key long, starts binary, ends binary"), "removed-spans")
-    once = chosen.select("key", "doc_id", "text").dropDuplicates(["key"]).join(spans, "key")
-    cuts = materialise(once.select("key", "doc_id", "text", "starts", "ends").mapInArrow(_cut_batches, "key long, own_id long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"), "cuts")
+    release(docs.sparkSession)
+    once = chosen.select("key", "doc_id", "text").join(spans, "key").dropDuplicates(["key"])
+    cuts = materialise(once.select("key", "doc_id", "text", "starts", "ends").mapInArrow(_cut_batches, "key long, own_id long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"), "cuts", "zstd")
+    discard(chosen)
     release(docs.sparkSession)
     return documents, cuts
 
