@@ -74,30 +74,27 @@ def call_subclones(baf_segmented: DataFrame, logr: DataFrame, rho_psi: DataFrame
 
 
 def bootstrap_fraction_ci(baf_segmented: DataFrame, calls: DataFrame, rho_psi: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
-    """sd, lower and upper 2.5% rank of each option's fraction over n resamples of the segment's BAF. A group is one subclonal segment; its random
-    numbers are seeded by its key, so reruns agree."""
-    opened = calls.filter("frac1 < 1").join(rho_psi.select("sample_id", "rho"), "sample_id").select(*KEYS, "start_pos", "end_pos", "rho", "solutions")
-    rows = assign_points_to_intervals(baf_segmented.select(*KEYS, "pos", "baf_phased"), opened)
-
-    def work(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pos")
-        one = p.iloc[0]
-        key = f"{seed}|{one.sample_id}|{one.chrom}|{one.start_pos}"
-        rng = np.random.default_rng(int.from_bytes(hashlib.md5(key.encode()).digest()[:8], "big"))
-        x, rho = p["baf_phased"].to_numpy(float), float(one.rho)
-        means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(n)])
-        out = []
-        for k, s in enumerate(one.solutions):
-            s = s if isinstance(s, dict) else s.asDict() if hasattr(s, "asDict") else dict(s)
-            if s["nMaj1"] is None:
-                continue
-            m1, n1, m2, n2 = (float(s[c]) for c in ("nMaj1", "nMin1", "nMaj2", "nMin2"))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                tau = np.sort((1 - rho + rho * m2 - 2 * means * (1 - rho) - means * rho * (n2 + m2)) / (means * rho * (n1 + m1) - means * rho * (n2 + m2) - rho * m1 + rho * m2))
-            out.append((one.sample_id, one.chrom, one.start_pos, one.end_pos, k, float(tau.std(ddof=1)), float(tau[max(int(n * 0.025) - 1, 0)]), float(tau[int(n * 0.975) - 1])))
-        return pd.DataFrame(out, columns=["sample_id", "chrom", "start_pos", "end_pos", "option", "sd_bs", "lo", "hi"])
-
-    return rows.groupBy(*KEYS, "start_pos").applyInPandas(work, "sample_id string, chrom string, start_pos long, end_pos long, option int, sd_bs double, lo double, hi double")
+    """sd, lower and upper 2.5% rank of each option's fraction over n resamples of the segment's BAF. Random numbers are seeded by the segment's key, so reruns
+    agree."""
+    key = [*KEYS, "start_pos", "end_pos"]
+    opened = calls.filter("frac1 < 1").join(rho_psi.select("sample_id", "rho"), "sample_id").select(*key, "rho", F.inline(F.transform("solutions", lambda s, k: F.struct(k.alias("option"), s["nMaj1"].alias("m1"), s["nMin1"].alias("n1"), s["nMaj2"].alias("m2"), s["nMin2"].alias("n2"))))).filter("m1 is not null")
+    inside = assign_points_to_intervals(baf_segmented.select(*KEYS, "pos", "baf_phased"), opened.select(*key).distinct())
+    values = inside.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "baf_phased"))), lambda x: x["baf_phased"]).alias("baf_values"))  # the loci of one segment
+
+    def work(batches):
+        for p in batches:
+            out = []
+            for one in p.itertuples():
+                text = f"{seed}|{one.sample_id}|{one.chrom}|{one.start_pos}"
+                rng = np.random.default_rng(int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big"))
+                x, rho = np.asarray(one.baf_values, float), one.rho
+                means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(n)])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    tau = np.sort((1 - rho + rho * one.m2 - 2 * means * (1 - rho) - means * rho * (one.n2 + one.m2)) / (means * rho * (one.n1 + one.m1) - means * rho * (one.n2 + one.m2) - rho * one.m1 + rho * one.m2))
+                out.append((one.sample_id, one.chrom, one.start_pos, one.end_pos, one.option, float(tau.std(ddof=1)), float(tau[max(int(n * 0.025) - 1, 0)]), float(tau[int(n * 0.975) - 1])))
+            yield pd.DataFrame(out, columns=[*key, "option", "sd_bs", "lo", "hi"])
+
+    return opened.join(values, key).mapInPandas(work, "sample_id string, chrom string, start_pos long, end_pos long, option int, sd_bs double, lo double, hi double")
 
 
 def merge_segments(calls: DataFrame, baf_segmented: DataFrame, logr: DataFrame, rho_psi: DataFrame, baf_option: int = 3, max_gap: int = 3_000_000, gamma: float = 1.0, sig: float = 0.05, psi_mode: str = "consistent") -> DataFrame:
