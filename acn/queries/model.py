@@ -37,8 +37,8 @@ def _(spark, t):
     return windows.genome_chunks(t, 150_000, 20)
 
 
-_MED = """(select *, case when n < 3 or half < 1 then logr else list_aggregate(list_slice(span, cast(at - h as bigint), cast(at + h as bigint)), 'median') end as m from (
-  select *, least(i, 11) as at, least(half, i - 1, n - i) as h from (select sample_id, chrom, pos, logr, row_number() over w as i, count(*) over (partition by sample_id, chrom) as n,
+_MED = """(select *, case when n < 3 or half < 1 then logr else list_aggregate(list_slice(span, cast(place - h as bigint), cast(place + h as bigint)), 'median') end as m from (
+  select *, least(i, 11) as place, least(half, i - 1, n - i) as h from (select sample_id, chrom, pos, logr, row_number() over w as i, count(*) over (partition by sample_id, chrom) as n,
   list(logr) over (partition by sample_id, chrom order by pos rows between 10 preceding and 10 following) as span from v_tracks window w as (partition by sample_id, chrom order by pos)) a
   cross join lateral (select least(10, (case when n % 2 = 1 then n else n - 1 end - 1) // 2) as half) b) c) d"""
 _MEDIAN = f"""(select sample_id, chrom, pos, logr, n, i, case when n < 3 or half < 1 then logr when i = 1 then list_aggregate([logr, m1, 3 * m1 - 2 * m2], 'median') when i = n then list_aggregate([logr, b1, 3 * b1 - 2 * b2], 'median') else m end as running_median
