@@ -72,8 +72,8 @@ def decide(docs: DataFrame, weights=cyclic_weights, max_epochs: float = 3.0, see
     amount = F.col("size") * F.col("copies")
     order = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("start") + F.coalesce(F.sum(amount).over(order), F.lit(0)) + amount / 2
-    last = placed.filter(ends_here).withColumn("more", (middle < F.col("rest")).cast("long"))
-    others = placed.filter(~ends_here).withColumn("more", (F.col("start") + F.col("bucket_size") <= F.col("rest")).cast("long"))
+    last = placed.filter(ends_here).withColumn("more", ((F.col("size") > 0) & (middle < F.col("rest"))).cast("long"))
+    others = placed.filter(~ends_here).withColumn("more", ((F.col("size") > 0) & (F.col("start") + F.col("bucket_size") <= F.col("rest"))).cast("long"))
     return others.unionByName(last).select(*KEY, "copies", "source_size", "target", (F.col("whole") + F.col("more")).alias("repeats"))
 
 
