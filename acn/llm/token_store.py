@@ -10,8 +10,9 @@ A store is a folder of three Parquet tables:
 Ids are cut where a rolling hash over the last 16 of them has MASK's bits set, at least MIN and at most MAX ids apart, so equal
 passages give equal chunks wherever they stand. Ids take two bytes while the vocabulary has at most 65,536 of them, else four.
 
-Words between white space tokenise independently under these tokenizers, so each task keeps the ids of words it has seen; new
-words are encoded together, parted by a control character. Texts that hold a special token or a separator are encoded whole.
+Words between white space tokenise independently under these tokenizers (they lower-case), so each worker keeps the ids of words
+it has seen and puts a batch of texts together from them; new words are encoded in one go, parted by a control character. Texts
+that hold a special token or that character are encoded whole.
 
 Defined results: null text is empty and yields the end id alone; null doc_id sorts first; rows of one doc_id are documents of
 their own, in the order of their contents; an empty table gives an empty store; further columns are ignored.
@@ -21,22 +22,24 @@ from __future__ import annotations
 
 import hashlib
 import os
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialise, new_path, release, table_batch
+from ._shared import discard, materialise, new_path, release, table_batch
 
 MASK, MIN, MAX, SPAN = 0x1FF, 64, 4096, 16
 FAN = 256
-CACHE = 600_000
+CACHE = 700_000
 MARK = "\x01"
+TAIL = ".,;:!?"
 
 
 class WordEncoder:
@@ -65,21 +68,41 @@ class WordEncoder:
             to = [*(ends * size).tolist(), len(data)]
             self.words.update(zip(some, map(data.__getitem__, map(slice, at, to)), strict=True))
 
-    def encode(self, text: str) -> bytes:
-        # white space to str.split() but not to the tokenizer: \x1c to \x1f
-        if self.mark is None or any(x in text for x in (MARK, "\x1c", "\x1d", "\x1e", "\x1f", *self.special)):
-            return np.array(self._ids(text), self.type).tobytes()
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # the tokenizer does so too; in Latin-1 there is one way to
-        except UnicodeEncodeError:
-            pass
-        words = text.split()
+    def _known(self, words: list[str]) -> None:
+        """Learns the ids of words not seen before."""
         if len(self.words) > CACHE:
-            self.words = {}
-        if new := set(words).difference(self.words):
-            self._learn(list(new))
-        return b"".join(map(self.words.__getitem__, words))
+            self.words = {w: x for w in words if (x := self.words.get(w)) is not None}
+        new = [w for w in words if w not in self.words]
+        # letters and the marks behind them are tokens apart
+        ends = {w: core for w in new if (core := w.rstrip(TAIL)) != w and core.isalpha()}
+        if fresh := {ends.get(w, w) for w in new}.union(w[len(core) :] for w, core in ends.items()).difference(self.words):
+            self._learn(list(fresh))
+        self.words.update((w, self.words[core] + self.words[w[len(core) :]]) for w, core in ends.items())
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, end_id behind each, and where each begins (with the end of the last)."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, "|".join(map(re.escape, [MARK, *self.special]))) if self.mark is not None else pa.array([True] * len(texts))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))  # it lower-cases all letters itself
+        coded = words.flatten().dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist()
+        self._known(known)
+        wholes = [np.array(self._ids(x), self.type).tobytes() for x in texts.filter(odd).to_pylist()]
+        pool = [*map(self.words.__getitem__, known), np.array([end_id], self.type).tobytes(), *wholes]
+        lengths = np.fromiter(map(len, pool), np.int64, len(pool)) // self.type.itemsize
+        starts = np.r_[0, lengths.cumsum()]
+        # a text's words, for an odd one its whole, then the end id
+        counts = np.diff(words.offsets.to_numpy())
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        at = np.r_[0, counts.cumsum()]
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), at[1:], len(known))
+        ends = at[1:] + np.arange(len(counts))
+        if wholes:
+            order[(at[:-1] + np.arange(len(counts)))[is_odd]] = len(known) + 1 + np.arange(len(wholes))  # in place of the one empty word
+        sizes = lengths[order]
+        before = np.r_[0, sizes.cumsum()]
+        ids = np.frombuffer(b"".join(pool), self.type)[np.repeat(starts[order] - before[:-1], sizes) + np.arange(before[-1])]
+        return ids, np.r_[0, before[ends + 1]]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -132,22 +155,19 @@ _PIECE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.
 def _cut(path: str, width: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, uid = encoder(path, width), TaskContext.get().partitionId() << 40
-        end = np.array([end_id], f"<u{width}").tobytes()
         sent: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                coded = [coder.encode(x or "") + end for x in part.column(1).to_pylist()]
-                sizes = np.array([len(x) // width for x in coded], np.int64)
-                ids = np.frombuffer(b"".join(coded), f"<u{width}")
-                begin = np.r_[0, sizes.cumsum()]
+            for low in range(0, batch.num_rows, 2500):
+                part = batch.slice(low, 2500)
+                ids, begin = coder.encode(part.column(1), end_id)
+                whole = memoryview(ids.tobytes())
                 marks = cut_marks(ids)
                 first = np.searchsorted(marks, begin, "right")
                 rows: list[tuple] = []
-                for k, (doc_id, data) in enumerate(zip(part.column(0).to_pylist(), coded, strict=True)):
-                    uid, n = uid + 1, int(sizes[k])
-                    ends = chunk_ends(marks[first[k] : first[k + 1]] - begin[k], n)
-                    chunks = [data[a * width : b * width] for a, b in zip([0, *ends], ends, strict=False)]
+                for k, (doc_id, at, to) in enumerate(zip(part.column(0).to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                    uid, n = uid + 1, to - at
+                    ends = chunk_ends(marks[first[k] : first[k + 1]] - at, n)
+                    chunks = [bytes(whole[(at + a) * width : (at + b) * width]) for a, b in zip([0, *ends], ends, strict=False)]
                     digests = [hashlib.sha256(c).digest() for c in chunks]
                     root = merkle_root(digests)
                     for seq, (digest, chunk) in enumerate(zip(digests, chunks, strict=True)):
@@ -166,12 +186,13 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, vocabulary: in
     spark = docs.sparkSession
     path = path or new_path(spark, "token-store")
     width = 2 if vocabulary <= 1 << 16 else 4
-    pieces = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cut(tokenizer, width, end_id), _PIECES), "token-pieces")
+    pieces = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cut(tokenizer, width, end_id), _PIECES), "token-pieces", "zstd")
     (
         pieces.filter(F.col("ids").isNotNull()).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"), F.first("ids").alias("ids"))
-        .select("digest", "n_tokens", F.lit(width).alias("width"), "ids").write.parquet(f"{path}/chunks")
+        .select("digest", "n_tokens", F.lit(width).alias("width"), "ids").write.option("compression", "zstd").parquet(f"{path}/chunks")
     )
     pieces.select("uid", "seq", "digest").write.parquet(f"{path}/recipes")
+    release(spark)
     ranged = pieces.filter("seq = 0").select("doc_id", "root", "uid", "n_total", "n_chunks").repartitionByRange(F.col("doc_id"), F.col("root"))
     order = ["doc_id", "root", "uid"]
     dealt = materialise(ranged.withColumn("part", F.spark_partition_id()), "token-order")
@@ -184,6 +205,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, vocabulary: in
         (F.col("ids0") + F.coalesce(F.sum("n_total").over(inside), F.lit(0))).alias("start"), F.col("n_total").alias("n_tokens"), "n_chunks", "root",
     )
     manifest.write.parquet(f"{path}/manifest")
+    discard(pieces)
     release(spark)
     level, nodes = 0, spark.read.parquet(f"{path}/manifest").select(F.col("position").alias("node"), F.col("root").alias("digest"))
     while True:
@@ -196,55 +218,50 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, vocabulary: in
             return path
 
 
-_DOCS = T.StructType([T.StructField("uid", T.LongType()), T.StructField("n_read", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("root_read", T.BinaryType())])
+_DOCS = T.StructType([T.StructField("position", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("whole", T.BooleanType())])
+_DOC_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
 
 
 def _join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (uid, seq): each document's ids as little-endian 32-bit integers, every chunk checked against its digest."""
-    uid, parts, digests, out = None, [], [], []
+    """Rows sorted by (uid, seq), the manifest's first: each document's ids as little-endian 32-bit integers, held against its root."""
+    own, parts, digests, out, size = None, [], [], [], 0
 
     def close() -> None:
-        if uid is not None:
+        nonlocal size
+        if own is not None:
+            position, doc_id, start, n_tokens, root = own
             ids = b"".join(parts)
-            out.append((uid, len(ids) // 4, ids, merkle_root(digests)))
+            size += len(ids)
+            out.append((position, doc_id, start, n_tokens, ids, merkle_root(digests) == root and len(ids) == 4 * n_tokens))
 
     for batch in batches:
-        for u, digest, width, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if u != uid:
+        for seq, width, ids, *manifest in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            if seq < 0:
                 close()
-                uid, parts, digests = u, [], []
-                if len(out) >= 2000:
-                    yield table_batch(_DOCS.names, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], list(zip(*out, strict=True)))
-                    out = []
-            if hashlib.sha256(ids).digest() != digest:
-                raise ValueError(f"chunk {digest.hex()} is damaged")
+                own, parts, digests = manifest, [], []
+                if size > 8 << 20:
+                    yield table_batch(_DOCS.names, _DOC_TYPES, list(zip(*out, strict=True)))
+                    out, size = [], 0
+                continue
             parts.append(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
-            digests.append(digest)
+            digests.append(hashlib.sha256(ids).digest())
     close()
     if out:
-        yield table_batch(_DOCS.names, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], list(zip(*out, strict=True)))
+        yield table_batch(_DOCS.names, _DOC_TYPES, list(zip(*out, strict=True)))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """position, doc_id, start, n_tokens, ids (little-endian 32-bit integers) and whole, of each document in the store.
-    A chunk that doesn't match its digest stops the read; whole is false where the chunks don't give the manifest's root."""
+    """position, doc_id, start, n_tokens, ids (little-endian 32-bit integers) and whole, of each document in the store: whole is false
+    where the digests of the chunks read don't give the manifest's Merkle root, or the number of ids differs."""
     table = {x: spark.read.parquet(f"{path}/{x}") for x in ("chunks", "recipes", "manifest")}
-    rows = table["recipes"].join(table["chunks"], "digest").select("uid", "seq", "digest", "width", "ids")
-    sorted_rows = rows.repartition("uid").sortWithinPartitions("uid", "seq").select("uid", "digest", "width", "ids")
-    read = sorted_rows.mapInArrow(_join_chunks, _DOCS)
-    whole = F.coalesce((F.col("root") == F.col("root_read")) & (F.col("n_tokens") == F.col("n_read")), F.lit(False))
-    return table["manifest"].join(read, "uid", "left").select("position", "doc_id", "start", "n_tokens", "ids", whole.alias("whole"))
-
-
-def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not all(batch.column(3).to_pylist()):
-            raise ValueError("a document doesn't match its manifest")
-        ids = batch.column(4).to_pylist()
-        crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    rows = table["recipes"].join(table["chunks"].select("digest", "width", "ids"), "digest").select("uid", "seq", "width", "ids")
+    heads = table["manifest"].select("uid", F.lit(-1).alias("seq"), "position", "doc_id", "start", "n_tokens", "root")
+    columns = ["seq", "width", "ids", "position", "doc_id", "start", "n_tokens", "root"]
+    every = rows.unionByName(heads, allowMissingColumns=True)
+    return every.repartition("uid").sortWithinPartitions("uid", "seq").select(*columns).mapInArrow(_join_chunks, _DOCS)
 
 
 def store_digest(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of what read_store() gives."""
-    return read.select("doc_id", "start", "n_tokens", "whole", "ids").mapInArrow(_crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens and ids_crc32 of what read_store() gives; a document that isn't whole stops the query."""
+    ids = F.when(F.col("whole"), F.col("ids")).otherwise(F.raise_error(F.lit("a document doesn't match its manifest")).cast("binary"))
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
