@@ -11,8 +11,8 @@ sets are one vertex, under the 64-bit hash of the set, so copies are never compa
 3. Vertices that share a prefix shingle are compared by signature trees: nodes hold OR-combined bitmaps and ranges of sizes, and
    a dual traversal drops node pairs whose largest possible overlap is too small for a link. Of what is left, a spanning set
    of pairs is taken, as if each were a link.
-4. Pairs are verified on whole sets, a hub's set beside those of its partners, dealt by hub and salt. The links found are
-   components; pairs not yet in one component that trees leave over are then verified, all of them.
+4. Pairs are verified, a hub's set beside those of its partners, dealt by hub and salt: on a quarter of the shingles of long sets,
+   which bounds their overlap from above, then on whole sets. The links found are components; pairs not yet in one component that trees leave over are then verified, all of them.
 
 So a group of thousands of near copies costs about as many verifications as it has members, and no link is lost.
 
@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bytes_of, materialise, release, table_batch
+from ._shared import bytes_of, discard, materialise, release, table_batch
 from .components import components
 
 CHUNK = 2_000_000  # shingles held at a time while counting
 HOT_IN_CHUNK, HOT, MAX_HOT = 8, 64, 200_000
-SIGNATURE, SAMPLE = 512, 400  # bits, and sampled shingles at most on average
+SIGNATURE, SAMPLE = 1024, 600  # bits, and sampled shingles at most on average
 PER_BUCKET = 20_000
-LEAF, SALTS = 16, 64
+LEAF, PER_SALT, LONG = 16, 500, 400
+SMALL = 200_000  # rows of two numbers that may be sent to every task, after they are counted
 _U = np.uint64
 
 
@@ -348,40 +349,52 @@ def _pair_batches(percent: int):
     return run
 
 
-def _set_batches(k: int):
+def sampled(tokens: np.ndarray) -> np.ndarray:
+    """Of long sets, the quarter of the shingles whose hash says so; of short ones all."""
+    return tokens[(tokens >> _U(20)) & _U(3) == 0] if len(tokens) > LONG else tokens
+
+
+def _set_batches(k: int, whole: bool):
+    names, types = ["vertex", "n", "tokens"], [pa.int64(), pa.int64(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
             for want, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
-                data = shingle_set(text, k).tobytes()
-                if xxhash.xxh3_64_intdigest(data) - (1 << 63) == want:
-                    rows.append((want, data))
-                    size += len(data)
+                own = shingle_set(text, k)
+                if xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) == want:
+                    rows.append((want, len(own), (own if whole else sampled(own)).tobytes()))
+                    size += len(rows[-1][2])
                 if size > 8 << 20:
-                    yield table_batch(["vertex", "tokens"], [pa.int64(), pa.binary()], list(zip(*rows, strict=True)))
+                    yield table_batch(names, types, list(zip(*rows, strict=True)))
                     rows, size = [], 0
             if rows:
-                yield table_batch(["vertex", "tokens"], [pa.int64(), pa.binary()], list(zip(*rows, strict=True)))
+                yield table_batch(names, types, list(zip(*rows, strict=True)))
 
     return run
 
 
 def _verify_batches(percent: int):
-    """Rows (hub, salt, v, tokens) in which each hub's own set comes first -> linked pairs (a, b)."""
+    """Rows (hub, salt, v, n, tokens) in which each hub's own set comes first -> pairs (a, b) that link if what the tokens leave open is
+    common to both: of whole sets, the links; of samples, all pairs that may link. Sets of LONG shingles or fewer are always whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, None
+        key, own, n = None, None, 0
         for batch in batches:
             a, b = [], []
-            for hub, salt, v, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for hub, salt, v, m, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 tokens = np.frombuffer(data, _U)
                 if v == hub:
-                    key, own = (hub, salt), tokens
+                    key, own, n = (hub, salt), tokens, m
                 elif (hub, salt) == key:
-                    small, large = (tokens, own) if len(tokens) < len(own) else (own, tokens)
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    common = int((large[at] == small).sum())
-                    if 100 * common >= percent * (len(own) + len(tokens) - common):
+                    x, y = own, tokens
+                    if (len(x) < n) != (len(y) < m):
+                        x, y = (z if len(z) < k else z[(z >> _U(20)) & _U(3) == 0] for z, k in ((x, n), (y, m)))
+                    small, large = (x, y) if len(x) < len(y) else (y, x)
+                    at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
+                    common = int((large[at] == small).sum()) if len(small) else 0
+                    most = min(n - (len(x) - common), m - (len(y) - common))
+                    if 100 * most >= percent * (n + m - most):
                         a.append(hub)
                         b.append(v)
             if a:
@@ -394,11 +407,12 @@ _PAIR = "a long, b long"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link. Each partner's set travels once for each pair, the hub's once for each salt in use."""
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")
-    partners = pairs.select(F.col("a").alias("hub"), salt, F.col("b").alias("vertex"))
+    """The pairs that link, or may, by these sets. Each partner's set travels once for each pair, the hub's once for each PER_SALT partners."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")
+    partners = pairs.join(salts, "a").select(F.col("a").alias("hub"), salt, F.col("b").alias("vertex"))
     hubs = partners.select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("vertex"))
-    rows = partners.union(hubs).join(sets, "vertex").select("hub", "salt", F.col("vertex").alias("v"), "tokens")
+    rows = partners.union(hubs).join(sets, "vertex").select("hub", "salt", F.col("vertex").alias("v"), "n", "tokens")
     dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", (F.col("v") != F.col("hub")))
     return dealt.mapInArrow(_verify_batches(percent), _PAIR)
 
@@ -417,34 +431,41 @@ def link_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         T.StructField("bucket", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("owners", T.BinaryType()),
     ])
     features = materialise(texts.mapInArrow(_feature_batches(k, percent, hot, buckets), schema), "shingle-features")
-    members = features.filter(F.col("bucket").isNull()).select("doc_id", "vertex", "n", "level", "sig")
+    members = materialise(features.filter(F.col("bucket").isNull()).select("doc_id", "vertex", "n", "level", "sig"), "shingle-members")
     packed = features.filter(F.col("bucket").isNotNull()).select("bucket", "tokens", "owners")
     shared = materialise(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_batches, "token long, a long, b long"), "shared-shingles")
-
-    vertices = members.filter(F.col("sig").isNotNull()).select("vertex", "n", "level", "sig").dropDuplicates(["vertex"])
+    discard(features)
+    vertices = materialise(members.filter(F.col("sig").isNotNull()).select("vertex", "n", "level", "sig").dropDuplicates(["vertex"]), "shingle-vertices")
+    release(spark)
     side = lambda x: vertices.select(*(F.col(c).alias(f"{x}{i}") for i, c in enumerate(vertices.columns)))
     twos = shared.filter("token is null").select("a", "b").distinct()
     twos = twos.join(side("x"), F.col("a") == F.col("x0")).join(side("y"), F.col("b") == F.col("y0")).select("a", "b", "x1", "x2", "x3", "y1", "y2", "y3")
-    many = materialise(
-        shared.filter("token is not null").select("token", F.col("a").alias("vertex")).join(vertices, "vertex").select("token", "vertex", "n", "level", "sig")
-        .repartition("token").sortWithinPartitions("token", "vertex"), "shingle-postings",
-    )
+    many = shared.filter("token is not null").select("token", F.col("a").alias("vertex"))
 
-    def from_trees(rows: DataFrame, spanning: bool) -> DataFrame:
+    def from_trees(labelled: DataFrame, spanning: bool) -> DataFrame:
+        rows = many.join(labelled, "vertex").select("token", "vertex", "n", "level", "sig", "root")
         return rows.repartition("token").sortWithinPartitions("token", "vertex").mapInArrow(_tree_batches(percent, spanning), _PAIR).distinct()
 
-    first = materialise(twos.mapInArrow(_pair_batches(percent), _PAIR).union(from_trees(many.withColumn("root", F.col("vertex")), True)).distinct(), "pairs")
-    needed = first.select(F.col("a").alias("vertex")).union(first.select("b")).union(many.select("vertex")).distinct()
-    places = members.filter(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.min("doc_id").alias("at")).join(needed, "vertex")
-    found = texts.join(places, F.col("doc_id").eqNullSafe(F.col("at"))).select("vertex", "text")
-    sets = materialise(found.mapInArrow(_set_batches(k), "vertex long, tokens binary"), "shingle-sets")
-    links = materialise(_verified(first, sets, percent), "links")
+    first = materialise(twos.mapInArrow(_pair_batches(percent), _PAIR).union(from_trees(vertices.withColumn("root", F.col("vertex")), True)).distinct(), "pairs")
+    places = members.filter(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.min("doc_id").alias("at"))
+    release(spark)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        for whole in (False, True):  # samples of a quarter first: they rule out most pairs of long sets
+            needed = materialise(places.join(pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct(), "vertex"), "shingle-places")
+            few = F.broadcast(needed) if needed.count() <= SMALL else needed
+            sets = materialise(texts.join(few, F.col("doc_id").eqNullSafe(F.col("at"))).select("vertex", "text").mapInArrow(_set_batches(k, whole), "vertex long, n long, tokens binary"), "shingle-sets")
+            pairs = materialise(_verified(pairs, sets, percent), "links" if whole else "likely-pairs")
+            discard(sets)
+            release(spark)
+        return pairs
+
+    links = verified(first)
     roots = components(links)
-    labelled = many.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    second = materialise(from_trees(labelled.select(*many.columns, "root"), False).join(first, ["a", "b"], "left_anti"), "more-pairs")
-    more = materialise(_verified(second, sets, percent), "more-links")
-    roots = components(links.union(more))
+    labelled = vertices.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    second = materialise(from_trees(labelled, False).join(first, ["a", "b"], "left_anti"), "more-pairs")
     release(spark)
+    roots = components(links.union(verified(second)))
 
     rooted = members.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     least = rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
