@@ -79,7 +79,7 @@ def bootstrap_fraction_ci(baf_segmented: DataFrame, calls: DataFrame, rho_psi: D
     from ..storage import materialise
 
     key = [*KEYS, "start_pos", "end_pos"]
-    calls = materialise(calls.filter("frac1 < 1").select(*key, "solutions"), "opened")
+    calls = materialise(calls.select("sample_id", *key[1:], "frac1", "solutions"), "opened").filter("frac1 < 1")
     opened = calls.join(rho_psi.select("sample_id", "rho"), "sample_id").select(*key, "rho", F.inline(F.transform("solutions", lambda s, k: F.struct(k.alias("option"), s["nMaj1"].alias("m1"), s["nMin1"].alias("n1"), s["nMaj2"].alias("m2"), s["nMin2"].alias("n2"))))).filter("m1 is not null")
     inside = assign_points_to_intervals(baf_segmented.select(*KEYS, "pos", "baf_phased"), opened.select(*key).distinct())
     values = inside.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "baf_phased"))), lambda x: x["baf_phased"]).alias("baf_values"))  # the loci of one segment
