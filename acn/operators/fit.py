@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import candidate_edges, cn_alleles, div, expected_baf, nearest_edge, psi_t_from_cn, reliability, rescue_negative_minor, rho_psi_from_segment, t_statistic
+from ..functions.scalars import cn_alleles, div, expected_baf, nearest_edge, psi_t_from_cn, reliability, rescue_negative_minor, rho_psi_from_segment, t_statistic
 from ..functions.stats import binomial_pmf, one_sample_t
+from ..storage import materialise
 
 SMALLER_BETTER = {0: True, 1: False, 2: False, 3: False}
 CLONAL_SMALLER_BETTER = {0: False, 1: True, 2: True, 3: True, 4: False}
@@ -125,10 +126,7 @@ def _state_columns(rows: DataFrame, gamma: float, cap: float = CAP) -> DataFrame
     rows = rows.withColumns({"_a": n_a, "_b": n_b}).withColumns({"_major": F.greatest("_a", "_b"), "_minor": F.least("_a", "_b")})
     major, minor = rescue_negative_minor("_major", "_minor", "b", cap)
     rows = rows.withColumns({"n_major": major, "n_minor": minor}).withColumn("shift", F.col("n_major") - F.col("_major"))
-    floor = lambda c: F.floor(c).cast("double")
-    level2, level3 = expected_baf("rho", F.ceil("n_major").cast("double"), F.ceil("n_minor").cast("double")), expected_baf("rho", floor("n_major"), floor("n_minor"))
-    edge = F.get(candidate_edges(level2, level3, "b", F.col("n_major") + F.col("n_minor"), floor("n_minor"), floor("n_major")), F.lit(0))
-    rows = rows.withColumn("edge", edge)
+    rows = rows.withColumn("edge", nearest_edge("rho", "b", "n_major", "n_minor"))  # the first of the candidate edges
     l1, l2 = expected_baf("rho", F.col("edge.m1"), F.col("edge.n1")), expected_baf("rho", F.col("edge.m2"), F.col("edge.n2"))
     first = F.abs(l1 - F.col("b")) <= F.abs(l2 - F.col("b"))
     pick = lambda x, y: F.when(first | (l2.isNull()), x).otherwise(y)
@@ -239,10 +237,10 @@ def fit_copy_number(segments: DataFrame, preset: DataFrame | None = None, metric
         coarse = select_ascat_optimum(score_grid_ascat(grid, segments, metric, gamma), segments, metric, min_ploidy, max_ploidy, min_rho, min_goodness, gamma)
     else:
         coarse = preset.select("sample_id", "psi", "rho", F.lit(None).cast("double").alias("ploidy"), F.lit(None).cast("double").alias("goodness"))
-    coarse = coarse.filter("psi is not null")
+    coarse = materialise(coarse.filter("psi is not null"), "coarse-fit")
     fine = refined_grid(refine_bounds(coarse, min_rho=min_rho, max_rho=max_rho))
     best = centroid_optimum(score_grid_clonal(fine, drop_short(segments), clonal_metric, gamma), CLONAL_SMALLER_BETTER[clonal_metric])
-    best = best.withColumn("rho", F.least("rho", F.lit(1.0)))
+    best = materialise(best.withColumn("rho", F.least("rho", F.lit(1.0))), "fine-fit")
     psi_t = recalc_psi_t(segments, best.select("sample_id", "rho", "psi"), gamma=gamma)
     rows = [
         coarse.select("sample_id", F.lit("ASCAT").alias("method"), "rho", "psi", "ploidy", F.col("goodness").alias("distance")),

@@ -538,9 +538,9 @@ def _rho_psi_t(f):
 _SEGLOGR = f"(select s.sample_id, s.chrom, s.start_pos, s.end_pos, coalesce(avg(t.logr), 0) as logr from v_segments s left join v_track t on t.sample_id = s.sample_id and t.chrom = s.chrom and t.pos between s.start_pos and s.end_pos group by s.sample_id, s.chrom, s.start_pos, s.end_pos) x"
 
 
-@query("segment_logr_mean", "v_segments v_track", f"select chrom, start_pos, round(logr, 6) as logr from {_SEGLOGR}")
+@query("segment_logr_mean", "v_segments v_track", f"select chrom, start_pos, round(logr, 4) as logr from {_SEGLOGR}")
 def _(spark, s, t):
-    return rounded(calls.segment_logr_mean(s, t).select("chrom", "start_pos", "logr"), "logr")
+    return calls.segment_logr_mean(s, t).select("chrom", "start_pos", F.round("logr", 4).alias("logr"))
 
 
 @query("call_subclones", "v_baf_segmented v_fit")
