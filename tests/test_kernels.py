@@ -48,7 +48,7 @@ def test_two_passes_undo_phase_switches():
 
 
 def test_running_median_ends():
-    assert k.running_median(np.array([5.0, 1, 2, 3, 9]), 1).tolist() == [2, 2, 2, 3, 3]
+    assert k.running_median(np.array([5.0, 1, 2, 3, 9]), 1).tolist() == [2, 2, 2, 3, 5]
     assert k.running_median(np.array([4.0, 1]), 2).tolist() == [4, 1]
 
 
