@@ -32,7 +32,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.remove_repeats(documents(spark, sf_dir)).select("doc_id", *sentence_spans.COUNTED, F.sha2("text", 256).alias("kept_sha256"))
+    return sentence_spans.remove_repeats(documents(spark, sf_dir), passage=51).select("doc_id", *sentence_spans.COUNTED, F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,6 +192,31 @@ def test_sentence_spans(docs, empty):
     assert sentence_spans.remove_repeats(empty).count() == 0
 
 
+def test_sentence_spans_of_passages_cut_anywhere(spark, tmp_path):
+    from acn.llm import queries
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    def text(lengths):
+        return [w for n in lengths for w in [*(word() for _ in range(n - 1)), word() + "."]]
+
+    rows, want = [], {}
+    for i, lengths in enumerate([(70,), (24, 26), (26, 25), (10, 41), (5, 3, 44), (12, 13, 14, 12), (51,), (1, 1, 49), (60, 60), (3, 48, 2), (17, 17, 17)]):
+        for n_before, n_after in ((0, 0), (1, 1), (25, 25), (24, 27), (30, 4), (4, 30), (60, 60)):
+            whole = text(lengths)
+            # passage: a sentence's end, whole sentences and a sentence's beginning
+            passage = [*text((n_before,) if n_before else ()), *whole, *(word() for _ in range(n_after))]
+            at = 2 * len(want)
+            head, tail = [word() for _ in range(20)], [word() for _ in range(9)]
+            rows += [(at, " ".join([*text((7,)), *[word() for _ in range(8)], *passage, *tail, word() + ".", *text((6,))])), (at + 1, " ".join([*text((30,)), *head, *passage, *[word() for _ in range(11)]]))]
+            inside = len(lengths) + (0 if n_before else -1)
+            want[at + 1] = inside if len(passage) >= 51 else None
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in queries.op6_sentence_spans(spark, str(tmp_path)).collect()}
+    assert {i: got[i] for i, n in want.items() if n is not None} == {i: n for i, n in want.items() if n is not None}
+    assert all(got[i] == 0 for i in got if i % 2 == 0)
+
+
 def test_warc_round_trip_and_splits(spark, tmp_path):
     pages = [(i, None if i == 3 else f"http://x/{i}", None if i == 2 else ("<p>" + "abé" * (i % 5) * 200 + "\x1f\u008b\x08" * 50) if i % 2 else "short") for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
