@@ -101,7 +101,9 @@ def _key(doc_id: int, text: bytes) -> int:
 
 
 def _split(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Columns packed by bucket."""
+    """Columns packed by bucket; nothing of nothing."""
+    if not len(bucket):
+        return bucket, [[] for _ in columns]
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -143,7 +145,9 @@ def _anchor_batches(buckets: int):
                 yield table_batch(_NAMES, _TYPES, [batch.column(0), own, [len(x) for x in texts], [hashlib.sha256(x).hexdigest() for x in texts], *[[None] * m] * 4])
             for start, some in _blocks(texts):
                 if len(ids) + len(some) > 60_000 or size > 1_000_000:
-                    yield flushed()
+                    if size:
+                        yield flushed()
+                    ids, keys, held = [], [], []  # documents without anchors need no row of their chunk
                 text, _, h, _, _ = block_anchors(some)
                 held.append((h, text + len(ids)))
                 size += len(h)

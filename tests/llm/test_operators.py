@@ -284,6 +284,19 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.removal_digest(empty).count() == 0
 
 
+def test_suffix_dedup_passes_long_stretches_without_anchors(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    some = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    none = spark.range(10, 70_010, numPartitions=1).selectExpr("id AS doc_id", "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'short' END AS text")
+    for parts in ([some((1, long)), none, some((80_000, "x" + long))], [none, some((1, long), (80_000, "x" + long))]):
+        docs = parts[0]
+        for x in parts[1:]:
+            docs = docs.union(x)
+        got = {r[0]: r[2] for r in suffix_dedup.removal_digest(docs.coalesce(1)).collect()}
+        assert len(got) == 70_002 and {i: n for i, n in got.items() if n} == {80_000: 300}
+
+
 def test_token_store(spark, docs, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
