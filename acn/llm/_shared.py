@@ -66,6 +66,11 @@ def table_batch(names: list[str], types: list[pa.DataType], columns: list) -> pa
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def text_key(column: str):
+    """64 bits of a text, which tell apart rows that repeat a doc_id or have none; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
 def pair_hash(*columns, seed: int = 0):
     """A seeded 64-bit order for sampling; the same on every run and engine restart."""
     return F.xxhash64(F.lit(seed), *columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bytes_of, discard, materialise, release, table_batch
+from ._shared import WHITE, bytes_of, discard, materialise, release, table_batch, text_key
 from .components import components
 
 CHUNK = 2_000_000  # shingles held at a time while counting
@@ -113,8 +113,8 @@ def _hot_batches(k: int):
 
 
 def _feature_batches(k: int, percent: int, hot, buckets: int):
-    names = ["doc_id", "vertex", "n", "level", "sig", "bucket", "tokens", "owners"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["doc_id", "key", "vertex", "n", "level", "sig", "bucket", "tokens", "owners"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_tokens = hot.value
@@ -132,21 +132,21 @@ def _feature_batches(k: int, percent: int, hot, buckets: int):
             ends = np.r_[cut[1:], len(t)].tolist()
             m = len(cut)
             spans = list(zip(cut.tolist(), ends, strict=True))
-            return table_batch(names, types, [*[[None] * m] * 5, bucket[cut], [t[a:b].tobytes() for a, b in spans], [o[a:b].tobytes() for a, b in spans]])
+            return table_batch(names, types, [*[[None] * m] * 6, bucket[cut], [t[a:b].tobytes() for a, b in spans], [o[a:b].tobytes() for a, b in spans]])
 
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
+            for doc_id, text, key in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 own = shingle_set(text, k)
                 n = len(own)
                 vertex = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
                 if n == 0 or vertex in seen:
-                    rows.append((doc_id, vertex if n else None, n, None, None, None, None, None))
+                    rows.append((doc_id, key, vertex if n else None, n, None, None, None, None, None))
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(vertex)
-                rows.append((doc_id, vertex, n, *signature(own), None, None, None))
+                rows.append((doc_id, key, vertex, n, *signature(own), None, None, None))
                 want = prefix_length(n, percent)
                 at = np.searchsorted(hot_tokens, own)
                 frequent = hot_tokens[np.minimum(at, len(hot_tokens) - 1)] == own if len(hot_tokens) else np.zeros(n, bool)
@@ -417,8 +417,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_verify_batches(percent), _PAIR)
 
 
-def link_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id, one row per input row."""
+def _rooted(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, key (text_key), n (shingles) and root (of the component; null without words), one row per input row."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = materialise(texts.select("text").mapInArrow(_hot_batches(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "shingle-counts")
@@ -427,11 +427,11 @@ def link_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     hot = spark.sparkContext.broadcast(np.sort(frequent.column(0).to_numpy().astype(np.int64).view(_U)))  # MAX_HOT numbers at most
     buckets = max(64, total * (100 - percent) // 100 // PER_BUCKET)
     schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("vertex", T.LongType()), T.StructField("n", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("sig", T.BinaryType()),
+        T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("vertex", T.LongType()), T.StructField("n", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("sig", T.BinaryType()),
         T.StructField("bucket", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("owners", T.BinaryType()),
     ])
-    features = materialise(texts.mapInArrow(_feature_batches(k, percent, hot, buckets), schema), "shingle-features")
-    members = materialise(features.filter(F.col("bucket").isNull()).select("doc_id", "vertex", "n", "level", "sig"), "shingle-members")
+    features = materialise(texts.withColumn("key", text_key("text")).mapInArrow(_feature_batches(k, percent, hot, buckets), schema), "shingle-features")
+    members = materialise(features.filter(F.col("bucket").isNull()).select("doc_id", "key", "vertex", "n", "level", "sig"), "shingle-members")
     packed = features.filter(F.col("bucket").isNotNull()).select("bucket", "tokens", "owners")
     shared = materialise(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_batches, "token long, a long, b long"), "shared-shingles")
     discard(features)
@@ -467,14 +467,24 @@ def link_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     release(spark)
     roots = components(links.union(verified(second)))
 
-    rooted = members.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    return members.join(roots, "vertex", "left").select("doc_id", "key", "n", F.coalesce("root", "vertex").alias("root"))
+
+
+def link_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id, one row per input row."""
+    rooted = _rooted(docs, k, percent)
     least = rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group, that of the least doc_id; documents without words all stay."""
-    groups = link_groups(docs, k, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep_id"), F.col("n_shingles").alias("_n")).groupBy("_keep_id").agg(F.max("_n").alias("_n"))
-    joined = docs.join(groups, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")))
-    order = Window.partitionBy("_keep_id").orderBy(F.col("text").asc_nulls_last())
-    return joined.withColumn("_row", F.row_number().over(order)).filter("_row = 1 or _n = 0").select(*docs.columns)
+    """docs with one row of each group, that of the least doc_id (null last; then by the text's hash); documents without words all stay."""
+    rows = _rooted(docs, k, percent).filter(F.col("root").isNotNull()).groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "rows")).alias("x"))
+    kept = materialise(least.select(F.col("x.doc_id").alias("_keep_id"), F.col("x.key").alias("_key"), F.col("x.rows").alias("_rows")), "shingle-kept")
+    release(docs.sparkSession)
+    wordless = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, "") == ""
+    joined = docs.filter(~wordless).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (text_key("text") == F.col("_key")))
+    one = Window.partitionBy("_keep_id", "_key").orderBy("_rows")  # rows of equal doc_id and text
+    again = joined.filter("_rows > 1").withColumn("_row", F.row_number().over(one)).filter("_row = 1")
+    return docs.filter(wordless).union(joined.filter("_rows = 1").select(*docs.columns)).union(again.select(*docs.columns))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bytes_of, materialise, pair_hash, release, table_batch
+from ._shared import bytes_of, materialise, pair_hash, release, table_batch, text_key
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -55,13 +55,21 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         rows = [text_counts(x) for x in bytes_of(batch.column(1))]
         columns = list(zip(*rows, strict=True)) or [[]] * len(COUNTS)
-        yield table_batch(["doc_id", *COUNTS], [pa.int64()] * 7, [batch.column(0).cast(pa.int64()), *columns])
+        yield table_batch(["doc_id", "key", *COUNTS], [pa.int64()] * 8, [batch.column(0), batch.column(2), *columns])
+
+
+def _statistics(docs: DataFrame) -> DataFrame:
+    """quality_statistics() with the text_key of each row."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key("text").alias("key"))
+    return _with_features(keyed.mapInArrow(_count_batches, T.StructType([T.StructField(c, T.LongType()) for c in ["doc_id", "key", *COUNTS]])))
 
 
 def quality_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, COUNTS, base_failed and the forest's features, one row per input row."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ["doc_id", *COUNTS]])
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_count_batches, schema)
+    return _statistics(docs).drop("key")
+
+
+def _with_features(rows: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return rows.withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
@@ -165,17 +173,22 @@ def calibrate(scored: DataFrame, labels: DataFrame, good_loss: float = 0.005) ->
     return best / BINS if gain[best] > 0 else math.inf
 
 
-def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_loss: float = 0.005, seed: int = 7) -> DataFrame:
-    """doc_id, COUNTS, base_failed, score and kept, one row per input row."""
-    stats = materialise(quality_statistics(docs), "quality-statistics")
+def _judged(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_loss: float = 0.005, seed: int = 7) -> DataFrame:
+    """judge() with the text_key of each row."""
+    stats = materialise(_statistics(docs), "quality-statistics")
     scored = score_rows(stats, fit_forest(stats, fit_rows, seed=seed))
     threshold = calibrate(scored, labels, good_loss)
     release(docs.sparkSession)
     kept = ~F.col("base_failed") & (F.lit(True) if math.isinf(threshold) else F.col("score") < threshold)
-    return scored.select("doc_id", *COUNTS, "base_failed", "score", kept.alias("kept"))
+    return scored.select("doc_id", "key", *COUNTS, "base_failed", "score", kept.alias("kept"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_loss: float = 0.005, seed: int = 7) -> DataFrame:
+    """doc_id, COUNTS, base_failed, score and kept, one row per input row."""
+    return _judged(docs, labels, fit_rows, good_loss, seed).drop("key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. Rows of one doc_id stand or fall together."""
-    bad = judge(docs, labels).groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of docs that the rules keep, with all their columns. Each row is judged by its own text, whatever others have its doc_id."""
+    bad = _judged(docs, labels).filter("not kept").select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (text_key("text") == F.col("_bad_key")), "left_anti")

@@ -332,3 +332,36 @@ def test_pipeline_stages_agree_with_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in left.collect()} == good
     packed = p.run(spark, base).groupBy("doc_id").sum("n_tokens").collect()
     assert {r[0] for r in packed} <= good and len(p.STAGES) == 5
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as p
+    from acn.llm._shared import materialise
+
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(90))
+    base, copied = str(tmp_path), "zz " + text()
+    rows = [(None, text()) for _ in range(4)] + [(None, "too short"), (None, None)]
+    rows += [(7, text()), (7, "short as well"), (8, text()), (8, text()), (8, text())]
+    rows += [(1, copied), (9, "aa" + copied[2:]), (9, "mm " + text()), (10, copied + " end"), (None, copied + " other end")]
+    rows += [(11, rows[0][1] + " more"), (12, "same " + text())]
+    rows += [rows[-1]] * 3
+    spark.createDataFrame([(i, t, "en", f"src{n % 3}", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([(7, 1, 0), (7, 1, 0), (8, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    last = lambda r: (r[0] is None, r[0] or 0)
+    good = sorted({r for r in rows if len(words(r[1])) >= 50}, key=last)
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    docs = materialise(p.STAGES[0][1](spark, docs, base), "good")
+    assert {(r["doc_id"], r["text"]) for r in docs.collect()} == set(good)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words(t) for _, t in good)]
+    parent = list(range(len(good)))
+    for b in range(len(good)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = parent[a], parent[b]
+                parent = [min(x, y) if z in (x, y) else z for z in parent]
+    want = [r for n, r in enumerate(good) if parent[n] == n]
+    left = materialise(p.STAGES[1][1](spark, docs, base), "once")
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(good, key=str)
+    near = p.STAGES[2][1](spark, left.union(left), base)  # equal rows too
+    assert sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=str) == sorted(want, key=str)
