@@ -28,7 +28,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removal_report(documents(spark, sf_dir))
+    return line_dedup.removal_report(documents(spark, sf_dir), min_words=1)
 
 
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,25 @@ def test_line_dedup(docs, empty):
     assert line_dedup.removal_report(empty).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    from acn.llm import queries
+
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.sample("abcdefg", rng.randint(0, 6)))
+    rows = [(i, "\n".join(line() for _ in range(12))) for i in range(12)] + [(12, None), (13, "Share this page\n\nall rights reserved"), (14, "share THIS page"), (15, "p q r s\nt u v w x"), (16, "p q r s y\nt u v w")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, seen = {}, []
+    for i, t in rows:
+        want[i] = []
+        for n, x in enumerate((t or "").split("\n")):
+            s = set(x.lower().split())
+            if s and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                want[i].append(n)
+            seen.append(s)
+    assert want[14] == [0] and want[16] == [0, 1]
+    assert {r["doc_id"]: list(r["removed"]) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()} == want
+
+
 def test_sentence_spans(docs, empty):
     got = {r["doc_id"]: r for r in sentence_spans.remove_repeats(docs).collect()}
     spans = defaultdict(list)
