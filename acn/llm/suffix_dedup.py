@@ -1,42 +1,52 @@
 """Suffix-array dedup: removes every byte that lies in a 50-byte string which also starts in a document of smaller doc_id.
 
-Sorting all suffixes of the corpus would need several bytes of storage a position, and as many rounds as the longest text has
-bytes. Only strings of LENGTH bytes matter, so the collection that is sorted column by column is one of short contexts:
+Column-wise construction over all suffixes of a corpus takes as many rounds as its longest text has bytes. Only strings of LENGTH
+bytes matter, so the collection that is built column by column is one of short contexts, dealt by content:
 
 1. Winnowing marks anchors: in every LENGTH-byte string, the GRAM-byte grams of least hash among its SLIDE grams. Equal strings
    have equal anchors at equal places, so a string that repeats shows as an anchor that repeats.
-2. Anchors go to hash buckets as packed arrays; those that stand in one document only are dropped.
-3. Documents with anchors left give, for each, the SIDE bytes before and behind it. Equal contexts are joined in each task.
-4. In each bucket the contexts are the documents of a collection, built column-wise: each round inserts one symbol per
-   context in front of its suffix and updates the order of all suffixes by a stable counting sort of that symbol column, the
-   collection's Burrows-Wheeler column. Neighbours in the order whose common prefix reaches LENGTH bytes hold the same string;
-   the least doc_id of each such run is its first owner. Rows of larger doc_id mark the string.
-5. Marks come together by document as maximal spans, and only documents with spans are cut.
-
-Nothing is sampled, and all exchanges are packed arrays dealt by hash of the anchor or of the document, so a passage or a
-document that is everywhere spreads over all tasks.
-
-Defined results: null text is empty; texts under LENGTH bytes never change; rows of equal doc_id and text don't remove each
-other; null doc_id counts as the largest; an empty table gives an empty one; further columns are ignored.
+2. Anchors go to hash buckets as packed arrays; those that stand in one document only are dropped. An anchor that several
+   documents of a chunk hold goes once for all of them. Hashes only choose here: a collision lets more anchors through.
+3. Documents with anchors left give, for each, its context: the anchor's bytes with SIDE bytes before and behind. A chunk of
+   texts sends each distinct context once, with the places of its least doc_id alone: all other places in the chunk are
+   covered by that document, wholly, and are turned into spans at once. So what a hot anchor sends grows with the chunks.
+4. Each task lays the contexts of its buckets down column-wise in a sequential file in the shared folder and builds their
+   collection: a round inserts one symbol per context in front of its suffix. The symbols of the column, read in the order of
+   the suffixes behind them, are the round's part of the collection's Burrows-Wheeler transform; a stable counting sort of it
+   gives the order of the new suffixes, and range minima of the common prefixes give theirs. The orders of the columns are
+   not merged into one: equal strings have their anchors at equal places, so a suffix finds its like in its own column.
+   Neighbours whose common prefix reaches LENGTH bytes hold the same string; the least doc_id of each such run is its first
+   owner, and places of larger doc_id are marked.
+5. Spans come together by document, and only documents with spans are cut.
+
+Nothing is sampled, and strings are compared byte by byte. A document is told by its doc_id and 64 bits of its text: two different
+texts of one doc_id share them with odds of 1 in 2^64, and no others can be mixed up.
+
+Defined results: null text is empty; texts under LENGTH bytes never change; rows of equal doc_id don't remove each
+other's bytes; null doc_id counts as the largest; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bytes_of, discard, materialise, release, table_batch
+from ._shared import bytes_of, discard, materialise, new_path, open_folder, release, remove_folder, table_batch, text_key
 
 LENGTH, GRAM, SLIDE, SIDE = 50, 26, 25, 24  # GRAM + SLIDE - 1 = LENGTH = GRAM + SIDE
+WIDTH, ROW = SIDE + GRAM + SIDE, 80  # bytes of a context, and of its row in memory
 PER_BUCKET = 50_000
+PORTION = 300_000  # contexts in one collection, but for a bucket that has more
+DOCUMENTS, ANCHORS = 60_000, 1_000_000  # in a chunk
+SEVERAL = 0xFFFF  # in place of the document, where several of a chunk hold an anchor
 BLOCK = 1 << 19  # bytes of text hashed at a time
 LAST = (1 << 63) - 1
 NO_BYTE = 0xFF  # not in UTF-8; stands beyond a text's ends
@@ -95,9 +105,16 @@ def block_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return text[inside], at[inside], h[inside], joined, starts
 
 
-def _key(doc_id: int, text: bytes) -> int:
-    """64 bits for a row's doc_id and text."""
-    return xxhash.xxh3_64_intdigest(text, seed=doc_id & LAST) - (1 << 63)
+def _in_buckets(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket above, 32 bits of the hash below."""
+    return (((h >> _U(32)) % _U(buckets)) << _U(32) | (h & _U(0xFFFFFFFF))).astype(np.int64)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins, in sorted arrays that aren't empty."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(fresh)
 
 
 def _split(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
@@ -106,7 +123,7 @@ def _split(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[l
         return bucket, [[] for _ in columns]
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    cut = _runs(bucket)
     spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True))
     return bucket[cut], [[c[a:b].tobytes() for a, b in spans] for c in columns]
 
@@ -114,11 +131,12 @@ def _split(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[l
 _NAMES = ["doc_id", "key", "n_bytes", "sha256", "bucket", "chunk", "a", "b"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 _SCHEMA = T.StructType([T.StructField(n, t()) for n, t in zip(_NAMES, [T.LongType] * 3 + [T.StringType] + [T.LongType] * 2 + [T.BinaryType] * 2, strict=True)])
+NAMED, KNOWN = -1, -2  # in place of the bucket
 
 
 def _anchor_batches(buckets: int):
-    """A row per document, packed anchors by bucket (a: low halves of hashes, b: document in the chunk), and per chunk its documents'
-    keys (a) and doc_ids (b) under bucket -1."""
+    """(doc_id, text, key) -> a row per document; packed anchors by bucket (a: low halves of hashes, b: document in the chunk, or SEVERAL);
+    per chunk its documents' keys (a) and doc_ids (b) as NAMED, and the anchors that several of them hold (a: hashes, b: document) as KNOWN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
@@ -129,31 +147,40 @@ def _anchor_batches(buckets: int):
 
         def flushed() -> pa.RecordBatch:
             nonlocal chunk, ids, keys, held, size
-            h, own = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-            where, (low, doc) = _split((h >> _U(32)) % _U(buckets), h.astype(np.uint32), own.astype(np.uint16))
-            m = len(where)
-            batch = table_batch(_NAMES, _TYPES, [*[[None] * (m + 1)] * 4, [*where.tolist(), -1], [chunk] * (m + 1), [*low, np.array(keys, np.int64).tobytes()], [*doc, np.array(ids, np.int64).tobytes()]])
+            h, own = _in_buckets(np.concatenate([x for x, _ in held]), buckets), np.concatenate([y for _, y in held])
+            order = np.lexsort((own, h))
+            h, own = h[order], own[order]
+            once = _runs(h, own)
+            h, own = h[once], own[once]
+            cut = _runs(h)
+            several = np.diff(np.r_[cut, len(h)]) > 1
+            known = np.repeat(several, np.diff(np.r_[cut, len(h)]))
+            document = np.where(several, SEVERAL, own[cut]).astype(np.uint16)
+            where, (low, doc) = _split(h[cut] >> 32, h[cut].astype(np.uint32), document)
+            m = len(where) + 2
+            batch = table_batch(_NAMES, _TYPES, [*[[None] * m] * 4, [*where.tolist(), NAMED, KNOWN], [chunk] * m, [*low, np.array(keys, np.int64).tobytes(), h[known].tobytes()], [*doc, np.array(ids, np.int64).tobytes(), own[known].astype(np.uint16).tobytes()]])
             chunk, ids, keys, held, size = chunk + 1, [], [], [], 0
             return batch
 
         for batch in batches:
             doc_ids = [LAST if x is None else x for x in batch.column(0).to_pylist()]
             texts = [x or b"" for x in bytes_of(batch.column(1))]
-            own = [_key(i, x) for i, x in zip(doc_ids, texts, strict=True)]
+            own = batch.column(2).to_pylist()
             m = batch.num_rows
             if m:
                 yield table_batch(_NAMES, _TYPES, [batch.column(0), own, [len(x) for x in texts], [hashlib.sha256(x).hexdigest() for x in texts], *[[None] * m] * 4])
             for start, some in _blocks(texts):
-                if len(ids) + len(some) > 60_000 or size > 1_000_000:
-                    if size:
-                        yield flushed()
-                    ids, keys, held = [], [], []  # documents without anchors need no row of their chunk
-                text, _, h, _, _ = block_anchors(some)
-                held.append((h, text + len(ids)))
-                size += len(h)
-                for a in range(0, len(some), 60_000):
-                    ids += doc_ids[start + a : start + a + 60_000]
-                    keys += own[start + a : start + a + 60_000]
+                for a in range(0, len(some), DOCUMENTS):
+                    part = some[a : a + DOCUMENTS]
+                    if len(ids) + len(part) > DOCUMENTS or size > ANCHORS:
+                        if size:
+                            yield flushed()
+                        ids, keys, held = [], [], []  # documents without anchors need no row of their chunk
+                    text, _, h, _, _ = block_anchors(part)
+                    held.append((h, text + len(ids)))
+                    size += len(h)
+                    ids += doc_ids[start + a : start + a + len(part)]
+                    keys += own[start + a : start + a + len(part)]
         if size:
             yield flushed()
 
@@ -175,40 +202,32 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
 
 
 def _repeated_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, chunk, a, b) -> the same, of anchors that stand in two documents or more; a: whole hashes."""
+    """(bucket, chunk, a, b) -> (chunk, bucket, a: whole hashes, b) of the documents whose anchor stands in another document too."""
     for bucket, rows in _by_bucket(batches):
         low = np.concatenate([np.frombuffer(x[1], np.uint32) for x in rows])
         own = np.concatenate([np.frombuffer(x[2], np.uint16).astype(np.int64) + (x[0] << 16) for x in rows])
         order = np.argsort(low, kind="stable")
         low, own = low[order], own[order]
-        cut = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        several = np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut)
-        stays = np.repeat(several, np.diff(np.r_[cut, len(low)]))
+        cut = _runs(low)
+        several = np.diff(np.r_[cut, len(low)]) > 1  # from more chunks than one; those of one chunk are known there
+        stays = np.repeat(several, np.diff(np.r_[cut, len(low)])) & (own & 0xFFFF != SEVERAL)
         if stays.any():
-            pairs = np.unique(np.column_stack([own[stays], low[stays].astype(np.int64) + (bucket << 32)]), axis=0)
-            chunk, (docs, hashes) = _split(pairs[:, 0] >> 16, (pairs[:, 0] & 0xFFFF).astype(np.uint16), pairs[:, 1])
+            chunk, (docs, hashes) = _split(own[stays] >> 16, (own[stays] & 0xFFFF).astype(np.uint16), low[stays].astype(np.int64) + (bucket << 32))
             yield table_batch(["chunk", "bucket", "a", "b"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], [chunk, [bucket] * len(chunk), hashes, docs])
 
 
 def _document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, bucket, a, b) -> (doc_id, key, hashes) of documents with repeated anchors."""
     for _, rows in _by_bucket(batches):
-        named = next(x for x in rows if x[0] == -1)
+        named = next(x for x in rows if x[0] == NAMED)
         keys, ids = np.frombuffer(named[1], np.int64), np.frombuffer(named[2], np.int64)
-        found = [x for x in rows if x[0] != -1]
-        if not found:
-            continue
+        found = [x for x in rows if x[0] != NAMED]
         hashes = np.concatenate([np.frombuffer(x[1], np.int64) for x in found])
         own = np.concatenate([np.frombuffer(x[2], np.uint16) for x in found]).astype(np.int64)
-        where, (packed,) = _split(own, hashes)
-        yield table_batch(["doc_id", "key", "hashes"], [pa.int64(), pa.int64(), pa.binary()], [ids[where], keys[where], packed])
-
-
-def _chosen_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, hashes, text) -> those whose text the key belongs to."""
-    for batch in batches:
-        good = [_key(i, x) == k for i, k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(3)), strict=True)]
-        yield batch.filter(pa.array(good, pa.bool_()))
+        order = np.lexsort((hashes, own))
+        where, (packed_hashes,) = _split(own[order], hashes[order])
+        if len(where):
+            yield table_batch(["doc_id", "key", "hashes"], [pa.int64(), pa.int64(), pa.binary()], [ids[where], keys[where], packed_hashes])
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -217,70 +236,115 @@ def packed(*arrays: np.ndarray) -> bytes:
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes, n: int, *types) -> list[np.ndarray]:
-    raw, at, out = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), 0, []
-    for t in map(np.dtype, types):
-        out.append(np.frombuffer(raw, t, n, at) if t.itemsize else np.empty(n, t))
-        at += n * t.itemsize
+_PLACE = np.dtype([("context", "<u4"), ("doc_id", "<i8"), ("key", "<i8"), ("at", "<u4")])
+_SPAN = np.dtype([("doc_id", "<i8"), ("key", "<i8"), ("start", "<u4"), ("end", "<u4")])
+
+
+def unpacked(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    """n records of a structured type, packed column by column."""
+    raw, at, out = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), 0, np.empty(n, kind)
+    for name in kind.names:
+        out[name] = np.frombuffer(raw, kind[name], n, at)
+        at += n * kind[name].itemsize
     return out
 
 
-_CONTEXT = np.dtype([("hash", "<i8"), ("before", "u1", SIDE), ("behind", "u1", SIDE), ("n_before", "u1"), ("n_behind", "u1")])
-_PLACE = np.dtype([("context", "<u4"), ("doc_id", "<i8"), ("key", "<i8"), ("at", "<u4")])
+def packed_records(x: np.ndarray) -> bytes:
+    return packed(*(x[name] for name in x.dtype.names))
 
 
-def _records(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
-    out = np.empty(n, kind)
-    for name, column in zip(kind.names, unpacked(data, n, *(kind[x] for x in kind.names)), strict=True):
-        out[name] = column
+def unpacked_contexts(data: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    out = np.zeros((n, ROW), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(n, WIDTH)
     return out
 
 
-def _fingerprints(contexts: np.ndarray) -> np.ndarray:
-    """64 bits for a context's hash and bytes."""
-    out = contexts["hash"].astype(_U)
-    for side in ("before", "behind"):
-        words = np.ascontiguousarray(contexts[side]).view(_U)
-        for i in range(words.shape[1]):
-            out = (out ^ words[:, i]) * _U(0x9FB21C651E98DF25)
-            out ^= out >> _U(32)
+def _fingerprints(rows: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(rows).view(_U)
+    out = np.zeros(len(rows), _U)
+    for i in range(words.shape[1]):
+        out = (out ^ words[:, i]) * _U(0x9FB21C651E98DF25)
+        out ^= out >> _U(32)
     return out
 
 
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, same): the first place of each distinct row of bytes, and for each row its number among them. Rows are brought together by
+    64 bits and then compared byte by byte; where the 64 bits mislead, by their bytes."""
+    _, first, same = np.unique(_fingerprints(rows), return_index=True, return_inverse=True)
+    words = np.ascontiguousarray(rows).view(_U)
+    if not (words[first][same] == words).all():
+        _, first, same = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, same
+
+
+def merged_spans(spans: np.ndarray) -> np.ndarray:
+    """Maximal spans: those of one document that overlap or touch are one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["start"], spans["key"], spans["doc_id"]))]
+    number = np.zeros(len(spans), np.int64)
+    number[_runs(spans["doc_id"], spans["key"])] = 1
+    number = np.cumsum(number) << 32
+    reach = np.maximum.accumulate(number + spans["end"])
+    cut = np.flatnonzero(np.r_[True, number[1:] + spans["start"][1:] > reach[:-1]])
+    out = spans[cut]
+    out["end"] = reach[np.r_[cut[1:], len(spans)] - 1] & 0xFFFFFFFF
+    return out
+
+
+_CONTEXTS = "bucket long, n long, contexts binary, m long, places binary"
+_CONTEXT_NAMES, _CONTEXT_TYPES = ["bucket", "n", "contexts", "m", "places"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+
+
 def _context_batches(buckets: int):
-    """(doc_id, key, hashes, text) -> (bucket, n, contexts, m, places): each context once for the rows of a chunk."""
+    """(doc_id, key, hashes, text) -> (bucket, n, contexts, m, places): each context once for a chunk, with the places of its least doc_id.
+    Rows without contexts hold spans in place of places: what the least doc_id's context covers in the chunk's other documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flushed() -> pa.RecordBatch:
-            contexts, places = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, same = np.unique(_fingerprints(contexts), return_index=True, return_inverse=True)
-            contexts = contexts[first]
-            bucket = contexts["hash"] >> 32
+            contexts, anchor, places, before, behind = (np.concatenate(x) for x in zip(*held, strict=True))
+            first, same = distinct_rows(contexts)
+            least = np.full(len(first), LAST)
+            np.minimum.at(least, same, places["doc_id"])
+            covered = places["doc_id"] > least[same]
+            spans = np.empty(int((whole := covered & (before + behind >= SIDE)).sum()), _SPAN)
+            spans["doc_id"], spans["key"] = places["doc_id"][whole], places["key"][whole]
+            spans["start"], spans["end"] = places["at"][whole] - before[whole], places["at"][whole] + GRAM + behind[whole]
+            spans = merged_spans(spans)
+            contexts, bucket = contexts[first], anchor[first] >> 32
             order = np.argsort(bucket, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             contexts, bucket = contexts[order], bucket[order]
-            places["context"] = rank[same]
+            places = places[~covered]
+            places["context"] = rank[same[~covered]]
             places = places[np.argsort(places["context"], kind="stable")]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            cut = _runs(bucket)
             ends = np.r_[cut[1:], len(bucket)]
             low, high = np.searchsorted(places["context"], cut), np.searchsorted(places["context"], ends)
             out = []
             for a, b, c, d in zip(cut.tolist(), ends.tolist(), low.tolist(), high.tolist(), strict=True):
                 own = places[c:d].copy()
                 own["context"] -= a
-                out.append((int(bucket[a]), b - a, packed(*(contexts[a:b][x] for x in _CONTEXT.names)), d - c, packed(*(own[x] for x in _PLACE.names))))
-            return table_batch(["bucket", "n", "contexts", "m", "places"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()], list(zip(*out, strict=True)))
+                out.append((int(bucket[a]), b - a, packed(contexts[a:b, :WIDTH]), d - c, packed_records(own)))
+            if len(spans):
+                deal = spans["key"] % buckets
+                spans = spans[np.argsort(deal, kind="stable")]
+                cut = _runs(np.sort(deal))
+                out += [(int(spans["key"][a] % buckets), 0, None, b - a, packed_records(spans[a:b])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(spans)], strict=True)]
+            return table_batch(_CONTEXT_NAMES, _CONTEXT_TYPES, list(zip(*out, strict=True)))
 
         for batch in batches:
             ids, keys, wanted = (batch.column(i).to_pylist() for i in range(3))
-            texts = bytes_of(batch.column(3))
+            texts = [x or b"" for x in bytes_of(batch.column(3))]
             for start, some in _blocks(texts):
                 text, at, h, joined, starts = block_anchors(some)
-                h = (((h >> _U(32)) % _U(buckets)) << _U(32) | (h & _U(0xFFFFFFFF))).astype(np.int64)
+                h = _in_buckets(h, buckets)
                 good = np.zeros(len(h), bool)
                 for i, (a, b) in enumerate(zip(np.searchsorted(text, np.arange(len(some))), np.searchsorted(text, np.arange(len(some)), "right"), strict=True)):
                     if b > a:
@@ -291,17 +355,17 @@ def _context_batches(buckets: int):
                 if not len(h):
                     continue
                 padded = np.concatenate([np.full(SIDE, NO_BYTE, np.uint8), joined, np.full(SIDE, NO_BYTE, np.uint8)])
-                n_before, n_behind = np.minimum(at - starts[text], SIDE), np.minimum(starts[text + 1] - at - GRAM, SIDE)
-                contexts, places = np.zeros(len(h), _CONTEXT), np.zeros(len(h), _PLACE)
-                steps = np.arange(SIDE)
-                before, behind = padded[at[:, None] + steps], padded[at[:, None] + SIDE + GRAM + steps]
-                before[steps < (SIDE - n_before)[:, None]] = NO_BYTE
-                behind[steps >= n_behind[:, None]] = NO_BYTE
-                contexts["hash"], contexts["before"], contexts["behind"], contexts["n_before"], contexts["n_behind"] = h, before, behind, n_before, n_behind
+                before, behind = np.minimum(at - starts[text], SIDE), np.minimum(starts[text + 1] - at - GRAM, SIDE)
+                steps = np.arange(WIDTH)
+                contexts, places = np.zeros((len(h), ROW), np.uint8), np.zeros(len(h), _PLACE)
+                contexts[:, :WIDTH] = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at]
+                short = np.flatnonzero((before < SIDE) | (behind < SIDE))
+                outside = (steps < (SIDE - before[short])[:, None]) | (steps >= (SIDE + GRAM + behind[short])[:, None])
+                contexts[short, :WIDTH] = np.where(outside, NO_BYTE, contexts[short, :WIDTH])
                 places["doc_id"], places["key"], places["at"] = np.array(ids[start : start + len(some)], np.int64)[text], np.array(keys[start : start + len(some)], np.int64)[text], at - starts[text]
-                held.append((contexts, places))
+                held.append((contexts, h, places, before, behind))
                 size += len(h)
-                if size > 500_000:
+                if size > 400_000:
                     yield flushed()
                     held, size = [], 0
         if held:
@@ -310,73 +374,144 @@ def _context_batches(buckets: int):
     return run
 
 
-def first_owners(contexts: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """contexts (of distinct hash and bytes) and each one's least doc_id -> for each, and each number of bytes before the anchor from 0
-    to SIDE, the least doc_id that holds the same LENGTH-byte string.
-
-    Column-wise construction: `order` is the order of all suffixes that begin in the current column. A round puts the next
-    column's symbols, read in that order (the collection's Burrows-Wheeler column), through a stable counting sort."""
-    n = len(contexts)
-    before, behind, group = contexts["before"], contexts["behind"], contexts["hash"]
-    order = np.arange(n)
-    for c in range(SIDE - 1, -1, -1):
-        order = order[np.argsort(behind[order, c], kind="stable")]
-    order = order[np.argsort(group[order], kind="stable")]
-    out = np.empty((n, SIDE + 1), np.int64)
-    for m in range(SIDE + 1):  # m bytes before the anchor, SIDE - m behind
-        if m:
-            order = order[np.argsort(before[order, SIDE - m], kind="stable")]
-        x, y = order[:-1], order[1:]
-        same = group[x] == group[y]
-        i = np.flatnonzero(same)
-        i = i[(before[x[i], SIDE - m :] == before[y[i], SIDE - m :]).all(axis=1) & (behind[x[i], : SIDE - m] == behind[y[i], : SIDE - m]).all(axis=1)]
-        fresh = np.ones(n, bool)
-        fresh[i + 1] = False
-        cut = np.flatnonzero(fresh)
-        least = np.minimum.reduceat(owner[order], cut)
-        out[order, m] = np.repeat(least, np.diff(np.r_[cut, n]))
+class SymbolFile:
+    """Contexts laid down column-wise in one sequential file: block after block of rows, each column by column."""
+
+    def __init__(self, folder: str):
+        self.store, base = open_folder(folder)
+        self.store.create_dir(base, recursive=True)
+        self.path, self.blocks, self.size = f"{base}/{uuid.uuid4().hex}", [], 0
+        self.out = self.store.open_output_stream(self.path, compression=None)
+        self.read = None
+
+    def append(self, rows: np.ndarray) -> None:
+        self.out.write(np.ascontiguousarray(rows[:, :WIDTH].T).tobytes())
+        self.blocks.append((self.size * WIDTH, len(rows)))
+        self.size += len(rows)
+
+    def column(self, c: int) -> np.ndarray:
+        if self.read is None:
+            self.out.close()
+            self.read = self.store.open_input_file(self.path)
+        return np.concatenate([np.frombuffer(self.read.read_at(n, at + c * n), np.uint8) for at, n in self.blocks])
+
+    def close(self) -> None:
+        (self.read or self.out).close()
+        self.store.delete_file(self.path)
+
+
+def _range_minima(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """min of v[low..high], both included, by minima over powers of two."""
+    level = np.log2(high - low + 1).astype(np.int8)
+    out = np.empty(len(low), v.dtype)
+    for k in range(int(level.max(initial=-1)) + 1):
+        if k:
+            v = np.minimum(v[: -(1 << k - 1)], v[1 << k - 1 :])
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(v[low[at]], v[high[at] - (1 << k) + 1])
     return out
 
 
-def _mark_batches(doc_buckets: int):
-    """(bucket, n, contexts, m, places) sorted by bucket -> (bucket by document, n, marks: key and first byte of a string to remove)."""
+def columns_built(column, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each column, the last first: its number, the order of the n suffixes that begin in it, and how long a prefix each shares with the
+    one before it in order."""
+    order, common = np.arange(n, dtype=np.int32), np.zeros(n, np.uint8)
+    for c in range(WIDTH - 1, -1, -1):
+        transform = column(c)[order]  # the symbols to insert, in the order of the suffixes behind them
+        step = np.argsort(transform, kind="stable")
+        x, y = step[:-1], step[1:]
+        same = np.flatnonzero(transform[x] == transform[y])
+        grown = np.zeros(n, np.uint8)
+        grown[same + 1] = 1 + _range_minima(common, x[same] + 1, y[same])
+        order, common = order[step], grown
+        yield c, order, common
+
+
+def marked_spans(column, owner: np.ndarray, before: np.ndarray, behind: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Spans of places (each of context `at`) that hold a string which also stands in a context of smaller owner. The marked strings of a
+    place all reach over its anchor, so what they cover is one span."""
+    first, last = np.full(len(places), -1), np.full(len(places), -1)
+    doc_id = places["doc_id"]
+    for c, order, common in columns_built(column, len(owner)):
+        m = SIDE - c  # bytes before the anchor; SIDE - m behind it
+        if m < 0:
+            continue
+        cut = np.flatnonzero(np.r_[True, common[1:] < LENGTH])
+        least = np.empty(len(owner), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(owner[order], cut), np.diff(np.r_[cut, len(owner)]))
+        least[(m > before) | (SIDE - m > behind)] = LAST  # the string would leave the text
+        marked = least[at] < doc_id
+        last[marked] = m
+        first[marked & (first < 0)] = m
+    good = first >= 0
+    out = np.empty(int(good.sum()), _SPAN)
+    out["doc_id"], out["key"] = doc_id[good], places["key"][good]
+    out["start"], out["end"] = places["at"][good] - last[good], places["at"][good] - first[good] + LENGTH
+    return out
+
+
+def _mark_batches(folder: str, doc_buckets: int):
+    """(bucket, n, contexts, m, places) sorted by bucket -> (bucket by document, n, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held: list[np.ndarray] = []
+        portion: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # contexts, owners, places of a bucket
+        size = waiting = 0
 
         def flushed() -> pa.RecordBatch:
-            keys, starts = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((starts, keys, keys % doc_buckets))
-            keys, starts = keys[order], starts[order]
-            bucket = keys % doc_buckets
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True))
-            return table_batch(["bucket", "n", "marks"], [pa.int64(), pa.int64(), pa.binary()], [bucket[cut], [b - a for a, b in spans], [packed(keys[a:b], starts[a:b]) for a, b in spans]])
+            spans = merged_spans(np.concatenate(held))
+            bucket = spans["key"] % doc_buckets
+            spans = spans[np.argsort(bucket, kind="stable")]
+            bucket = np.sort(bucket)
+            cut = _runs(bucket)
+            ends = [*cut[1:].tolist(), len(spans)]
+            return table_batch(["bucket", "n", "spans"], [pa.int64(), pa.int64(), pa.binary()], [bucket[cut], [b - a for a, b in zip(cut.tolist(), ends, strict=True)], [packed_records(spans[a:b]) for a, b in zip(cut.tolist(), ends, strict=True)]])
+
+        def closed() -> None:
+            nonlocal waiting, size
+            symbols = SymbolFile(folder)
+            try:
+                shift, owners, places, before, behind = 0, [], [], [], []
+                for contexts, owner, own in portion:
+                    symbols.append(contexts)
+                    own["context"] += np.uint32(shift)
+                    shift += len(contexts)
+                    owners.append(owner)
+                    places.append(own)
+                    before.append((contexts[:, :SIDE] != NO_BYTE).sum(axis=1, dtype=np.uint8))
+                    behind.append((contexts[:, SIDE + GRAM : WIDTH] != NO_BYTE).sum(axis=1, dtype=np.uint8))
+                portion.clear()
+                places = np.concatenate(places)
+                spans = marked_spans(symbols.column, np.concatenate(owners), np.concatenate(before), np.concatenate(behind), places["context"].astype(np.int64), places)
+            finally:
+                symbols.close()
+            held.append(spans)
+            size, waiting = size + len(spans), 0
 
         for _, rows in _by_bucket(batches):
-            contexts = [_records(x[1], x[0], _CONTEXT) for x in rows]
-            places = [_records(x[3], x[2], _PLACE) for x in rows]
-            for p, shift in zip(places, np.cumsum([0, *map(len, contexts)]), strict=False):
-                p["context"] += np.uint32(shift)
-            contexts, places = np.concatenate(contexts), np.concatenate(places)
-            _, first, same = np.unique(_fingerprints(contexts), return_index=True, return_inverse=True)
-            contexts, at = contexts[first], same[places["context"]]
-            owner = np.full(len(contexts), LAST)
-            np.minimum.at(owner, at, places["doc_id"])
-            least = first_owners(contexts, owner)
-            steps = np.arange(SIDE + 1)
-            for a in range(0, len(at), 200_000):
-                own, c = places[a : a + 200_000], at[a : a + 200_000]
-                marked = (least[c] < own["doc_id"][:, None]) & (steps <= contexts["n_before"][c][:, None]) & (SIDE - steps <= contexts["n_behind"][c][:, None])
-                # of the strings that overlap in a row, spans need the outermost and no gap above LENGTH: first and last of each run do
-                edge = marked & ~(np.pad(marked, ((0, 0), (1, 0)))[:, :-1] & np.pad(marked, ((0, 0), (0, 1)))[:, 1:])
-                row, m = np.nonzero(edge)
-                held.append((own["key"][row], own["at"][row] - m.astype(np.uint32)))
-                size += len(row)
+            known = [unpacked(x[3], x[2], _SPAN) for x in rows if not x[0]]
+            held += known
+            size += sum(map(len, known))
+            rows = [x for x in rows if x[0]]
+            if rows:
+                contexts = np.concatenate([unpacked_contexts(x[1], x[0]) for x in rows])
+                places = [unpacked(x[3], x[2], _PLACE) for x in rows]
+                for p, shift in zip(places, np.cumsum([0, *(x[0] for x in rows)]), strict=False):
+                    p["context"] += np.uint32(shift)
+                places = np.concatenate(places)
+                first, same = distinct_rows(contexts)
+                places["context"] = same[places["context"]]
+                owner = np.full(len(first), LAST)
+                np.minimum.at(owner, places["context"], places["doc_id"])
+                portion.append((contexts[first], owner, places))
+                waiting += len(first)
+                if waiting > PORTION:
+                    closed()
             if size > 300_000:
                 yield flushed()
                 held, size = [], 0
+        if portion:
+            closed()
         if size:
             yield flushed()
 
@@ -384,64 +519,69 @@ def _mark_batches(doc_buckets: int):
 
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n, marks) sorted by bucket -> (key, starts, ends) of the maximal removed spans of each document."""
+    """(bucket, n, spans) sorted by bucket -> (doc_id, key, starts, ends) of the maximal removed spans of each document."""
     for _, rows in _by_bucket(batches):
-        keys, starts = (np.concatenate(x).astype(np.int64) for x in zip(*(unpacked(x[1], x[0], "<i8", "<u4") for x in rows), strict=True))
-        order = np.lexsort((starts, keys))
-        keys, starts = keys[order], starts[order]
-        fresh = np.r_[True, (keys[1:] != keys[:-1]) | (starts[1:] > starts[:-1] + LENGTH)]
-        low = starts[fresh]
-        high = starts[np.r_[np.flatnonzero(fresh)[1:] - 1, len(starts) - 1]] + LENGTH
-        where, (a, b) = _split(keys[fresh], low, high)
-        yield table_batch(["key", "starts", "ends"], [pa.int64(), pa.binary(), pa.binary()], [where, a, b])
+        spans = merged_spans(np.concatenate([unpacked(x[1], x[0], _SPAN) for x in rows]))
+        cut = _runs(spans["doc_id"], spans["key"])
+        start, end = spans["start"].astype(np.int64), spans["end"].astype(np.int64)
+        pieces = list(zip(cut.tolist(), [*cut[1:].tolist(), len(spans)], strict=True))
+        columns = [spans["doc_id"][cut], spans["key"][cut], *([x[a:b].tobytes() for a, b in pieces] for x in (start, end))]
+        yield table_batch(["doc_id", "key", "starts", "ends"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], columns)
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, text, starts, ends) -> what is left of each document."""
+    """(doc_id, key, text, starts, ends) -> what is left of each document."""
+    names = ["own_id", "key", "n_removed", "n_spans", "kept", "starts", "ends"]
+    types = [*[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     for batch in batches:
         rows = []
-        for key, doc_id, text, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        for doc_id, key, text, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             a, b = np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist()
             left = b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True))
-            rows.append((key, doc_id, len(text) - len(left), len(a), left, a, b))
+            rows.append((doc_id, key, len(text) - len(left), len(a), left, a, b))
         if rows:
-            yield table_batch(["key", "own_id", "n_removed", "n_spans", "kept", "starts", "ends"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())], list(zip(*rows, strict=True)))
+            yield table_batch(names, types, list(zip(*rows, strict=True)))
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, cuts): documents (doc_id, key, n_bytes, sha256), a row per input row; cuts (key, own_id, n_removed, n_spans, kept,
-    starts, ends) of those that lose bytes, kept being the bytes left."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(documents, cuts): documents (doc_id, key, n_bytes, sha256), a row per input row; cuts (own_id, key, n_removed, n_spans, kept,
+    starts, ends) of those that lose bytes, kept being the bytes left and own_id the doc_id, LAST for null."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key("text").alias("key"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, size // (SLIDE // 2) // PER_BUCKET)
     scanned = materialise(texts.mapInArrow(_anchor_batches(buckets), _SCHEMA), "anchors")
     documents = materialise(scanned.filter("chunk is null").select("doc_id", "key", "n_bytes", "sha256"), "span-documents")
-    dealt = scanned.filter("bucket >= 0").select("bucket", "chunk", "a", "b").repartition("bucket").sortWithinPartitions("bucket")
-    repeated = dealt.mapInArrow(_repeated_batches, "chunk long, bucket long, a binary, b binary")
-    together = repeated.union(scanned.filter("bucket = -1").select("chunk", "bucket", "a", "b")).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    packs = scanned.filter("chunk is not null").select("bucket", "chunk", "a", "b")
+    repeated = packs.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_batches, "chunk long, bucket long, a binary, b binary")
+    together = repeated.union(packs.filter("bucket < 0").select("chunk", "bucket", "a", "b")).repartition("chunk").sortWithinPartitions("chunk", "bucket")
     found = together.mapInArrow(_document_batches, "doc_id long, key long, hashes binary").groupBy("doc_id", "key").agg(F.first("hashes").alias("hashes"))
     wanted = materialise(found, "repeated-anchors")
     discard(scanned)
-    release(docs.sparkSession)
-    own = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    chosen = wanted.join(own, "doc_id").select("doc_id", "key", "hashes", "text").mapInArrow(_chosen_batches, "doc_id long, key long, hashes binary, text string")
-    chosen = materialise(chosen, "anchor-texts", "zstd")
+    release(spark)
+    own = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "key", "text")
+    chosen = materialise(wanted.join(own, ["doc_id", "key"]).select("doc_id", "key", "hashes", "text"), "anchor-texts", "zstd")
     discard(wanted)
-    release(docs.sparkSession)
-    contexts = chosen.mapInArrow(_context_batches(buckets), "bucket long, n long, contexts binary, m long, places binary").repartition("bucket").sortWithinPartitions("bucket")
-    marks = contexts.mapInArrow(_mark_batches(buckets), "bucket long, n long, marks binary").repartition("bucket").sortWithinPartitions("bucket")
-    spans = materialise(marks.mapInArrow(_span_batches, "key long, starts binary, ends binary"), "removed-spans")
-    release(docs.sparkSession)
-    once = chosen.select("key", "doc_id", "text").join(spans, "key").dropDuplicates(["key"])
-    cuts = materialise(once.select("key", "doc_id", "text", "starts", "ends").mapInArrow(_cut_batches, "key long, own_id long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"), "cuts", "zstd")
+    release(spark)
+    folder = new_path(spark, "symbols")
+    contexts = chosen.mapInArrow(_context_batches(buckets), _CONTEXTS).repartition("bucket").sortWithinPartitions("bucket")
+    marks = contexts.mapInArrow(_mark_batches(folder, buckets), "bucket long, n long, spans binary").repartition("bucket").sortWithinPartitions("bucket")
+    spans = materialise(marks.mapInArrow(_span_batches, "doc_id long, key long, starts binary, ends binary"), "removed-spans")
+    remove_folder(spark, folder)
+    release(spark)
+    once = chosen.select("doc_id", "key", "text").join(spans, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    cut = once.select("doc_id", "key", "text", "starts", "ends").mapInArrow(_cut_batches, "own_id long, key long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>")
+    cuts = materialise(cut, "cuts", "zstd")
     discard(chosen)
-    release(docs.sparkSession)
+    discard(spans)
+    release(spark)
     return documents, cuts
 
 
 def removal_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row per input row."""
     documents, cuts = removed_spans(docs)
-    own = cuts.select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256"))
+    own = cuts.select("own_id", F.col("key").alias("own_key"), "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return documents.join(own, "key", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("cut_sha256", "sha256").alias("kept_sha256"))
+    joined = documents.join(own, (F.coalesce("doc_id", F.lit(LAST)) == F.col("own_id")) & (F.col("key") == F.col("own_key")), "left")
+    return joined.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("cut_sha256", "sha256").alias("kept_sha256"))

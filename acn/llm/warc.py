@@ -25,11 +25,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialise, new_path, table_batch
+from ._shared import materialise, new_path, open_folder, table_batch
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -62,10 +61,6 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, body[: int(fields["Content-Length"])]
 
 
-def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
-
-
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_folder(folder)

@@ -384,3 +384,74 @@ def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, tmp_path):
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(good, key=str)
     near = p.STAGES[2][1](spark, left.union(left), base)  # equal rows too
     assert sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=str) == sorted(want, key=str)
+
+
+def strings_removed(rows, length=50):
+    """Brute force: sorted (doc_id, n_bytes, n_removed, n_spans, sha256) of rows (doc_id, text)."""
+    last = lambda i: (1 << 63) - 1 if i is None else i
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for j in range(len(b) - length + 1):
+            first[b[j : j + length]] = min(first.get(b[j : j + length], last(i)), last(i))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - length + 1):
+            if first[b[j : j + length]] < last(i):
+                gone[j : j + length] = b"\1" * length
+        spans = sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1]))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_suffix_dedup_of_null_repeated_and_shared_ids(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda n=60: " ".join(word() for _ in range(n))
+    x, y, z, same = text(), text(), text(), "ab" * 300
+    rows = [(1, x), (2, x), (2, None), (2, None), (None, x), (None, y), (None, y), (None, None), (7, y), (7, y), (7, z), (7, x + z), (8, z[:49]), (9, z[:50]), (10, "é" + z[3:60] + "é"), (4, same), (5, same[:-1]), (6, "c" + same)]
+    rows += [(20 + i, text(5) + y + text(5)) for i in range(40)]
+    df = spark.createDataFrame([(i, t, "a", "b", 1, 2) for i, t in rows], "doc_id long, text string, key string, n_bytes string, hashes int, bucket int")
+    for parts in (1, 5):
+        got = sorted((tuple(r) for r in suffix_dedup.removal_digest(df.repartition(parts)).collect()), key=str)
+        assert got == strings_removed(rows)
+
+
+def test_suffix_dedup_tells_colliding_anchors_apart(spark, monkeypatch):
+    """Hashes that tell nothing apart: all anchors meet, and only equal bytes may be removed."""
+    rng = random.Random(13)
+    side = lambda: "".join(rng.choice("abcdefgh") for _ in range(24))
+    rows, n = [], 0
+    for _ in range(12):
+        a, b = side(), side()
+        for _ in range(3):
+            rows.append((n := n + 1, a + "".join(rng.choice("ijklmnop") for _ in range(26)) + b))
+    rows += [(50 + i, rows[i][1] + "q") for i in range(4)]
+    monkeypatch.setattr(suffix_dedup, "_fingerprints", lambda r: np.zeros(len(r), np.uint64))
+    contexts = np.zeros((len(rows), suffix_dedup.ROW), np.uint8)
+    for c, (_, t) in zip(contexts, rows, strict=True):
+        c[:74] = np.frombuffer(t.encode()[:74], np.uint8)
+    first, same = suffix_dedup.distinct_rows(contexts)
+    assert len(first) == 36 and (contexts[first][same] == contexts).all()
+    places = np.zeros(len(rows), suffix_dedup._PLACE)
+    places["doc_id"], places["at"] = [i for i, _ in rows], 24
+    full = np.full(len(rows), 24, np.uint8)
+    spans = suffix_dedup.marked_spans(lambda c: contexts[:, c], places["doc_id"].copy(), full, full, np.arange(len(rows)), places)
+    assert sorted((s["doc_id"], s["start"], s["end"]) for s in spans) == [(50 + i, 0, 74) for i in range(4)]
+    monkeypatch.undo()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in suffix_dedup.removal_digest(df).collect()), key=str) == strings_removed(rows)
+
+
+def test_columns_are_built_in_suffix_order():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 99, (200, suffix_dedup.WIDTH)).astype(np.uint8)
+    rows[50:] = rows[rng.integers(0, 50, 150)]
+    rows[:, 3] = rng.integers(97, 100, 200)
+    for c, order, common in suffix_dedup.columns_built(lambda k: rows[:, k], len(rows)):
+        suffixes = [rows[i, c:].tobytes() for i in order]
+        assert suffixes == sorted(suffixes)
+        for a, b, n in zip(suffixes, suffixes[1:], common[1:].tolist(), strict=False):
+            assert a[:n] == b[:n] and (n == len(a) or a[n] != b[n])
