@@ -78,6 +78,16 @@ def table_batch(names: list[str], types: list[pa.DataType], columns: list) -> pa
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that df doesn't have; Spark compares them without case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        out.append(name)
+    return out
+
+
 def text_key(column: str):
     """64 bits of a text, which tell apart rows that repeat a doc_id or have none; null counts as empty."""
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))

@@ -4,17 +4,24 @@ Texts are lower-cased in A-Z and cut in words; a document's set holds its distin
 words, the whole sequence as one; without words, none). Two documents link when 100 * intersection >= percent * union. Equal
 sets are one vertex, under the 64-bit hash of the set, so copies are never compared.
 
-1. Frequent shingles are counted over all documents. They only fix an order: the frequent come last (at most MAX_HOT of them;
-   the order is total whatever the list, so the list decides speed, not results).
-2. Each set gives its prefix, the n - ceil(t * n) + 1 first shingles in that order: linked sets share one at least. A bitmap of
-   sampled shingles is its signature. Prefix shingles go to hash buckets as packed arrays.
-3. Vertices that share a prefix shingle are compared by signature trees: nodes hold OR-combined bitmaps and ranges of sizes, and
-   a dual traversal drops node pairs whose largest possible overlap is too small for a link. Of what is left, a spanning set
-   of pairs is taken, as if each were a link.
-4. Pairs are verified, a hub's set beside those of its partners, dealt by hub and salt: on a quarter of the shingles of long sets,
-   which bounds their overlap from above, then on whole sets. The links found are components; pairs not yet in one component that trees leave over are then verified, all of them.
-
-So a group of thousands of near copies costs about as many verifications as it has members, and no link is lost.
+1. Of every set, the shingles are found that stand in another document too (see repeats.py). Only they can be common to two sets,
+   so a set goes on only if percent of its shingles are such; their texts are read again.
+2. Sets with equal repeated shingles and equal size are one class: they have the same similarity to all others, and with each
+   other. So the copies of a template that differ in words of their own are few classes, however many they are.
+3. Each class gives its prefix: of s repeated shingles of n, the s - ceil(t * n) + 1 first in an order in which the frequent come
+   last; linked classes share one of them. The order is total whatever the list of frequent shingles (MAX_HOT of them at
+   most), so the list decides speed, not results.
+4. Classes that share a prefix shingle meet under the least class among them, their anchor: most of a family's shingles have the same
+   anchor, so a pair meets once or a few times, not once for each shingle. Large meetings are cut in bands of size, of
+   which linked classes are in the same or in neighbouring ones, and in blocks of bounded weight; each pair of blocks is a
+   task row group of its own.
+5. Blocks become signature trees: nodes hold OR-combined token bitmaps and ranges of sizes, and a dual traversal drops node pairs
+   whose largest possible overlap is too small for a link. The bitmaps number the shingles that two sets of the task share,
+   so at the leaves their overlap is the intersection itself and what leaves a task are links, and only those that join
+   what wasn't joined in it.
+6. Links are joined to components.
+
+Hashes: of two different shingles, sets or classes, a given pair is taken for equal with odds of 1 in 2^64.
 
 Defined results: null text is a text without words; documents without words stay alone; repeated rows share a vertex; rows of
 one doc_id with different texts are vertices of their own, and component_id is the least doc_id of all rows in a component; an
@@ -23,6 +30,7 @@ empty table gives an empty one; further columns are ignored by link_groups() and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +40,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import WHITE, bytes_of, discard, materialise, release, table_batch, text_key
+from ._shared import WHITE, bytes_of, discard, fresh_names, materialise, release, table_batch, text_key
 from .components import components
+from .repeats import DOCUMENTS, PACK, PACK_FIELDS, PACK_TYPES, Chunks, identity, repeated_hashes
 
 CHUNK = 2_000_000  # shingles held at a time while counting
 HOT_IN_CHUNK, HOT, MAX_HOT = 8, 64, 200_000
-SIGNATURE, SAMPLE = 1024, 600  # bits, and sampled shingles at most on average
-PER_BUCKET = 20_000
-LEAF, PER_SALT, LONG = 16, 500, 400
-SMALL = 200_000  # rows of two numbers that may be sent to every task, after they are counted
+PER_BUCKET = 1_000_000  # shingles
+LEAF = 16
+BLOCK, BLOCK_SHINGLES = 256, 200_000  # classes, and their shingles, that a block has on average
 _U = np.uint64
 
 
@@ -71,403 +79,310 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     acc = np.full(n - span + 1, start, _U)
     for j in range(span):
         acc = _mixed(acc + h[j : n - span + 1 + j])
-    return np.unique(acc)
+    acc.sort()
+    return acc[np.r_[True, acc[1:] != acc[:-1]]]
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def least_common(n: int, percent: int) -> int:
+    """The common shingles that a set of n needs at least for any link."""
+    return -(-percent * n // 100)
 
 
-def signature(tokens: np.ndarray) -> tuple[int, bytes]:
-    """The sampling level, and a bitmap of the tokens whose low `level` bits are zero."""
-    level = max(0, int(np.ceil(np.log2(len(tokens) / SAMPLE)))) if len(tokens) else 0
-    own = tokens[(tokens & _U((1 << level) - 1)) == 0]
-    bits = np.zeros(SIGNATURE, np.uint8)
-    bits[((own >> _U(40)) & _U(SIGNATURE - 1)).astype(np.int64)] = 1
-    return level, np.packbits(bits).tobytes()
+def vertex_of(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _hot_batches(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = total = 0
-
-        def counted() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= HOT_IN_CHUNK
-            return table_batch(["token", "n"], [pa.int64()] * 2, [tokens[often].view(np.int64), n[often]])
-
-        for batch in batches:
-            for text in bytes_of(batch.column(0)):
-                own = shingle_set(text, k)
-                held.append(own)
-                size, total = size + len(own), total + len(own)
-                if size > CHUNK:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
-        yield table_batch(["token", "n"], [pa.int64()] * 2, [[None], [total]])
-
-    return run
+_NAMES, _TYPES = ["doc_id", "key", "vertex", "n"], [pa.int64()] * 4
+_SCHEMA = T.StructType([*(T.StructField(n, T.LongType()) for n in _NAMES), *PACK_FIELDS])
+LAST = (1 << 63) - 1  # for null doc_id
 
 
-def _feature_batches(k: int, percent: int, hot, buckets: int):
-    names = ["doc_id", "key", "vertex", "n", "level", "sig", "bucket", "tokens", "owners"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+def _shingle_batches(k: int, percent: int, buckets: int):
+    """(doc_id, text, key) -> a row per document (vertex null without words), and packs of the shingles of sets not seen before in the task."""
+    names, types = [*_NAMES, *PACK], [*_TYPES, *PACK_TYPES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_tokens = hot.value
-        seen: set[int] = set()
-        tokens: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        size = 0
-
-        def packed() -> pa.RecordBatch:
-            t, o = np.concatenate(tokens), np.concatenate(owners)
-            bucket = (t % _U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            t, o, bucket = t[order], o[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[cut[1:], len(t)].tolist()
-            m = len(cut)
-            spans = list(zip(cut.tolist(), ends, strict=True))
-            return table_batch(names, types, [*[[None] * m] * 6, bucket[cut], [t[a:b].tobytes() for a, b in spans], [o[a:b].tobytes() for a, b in spans]])
+        chunks, seen = Chunks(buckets), set()
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if columns := chunks.packs():
+                yield table_batch(names, types, [*[[None] * len(columns[0])] * 4, *columns])
 
         for batch in batches:
             rows = []
             for doc_id, text, key in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 own = shingle_set(text, k)
                 n = len(own)
-                vertex = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+                vertex = vertex_of(own) if n else None
+                rows.append((doc_id, key, vertex, n))
                 if n == 0 or vertex in seen:
-                    rows.append((doc_id, key, vertex if n else None, n, None, None, None, None, None))
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(vertex)
-                rows.append((doc_id, key, vertex, n, *signature(own), None, None, None))
-                want = prefix_length(n, percent)
-                at = np.searchsorted(hot_tokens, own)
-                frequent = hot_tokens[np.minimum(at, len(hot_tokens) - 1)] == own if len(hot_tokens) else np.zeros(n, bool)
-                rare = own[~frequent]
-                prefix = rare[:want] if len(rare) >= want else np.r_[rare, own[frequent][: want - len(rare)]]
-                tokens.append(prefix)
-                owners.append(np.full(len(prefix), vertex, np.int64))
-                size += len(prefix)
-                if size > 400_000:
-                    yield packed()
-                    tokens, owners, size = [], [], 0
+                if chunks.full(1):
+                    yield from flushed()
+                chunks.add([LAST if doc_id is None else doc_id], [key], [least_common(n, percent)], own, np.zeros(n, np.int64))
             if rows:
-                yield table_batch(names, types, list(zip(*rows, strict=True)))
-        if tokens:
-            yield packed()
+                yield table_batch(names, types, [*zip(*rows, strict=True), *[[None] * len(rows)] * 4])
+        yield from flushed()
 
     return run
 
 
-def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed arrays sorted by bucket -> (token null, a, b) where two vertices share a token, (token, a, null) where more do."""
-    bucket, parts = None, []
-
-    def closed() -> Iterator[pa.RecordBatch]:
-        t = np.concatenate([np.frombuffer(x, np.int64) for x, _ in parts])
-        v = np.concatenate([np.frombuffer(y, np.int64) for _, y in parts])
-        order = np.lexsort((v, t))
-        t, v = t[order], v[order]
-        fresh = np.r_[True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])]
-        t, v = t[fresh], v[fresh]
-        cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        runs = np.diff(np.r_[cut, len(t)])
-        two = cut[runs == 2]
-        pairs = np.unique(np.column_stack([v[two], v[two + 1]]), axis=0) if len(two) else np.empty((0, 2), np.int64)
-        many = np.repeat(runs, runs) > 2
-        m = int(many.sum())
-        if len(pairs):
-            yield table_batch(["token", "a", "b"], [pa.int64()] * 3, [[None] * len(pairs), pairs[:, 0], pairs[:, 1]])
-        if m:
-            yield table_batch(["token", "a", "b"], [pa.int64()] * 3, [t[many], v[many], [None] * m])
-
-    for batch in batches:
-        for b, tokens, owners in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if b != bucket:
-                if parts:
-                    yield from closed()
-                bucket, parts = b, []
-            parts.append((tokens, owners))
-    if parts:
-        yield from closed()
-
-
-class SignatureTree:
-    """Vertices in order of size; every level joins LEAF nodes of the one below."""
-
-    def __init__(self, n: np.ndarray, level: np.ndarray, sig: np.ndarray, percent: int):
-        self.n, self.level, self.sig, self.percent = n, level, sig, percent
-        self.bits = np.bitwise_count(sig).sum(axis=1)
-        self.levels = []
-        low, high, few, least, most, joined = n, n, self.bits, level, level, sig
-        while len(low) > LEAF or not self.levels:
-            cut = np.arange(0, len(low), LEAF)
-            low, high, few = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.minimum.reduceat(few, cut)
-            least, most, joined = np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut), np.bitwise_or.reduceat(joined, cut, axis=0)
-            self.levels.append((low, high, few, least, most, joined))
-
-    def _possible(self, depth: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether the node pairs (x before y in order) can hold a link."""
-        low, high, few, least, most, joined = self.levels[depth]
-        p = self.percent
-        need = p * (low[x] + low[y])
-        common = np.bitwise_count(joined[x] & joined[y]).sum(axis=1).astype(np.int64)
-        miss_x = np.where(most[y] <= least[x], np.maximum(few[x] - common, 0), 0)
-        miss_y = np.where(most[x] <= least[y], np.maximum(few[y] - common, 0), 0)
-        overlap = np.minimum(high[x] - miss_x, high[y] - miss_y)
-        return (100 * high[x] >= p * low[y]) & ((100 + p) * overlap >= need)
-
-    def linked(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the vertices i and j can link, by size and bitmap."""
-        n, sig, level, p = self.n, self.sig, self.level, self.percent
-        common = np.bitwise_count(sig[i] & sig[j]).sum(axis=1).astype(np.int64)
-        miss_i = np.where(level[j] <= level[i], self.bits[i] - common, 0)
-        miss_j = np.where(level[i] <= level[j], self.bits[j] - common, 0)
-        overlap = np.minimum(n[i] - miss_i, n[j] - miss_j)
-        return (100 * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])) & ((100 + p) * overlap >= p * (n[i] + n[j]))
-
-    def leaf_pairs(self) -> Iterator[tuple[int, int]]:
-        """Dual traversal, in order of the first leaf; each step tests a node's children against another's at once."""
-        top = len(self.levels) - 1
-        roots = np.arange(len(self.levels[top][0]))
-        x, y = (a.ravel() for a in np.meshgrid(roots, roots, indexing="ij"))
-        stack = [(top, x[x <= y], y[x <= y])]
-        while stack:
-            depth, x, y = stack.pop()
-            good = self._possible(depth, x, y)
-            x, y = x[good], y[good]
-            if depth == 0:
-                yield from zip(x.tolist(), y.tolist(), strict=True)
-                continue
-            below = len(self.levels[depth - 1][0])
-            for a, b in zip(x[::-1].tolist(), y[::-1].tolist(), strict=True):
-                c = np.arange(a * LEAF, min(a * LEAF + LEAF, below))
-                d = np.arange(b * LEAF, min(b * LEAF + LEAF, below))
-                u, v = (z.ravel() for z in np.meshgrid(c, d, indexing="ij"))
-                stack.append((depth - 1, u[u <= v], v[u <= v]))
-
-    def candidates(self, label: np.ndarray, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (i, j) with different labels that can link: all of them, or a set that spans what they join."""
-        out_i, out_j = [], []
-        label = label.copy()
-        count = len(self.n)
-        for a, b in self.leaf_pairs():
-            i, j = np.arange(a * LEAF, min(a * LEAF + LEAF, count)), np.arange(b * LEAF, min(b * LEAF + LEAF, count))
-            if label[i[0]] == label[j[-1]] and (label[i] == label[i[0]]).all() and (label[j] == label[i[0]]).all():
-                continue
-            i, j = (z.ravel() for z in np.meshgrid(i, j, indexing="ij"))
-            good = (i < j) & (label[i] != label[j])
-            i, j = i[good], j[good]
-            good = self.linked(i, j)
-            i, j = i[good], j[good]
-            if not spanning:
-                out_i.append(i)
-                out_j.append(j)
-                continue
-            while len(i):
-                u, v = i[0], j[0]
-                out_i.append(i[:1])
-                out_j.append(j[:1])
-                label[label == label[v]] = label[u]
-                left = label[i] != label[j]
-                i, j = i[left], j[left]
-        return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.empty(0, np.int64),) * 2
-
-
-def _tree_batches(percent: int, spanning: bool):
-    """Rows (token, vertex, n, level, sig, root) sorted by token -> candidate pairs (a, b)."""
+def _set_batches(k: int, percent: int, buckets: int):
+    """(text, repeated identities) -> (vertex, class, n, tokens: the repeated shingles)."""
+    names, types = ["vertex", "class", "n", "tokens"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        found: list[np.ndarray] = []
-        done: set[int] = set()
-
-        def pairs_of(rows: pa.Table) -> None:
-            token, vertex = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            n, level, root = rows.column(2).to_numpy(), rows.column(3).to_numpy().astype(np.int64), rows.column(5).to_numpy()
-            sig = np.frombuffer(b"".join(rows.column(4).to_pylist()), _U).reshape(len(token), -1)
-            cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(token)], strict=True):
-                if (root[a:b] == root[a]).all():
-                    continue
-                key = hash(vertex[a:b].tobytes())  # buckets of the same vertices come by the dozen
-                if key in done:
-                    continue
-                if len(done) > 200_000:
-                    done.clear()
-                done.add(key)
-                order = np.lexsort((vertex[a:b], n[a:b])) + a
-                label = np.unique(root[order], return_inverse=True)[1]
-                i, j = SignatureTree(n[order], level[order], sig[order], percent).candidates(label, spanning)
-                if len(i):
-                    found.append(np.column_stack([vertex[order[i]], vertex[order[j]]]))
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                found.clear()
-                yield table_batch(["a", "b"], [pa.int64()] * 2, [pairs.min(axis=1), pairs.max(axis=1)])
-
         for batch in batches:
-            held.append(batch)
-            last = batch.column(0)[batch.num_rows - 1].as_py() if batch.num_rows else None
-            if sum(x.num_rows for x in held) < 50_000 or held[0].column(0)[0].as_py() == last:
-                continue
-            rows = pa.Table.from_batches(held)
-            start = int(np.searchsorted(rows.column(0).to_numpy(), last))  # the last token may go on in the next batch
-            pairs_of(rows.slice(0, start))
-            held = rows.slice(start).to_batches()
-            if sum(map(len, found)) > 100_000:
-                yield from flushed()
-        if held:
-            pairs_of(pa.Table.from_batches(held))
-        yield from flushed()
+            rows, size = [], 0
+            for text, data in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                own, repeated = shingle_set(text, k), np.frombuffer(data, np.int64)
+                here = identity(own, buckets)
+                tokens = own[repeated[np.minimum(np.searchsorted(repeated, here), len(repeated) - 1)] == here]
+                if len(tokens) < least_common(len(own), percent):
+                    continue
+                data = tokens.tobytes()
+                rows.append((vertex_of(own), xxhash.xxh3_64_intdigest(data, seed=len(own)) - (1 << 63), len(own), data))
+                size += len(data)
+                if size > 8 << 20:
+                    yield table_batch(names, types, list(zip(*rows, strict=True)))
+                    rows, size = [], 0
+            if rows:
+                yield table_batch(names, types, list(zip(*rows, strict=True)))
 
     return run
 
 
-def _pair_batches(percent: int):
-    """Pairs of vertices with both sizes, levels and bitmaps: those that can link."""
+def _hot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tokens) -> (token, n) of those that a chunk holds HOT_IN_CHUNK times or more."""
+    held: list[np.ndarray] = []
+    size = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = batch.num_rows
-            if not m:
-                continue
-            side = lambda i: (batch.column(i).to_numpy(), batch.column(i + 1).to_numpy().astype(np.int64), np.frombuffer(b"".join(batch.column(i + 2).to_pylist()), _U).reshape(m, -1))
-            both = [np.concatenate(x) for x in zip(side(2), side(5), strict=True)]
-            good = SignatureTree(*both, percent).linked(np.arange(m), np.arange(m, 2 * m))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
-
-    return run
+    def counted() -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= HOT_IN_CHUNK
+        return table_batch(["token", "n"], [pa.int64()] * 2, [tokens[often].view(np.int64), n[often]])
 
-
-def sampled(tokens: np.ndarray) -> np.ndarray:
-    """Of long sets, the quarter of the shingles whose hash says so; of short ones all."""
-    return tokens[(tokens >> _U(20)) & _U(3) == 0] if len(tokens) > LONG else tokens
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            held.append(np.frombuffer(data, _U))
+            size += len(held[-1])
+            if size > CHUNK:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
 
 
-def _set_batches(k: int, whole: bool):
-    names, types = ["vertex", "n", "tokens"], [pa.int64(), pa.int64(), pa.binary()]
+def _prefix_batches(percent: int, hot):
+    """(class, n, tokens) -> (token, class) of each class's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = hot.value
         for batch in batches:
-            rows, size = [], 0
-            for want, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
-                own = shingle_set(text, k)
-                if xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) == want:
-                    rows.append((want, len(own), (own if whole else sampled(own)).tobytes()))
-                    size += len(rows[-1][2])
-                if size > 8 << 20:
-                    yield table_batch(names, types, list(zip(*rows, strict=True)))
-                    rows, size = [], 0
-            if rows:
-                yield table_batch(names, types, list(zip(*rows, strict=True)))
+            found, owners = [], []
+            for own, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                tokens = np.frombuffer(data, _U)
+                want = len(tokens) - least_common(n, percent) + 1
+                often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens if len(frequent) else np.zeros(len(tokens), bool)
+                rare = tokens[~often]
+                found.append(rare[:want] if len(rare) >= want else np.r_[rare, tokens[often][: want - len(rare)]])
+                owners.append(np.full(len(found[-1]), own, np.int64))
+            if found:
+                yield table_batch(["token", "class"], [pa.int64()] * 2, [np.concatenate(found).view(np.int64), np.concatenate(owners)])
 
     return run
 
 
-def _verify_batches(percent: int):
-    """Rows (hub, salt, v, n, tokens) in which each hub's own set comes first -> pairs (a, b) that link if what the tokens leave open is
-    common to both: of whole sets, the links; of samples, all pairs that may link. Sets of LONG shingles or fewer are always whole."""
+class SignatureTree:
+    """Sets in order of size; every level joins LEAF nodes of the one below, up to one root."""
+
+    def __init__(self, n: np.ndarray, bits: np.ndarray, height: int = 0):
+        self.n, self.bits, self.levels = n, bits, []
+        low, high, most, joined = n, n, np.bitwise_count(bits).sum(axis=1, dtype=np.int64), bits
+        while len(low) > 1 or len(self.levels) < max(height, 1):
+            cut = np.arange(0, len(low), LEAF)
+            low, high, most = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(most, cut)
+            joined = np.bitwise_or.reduceat(joined, cut, axis=0)
+            self.levels.append((low, high, most, joined))
+
+    def rows(self, leaf: int) -> np.ndarray:
+        return np.arange(leaf * LEAF, min(leaf * LEAF + LEAF, len(self.n)))
+
+    def nodes(self, depth: int, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The children of nodes, each with the place of its parent in the list."""
+        first = parents * LEAF
+        count = np.minimum(first + LEAF, len(self.levels[depth][0])) - first
+        place = np.repeat(np.arange(len(parents)), count)
+        return first[place] + np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count), place
+
+
+def _possible(x: SignatureTree, y: SignatureTree, depth: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the node pairs (i, j) can hold a link, by sizes and by the most that their sets can have in common."""
+    low_x, high_x, most_x, joined_x = (a[i] for a in x.levels[depth])
+    low_y, high_y, most_y, joined_y = (a[j] for a in y.levels[depth])
+    common = np.minimum(np.bitwise_count(joined_x & joined_y).sum(axis=1, dtype=np.int64), np.minimum(most_x, most_y))
+    near = (100 * high_x >= percent * low_y) & (100 * high_y >= percent * low_x)
+    return near & ((100 + percent) * common >= percent * (low_x + low_y))
+
+
+def leaf_pairs(x: SignatureTree, y: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dual traversal of two trees of one height, level by level; of a tree with itself, each pair once."""
+    depth = len(x.levels) - 1
+    i = j = np.zeros(1, np.int64)
+    while True:
+        good = _possible(x, y, depth, i, j, percent)
+        i, j = i[good], j[good]
+        if depth == 0 or not len(i):
+            return i, j
+        depth -= 1
+        i, place = x.nodes(depth, i)
+        j, again = y.nodes(depth, j[place])
+        i = i[again]
+        if x is y:
+            i, j = i[i <= j], j[i <= j]
+
+
+def spanning_links(x: SignatureTree, y: SignatureTree, percent: int) -> list[tuple[int, int]]:
+    """Pairs (i of x, j of y) that link, as few as join all that link."""
+    shift = 0 if x is y else len(x.n)
+    label, out = np.arange(shift + len(y.n)), []
+    for a, b in zip(*(v.tolist() for v in leaf_pairs(x, y, percent)), strict=True):
+        i, j = x.rows(a), y.rows(b)
+        if (label[i] == label[i[0]]).all() and (label[shift + j] == label[i[0]]).all():
+            continue
+        common = np.bitwise_count(x.bits[i][:, None, :] & y.bits[j][None, :, :]).sum(axis=2, dtype=np.int64)
+        u, v = np.nonzero((100 + percent) * common >= percent * (x.n[i][:, None] + y.n[j][None, :]))
+        u, v = i[u], j[v]
+        while len(u):
+            left = label[u] != label[shift + v]
+            u, v = u[left], v[left]
+            if len(u):
+                out.append((int(u[0]), int(v[0])))
+                label[label == label[shift + v[0]]] = label[u[0]]
+    return out
+
+
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Bit maps of the tokens that two of the sets hold or more: the overlap of two maps is what the sets have in common."""
+    tokens, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    width = max(-(-int((count > 1).sum()) // 64), 1) * 64
+    keep, number = (count > 1)[place], number[place]
+    out = np.zeros((len(sets), width // 64), _U)
+    ends = np.cumsum([len(x) for x in sets]).tolist()
+    for row, a, b in zip(range(len(sets)), [0, *ends], ends, strict=False):
+        own = np.zeros(width, np.uint8)
+        own[number[a:b][keep[a:b]]] = 1
+        out[row] = np.packbits(own).view(_U)
+    return out
+
+
+def _tree_batches(percent: int):
+    """Rows (anchor, low, high, side, class, n, tokens), a task's together and its first block before its second -> links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, n = None, None, 0
+        key, rows, found = None, [], []
+
+        def closed() -> None:
+            if len(rows) < 2:
+                return
+            rows.sort(key=lambda r: (r[0], r[2], r[1]))
+            side, names, n = np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
+            bits = _bitmaps([np.frombuffer(r[3], _U) for r in rows])
+            second = int((side == 0).sum())
+            if second == len(rows):
+                x = y = SignatureTree(n, bits)
+            elif second == 0:
+                return
+            else:
+                height = max(1, math.ceil(math.log(max(second, len(rows) - second), LEAF)) + 1)
+                x, y = SignatureTree(n[:second], bits[:second], height), SignatureTree(n[second:], bits[second:], height)
+            shift = 0 if x is y else second
+            found.extend((names[i], names[shift + j]) for i, j in spanning_links(x, y, percent))
+
         for batch in batches:
-            a, b = [], []
-            for hub, salt, v, m, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                tokens = np.frombuffer(data, _U)
-                if v == hub:
-                    key, own, n = (hub, salt), tokens, m
-                elif (hub, salt) == key:
-                    x, y = own, tokens
-                    if (len(x) < n) != (len(y) < m):
-                        x, y = (z if len(z) < k else z[(z >> _U(20)) & _U(3) == 0] for z, k in ((x, n), (y, m)))
-                    small, large = (x, y) if len(x) < len(y) else (y, x)
-                    at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
-                    common = int((large[at] == small).sum()) if len(small) else 0
-                    most = min(n - (len(x) - common), m - (len(y) - common))
-                    if 100 * most >= percent * (n + m - most):
-                        a.append(hub)
-                        b.append(v)
-            if a:
-                yield table_batch(["a", "b"], [pa.int64()] * 2, [a, b])
+            for anchor, low, high, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (anchor, low, high) != key:
+                    closed()
+                    key, rows = (anchor, low, high), []
+                rows.append(row)
+            if len(found) > 50_000:
+                yield table_batch(["a", "b"], [pa.int64()] * 2, list(zip(*found, strict=True)))
+                found = []
+        closed()
+        if found:
+            yield table_batch(["a", "b"], [pa.int64()] * 2, list(zip(*found, strict=True)))
 
     return run
 
 
-_PAIR = "a long, b long"
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, or may, by these sets. Each partner's set travels once for each pair, the hub's once for each PER_SALT partners."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
-    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")
-    partners = pairs.join(salts, "a").select(F.col("a").alias("hub"), salt, F.col("b").alias("vertex"))
-    hubs = partners.select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("vertex"))
-    rows = partners.union(hubs).join(sets, "vertex").select("hub", "salt", F.col("vertex").alias("v"), "n", "tokens")
-    dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", (F.col("v") != F.col("hub")))
-    return dealt.mapInArrow(_verify_batches(percent), _PAIR)
+def _tasks(meetings: DataFrame, percent: int) -> DataFrame:
+    """(anchor, class, n, size) -> (anchor, low, high, side, class): a task for each meeting, or for each pair of blocks of a large one."""
+    whole = meetings.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum("size").alias("shingles"))
+    large = (F.col("classes") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)
+    placed = meetings.join(whole, "anchor")
+    none = F.lit(0).cast("long")
+    small = placed.filter(~large).select("anchor", none.alias("low"), none.alias("high"), F.lit(0).alias("side"), "class")
+    step = max(math.log(100 / percent) * 1.0001, 1e-4)  # sizes of a link differ by less than one band
+    banded = placed.filter(large).select("anchor", "class", "size", F.floor(F.log(F.col("n").cast("double")) / step).cast("long").alias("band"))
+    blocks = banded.groupBy("anchor", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    number = lambda band, block: F.shiftleft(F.col(band), 32).bitwiseOR(block)
+    own = banded.join(blocks, ["anchor", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    other = F.explode(F.sequence(none, F.col("blocks") - 1)).alias("other")
+    inside = own.select("anchor", "class", "band", "block", other).select(
+        "anchor", number("band", F.least("block", "other")).alias("low"), number("band", F.greatest("block", "other")).alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class",
+    )
+    next_ = blocks.select("anchor", (F.col("band") - 1).alias("band"), F.col("blocks").alias("others"))  # meets the band below
+    last = blocks.select("anchor", (F.col("band") + 1).alias("band"), F.col("blocks").alias("others"))
+    of = lambda d: own.join(d, ["anchor", "band"]).select("anchor", "class", "band", "block", F.explode(F.sequence(none, F.col("others") - 1)).alias("other"))
+    up = of(next_).select("anchor", number("band", F.col("block")).alias("low"), F.shiftleft(F.col("band") + 1, 32).bitwiseOR(F.col("other")).alias("high"), F.lit(0).alias("side"), "class")
+    down = of(last).select("anchor", F.shiftleft(F.col("band") - 1, 32).bitwiseOR(F.col("other")).alias("low"), number("band", F.col("block")).alias("high"), F.lit(1).alias("side"), "class")
+    return small.union(inside).union(up).union(down)
 
 
 def _rooted(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, key (text_key), n (shingles) and root (of the component; null without words), one row per input row."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = materialise(texts.select("text").mapInArrow(_hot_batches(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "shingle-counts")
-    total = counted.filter("token is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = counted.filter(F.col("token").isNotNull() & (F.col("n") >= HOT)).orderBy(F.desc("n"), "token").limit(MAX_HOT).select("token").toArrow()
-    hot = spark.sparkContext.broadcast(np.sort(frequent.column(0).to_numpy().astype(np.int64).view(_U)))  # MAX_HOT numbers at most
-    buckets = max(64, total * (100 - percent) // 100 // PER_BUCKET)
-    schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("vertex", T.LongType()), T.StructField("n", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("sig", T.BinaryType()),
-        T.StructField("bucket", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("owners", T.BinaryType()),
-    ])
-    features = materialise(texts.withColumn("key", text_key("text")).mapInArrow(_feature_batches(k, percent, hot, buckets), schema), "shingle-features")
-    members = materialise(features.filter(F.col("bucket").isNull()).select("doc_id", "key", "vertex", "n", "level", "sig"), "shingle-members")
-    packed = features.filter(F.col("bucket").isNotNull()).select("bucket", "tokens", "owners")
-    shared = materialise(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_batches, "token long, a long, b long"), "shared-shingles")
-    discard(features)
-    vertices = materialise(members.filter(F.col("sig").isNotNull()).select("vertex", "n", "level", "sig").dropDuplicates(["vertex"]), "shingle-vertices")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key("text").alias("key"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(64, size // 6 // PER_BUCKET)
+    scanned = materialise(texts.mapInArrow(_shingle_batches(k, percent, buckets), _SCHEMA), "shingles")
+    members = materialise(scanned.filter("chunk is null").select("doc_id", "key", "vertex", "n"), "shingle-members")
+    found = repeated_hashes(scanned.filter("chunk is not null").select(*PACK)).groupBy("doc_id", "key").agg(F.first("hashes").alias("hashes"))
+    wanted = materialise(found, "repeated-shingles")
+    discard(scanned)
     release(spark)
-    side = lambda x: vertices.select(*(F.col(c).alias(f"{x}{i}") for i, c in enumerate(vertices.columns)))
-    twos = shared.filter("token is null").select("a", "b").distinct()
-    twos = twos.join(side("x"), F.col("a") == F.col("x0")).join(side("y"), F.col("b") == F.col("y0")).select("a", "b", "x1", "x2", "x3", "y1", "y2", "y3")
-    many = shared.filter("token is not null").select("token", F.col("a").alias("vertex"))
-
-    def from_trees(labelled: DataFrame, spanning: bool) -> DataFrame:
-        rows = many.join(labelled, "vertex").select("token", "vertex", "n", "level", "sig", "root")
-        return rows.repartition("token").sortWithinPartitions("token", "vertex").mapInArrow(_tree_batches(percent, spanning), _PAIR).distinct()
-
-    first = materialise(twos.mapInArrow(_pair_batches(percent), _PAIR).union(from_trees(vertices.withColumn("root", F.col("vertex")), True)).distinct(), "pairs")
-    places = members.filter(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.min("doc_id").alias("at"))
+    again = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "key", "text").join(wanted, ["doc_id", "key"]).select("text", "hashes")
+    sets = materialise(again.mapInArrow(_set_batches(k, percent, buckets), "vertex long, class long, n long, tokens binary"), "shingle-sets")
+    discard(wanted)
+    vertices = materialise(sets.select("vertex", "class").distinct(), "shingle-vertices")
+    classes = materialise(sets.groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "shingle-classes")
+    discard(sets)
     release(spark)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        for whole in (False, True):  # samples of a quarter first: they rule out most pairs of long sets
-            needed = materialise(places.join(pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct(), "vertex"), "shingle-places")
-            few = F.broadcast(needed) if needed.count() <= SMALL else needed
-            sets = materialise(texts.join(few, F.col("doc_id").eqNullSafe(F.col("at"))).select("vertex", "text").mapInArrow(_set_batches(k, whole), "vertex long, n long, tokens binary"), "shingle-sets")
-            pairs = materialise(_verified(pairs, sets, percent), "links" if whole else "likely-pairs")
-            discard(sets)
-            release(spark)
-        return pairs
-
-    links = verified(first)
-    roots = components(links)
-    labelled = vertices.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    second = materialise(from_trees(labelled, False).join(first, ["a", "b"], "left_anti"), "more-pairs")
+    frequent = (
+        classes.select("tokens").mapInArrow(_hot_batches, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= HOT).orderBy(F.desc("n"), "token").limit(MAX_HOT).select("token").toArrow()
+    )
+    hot = spark.sparkContext.broadcast(np.sort(frequent.column(0).to_numpy().astype(np.int64).view(_U)))  # MAX_HOT numbers at most
+    postings = materialise(classes.select("class", "n", "tokens").mapInArrow(_prefix_batches(percent, hot), "token long, class long"), "shingle-postings")
+    anchors = postings.groupBy("token").agg(F.min("class").alias("anchor"), F.count("*").alias("meet")).filter("meet > 1")
+    met = postings.join(anchors.select("token", "anchor"), "token").select("anchor", "class").distinct()
+    sizes = classes.select("class", "n", F.shiftright(F.octet_length("tokens"), 3).alias("size"))
+    meetings = materialise(met.join(sizes, "class"), "shingle-meetings")
+    rows = _tasks(meetings, percent).join(classes, "class").select("anchor", "low", "high", "side", "class", "n", "tokens")
+    dealt = rows.repartition("anchor", "low", "high").sortWithinPartitions("anchor", "low", "high")
+    links = materialise(dealt.mapInArrow(_tree_batches(percent), "a long, b long").distinct(), "shingle-links")
     release(spark)
-    roots = components(links.union(verified(second)))
-
-    return members.join(roots, "vertex", "left").select("doc_id", "key", "n", F.coalesce("root", "vertex").alias("root"))
+    roots = components(links)
+    alike = 100 * F.col("size") >= percent * (2 * F.col("n") - F.col("size"))  # the sets of one class link with each other
+    named = sizes.join(roots.withColumnRenamed("vertex", "class"), "class", "left").select("class", F.coalesce("root", F.when(alike, F.col("class"))).alias("root"))
+    # a class that is a root has links too, but no row of its own among the roots
+    named = named.join(roots.select(F.col("root").alias("class")).distinct().withColumn("is_root", F.lit(True)), "class", "left").select("class", F.coalesce("root", F.when(F.col("is_root"), F.col("class"))).alias("root"))
+    of = vertices.join(named.filter("root is not null"), "class").select("vertex", "root")
+    return members.join(of, "vertex", "left").select("doc_id", "key", "n", F.coalesce("root", "vertex").alias("root"))
 
 
 def link_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -479,12 +394,13 @@ def link_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group, that of the least doc_id (null last; then by the text's hash); documents without words all stay."""
+    keep_id, keep_key, keep_rows, place = fresh_names(docs, "keep_id", "keep_key", "keep_rows", "place")
     rows = _rooted(docs, k, percent).filter(F.col("root").isNotNull()).groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "rows")).alias("x"))
-    kept = materialise(least.select(F.col("x.doc_id").alias("_keep_id"), F.col("x.key").alias("_key"), F.col("x.rows").alias("_rows")), "shingle-kept")
+    kept = materialise(least.select(F.col("x.doc_id").alias(keep_id), F.col("x.key").alias(keep_key), F.col("x.rows").alias(keep_rows)), "shingle-kept")
     release(docs.sparkSession)
     wordless = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, "") == ""
-    joined = docs.filter(~wordless).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (text_key("text") == F.col("_key")))
-    one = Window.partitionBy("_keep_id", "_key").orderBy("_rows")  # rows of equal doc_id and text
-    again = joined.filter("_rows > 1").withColumn("_row", F.row_number().over(one)).filter("_row = 1")
-    return docs.filter(wordless).union(joined.filter("_rows = 1").select(*docs.columns)).union(again.select(*docs.columns))
+    joined = docs.filter(~wordless).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (text_key("text") == F.col(keep_key)))
+    one = Window.partitionBy(keep_id, keep_key).orderBy(keep_rows)  # rows of equal doc_id and text
+    again = joined.filter(F.col(keep_rows) > 1).withColumn(place, F.row_number().over(one)).filter(F.col(place) == 1)
+    return docs.filter(wordless).union(joined.filter(F.col(keep_rows) == 1).select(*docs.columns)).union(again.select(*docs.columns))

@@ -34,19 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import bytes_of, discard, materialise, new_path, open_folder, release, remove_folder, table_batch, text_key
+from .repeats import DOCUMENTS, PACK, PACK_FIELDS, PACK_TYPES, Chunks, by_key, identity, pieces, repeated_hashes, runs
 
 LENGTH, GRAM, SLIDE, SIDE = 50, 26, 25, 24  # GRAM + SLIDE - 1 = LENGTH = GRAM + SIDE
 WIDTH, ROW = SIDE + GRAM + SIDE, 80  # bytes of a context, and of its row in memory
 PER_BUCKET = 50_000
 PORTION = 300_000  # contexts in one collection, but for a bucket that has more
-DOCUMENTS, ANCHORS = 60_000, 1_000_000  # in a chunk
-SEVERAL = 0xFFFF  # in place of the document, where several of a chunk hold an anchor
 BLOCK = 1 << 19  # bytes of text hashed at a time
 LAST = (1 << 63) - 1
 NO_BYTE = 0xFF  # not in UTF-8; stands beyond a text's ends
@@ -105,62 +103,20 @@ def block_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return text[inside], at[inside], h[inside], joined, starts
 
 
-def _in_buckets(h: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket above, 32 bits of the hash below."""
-    return (((h >> _U(32)) % _U(buckets)) << _U(32) | (h & _U(0xFFFFFFFF))).astype(np.int64)
-
-
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where a run of equal keys begins, in sorted arrays that aren't empty."""
-    fresh = np.ones(len(keys[0]), bool)
-    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return np.flatnonzero(fresh)
-
-
-def _split(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Columns packed by bucket; nothing of nothing."""
-    if not len(bucket):
-        return bucket, [[] for _ in columns]
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in columns]
-    cut = _runs(bucket)
-    spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True))
-    return bucket[cut], [[c[a:b].tobytes() for a, b in spans] for c in columns]
-
-
-_NAMES = ["doc_id", "key", "n_bytes", "sha256", "bucket", "chunk", "a", "b"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-_SCHEMA = T.StructType([T.StructField(n, t()) for n, t in zip(_NAMES, [T.LongType] * 3 + [T.StringType] + [T.LongType] * 2 + [T.BinaryType] * 2, strict=True)])
-NAMED, KNOWN = -1, -2  # in place of the bucket
+_NAMES, _TYPES = ["doc_id", "key", "n_bytes", "sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+_SCHEMA = T.StructType([*(T.StructField(n, t()) for n, t in zip(_NAMES, [T.LongType, T.LongType, T.LongType, T.StringType], strict=True)), *PACK_FIELDS])
 
 
 def _anchor_batches(buckets: int):
-    """(doc_id, text, key) -> a row per document; packed anchors by bucket (a: low halves of hashes, b: document in the chunk, or SEVERAL);
-    per chunk its documents' keys (a) and doc_ids (b) as NAMED, and the anchors that several of them hold (a: hashes, b: document) as KNOWN."""
+    """(doc_id, text, key) -> a row per document, and packs of anchors."""
+    names, types = [*_NAMES, *PACK], [*_TYPES, *PACK_TYPES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 24
-        ids: list[int] = []
-        keys: list[int] = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        chunks = Chunks(buckets)
 
-        def flushed() -> pa.RecordBatch:
-            nonlocal chunk, ids, keys, held, size
-            h, own = _in_buckets(np.concatenate([x for x, _ in held]), buckets), np.concatenate([y for _, y in held])
-            order = np.lexsort((own, h))
-            h, own = h[order], own[order]
-            once = _runs(h, own)
-            h, own = h[once], own[once]
-            cut = _runs(h)
-            several = np.diff(np.r_[cut, len(h)]) > 1
-            known = np.repeat(several, np.diff(np.r_[cut, len(h)]))
-            document = np.where(several, SEVERAL, own[cut]).astype(np.uint16)
-            where, (low, doc) = _split(h[cut] >> 32, h[cut].astype(np.uint32), document)
-            m = len(where) + 2
-            batch = table_batch(_NAMES, _TYPES, [*[[None] * m] * 4, [*where.tolist(), NAMED, KNOWN], [chunk] * m, [*low, np.array(keys, np.int64).tobytes(), h[known].tobytes()], [*doc, np.array(ids, np.int64).tobytes(), own[known].astype(np.uint16).tobytes()]])
-            chunk, ids, keys, held, size = chunk + 1, [], [], [], 0
-            return batch
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if columns := chunks.packs():
+                yield table_batch(names, types, [*[[None] * len(columns[0])] * 4, *columns])
 
         for batch in batches:
             doc_ids = [LAST if x is None else x for x in batch.column(0).to_pylist()]
@@ -168,68 +124,20 @@ def _anchor_batches(buckets: int):
             own = batch.column(2).to_pylist()
             m = batch.num_rows
             if m:
-                yield table_batch(_NAMES, _TYPES, [batch.column(0), own, [len(x) for x in texts], [hashlib.sha256(x).hexdigest() for x in texts], *[[None] * m] * 4])
+                yield table_batch(names, types, [batch.column(0), own, [len(x) for x in texts], [hashlib.sha256(x).hexdigest() for x in texts], *[[None] * m] * 4])
             for start, some in _blocks(texts):
                 for a in range(0, len(some), DOCUMENTS):
                     part = some[a : a + DOCUMENTS]
-                    if len(ids) + len(part) > DOCUMENTS or size > ANCHORS:
-                        if size:
-                            yield flushed()
-                        ids, keys, held = [], [], []  # documents without anchors need no row of their chunk
+                    if chunks.full(len(part)):
+                        yield from flushed()
                     text, _, h, _, _ = block_anchors(part)
-                    held.append((h, text + len(ids)))
-                    size += len(h)
-                    ids += doc_ids[start + a : start + a + len(part)]
-                    keys += own[start + a : start + a + len(part)]
-        if size:
-            yield flushed()
+                    at = slice(start + a, start + a + len(part))
+                    chunks.add(doc_ids[at], own[at], [1] * len(part), h, text)
+        yield from flushed()
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows sorted by the first column, a list for each of its values."""
-    key, rows = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-            if row[0] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row[0], []
-            rows.append(row[1:])
-    if rows:
-        yield key, rows
-
-
-def _repeated_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, chunk, a, b) -> (chunk, bucket, a: whole hashes, b) of the documents whose anchor stands in another document too."""
-    for bucket, rows in _by_bucket(batches):
-        low = np.concatenate([np.frombuffer(x[1], np.uint32) for x in rows])
-        own = np.concatenate([np.frombuffer(x[2], np.uint16).astype(np.int64) + (x[0] << 16) for x in rows])
-        order = np.argsort(low, kind="stable")
-        low, own = low[order], own[order]
-        cut = _runs(low)
-        several = np.diff(np.r_[cut, len(low)]) > 1  # from more chunks than one; those of one chunk are known there
-        stays = np.repeat(several, np.diff(np.r_[cut, len(low)])) & (own & 0xFFFF != SEVERAL)
-        if stays.any():
-            chunk, (docs, hashes) = _split(own[stays] >> 16, (own[stays] & 0xFFFF).astype(np.uint16), low[stays].astype(np.int64) + (bucket << 32))
-            yield table_batch(["chunk", "bucket", "a", "b"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], [chunk, [bucket] * len(chunk), hashes, docs])
-
-
-def _document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, bucket, a, b) -> (doc_id, key, hashes) of documents with repeated anchors."""
-    for _, rows in _by_bucket(batches):
-        named = next(x for x in rows if x[0] == NAMED)
-        keys, ids = np.frombuffer(named[1], np.int64), np.frombuffer(named[2], np.int64)
-        found = [x for x in rows if x[0] != NAMED]
-        hashes = np.concatenate([np.frombuffer(x[1], np.int64) for x in found])
-        own = np.concatenate([np.frombuffer(x[2], np.uint16) for x in found]).astype(np.int64)
-        order = np.lexsort((hashes, own))
-        where, (packed_hashes,) = _split(own[order], hashes[order])
-        if len(where):
-            yield table_batch(["doc_id", "key", "hashes"], [pa.int64(), pa.int64(), pa.binary()], [ids[where], keys[where], packed_hashes])
-
-
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays, column by column, with entropy coding: contexts are text without repeats, which the shuffle's own codec can't shrink."""
     data = b"".join(x.tobytes() for x in arrays)
@@ -285,7 +193,7 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
         return spans
     spans = spans[np.lexsort((spans["start"], spans["key"], spans["doc_id"]))]
     number = np.zeros(len(spans), np.int64)
-    number[_runs(spans["doc_id"], spans["key"])] = 1
+    number[runs(spans["doc_id"], spans["key"])] = 1
     number = np.cumsum(number) << 32
     reach = np.maximum.accumulate(number + spans["end"])
     cut = np.flatnonzero(np.r_[True, number[1:] + spans["start"][1:] > reach[:-1]])
@@ -324,7 +232,7 @@ def _context_batches(buckets: int):
             places = places[~covered]
             places["context"] = rank[same[~covered]]
             places = places[np.argsort(places["context"], kind="stable")]
-            cut = _runs(bucket)
+            cut = runs(bucket)
             ends = np.r_[cut[1:], len(bucket)]
             low, high = np.searchsorted(places["context"], cut), np.searchsorted(places["context"], ends)
             out = []
@@ -335,8 +243,7 @@ def _context_batches(buckets: int):
             if len(spans):
                 deal = spans["key"] % buckets
                 spans = spans[np.argsort(deal, kind="stable")]
-                cut = _runs(np.sort(deal))
-                out += [(int(spans["key"][a] % buckets), 0, None, b - a, packed_records(spans[a:b])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(spans)], strict=True)]
+                out += [(int(spans["key"][a] % buckets), 0, None, b - a, packed_records(spans[a:b])) for a, b in pieces(runs(np.sort(deal)), len(spans))]
             return table_batch(_CONTEXT_NAMES, _CONTEXT_TYPES, list(zip(*out, strict=True)))
 
         for batch in batches:
@@ -344,7 +251,7 @@ def _context_batches(buckets: int):
             texts = [x or b"" for x in bytes_of(batch.column(3))]
             for start, some in _blocks(texts):
                 text, at, h, joined, starts = block_anchors(some)
-                h = _in_buckets(h, buckets)
+                h = identity(h, buckets)
                 good = np.zeros(len(h), bool)
                 for i, (a, b) in enumerate(zip(np.searchsorted(text, np.arange(len(some))), np.searchsorted(text, np.arange(len(some)), "right"), strict=True)):
                     if b > a:
@@ -463,9 +370,9 @@ def _mark_batches(folder: str, doc_buckets: int):
             bucket = spans["key"] % doc_buckets
             spans = spans[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
-            cut = _runs(bucket)
-            ends = [*cut[1:].tolist(), len(spans)]
-            return table_batch(["bucket", "n", "spans"], [pa.int64(), pa.int64(), pa.binary()], [bucket[cut], [b - a for a, b in zip(cut.tolist(), ends, strict=True)], [packed_records(spans[a:b]) for a, b in zip(cut.tolist(), ends, strict=True)]])
+            cut = runs(bucket)
+            parts = pieces(cut, len(spans))
+            return table_batch(["bucket", "n", "spans"], [pa.int64(), pa.int64(), pa.binary()], [bucket[cut], [b - a for a, b in parts], [packed_records(spans[a:b]) for a, b in parts]])
 
         def closed() -> None:
             nonlocal waiting, size
@@ -488,7 +395,7 @@ def _mark_batches(folder: str, doc_buckets: int):
             held.append(spans)
             size, waiting = size + len(spans), 0
 
-        for _, rows in _by_bucket(batches):
+        for _, rows in by_key(batches):
             known = [unpacked(x[3], x[2], _SPAN) for x in rows if not x[0]]
             held += known
             size += sum(map(len, known))
@@ -520,12 +427,11 @@ def _mark_batches(folder: str, doc_buckets: int):
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, n, spans) sorted by bucket -> (doc_id, key, starts, ends) of the maximal removed spans of each document."""
-    for _, rows in _by_bucket(batches):
+    for _, rows in by_key(batches):
         spans = merged_spans(np.concatenate([unpacked(x[1], x[0], _SPAN) for x in rows]))
-        cut = _runs(spans["doc_id"], spans["key"])
+        cut = runs(spans["doc_id"], spans["key"])
         start, end = spans["start"].astype(np.int64), spans["end"].astype(np.int64)
-        pieces = list(zip(cut.tolist(), [*cut[1:].tolist(), len(spans)], strict=True))
-        columns = [spans["doc_id"][cut], spans["key"][cut], *([x[a:b].tobytes() for a, b in pieces] for x in (start, end))]
+        columns = [spans["doc_id"][cut], spans["key"][cut], *([x[a:b].tobytes() for a, b in pieces(cut, len(spans))] for x in (start, end))]
         yield table_batch(["doc_id", "key", "starts", "ends"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], columns)
 
 
@@ -552,10 +458,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = max(64, size // (SLIDE // 2) // PER_BUCKET)
     scanned = materialise(texts.mapInArrow(_anchor_batches(buckets), _SCHEMA), "anchors")
     documents = materialise(scanned.filter("chunk is null").select("doc_id", "key", "n_bytes", "sha256"), "span-documents")
-    packs = scanned.filter("chunk is not null").select("bucket", "chunk", "a", "b")
-    repeated = packs.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_batches, "chunk long, bucket long, a binary, b binary")
-    together = repeated.union(packs.filter("bucket < 0").select("chunk", "bucket", "a", "b")).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    found = together.mapInArrow(_document_batches, "doc_id long, key long, hashes binary").groupBy("doc_id", "key").agg(F.first("hashes").alias("hashes"))
+    found = repeated_hashes(scanned.filter("chunk is not null").select(*PACK)).groupBy("doc_id", "key").agg(F.first("hashes").alias("hashes"))
     wanted = materialise(found, "repeated-anchors")
     discard(scanned)
     release(spark)

@@ -455,3 +455,47 @@ def test_columns_are_built_in_suffix_order():
         assert suffixes == sorted(suffixes)
         for a, b, n in zip(suffixes, suffixes[1:], common[1:].tolist(), strict=False):
             assert a[:n] == b[:n] and (n == len(a) or a[n] != b[n])
+
+
+def test_jaccard_join_of_large_groups(spark, monkeypatch):
+    """Hundreds of near copies of one text, of which some link and some just don't, over blocks of few classes."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 40)
+    monkeypatch.setattr(jaccard_join, "HOT", 16)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, spare = [word() for _ in range(120)], [word() for _ in range(40)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.randint(0, 3) if i < 250 else rng.randint(2, 6)):
+            w[rng.randrange(len(w))] = rng.choice(spare)
+        rows.append((i, " ".join(w[: rng.randint(95, 120)])))
+    rows += [(500 + i, " ".join([*base[:60], f"only{i}", *base[60:]])) for i in range(60)] + [(600 + i, " ".join(word() for _ in range(50))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for k, percent in ((3, 90), (5, 80)):
+        got = {r[0]: (r[1], r[2]) for r in jaccard_join.link_groups(df, k, percent).collect()}
+        assert got == linked(rows, k, percent)
+
+
+def test_signature_trees_find_what_all_pairs_find():
+    rng = np.random.default_rng(5)
+    for n, percent in ((3, 80), (70, 80), (300, 60)):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(20, 50)).astype(np.uint64)) for _ in range(n)]
+        sets.sort(key=len)
+        size, bits = np.array([len(x) for x in sets]), jaccard_join._bitmaps(sets)
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+        half = n // 2
+        for x, y, shift, pairs in (
+            (t := jaccard_join.SignatureTree(size, bits), t, 0, want),
+            (jaccard_join.SignatureTree(size[:half], bits[:half], 4), jaccard_join.SignatureTree(size[half:], bits[half:], 4), half, {p for p in want if p[0] < half <= p[1]}),
+        ):
+            got = {(i, shift + j) for i, j in jaccard_join.spanning_links(x, y, percent)}
+            assert got <= pairs
+
+            def labels(links):
+                label = list(range(n))
+                for a, b in links:
+                    label = [label[a] if z == label[b] else z for z in label]
+                return [label.index(z) for z in label]
+
+            assert labels(got) == labels(pairs)
