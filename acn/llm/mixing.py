@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, materialise
+from ._shared import WORD, fresh_names, materialise
 
 KEY = ["doc_id", "source", "size"]
 
@@ -79,11 +79,12 @@ def decide(docs: DataFrame, weights=cyclic_weights, max_epochs: float = 3.0, see
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; rows it doesn't take go."""
-    plan = decide(docs, **options).filter("repeats > 0").select(*(F.col(c).alias(f"_mix_{c}") for c in KEY), F.col("repeats").alias("_mix_repeats"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
+    own_id, own_source, own_size, repeats, number = fresh_names(docs, "own_id", "own_source", "own_size", "repeats", "number")
+    plan = decide(docs, **options).filter("repeats > 0").select(*(F.col(c).alias(name) for c, name in zip([*KEY, "repeats"], (own_id, own_source, own_size, repeats), strict=True)))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & F.col("source").cast("string").eqNullSafe(F.col(own_source))
     return (
-        docs.join(plan, on & (word_count(F.col("text").cast("string")) == F.col("_mix_size")))
-        .withColumn("_mix_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_repeats")))).select(*(docs[c] for c in docs.columns))
+        docs.join(plan, on & (word_count(F.col("text").cast("string")) == F.col(own_size)))
+        .withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(repeats)))).select(*docs.columns)
     )
 
 

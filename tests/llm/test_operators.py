@@ -499,3 +499,36 @@ def test_signature_trees_find_what_all_pairs_find():
                 return [label.index(z) for z in label]
 
             assert labels(got) == labels(pairs)
+
+
+CLASHING = "doc_id long, text string, source string, own_id string, own_key int, keep_id string, _id string, number int, repeats int, place int, n_sentences string, uid long, vertex long, owner long"
+
+
+def clashing(rows):
+    return [(i, t, "s", "a", 1, "b", "c", n, 3, 4, "d", 5, 6, 7) for n, (i, t) in enumerate(rows)]
+
+
+def test_operators_keep_columns_of_clashing_names_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (2, text + " "), (3, None), (None, None), (None, "p q r. s t u."), (5, "p q r. s t v."), (5, "another text under one id")]
+    df = spark.createDataFrame(clashing(rows), CLASHING).repartition(2)
+    wide = {(r["doc_id"], r["text"]) for r in exact_dedup.keep_first(df).collect()}
+    assert wide == {(2, text + " "), (3, None), (None, "p q r. s t u."), (5, "p q r. s t v."), (5, "another text under one id")}
+    for out in (exact_dedup.keep_first(df), mixing.mix(df), jaccard_join.keep_one(df)):
+        assert out.columns == df.columns and out.filter("own_id <> 'a' or _id <> 'c' or owner <> 7").count() == 0
+    assert sorted(((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(df).collect()), key=str) == sorted([(1, text), (3, None), (None, None), (None, "p q r. s t u."), (5, "p q r. s t v."), (5, "another text under one id")], key=str)
+
+
+def test_exact_dedup_under_a_small_budget(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "TRIE_BYTES", 50_000)  # in this process only
+    trie, out = exact_dedup.RadixTrie(), []
+    for i in range(3000):
+        key = b"%d-%d" % (i % 700, i % 7)
+        node = trie.at(key)
+        trie.grown(key, exact_dedup.ROW_BYTES)
+        node.value = (node.value or 0) + 1
+        while trie.held > exact_dedup.TRIE_BYTES:
+            out += trie.spill()
+    out += trie.terminals(trie.root)
+    assert Counter(x for x, n in out for _ in range(n)) == Counter(b"%d-%d" % (i % 700, i % 7) for i in range(3000))
+    assert len(out) > 700  # it did spill
