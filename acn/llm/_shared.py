@@ -7,6 +7,7 @@ import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -18,11 +19,15 @@ WHITE = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a session on one machine, such as a test's, may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not on_one_machine(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -38,7 +43,6 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +51,11 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def has_files(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by materialise(), once nothing reads it any more."""
     for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
@@ -59,8 +68,9 @@ def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished jobs: it does so some time after the driver's garbage is collected."""
-    for _ in range(2):
+    """Lets Spark delete shuffle files of finished jobs: it does so some time after the driver's garbage is collected. On one machine they
+    can wait."""
+    for _ in range(0 if on_one_machine(spark) else 2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)
@@ -74,6 +84,13 @@ def bytes_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, for callers that make Python objects of them: a batch of long texts or sets is large."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def table_batch(names: list[str], types: list[pa.DataType], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -88,6 +105,14 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+SMALL = 200_000  # rows of two numbers that may be sent to every task, after they are counted
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows of two numbers, sent to every task where they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def text_key(column: str):
     """64 bits of a text, which tell apart rows that repeat a doc_id or have none; null counts as empty."""
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))

@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import WHITE, bytes_of, fresh_names, materialise, text_key
+from ._shared import WHITE, bytes_of, few, fresh_names, materialise, text_key
 
 TRIE_BYTES = 192 << 20
 NODE_BYTES, ROW_BYTES = 420, 160  # what a node, and a row at a terminal, take in memory beside the bytes of the text
 OUT_BYTES = 8 << 20
-SMALL = 200_000  # rows of two numbers that may be sent to every task, after they are counted
 
 
 class _Node:
@@ -189,18 +188,13 @@ def _global_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch_of()
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """rows of two numbers, sent to every task where they are counted to be few."""
-    return F.broadcast(rows) if rows.count() <= SMALL else rows
-
-
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(local, groups): local rows of _LOCAL, and each local owner's row of _OWNER."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key("text").alias("key"))
     local = materialise(rows.mapInArrow(_local_owners, _LOCAL), "dedup-local")
     heads = local.filter(F.col("bytes").isNotNull()).select("owner", "n_bytes", "hash", "sha256", "best_cp", "best_id", "best_key", "members", "bytes")
     ends = materialise(heads.groupBy("n_bytes", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes", "hash"), "dedup-keys")
-    several = _few(ends)
+    several = few(ends)
     met = heads.join(several, ["n_bytes", "hash"], "left_semi").select(*heads.columns).repartition("n_bytes", "hash").sortWithinPartitions("n_bytes", "hash").mapInArrow(_global_owners, _OWNER)
     alone = heads.join(several, ["n_bytes", "hash"], "left_anti").select("owner", F.col("best_id").alias("keep_id"), F.col("best_key").alias("keep_key"), F.col("members").alias("group_size"), F.col("sha256").alias("text_sha256"), F.col("owner").alias("keeper"))
     return local, met.union(alone)
@@ -221,7 +215,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     members = local.select("doc_id", "key", "owner").join(groups.filter("group_size > 1"), "owner")
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key"))
     copied = materialise(members.groupBy(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)).agg(F.max(first).alias(stays)), "dedup-copies")
-    joined = docs.join(_few(copied), F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (text_key("text") == F.col(own_key)), "left")
+    joined = docs.join(few(copied), F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (text_key("text") == F.col(own_key)), "left")
     one = Window.partitionBy(own_id, own_key).orderBy(stays)  # rows of equal doc_id and text
     again = joined.filter(F.col(stays)).withColumn(place, F.row_number().over(one)).filter(F.col(place) == 1)
     return joined.filter(F.col(stays).isNull()).select(*docs.columns).union(again.select(*docs.columns))

@@ -11,7 +11,7 @@ sets are one vertex, under the 64-bit hash of the set, so copies are never compa
 3. Each class gives its prefix: of s repeated shingles of n, the s - ceil(t * n) + 1 first in an order in which the frequent come
    last; linked classes share one of them. The order is total whatever the list of frequent shingles (MAX_HOT of them at
    most), so the list decides speed, not results.
-4. Classes that share a prefix shingle meet under the least class among them, their anchor: most of a family's shingles have the same
+4. Classes that share a prefix shingle and are near in size meet under the least class among them, their anchor: most of a family's shingles have the same
    anchor, so a pair meets once or a few times, not once for each shingle. Large meetings are cut in bands of size, of
    which linked classes are in the same or in neighbouring ones, and in blocks of bounded weight; each pair of blocks is a
    task row group of its own.
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import WHITE, bytes_of, discard, fresh_names, materialise, release, table_batch, text_key
+from ._shared import WHITE, bytes_of, discard, few, fresh_names, materialise, release, slices, table_batch, text_key
 from .components import components
 from .repeats import DOCUMENTS, PACK, PACK_FIELDS, PACK_TYPES, Chunks, identity, repeated_hashes
 
@@ -72,7 +72,7 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     n = len(words)
     if n == 0:
         return np.empty(0, _U)
-    if len(_words) > 500_000:
+    if len(_words) > 250_000:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, words), _U, n)
     span, start = min(k, n), 0 if n >= k else n
@@ -108,7 +108,7 @@ def _shingle_batches(k: int, percent: int, buckets: int):
             if columns := chunks.packs():
                 yield table_batch(names, types, [*[[None] * len(columns[0])] * 4, *columns])
 
-        for batch in batches:
+        for batch in slices(batches, 2000):
             rows = []
             for doc_id, text, key in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 own = shingle_set(text, k)
@@ -135,7 +135,7 @@ def _set_batches(k: int, percent: int, buckets: int):
     names, types = ["vertex", "class", "n", "tokens"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, size = [], 0
             for text, data in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 own, repeated = shingle_set(text, k), np.frombuffer(data, np.int64)
@@ -165,7 +165,7 @@ def _hot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = n >= HOT_IN_CHUNK
         return table_batch(["token", "n"], [pa.int64()] * 2, [tokens[often].view(np.int64), n[often]])
 
-    for batch in batches:
+    for batch in slices(batches):
         for data in batch.column(0).to_pylist():
             held.append(np.frombuffer(data, _U))
             size += len(held[-1])
@@ -176,20 +176,29 @@ def _hot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
+def _band_step(percent: int) -> float:
+    """Of the logarithm of the size: the sizes of a link differ by less than one band."""
+    return max(math.log(100 / percent) * 1.0001, 1e-4)
+
+
 def _prefix_batches(percent: int, hot):
-    """(class, n, tokens) -> (token, class) of each class's prefix."""
+    """(class, n, tokens) -> (token, class) of each class's prefix, under the token with the class's band of size, and with the band above:
+    classes in the same band or in neighbouring ones have one of the two in common, others don't meet."""
+    step = _band_step(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = hot.value
-        for batch in batches:
+        for batch in slices(batches):
             found, owners = [], []
             for own, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tokens = np.frombuffer(data, _U)
                 want = len(tokens) - least_common(n, percent) + 1
                 often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens if len(frequent) else np.zeros(len(tokens), bool)
                 rare = tokens[~often]
-                found.append(rare[:want] if len(rare) >= want else np.r_[rare, tokens[often][: want - len(rare)]])
-                owners.append(np.full(len(found[-1]), own, np.int64))
+                prefix = rare[:want] if len(rare) >= want else np.r_[rare, tokens[often][: want - len(rare)]]
+                band = math.floor(math.log(n) / step)
+                found += [prefix + _U((band + i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in (0, 1)]
+                owners.append(np.full(2 * len(prefix), own, np.int64))
             if found:
                 yield table_batch(["token", "class"], [pa.int64()] * 2, [np.concatenate(found).view(np.int64), np.concatenate(owners)])
 
@@ -303,7 +312,7 @@ def _tree_batches(percent: int):
             shift = 0 if x is y else second
             found.extend((names[i], names[shift + j]) for i, j in spanning_links(x, y, percent))
 
-        for batch in batches:
+        for batch in slices(batches):
             for anchor, low, high, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if (anchor, low, high) != key:
                     closed()
@@ -326,7 +335,7 @@ def _tasks(meetings: DataFrame, percent: int) -> DataFrame:
     placed = meetings.join(whole, "anchor")
     none = F.lit(0).cast("long")
     small = placed.filter(~large).select("anchor", none.alias("low"), none.alias("high"), F.lit(0).alias("side"), "class")
-    step = max(math.log(100 / percent) * 1.0001, 1e-4)  # sizes of a link differ by less than one band
+    step = _band_step(percent)
     banded = placed.filter(large).select("anchor", "class", "size", F.floor(F.log(F.col("n").cast("double")) / step).cast("long").alias("band"))
     blocks = banded.groupBy("anchor", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     number = lambda band, block: F.shiftleft(F.col(band), 32).bitwiseOR(block)
@@ -349,13 +358,12 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key("text").alias("key"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, size // 6 // PER_BUCKET)
-    scanned = materialise(texts.mapInArrow(_shingle_batches(k, percent, buckets), _SCHEMA), "shingles")
-    members = materialise(scanned.filter("chunk is null").select("doc_id", "key", "vertex", "n"), "shingle-members")
-    found = repeated_hashes(scanned.filter("chunk is not null").select(*PACK)).groupBy("doc_id", "key").agg(F.first("hashes").alias("hashes"))
-    wanted = materialise(found, "repeated-shingles")
-    discard(scanned)
+    scanned = texts.mapInArrow(_shingle_batches(k, percent, buckets), _SCHEMA)
+    members, wanted = repeated_hashes(scanned, [(n, T.LongType(), pa.int64()) for n in _NAMES], "shingles")
     release(spark)
-    again = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "key", "text").join(wanted, ["doc_id", "key"]).select("text", "hashes")
+    own = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "key", "text")
+    chosen = few(wanted.select("doc_id", "key").distinct())
+    again = own.join(chosen, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).join(wanted.dropDuplicates(["doc_id", "key"]), ["doc_id", "key"]).select("text", "hashes")
     sets = materialise(again.mapInArrow(_set_batches(k, percent, buckets), "vertex long, class long, n long, tokens binary"), "shingle-sets")
     discard(wanted)
     vertices = materialise(sets.select("vertex", "class").distinct(), "shingle-vertices")

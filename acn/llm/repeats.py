@@ -14,11 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import table_batch
+from ._shared import has_files, new_path, table_batch
 
 DOCUMENTS, HASHES = 60_000, 1_500_000  # in a chunk
 SEVERAL = 0xFFFF  # in place of the document, where several of a chunk hold a hash
@@ -111,40 +113,82 @@ class Chunks:
         return columns
 
 
-def _repeated_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, chunk, a: hashes, b: documents) -> (chunk, bucket, a: whole identities, b) of the documents whose hash stands in another chunk."""
-    for bucket, rows in by_key(batches):
-        low = np.concatenate([np.frombuffer(x[1], np.uint32) for x in rows])
-        own = np.concatenate([np.frombuffer(x[2], np.uint16).astype(np.int64) + (x[0] << 16) for x in rows])
-        order = np.argsort(low)
-        low, own = low[order], own[order]
-        cut = runs(low)
-        count = np.diff(np.r_[cut, len(low)])
-        stays = np.repeat(count > 1, count) & (own & 0xFFFF != SEVERAL)
-        if stays.any():
-            chunk, (docs, hashes) = split(own[stays] >> 16, (own[stays] & 0xFFFF).astype(np.uint16), low[stays].astype(np.int64) + (bucket << 32))
-            yield table_batch(["chunk", "bucket", "a", "b"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], [chunk, [bucket] * len(chunk), hashes, docs])
-
-
-def _document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, bucket, a, b) -> (doc_id, key, hashes in ascending order) of documents with as many repeated hashes as they need."""
-    for _, rows in by_key(batches):
-        keys, ids, needs = np.frombuffer(next(x[1] for x in rows if x[0] == NAMED), np.int64).reshape(3, -1)
-        found = [x for x in rows if x[0] != NAMED]
-        own = np.concatenate([np.frombuffer(x[2], np.uint16) for x in found]).astype(np.int64)
-        hashes = np.concatenate([np.frombuffer(x[1], np.int64) for x in found])
-        enough = (np.bincount(own, minlength=len(ids)) >= needs)[own]
-        own, hashes = own[enough], hashes[enough]
-        order = np.lexsort((hashes, own))
-        where, (packed,) = split(own[order], hashes[order])
-        if len(where):
-            yield table_batch(["doc_id", "key", "hashes"], [pa.int64(), pa.int64(), pa.binary()], [ids[where], keys[where], packed])
-
-
-def repeated_hashes(packs: DataFrame) -> DataFrame:
-    """Rows of PACK -> doc_id, key, hashes (identities, in ascending order) of documents with as many repeated hashes as they need."""
-    dealt = packs.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
-    repeated = dealt.mapInArrow(_repeated_batches, "chunk long, bucket long, a binary, b binary")
-    names = packs.filter("bucket < 0").select("chunk", "bucket", "a", "b")
-    together = repeated.union(names).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    return together.mapInArrow(_document_batches, "doc_id long, key long, hashes binary")
+def _parted(batches: Iterator[pa.RecordBatch], column: int, through: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packs; rows whose column is null or negative are put aside whole."""
+    for batch in batches:
+        aside = pc.fill_null(pc.less(batch.column(column), 0), True)
+        if pc.any(aside).as_py():
+            through.append(batch.filter(aside))
+            batch = batch.filter(pc.invert(aside))
+        yield batch.select(PACK)
+
+
+def _repeated_batches(names: list[str], types: list[pa.DataType]):
+    """Rows sorted by bucket; packs become rows (chunk, bucket, a: whole identities, b) of the documents whose hash stands in another
+    chunk, all other rows pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        through: list[pa.RecordBatch] = []
+        for bucket, rows in by_key(_parted(batches, 0, through)):
+            yield from through
+            through.clear()
+            low = np.concatenate([np.frombuffer(x[1], np.uint32) for x in rows])
+            own = np.concatenate([np.frombuffer(x[2], np.uint16).astype(np.int64) + (x[0] << 16) for x in rows])
+            order = np.argsort(low)
+            low, own = low[order], own[order]
+            cut = runs(low)
+            count = np.diff(np.r_[cut, len(low)])
+            stays = np.repeat(count > 1, count) & (own & 0xFFFF != SEVERAL)
+            if stays.any():
+                chunk, (docs, hashes) = split(own[stays] >> 16, (own[stays] & 0xFFFF).astype(np.uint16), low[stays].astype(np.int64) + (bucket << 32))
+                m = len(chunk)
+                yield table_batch([*PACK, *names], [*PACK_TYPES, *types], [[bucket] * m, chunk, hashes, docs, *[[None] * m for _ in names]])
+        yield from through
+
+    return run
+
+
+def _document_batches(names: list[str], types: list[pa.DataType]):
+    """Rows sorted by chunk -> the documents' rows, hashes null, and (doc_id, key, hashes in ascending order) of those with as many repeated
+    hashes as they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        through: list[pa.RecordBatch] = []
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for batch in through:
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.nulls(batch.num_rows, pa.binary())], [*names, "hashes"])
+            through.clear()
+
+        by_chunk = (b.select(["chunk", "bucket", "a", "b"]) for b in _parted(batches, 1, through))
+        for _, rows in by_key(by_chunk):
+            yield from passed()
+            keys, ids, needs = np.frombuffer(next(x[1] for x in rows if x[0] == NAMED), np.int64).reshape(3, -1)
+            found = [x for x in rows if x[0] != NAMED]
+            own = np.concatenate([np.frombuffer(x[2], np.uint16) for x in found]).astype(np.int64)
+            hashes = np.concatenate([np.frombuffer(x[1], np.int64) for x in found])
+            enough = (np.bincount(own, minlength=len(ids)) >= needs)[own]
+            own, hashes = own[enough], hashes[enough]
+            order = np.lexsort((hashes, own))
+            where, (packed,) = split(own[order], hashes[order])
+            if m := len(where):
+                yield table_batch([*names, "hashes"], [*types, pa.binary()], [ids[where], keys[where], *[[None] * m for _ in names[2:]], packed])
+        yield from passed()
+
+    return run
+
+
+def repeated_hashes(rows: DataFrame, fields: list[tuple[str, T.DataType, pa.DataType]], name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of PACK and the named fields (doc_id, key and more), each either a pack or a document -> (documents, repeated): the documents'
+    fields; and doc_id, key, hashes (identities, in ascending order) of documents with as many repeated hashes as they need."""
+    names, kinds, types = (list(x) for x in zip(*fields, strict=True))
+    own = [T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]
+    ordered = rows.select(*PACK, *names)
+    dealt = ordered.repartition(F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.coalesce("chunk", "key"))).sortWithinPartitions("bucket")
+    repeated = dealt.mapInArrow(_repeated_batches(names, types), T.StructType([*PACK_FIELDS, *own]))
+    together = repeated.repartition(F.coalesce("chunk", "key")).sortWithinPartitions("chunk", "bucket")
+    found = together.mapInArrow(_document_batches(names, types), T.StructType([*own, T.StructField("hashes", T.BinaryType())]))
+    path = new_path(rows.sparkSession, name)
+    found.withColumn("kind", F.col("hashes").isNotNull().cast("int")).write.partitionBy("kind").parquet(path)
+    read = lambda kind, schema: rows.sparkSession.read.schema(schema).parquet(f"{path}/kind={kind}") if has_files(rows.sparkSession, f"{path}/kind={kind}") else rows.sparkSession.createDataFrame([], schema)
+    return read(0, T.StructType(own)), read(1, T.StructType([*own[:2], T.StructField("hashes", T.BinaryType())]))

@@ -104,7 +104,8 @@ def block_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 _NAMES, _TYPES = ["doc_id", "key", "n_bytes", "sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-_SCHEMA = T.StructType([*(T.StructField(n, t()) for n, t in zip(_NAMES, [T.LongType, T.LongType, T.LongType, T.StringType], strict=True)), *PACK_FIELDS])
+_KINDS = [T.LongType(), T.LongType(), T.LongType(), T.StringType()]
+_SCHEMA = T.StructType([*(T.StructField(n, t) for n, t in zip(_NAMES, _KINDS, strict=True)), *PACK_FIELDS])
 
 
 def _anchor_batches(buckets: int):
@@ -456,14 +457,11 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key("text").alias("key"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, size // (SLIDE // 2) // PER_BUCKET)
-    scanned = materialise(texts.mapInArrow(_anchor_batches(buckets), _SCHEMA), "anchors")
-    documents = materialise(scanned.filter("chunk is null").select("doc_id", "key", "n_bytes", "sha256"), "span-documents")
-    found = repeated_hashes(scanned.filter("chunk is not null").select(*PACK)).groupBy("doc_id", "key").agg(F.first("hashes").alias("hashes"))
-    wanted = materialise(found, "repeated-anchors")
-    discard(scanned)
+    scanned = texts.mapInArrow(_anchor_batches(buckets), _SCHEMA)
+    documents, wanted = repeated_hashes(scanned, list(zip(_NAMES, _KINDS, _TYPES, strict=True)), "anchors")
     release(spark)
     own = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "key", "text")
-    chosen = materialise(wanted.join(own, ["doc_id", "key"]).select("doc_id", "key", "hashes", "text"), "anchor-texts", "zstd")
+    chosen = materialise(wanted.dropDuplicates(["doc_id", "key"]).join(own, ["doc_id", "key"]).select("doc_id", "key", "hashes", "text"), "anchor-texts", "zstd")
     discard(wanted)
     release(spark)
     folder = new_path(spark, "symbols")
