@@ -228,7 +228,7 @@ def segment_reliability(segments: DataFrame, rho_psi: DataFrame, gamma: float =
     return rows.withColumns(reliability("b", "r", "rho", "psi", gamma))
 
 
-def fit_copy_number(segments: DataFrame, preset: DataFrame | None = None, metric: int = 0, clonal_metric: int = 0, gamma: float = 1.0, min_ploidy: float = 1.6, max_ploidy: float = 4.8, min_rho: float = 0.1, max_rho: float = 1.0, min_goodness: float = 63) -> DataFrame:
+def fit_copy_number(segments: DataFrame, preset: DataFrame | None = None, metric: int = 1, clonal_metric: int = 0, gamma: float = 1.0, min_ploidy: float = 1.6, max_ploidy: float = 4.8, min_rho: float = 0.1, max_rho: float = 1.0, min_goodness: float = 63) -> DataFrame:
     """sample_id, method, rho, psi, ploidy, distance, is_best: the coarse optimum (ASCAT), the refined grid's (FRAC_GENOME, with tumour ploidy
     recalculated) and its reference segment's (REF_SEG). A preset (sample_id, rho, psi) takes the place of the coarse grid."""
     spark = segments.sparkSession

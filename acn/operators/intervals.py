@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1_000_000
-#: Intervals that are counted and no more than this are sent to every task; beyond it, both sides are dealt by bin.
+#: Pieces of intervals, one a bin, that are counted and no more than this are sent to every task; beyond it, both sides are dealt by bin.
 FEW = 50_000
 
 
@@ -15,15 +15,14 @@ def _bins(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
 
 
 def assign_points_to_intervals(points: DataFrame, intervals: DataFrame, keys=("sample_id", "chrom"), closed: str = "both", strategy: str | None = None, bin_width: int = BIN) -> DataFrame:
-    """points with the columns of each interval that holds them. closed="right" leaves the start out. Without a strategy the intervals are
-    counted: few are broadcast; more are cut in bins, so that both sides meet in an equi-join."""
+    """points with the columns of each interval that holds them. closed="right" leaves the start out. Intervals are cut in bins, so that a
+    point meets those of its own bin in an equi-join. Without a strategy the pieces are counted: few are sent to every task."""
     keys = list(keys)
-    strategy = strategy or ("broadcast" if intervals.count() <= FEW else "bins")
+    pieces = _bins(intervals, "start_pos", "end_pos", bin_width)
+    strategy = strategy or ("broadcast" if pieces.count() <= FEW else "bins")
     inside = (F.col("pos") >= F.col("start_pos") if closed == "both" else F.col("pos") > F.col("start_pos")) & (F.col("pos") <= F.col("end_pos"))
-    if strategy == "broadcast":
-        return points.join(F.broadcast(intervals), keys).filter(inside)
     binned = points.withColumn("_bin", (F.col("pos") / bin_width).cast("bigint"))
-    return binned.join(_bins(intervals, "start_pos", "end_pos", bin_width), [*keys, "_bin"]).filter(inside).drop("_bin")
+    return binned.join(F.broadcast(pieces) if strategy == "broadcast" else pieces, [*keys, "_bin"]).filter(inside).drop("_bin")
 
 
 def interval_overlap(a: DataFrame, b: DataFrame, keys=("chrom",), bin_width: int = BIN) -> DataFrame:
@@ -54,7 +53,7 @@ def interval_count_overlaps(a: DataFrame, b: DataFrame, keys=("chrom",), least:
 
 
 def nearest_join(points: DataFrame, targets: DataFrame, cols: list[str], keys=("sample_id", "chrom")) -> DataFrame:
-    """points with near_pos and cols of the nearest target; ties go left. One sort over both tables, no pairs."""
+    """points with near_pos and cols of the nearest target; ties go left. Two running sorts over both tables, one each way, no pairs."""
     keys = list(keys)
     own = F.struct("pos", *cols)
     both = points.select(*keys, "pos", F.struct(*points.columns).alias("_p"), F.lit(None).cast(targets.select(own.alias("t")).schema["t"].dataType).alias("_t")).unionByName(
@@ -62,7 +61,8 @@ def nearest_join(points: DataFrame, targets: DataFrame, cols: list[str], keys=("
     )
     order = Window.partitionBy(*keys).orderBy("pos", F.col("_t").isNull())
     back = F.last("_t", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_t", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    turned = Window.partitionBy(*keys).orderBy(F.desc("pos"), F.col("_t").isNull().desc())
+    ahead = F.last("_t", True).over(turned.rowsBetween(Window.unboundedPreceding, 0))  # a frame that only grows at its end
     out = both.withColumns({"_b": back, "_a": ahead}).filter("_p is not null")
     left = F.col("_a").isNull() | (F.col("_b").isNotNull() & (F.col("pos") - F.col("_b.pos") <= F.col("_a.pos") - F.col("pos")))
     best = F.when(left, F.col("_b")).otherwise(F.col("_a"))
@@ -115,7 +115,3 @@ def complement_intervals(iv: DataFrame, geometry: DataFrame) -> DataFrame:
         gaps.select("sample_id", "chrom", "arm", (F.col("end_pos") + 1).alias("start_pos"), F.coalesce(F.col("_next") - 1, F.col("arm_end")).alias("end_pos"))
         .filter("start_pos <= end_pos")
     )
-
-
-def overlap_predicate(a: str, b: str) -> Column:
-    return (F.col(f"{a}.start_pos") <= F.col(f"{b}.end_pos")) & (F.col(f"{b}.start_pos") <= F.col(f"{a}.end_pos"))

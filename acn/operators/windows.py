@@ -57,7 +57,8 @@ def genome_chunks(df: DataFrame, hole: int = 1_000_000, min_snps: int = 200) ->
     w = Window.partitionBy(*KEYS).orderBy("start_pos")
     large = F.col("n") >= min_snps
     left = F.last(F.when(large, F.struct("piece", "end_pos")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(F.when(large, F.struct("piece", "start_pos")), True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    turned = Window.partitionBy(*KEYS).orderBy(F.desc("start_pos"))
+    right = F.last(F.when(large, F.struct("piece", "start_pos")), True).over(turned.rowsBetween(Window.unboundedPreceding, -1))
     placed = pieces.withColumns({"_l": left, "_r": right})
     to_left = F.col("_r").isNull() | (F.col("_l").isNotNull() & (F.col("start_pos") - F.col("_l.end_pos") <= F.col("_r.start_pos") - F.col("end_pos")))
     home = F.when(large | (F.col("_l").isNull() & F.col("_r").isNull()), F.when(large, F.col("piece")).otherwise(F.min("piece").over(Window.partitionBy(*KEYS)))).when(to_left, F.col("_l.piece")).otherwise(F.col("_r.piece"))

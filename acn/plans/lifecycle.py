@@ -33,11 +33,12 @@ def segments_of(baf_segmented: DataFrame, logr: DataFrame) -> DataFrame:
     return aggregates.segment_info(synced.join(means, ["sample_id", "chrom", "baf_seg"]))
 
 
-def paired(tumour: DataFrame, normal: DataFrame, alleles: DataFrame, haplotypes: DataFrame, mode: str = "paired", breakpoints: DataFrame | None = None, preset: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Counts and haplotypes -> segmented BAF, fit and profile of every sample. Tables are written after tracks, segmentation and calls,
+def paired(tumour: DataFrame, normal: DataFrame, alleles: DataFrame, haplotypes: DataFrame, mode: str = "paired", breakpoints: DataFrame | None = None, preset: DataFrame | None = None, **covariates) -> dict[str, DataFrame]:
+    """Counts and haplotypes -> segmented BAF, fit and profile of every sample. covariates are those of tracks(): with them, LogR is
+    corrected for GC content and replication. Tables are written after tracks, segmentation and calls,
     the points from which a run can go on; a preset (sample_id, rho, psi) skips the coarse grid."""
     m = MODES[mode]
-    logr = materialise(loci.finite_logr(tracks(tumour, normal, alleles)), "logr")
+    logr = materialise(loci.finite_logr(tracks(tumour, normal, alleles, **covariates)), "logr")
     baf = phasing.haplotype_baf(tumour, haplotypes)
     segmented = materialise(segmentation.segment_phased_baf(baf, breakpoints, m["gamma"], m["phase_gamma"], m["kmin"], m["phase_kmin"], baf_option=m["baf_option"]), "segmented")
     return refit(segmented, logr, preset, mode) | {"logr": logr, "baf_segmented": segmented}

@@ -425,8 +425,8 @@ def _(spark, s):
     return s.withColumn("nxt", nxt).filter("nxt is not null").select("chrom", "start_pos", sc.interval_distance("start_pos", "end_pos", "nxt", "nxt").alias("gap"))
 
 
-@query("nearest_join", "v_track v_tracks_thin", """select p.chrom, p.pos, case when b.pos is null or (a.pos is not null and a.pos - p.pos < p.pos - b.pos) then a.pos else b.pos end as near_pos
-  from v_track p asof left join (select * from v_tracks_thin where sample_id = 's1') b on p.chrom = b.chrom and p.pos >= b.pos asof left join (select * from v_tracks_thin where sample_id = 's1') a on p.chrom = a.chrom and p.pos <= a.pos""")
+@query("nearest_join", "v_track v_hets", """select p.chrom, p.pos, case when b.pos is null or (a.pos is not null and a.pos - p.pos < p.pos - b.pos) then a.pos else b.pos end as near_pos
+  from v_track p asof left join (select * from v_hets where sample_id = 's1') b on p.chrom = b.chrom and p.pos >= b.pos asof left join (select * from v_hets where sample_id = 's1') a on p.chrom = a.chrom and p.pos <= a.pos""")
 def _(spark, p, t):
     return intervals.nearest_join(p.select("sample_id", "chrom", "pos"), t.filter("sample_id = 's1'"), ["logr"]).select("chrom", "pos", "near_pos")
 

@@ -60,19 +60,19 @@ def _(spark, t):
     return rounded(windows.winsorise(t, "logr", 10).select("sample_id", "chrom", "pos", "winsorised"), "winsorised")
 
 
-_LAGS = "(select range as lag from range(1, 6)) l"
+_LAGS = "(select range as lag from range(1, 101)) l"
 _SWITCH = f"(select p.sample_id, p.chrom, p.pos, l.lag, abs(p.bit - q.bit) as switch, case when p.open_after - q.open_before = 0 and p.ps = q.ps then 1.0 else 0.25 end as e from numbered p cross join {_LAGS} join numbered q on q.sample_id = p.sample_id and q.chrom = p.chrom and q.i = p.i - l.lag) s"
 _NUMBERED = "numbered as (select *, row_number() over w as i, sum(case when phased then 0 else 1 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) as open_after, sum(case when phased then 0 else 1 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) - case when phased then 0 else 1 end as open_before from v_phased window w as (partition by sample_id, chrom order by pos))"
 
 
 @query("phase_switches", "v_phased", f"select sample_id, chrom, pos, lag, switch from {_SWITCH}", _NUMBERED)
 def _(spark, p):
-    return windows.phase_switches(p, 5)
+    return windows.phase_switches(p, 100)
 
 
 @query("phase_evidence", "v_phased", f"select sample_id, chrom, pos, lag, round(e / sum(e) over (partition by chrom, pos, lag), 6) as evidence from {_SWITCH}", _NUMBERED)
 def _(spark, p):
-    return rounded(windows.phase_evidence(p, 5), "evidence")
+    return rounded(windows.phase_evidence(p, 100), "evidence")
 
 
 _SETS = "sets as (select sample_id, chrom, pos, min(pos) over (partition by sample_id, chrom, run) as ps from (select *, sum(case when prev is null or prev <> baf_seg then 1 else 0 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) as run from (select *, lag(baf_seg) over (partition by sample_id, chrom order by pos) as prev from v_baf_segmented where greatest(baf_seg, 1 - baf_seg) > 0.6) a) b)"
@@ -403,11 +403,7 @@ def _segs(s):
     return s.select("sample_id", F.col("baf").alias("b"), F.col("logr").alias("r"), F.col("n").alias("length"))
 
 
-def _small_grid(spark):
-    return fit.rho_psi_grid(spark, 1.5, 3.5, 0.3, 1.03, 0.1, 0.05)
-
-
-_GRID = "grid as (select i.range as i, j.range as j, round(1.5 + (i.range - 1) * 0.1::double, 6) as psi, round(0.3 + (j.range - 1) * 0.05::double, 6) as rho from range(1, 22) i cross join range(1, 17) j)"
+_GRID = "grid as (select i.range as i, j.range as j, round(1.0 + (i.range - 1) * 0.05::double, 6) as psi, round(0.07 + (j.range - 1) * 0.01::double, 6) as rho from range(1, 90) i cross join range(1, 98) j)"
 _POINT = "pts as (select s.sample_id, g.i, g.j, g.psi, g.rho, s.baf as b, s.n as len, (g.rho - 1 - (s.baf - 1) * pow(2, s.logr) * ((1 - g.rho) * 2 + g.rho * g.psi)) / g.rho as na, (g.rho - 1 + s.baf * pow(2, s.logr) * ((1 - g.rho) * 2 + g.rho * g.psi)) / g.rho as nb from v_segments s cross join grid g), off as (select *, abs(na - greatest(round_even(na, 0), 0)) as oa, abs(nb - greatest(round_even(nb, 0), 0)) as ob, na < 0.5 and nb < 0.5 and na >= 0 and nb >= 0 as gone from pts)"
 _TERMS = {
     0: ("oa * oa * len * case when b <= 0.51 then 0.05 else 1 end", "ob * ob * len * case when b <= 0.51 then 0.05 else 1 end"),
@@ -422,23 +418,23 @@ def _score_sql(metric):
     return f"(select sample_id, i, j, psi, rho, case when sum(na) < sum(nb) then sum({a}) else sum({b}) end as score from off group by sample_id, i, j, psi, rho)"
 
 
-@query("rho_psi_grid", "v_segments", "select distinct i, j, psi, rho from grid cross join (select 1 from v_segments limit 1) t", _GRID)
-def _(spark, s):
-    return _small_grid(spark).join(s.limit(1).select(F.lit(1).alias("one")), how="cross").drop("one")
+@query("rho_psi_grid", "v_tracks", "select t.sample_id, i, j, psi, rho from grid cross join (select distinct sample_id from v_tracks) t", _GRID)
+def _(spark, t):
+    return t.select("sample_id").distinct().join(F.broadcast(fit.rho_psi_grid(spark)), how="cross")
 
 
 for _m in range(4):
     @query(f"score_grid_ascat_{_m}", "v_segments", f"select sample_id, i, j, psi, rho, round(score, 4) as score from {_score_sql(_m)} t", f"{_GRID}, {_POINT}")
     def _(spark, s, m=_m):
-        return fit.score_grid_ascat(_small_grid(spark), _segs(s), m).withColumn("score", F.round("score", 4))
+        return fit.score_grid_ascat(fit.rho_psi_grid(spark), _segs(s), m).withColumn("score", F.round("score", 4))
 
 
-_MINIMA = "scored as (select *, -score as m from " + _score_sql(1) + " t), minima as (select c.* from scored c where c.i between 4 and 18 and c.j between 4 and 13 and not exists (select 1 from scored o where o.sample_id = c.sample_id and abs(o.i - c.i) <= 3 and abs(o.j - c.j) <= 3 and not (o.i = c.i and o.j = c.j) and o.m <= c.m))"
+_MINIMA = "scored as (select *, -score as m from " + _score_sql(1) + " t), minima as (select c.* from scored c where c.i between 4 and 86 and c.j between 4 and 94 and not exists (select 1 from scored o where o.sample_id = c.sample_id and abs(o.i - c.i) <= 3 and abs(o.j - c.j) <= 3 and not (o.i = c.i and o.j = c.j) and o.m <= c.m))"
 
 
 @query("local_minima", "v_segments", "select sample_id, i, j, psi, rho, round(m, 4) as score from minima", f"{_GRID}, {_POINT}, {_MINIMA}")
 def _(spark, s):
-    scored = fit.score_grid_ascat(_small_grid(spark), _segs(s), 1).withColumn("score", -F.col("score"))
+    scored = fit.score_grid_ascat(fit.rho_psi_grid(spark), _segs(s), 1).withColumn("score", -F.col("score"))
     return fit.local_minima(scored).withColumn("score", F.round("score", 4))
 
 
@@ -447,7 +443,7 @@ _STATS = "stats as (select sample_id, i, j, psi, rho, sum((na + nb) * len) / sum
 
 @query("grid_point_stats", "v_segments", "select sample_id, i, j, psi, rho, round(ploidy, 6) as ploidy, round(percent_zero, 6) as percent_zero, round(percent_zero_odd, 6) as percent_zero_odd, round(most, 4) as most from stats", f"{_GRID}, {_POINT}, {_STATS}")
 def _(spark, s):
-    return rounded(fit.grid_point_stats(_small_grid(spark), _segs(s)), "ploidy", "percent_zero", "percent_zero_odd", "most")
+    return rounded(fit.grid_point_stats(fit.rho_psi_grid(spark), _segs(s)), "ploidy", "percent_zero", "percent_zero_odd", "most")
 
 
 @query("select_ascat_optimum", "v_segments", """select s.sample_id, b.psi, b.rho, round(b.ploidy, 6) as ploidy, round(b.goodness, 4) as goodness from (select distinct sample_id from v_segments) s left join (
@@ -455,13 +451,19 @@ def _(spark, s):
   from minima m join stats st on st.sample_id = m.sample_id and st.i = m.i and st.j = m.j where st.ploidy between 1.6 and 4.8 and m.rho >= 0.1 and -100 * m.m / st.most >= 20 and (st.percent_zero > 0.01 or st.percent_zero_odd > 0.1) group by m.sample_id) b on b.sample_id = s.sample_id""", f"{_GRID}, {_POINT}, {_MINIMA}, {_STATS}")
 def _(spark, s):
     segs = _segs(s)
-    best = fit.select_ascat_optimum(fit.score_grid_ascat(_small_grid(spark), segs, 1), segs, 1, min_goodness=20, allow_pure=False)
+    best = fit.select_ascat_optimum(fit.score_grid_ascat(fit.rho_psi_grid(spark), segs, 1), segs, 1, min_goodness=20, allow_pure=False)
     return best.select("sample_id", "psi", "rho", r6("ploidy").alias("ploidy"), F.round("goodness", 4).alias("goodness"))
 
 
-@query("refine_bounds", "v_fit v_track", "select sample_id, round(psi - 0.22, 6) as psi_min, round(psi + 0.22, 6) as psi_max, round(rho * 0.95, 6) as rho_min, round(rho * 1.05, 6) as rho_max from v_fit")
-def _(spark, f, t):
-    return rounded(fit.refine_bounds(f.join(t.select("sample_id").distinct(), "sample_id", "left_semi")), "psi_min", "psi_max", "rho_min", "rho_max")
+_OPTIMA = "(select concat(chrom, '-', cast(start_pos as string)) as sample_id, round(1 + (n % 45) / cast(10 as double), 6) as psi, round(least(0.1 + n / cast(157 as double), 1), 2) as rho from v_segments)"
+_LOWER = "case when {0} - {1} / 2 < {2} then {2} when {0} + {1} / 2 > {3} then {3} - {1} else {0} - {1} / 2 end"
+_PSI_LOW, _RHO_LOW = _LOWER.format("psi", "0.44", "1.0", "5.4"), _LOWER.format("rho", "(0.1 * rho)", "0.1", "1.0")
+
+
+@query("refine_bounds", "v_segments", f"select sample_id, round({_PSI_LOW}, 6) as psi_min, round({_PSI_LOW} + 0.44, 6) as psi_max, round({_RHO_LOW}, 6) as rho_min, round({_RHO_LOW} + 0.1 * rho, 6) as rho_max from {_OPTIMA} o")
+def _(spark, s):
+    spark.sql(f"select * from {_OPTIMA} o").createOrReplaceTempView("v_optima")
+    return rounded(fit.refine_bounds(spark.table("v_optima")), "psi_min", "psi_max", "rho_min", "rho_max")
 
 
 def _fit6(f):
@@ -490,13 +492,13 @@ def _(spark, s, f):
 for _m, _sql in ((2, "avg(pow(s.b - s.mean, 2))"), (3, "sum(s.length * pow(s.b - s.mean, 2)) / sum(s.length)")):
     @query(f"score_grid_clonal_{_m}", "v_seg6", f"select s.sample_id, g.i, g.j, g.psi, g.rho, round({_sql}, 8) as score from v_seg6 s cross join grid g where s.b > 0.51 group by s.sample_id, g.i, g.j, g.psi, g.rho", _GRID)
     def _(spark, s, m=_m):
-        return fit.score_grid_clonal(_small_grid(spark), s, m).drop("ref").withColumn("score", F.round("score", 8))
+        return fit.score_grid_clonal(fit.rho_psi_grid(spark), s, m).drop("ref").withColumn("score", F.round("score", 8))
 
 
 for _m in (0, 1, 4):
     @query(f"score_grid_clonal_{_m}", "v_seg6")
     def _(spark, s, m=_m):
-        return fit.score_grid_clonal(_small_grid(spark), s, m).drop("ref")
+        return fit.score_grid_clonal(fit.rho_psi_grid(spark), s, m).drop("ref")
 
 
 _TIED = "tied as (select s.* from (select sample_id, i, j, psi, rho, round(score, 1) as score from " + _score_sql(1) + " t) s join (select sample_id, max(round(score, 1)) as best from " + _score_sql(1) + " t group by sample_id) b on b.sample_id = s.sample_id and b.best = s.score), centre as (select sample_id, quantile_cont(i, 0.5) as ci, quantile_cont(j, 0.5) as cj, count(*) as n_best from tied group by sample_id)"
@@ -504,13 +506,13 @@ _TIED = "tied as (select s.* from (select sample_id, i, j, psi, rho, round(score
 
 @query("centroid_optimum", "v_segments", "select t.sample_id, arg_min(t.psi, (pow(t.i - c.ci, 2) + pow(t.j - c.cj, 2), -t.i, -t.j)) as psi, arg_min(t.rho, (pow(t.i - c.ci, 2) + pow(t.j - c.cj, 2), -t.i, -t.j)) as rho, max(c.n_best) as n_best from tied t join centre c on c.sample_id = t.sample_id group by t.sample_id", f"{_GRID}, {_POINT}, {_TIED}")
 def _(spark, s):
-    scored = fit.score_grid_ascat(_small_grid(spark), _segs(s), 1).withColumn("score", F.round("score", 1))
+    scored = fit.score_grid_ascat(fit.rho_psi_grid(spark), _segs(s), 1).withColumn("score", F.round("score", 1))
     return fit.centroid_optimum(scored).select("sample_id", "psi", "rho", "n_best")
 
 
 @query("reference_segment_solution", "v_seg6")
 def _(spark, s):
-    return fit.reference_segment_solution(fit.centroid_optimum(fit.score_grid_clonal(_small_grid(spark), s, 0)))
+    return fit.reference_segment_solution(fit.centroid_optimum(fit.score_grid_clonal(fit.rho_psi_grid(spark), s, 0)))
 
 
 @query("recalc_psi_t", "v_seg6 v_fit")
@@ -550,7 +552,7 @@ def _(spark, s, f):
 
 @query("bootstrap_fraction_ci", "v_baf_segmented v_fit")
 def _(spark, s, f):
-    return calls.bootstrap_fraction_ci(s, calls.call_subclones(s, s, _rho_psi_t(f)), _rho_psi_t(f), n=200)
+    return calls.bootstrap_fraction_ci(s, calls.call_subclones(s, s, _rho_psi_t(f)), _rho_psi_t(f))
 
 
 @query("merge_segments", "v_baf_segmented v_fit")
@@ -610,10 +612,18 @@ def _(spark, t, h):
     return rounded(phasing.haplotype_baf_array(t, h).select("chrom", "pos", "baf"), "baf")
 
 
-@query("apply_external_haplotypes", "v_haplotypes", "select chrom, pos, cast(case when hap1 <> hap2 then pos // 5000 % 2 else hap1 end as int) as hap1 from v_haplotypes where hap1 = hap2")
+_EXTERNAL = """ext as (select sample_id, chrom, pos, cast(floor(pos / 5000) % 2 as int) as e1, cast(floor(pos / 1000000) as int) as ps from v_haplotypes where hap1 <> hap2 and pos % 3 = 0),
+  known as (select h.chrom, h.pos, cast(h.hap1 <> e.e1 as int) as off, e.ps from v_haplotypes h join ext e on e.sample_id = h.sample_id and e.chrom = h.chrom and e.pos = h.pos),
+  near as (select p.chrom, p.pos, case when a.pos is null or p.pos - b.pos <= a.pos - p.pos then b.off else a.off end as off, case when a.pos is null or p.pos - b.pos <= a.pos - p.pos then b.ps else a.ps end as ps
+    from (select * from v_haplotypes where hap1 <> hap2) p asof left join known b on p.chrom = b.chrom and p.pos >= b.pos asof left join known a on p.chrom = a.chrom and p.pos <= a.pos),
+  jumps as (select *, case when ps <> lag(ps) over w and off <> lag(off) over w then 1 else 0 end as jump from near window w as (partition by chrom order by pos)),
+  flips as (select *, (sum(jump) over (partition by chrom order by pos rows unbounded preceding) + off) % 2 as flip from jumps)"""
+
+
+@query("apply_external_haplotypes", "v_haplotypes", "select h.chrom, h.pos, cast(case when flip = 1 then hap2 else hap1 end as int) as hap1, cast(case when flip = 1 then hap1 else hap2 end as int) as hap2 from v_haplotypes h left join flips f on f.chrom = h.chrom and f.pos = h.pos", _EXTERNAL)
 def _(spark, h):
-    ext = h.filter("hap1 <> hap2 and pos % 3 = 0").select("sample_id", "chrom", "pos", (F.col("pos") % 2).cast("int").alias("hap1"), (F.col("pos") / 1e6).cast("int").alias("ps"))
-    return phasing.apply_external_haplotypes(h, ext).filter("hap1 = hap2").select("chrom", "pos", "hap1")
+    ext = h.filter("hap1 <> hap2 and pos % 3 = 0").select("sample_id", "chrom", "pos", (F.floor(F.col("pos") / 5000) % 2).cast("int").alias("hap1"), F.floor(F.col("pos") / 1_000_000).cast("int").alias("ps"))
+    return phasing.apply_external_haplotypes(h, ext).select("chrom", "pos", "hap1", "hap2")
 
 
 @query("phased_genotypes", "v_haplotypes v_hap_counts v_baf_segmented", f"select h.chrom, h.pos, h.hap1 || case when greatest(z.baf_seg, 1 - z.baf_seg) > 0.525 then '|' else '/' end || h.hap2 as gt, z.ps from v_haplotypes h join v_hap_counts c on c.chrom = h.chrom and c.pos = h.pos join {_PS} on z.chrom = h.chrom and z.pos = h.pos where h.hap1 <> h.hap2", _SETS.replace("> 0.6", "> 0.525"))
@@ -623,7 +633,7 @@ def _(spark, h, c, s):
 
 @query("multisample_phasing", "v_phased")
 def _(spark, p):
-    return phasing.multisample_phasing(p, max_lag=20)
+    return phasing.multisample_phasing(p)
 
 
 def _three(p, samples):
@@ -647,7 +657,7 @@ def _(spark, s, p):
     return rounded(phasing.mirrored_imbalance(regions, p, p.filter("sample_id = 's1'")).select("chrom", "start_pos", "end_pos", "spread", "mirrored"), "spread")
 
 
-@query("loh_by_het_gaps", "v_tracks_thin v_geometry")
+@query("loh_by_het_gaps", "v_hets v_geometry")
 def _(spark, t, g):
     return pseudonormal.loh_by_het_gaps(t, g, gamma=10, kmin=2)
 
@@ -660,7 +670,7 @@ def _(spark, i, g):
     return pseudonormal.loh_noise_filter(i.select("sample_id", "chrom", "start_pos", "end_pos"), g)
 
 
-@query("loh_by_logr_windows", "v_tracks_thin v_tracks v_geometry v_intervals")
+@query("loh_by_logr_windows", "v_hets v_tracks v_geometry v_intervals")
 def _(spark, hets, t, g, i):
     loh = intervals.split_by_arm(i.select("sample_id", "chrom", "start_pos", "end_pos"), g)
     return pseudonormal.loh_by_logr_windows(hets, t.withColumn("logr", F.col("logr") - 1), loh, g, min_gap=1e5, gamma=1, min_density=0.0, min_snps=2)
@@ -743,7 +753,7 @@ def _(spark, p, f):
 
 @query("score_surface", "v_segments", f"select i, j, round(ln(score), 5) as height, score = max(score) over (partition by sample_id) as is_best from {_score_sql(1)} t", f"{_GRID}, {_POINT}")
 def _(spark, s):
-    return tables.score_surface(fit.score_grid_ascat(_small_grid(spark), _segs(s), 1)).select("i", "j", F.round("height", 5).alias("height"), "is_best")
+    return tables.score_surface(fit.score_grid_ascat(fit.rho_psi_grid(spark), _segs(s), 1)).select("i", "j", F.round("height", 5).alias("height"), "is_best")
 
 
 _LINES = "num as (select *, row_number() over (partition by sample_id order by cast(chrom as int), pos) as locus from v_track)"

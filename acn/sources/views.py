@@ -52,9 +52,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "v_geometry": ([], """
         select cast(g as string) as chrom, 1 as start_pos, 20000000 + g * 100000 as cen_left, 22000000 + g * 100000 as cen_right, 60000000 as end_pos
         from (select unnest_g as g from (values (1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15),(16),(17),(18),(19),(20),(21),(22)) as v(unnest_g)) t"""),
-    "v_intervals": (["v_tracks_thin"], """
-        select sample_id, chrom, pos as start_pos, pos + 20000 * (1 + (cast(pos / 5000 as bigint)) % 9) as end_pos, (cast(pos / 5000 as bigint)) % 5 as tag from v_tracks_thin"""),
-    "v_tracks_thin": (["v_tracks"], "select * from v_tracks where (cast(pos / 5000 as bigint)) % 40 = 3"),
+    "v_intervals": (["v_tracks"], """
+        select sample_id, chrom, pos as start_pos, pos + 20000 * (1 + (cast(pos / 5000 as bigint)) % 9) as end_pos, (cast(pos / 5000 as bigint)) % 5 as tag from v_tracks"""),
+    "v_hets": (["v_tracks"], "select * from v_tracks where baf between 0.3 and 0.7"),
     "v_profile": (["v_segments"], """
         select sample_id, chrom, start_pos, end_pos, baf, logr, cast(case when n % 3 = 0 then 0.01 else 1.0 end as double) as pval, cast(1 + n % 4 as double) as nMaj1, cast(n % 2 as double) as nMin1,
           case when n % 3 = 0 then round(cast(0.3 as double) + (n % 5) / cast(10 as double), 6) else cast(1 as double) end as frac1, case when n % 3 = 0 then cast(2 + n % 4 as double) end as nMaj2,
@@ -76,7 +76,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           case when event_id % 2 = 0 then concat('N[', cast((user_id + 3) % 22 + 1 as string), ':', cast(event_id * 4000 as string), '[')
             else concat(']', cast((user_id + 5) % 22 + 1 as string), ':', cast(event_id * 3000 as string), ']N') end as alt,
           concat('CHR2=', cast((user_id + 7) % 22 + 1 as string), ';END=', cast(event_id * 2000 as string), case when event_id % 3 = 0 then ';TRDS=' when event_id % 3 = 1 then ';TRDS=r1' else ';TRDS=r1,r2' end) as info
-        from events where event_id % 20 = 0"""),
+        from events"""),
     "v_array": (["v_track"], """
         select sample_id, concat(case when (cast(pos / 5000 as bigint)) % 3 = 0 then 'CN_' else 'SNP_' end, cast(pos as string)) as probe_id, chrom, pos,
           round(baf - 0.02, 6) as normal_baf, baf as tumour_baf, logr as tumour_lrr, round(logr / 2, 6) as normal_lrr,
