@@ -120,17 +120,25 @@ def refined_grid(bounds: DataFrame, steps: int = 100) -> DataFrame:
     return rows.select("sample_id", "i", "j", at("psi_min", "psi_max", "i").alias("psi"), at("rho_min", "rho_max", "j").alias("rho"))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that what stands above reads: by way of a generator, since plain projections are merged into one and then
+    compute a nested expression again wherever it is used."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def _state_columns(rows: DataFrame, gamma: float, cap: float = CAP) -> DataFrame:
     """Adds n_major, n_minor (rescued), shift, edge (states of first preference), nMaj, nMin and level (the closer of the two)."""
     n_a, n_b = cn_alleles("b", F.coalesce("r", F.lit(0.0)), "rho", "psi", gamma)
-    rows = rows.withColumns({"_a": n_a, "_b": n_b}).withColumns({"_major": F.greatest("_a", "_b"), "_minor": F.least("_a", "_b")})
+    rows = _once(_once(rows, _a=n_a, _b=n_b), _major=F.greatest("_a", "_b"), _minor=F.least("_a", "_b"))
     major, minor = rescue_negative_minor("_major", "_minor", "b", cap)
-    rows = rows.withColumns({"n_major": major, "n_minor": minor}).withColumn("shift", F.col("n_major") - F.col("_major"))
-    rows = rows.withColumn("edge", nearest_edge("rho", "b", "n_major", "n_minor"))  # the first of the candidate edges
+    rows = _once(rows, n_major=major, n_minor=minor).withColumn("shift", F.col("n_major") - F.col("_major"))
+    rows = _once(rows, edge=nearest_edge("rho", "b", "n_major", "n_minor"))  # the first of the candidate edges
     l1, l2 = expected_baf("rho", F.col("edge.m1"), F.col("edge.n1")), expected_baf("rho", F.col("edge.m2"), F.col("edge.n2"))
-    first = F.abs(l1 - F.col("b")) <= F.abs(l2 - F.col("b"))
     pick = lambda x, y: F.when(first | (l2.isNull()), x).otherwise(y)
-    return rows.withColumns({"level": pick(l1, l2), "nMaj": pick(F.col("edge.m1"), F.col("edge.m2")), "nMin": pick(F.col("edge.n1"), F.col("edge.n2"))}).drop("_a", "_b", "_major", "_minor")
+    rows = _once(rows, _l1=l1, _l2=l2)
+    l1, l2 = F.col("_l1"), F.col("_l2")
+    first = F.abs(l1 - F.col("b")) <= F.abs(l2 - F.col("b"))
+    return _once(rows, **{"level": pick(l1, l2), "nMaj": pick(F.col("edge.m1"), F.col("edge.m2")), "nMin": pick(F.col("edge.n1"), F.col("edge.n2"))}).drop("_a", "_b", "_major", "_minor", "_l1", "_l2")
 
 
 def segment_is_clonal(segments: DataFrame, rho_psi: DataFrame | None = None, sig: float = 0.05, max_dist: float = 0.01, gamma: float = 1.0) -> DataFrame:
@@ -160,15 +168,16 @@ def segment_ln_likelihood_ratio(segments: DataFrame, rho_psi: DataFrame | None =
     rows = segments if rho_psi is None else segments.join(rho_psi.select("sample_id", "rho", "psi"), "sample_id")
     all_copies = F.col("psi") * F.pow(F.lit(2.0), F.coalesce("r", F.lit(0.0)) / gamma)
     x, y = (F.col("rho") - 1 + F.col("b") * all_copies) / F.col("rho"), (F.col("rho") - 1 + (1 - F.col("b")) * all_copies) / F.col("rho")
-    major, minor = rescue_negative_minor(x, y, "b", CAP)
-    rows = rows.withColumn("_e", nearest_edge("rho", "b", major, minor))
+    rows = _once(rows, _x=x, _y=y)
+    major, minor = rescue_negative_minor("_x", "_y", "b", CAP)
+    rows = _once(_once(rows, _major=major, _minor=minor), _e=nearest_edge("rho", "b", "_major", "_minor"))
     n = F.round(F.col("size") * read_depth).cast("double")
     k = F.greatest(F.lit(0.0), F.least(n, F.round(F.col("mean") * F.col("size") * read_depth).cast("double")))
     inside = lambda p: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(p, F.lit(0.0))))
     l1, l2 = expected_baf("rho", F.col("_e.m1"), F.col("_e.n1")), expected_baf("rho", F.col("_e.m2"), F.col("_e.n2"))
     rows = rows.withColumns({"_p": binomial_pmf(k, n, inside(l1)), "_q": binomial_pmf(k, n, inside(l2))})
     good = l1.isNotNull() & l2.isNotNull() & (F.col("_p") > 0) & (F.col("_q") > 0)
-    return rows.withColumn("ln_ratio", F.when(good, F.abs(F.ln("_p") - F.ln("_q"))).otherwise(0.0)).drop("_e", "_p", "_q")
+    return rows.withColumn("ln_ratio", F.when(good, F.abs(F.ln("_p") - F.ln("_q"))).otherwise(0.0)).drop("_x", "_y", "_major", "_minor", "_e", "_p", "_q")
 
 
 def score_grid_clonal(grid: DataFrame, segments: DataFrame, metric: int = 0, gamma: float = 1.0, sig: float = 0.05, max_dist: float = 0.01, uninformative: float = 0.51, read_depth: float = 30) -> DataFrame:

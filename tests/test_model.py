@@ -24,7 +24,6 @@ def segments(spark):
     return spark.createDataFrame(rows, "sample_id string, seg_id int, b double, r double, length int, size int, mean double, sd double")
 
 
-@pytest.mark.skip(reason="open: the refined grid takes minutes; not verified yet")
 def test_fit_returns_purity(spark, segments):
     got = {r["method"]: r for r in fit.fit_copy_number(segments, metric=1).collect()}
     assert got["FRAC_GENOME"]["rho"] == pytest.approx(RHO, abs=0.02)
