@@ -52,11 +52,10 @@ def loh_by_logr_windows(hets: DataFrame, logr: DataFrame, loh: DataFrame, geomet
     if mode == "cell_line":
         good = points.groupBy(*key).agg(F.count("*").alias("_n"), F.avg("logr").alias("_m")).filter((F.col("_n") >= min_snps) & (F.col("_m") < low)).select(*key)
         points = points.join(good, key, "left_semi")
-    if mode == "germline":
-        points = points.withColumn("_gap", F.struct("start_pos", "end_pos"))
-    fitted = segment_logr(points.select(*key, "pos", "logr"), "logr", gamma, kmin)
-    runs = run_islands(fitted, "fit", keys=[*KEYS, "arm"])
+    apart = points.withColumn("arm", F.concat_ws(":", "arm", "start_pos"))  # each gap is segmented by itself
+    runs = run_islands(segment_logr(apart.select(*KEYS, "arm", "pos", "logr"), "logr", gamma, kmin), "fit", keys=[*KEYS, "arm"])
     segs = runs.groupBy(*KEYS, "arm", "run_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("n"), F.avg("logr").alias("level"))
+    segs = segs.withColumn("arm", F.substring_index("arm", ":", 1))
     dense = F.col("n") * 1000 / (F.col("end_pos") - F.col("start_pos") + 1) > min_density
     return segs.filter((F.col("level") < low) & (F.col("n") >= min_snps) & dense).drop("run_id")
 

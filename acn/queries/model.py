@@ -670,10 +670,11 @@ def _(spark, i, g):
     return pseudonormal.loh_noise_filter(i.select("sample_id", "chrom", "start_pos", "end_pos"), g)
 
 
-@query("loh_by_logr_windows", "v_hets v_tracks v_geometry v_intervals")
-def _(spark, hets, t, g, i):
-    loh = intervals.split_by_arm(i.select("sample_id", "chrom", "start_pos", "end_pos"), g)
-    return pseudonormal.loh_by_logr_windows(hets, t.withColumn("logr", F.col("logr") - 1), loh, g, min_gap=1e5, gamma=1, min_density=0.0, min_snps=2)
+@query("loh_by_logr_windows", "v_hets v_tracks v_geometry")
+def _(spark, hets, t, g):
+    found = pseudonormal.loh_by_het_gaps(hets, g, gamma=10, kmin=2, min_level=0.4)
+    lost = t.withColumn("logr", F.col("logr") - 1)
+    return pseudonormal.loh_by_logr_windows(hets, lost, found.select("sample_id", "chrom", "arm", "start_pos", "end_pos"), g, min_gap=5e5, gamma=1, min_density=0.0, min_snps=2)
 
 
 _SPIKE = """reg as (select sample_id, chrom, min(pos) as s, max(pos) as e from v_counts where cast(chrom as int) % 2 = 0 group by sample_id, chrom),

@@ -1,5 +1,6 @@
 """Known truth: tracks built from a chosen purity, ploidy and states must give them back."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,32 @@ def test_empty_tables(spark):
     assert windows.run_islands(e, "baf_seg").count() == 0
     assert windows.running_median(e, "logr", 5).count() == 0
     assert windows.big_gap_split(e).count() == 0
+
+
+def test_spline_correction_by_sample(spark):
+    """Residuals of each sample against least squares in numpy, in one job for all of them."""
+    from acn.operators import regression
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for s, n in (("a", 300), ("b", 200), ("c", 80)):
+        x, z = rng.uniform(0.3, 0.7, n), rng.uniform(0.2, 0.6, n) if s != "c" else np.repeat([0.25, 0.5], n // 2)
+        y = np.sin(8 * x) + z * z + rng.normal(0, 0.05, n)
+        basis = [np.ones(n)]
+        for v in (x, z):
+            k = np.quantile(v, [0, 0.25, 0.5, 0.75, 1])
+            basis.append(v)
+            if len(set(k)) > 2:
+                cube = lambda u: np.maximum(u, 0) ** 3
+                d = [(cube(v - k[i]) - cube(v - k[4])) / (k[4] - k[i]) if k[4] > k[i] else 0 * v for i in range(4)]
+                basis += [d[i] - d[3] for i in range(3)]
+        b = np.column_stack(basis)
+        residual = y - b @ np.linalg.lstsq(b, y, rcond=None)[0]
+        for i in range(n):
+            rows.append((s, "1", i, float(y[i]), float(x[i]), float(z[i])))
+            want[s, i] = residual[i]
+    df = spark.createDataFrame(rows, "sample_id string, chrom string, pos long, logr double, gc double, wide double")
+    got = {(r["sample_id"], r["pos"]): r["residual"] for r in regression.gc_replication_correct(df, "gc", "wide").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    picked = {(r["sample_id"], r["pos"]): r["residual"] for r in regression.correct_logr(df, ["gc"], ["wide"]).collect()}
+    assert all(abs(picked[k] - want[k]) < 1e-6 for k in want)
