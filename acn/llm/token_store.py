@@ -12,7 +12,8 @@ passages give equal chunks wherever they stand. Ids take two bytes while the voc
 
 Words between white space tokenise independently under these tokenizers (they lower-case), so each worker keeps the ids of words
 it has seen and puts a batch of texts together from them; new words are encoded in one go, parted by a control character. Texts
-that hold a special token or that character are encoded whole.
+that hold a special token or that character are encoded whole. Where the tokenizer leaves words of lower-case ASCII letters in one
+piece and unchanged, as these do (a few are tried when it is loaded), its model is asked directly for such words.
 
 Defined results: null text is empty and yields the end id alone; null doc_id sorts first; rows of one doc_id are documents of
 their own, in the order of their contents; an empty table gives an empty store; further columns are ignored.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,7 @@ FAN = 256
 CACHE = 700_000
 MARK = "\x01"
 TAIL = ".,;:!?"
+PROBES = [*"abcdefghijklmnopqrstuvwxyz", "the", "lazydogs", "quickbrownfoxesjumped", "zzxqkvjwpyh", "information", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
 
 
 class WordEncoder:
@@ -54,11 +57,18 @@ class WordEncoder:
         mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         self.words: dict[str, bytes] = {}
+        self.model, self.kind = self.tokenizer.model, "H" if width == 2 else "I"
+        self.plain = all(self._ids(w) == [x.id for x in self.model.tokenize(w)] for w in PROBES)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
+        if self.plain:
+            letters = [w for w in words if w.isascii() and w.isalpha()]
+            split = self.model.tokenize
+            self.words.update((w, array(self.kind, [x.id for x in split(w)]).tobytes()) for w in letters)
+            words = [w for w in words if not (w.isascii() and w.isalpha())]
         for i in range(0, len(words), 64):
             some = words[i : i + 64]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, self.type)
