@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bytes_of, discard, materialise, release, table_batch
+from ._shared import bytes_of, discard, fresh_names, materialise, release, table_batch
 
 COUNTED = ["n_sentences", "n_removed", "n_words_removed"]
 #: A sentence with the white space behind it.
@@ -98,8 +98,8 @@ def repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 15, passage:
     return found
 
 
-def _remover(names: list[str]):
-    text_at, spans_at = names.index("text"), names.index("_spans")
+def _remover(names: list[str], own_spans: str):
+    text_at, spans_at = names.index("text"), names.index(own_spans)
     rest = [i for i in range(len(names)) if i not in (text_at, spans_at)]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +119,11 @@ def _remover(names: list[str]):
 
 
 def remove_repeats(docs: DataFrame, run: int = 3, min_words: int = 15, passage: int | None = None) -> DataFrame:
-    """docs without the sentences of later places, text as the last of its columns, then n_sentences, n_removed and n_words_removed."""
-    found = repeated_spans(docs, run, min_words, passage).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("uid", "at", "n")).alias("_spans"))
-    plain = docs.drop(*COUNTED, "_id", "_spans").withColumn("text", F.col("text").cast("string"))
-    joined = plain.join(found, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_id"), "left").drop("_id")
+    """docs without the sentences of later places, text as the last of its columns, then n_sentences, n_removed and n_words_removed, which
+    take the place of any columns of these names; null doc_id comes first, as -1."""
+    own, spans = fresh_names(docs, "own_id", "own_spans")
+    found = repeated_spans(docs, run, min_words, passage).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("uid", "at", "n")).alias(spans))
+    plain = docs.drop(*COUNTED).withColumn("text", F.col("text").cast("string"))
+    joined = plain.join(found, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col(own), "left").drop(own)
     schema = T.StructType([*(f for f in plain.schema.fields if f.name != "text"), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTED)])
-    return joined.mapInArrow(_remover(joined.columns), schema)
+    return joined.mapInArrow(_remover(joined.columns, spans), schema)

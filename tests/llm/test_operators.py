@@ -514,8 +514,10 @@ def test_operators_keep_columns_of_clashing_names_and_repeated_rows(spark):
     df = spark.createDataFrame(clashing(rows), CLASHING).repartition(2)
     wide = {(r["doc_id"], r["text"]) for r in exact_dedup.keep_first(df).collect()}
     assert wide == {(2, text + " "), (3, None), (None, "p q r. s t u."), (5, "p q r. s t v."), (5, "another text under one id")}
-    for out in (exact_dedup.keep_first(df), mixing.mix(df), jaccard_join.keep_one(df)):
+    for out in (exact_dedup.keep_first(df), mixing.mix(df), jaccard_join.keep_one(df), line_dedup.remove_lines(df)):
         assert out.columns == df.columns and out.filter("own_id <> 'a' or _id <> 'c' or owner <> 7").count() == 0
+    spans = sentence_spans.remove_repeats(df)
+    assert set(df.columns) <= set(spans.columns) and spans.filter("own_id <> 'a' or _id <> 'c'").count() == 0 and spans.count() == len(rows)
     assert sorted(((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(df).collect()), key=str) == sorted([(1, text), (3, None), (None, None), (None, "p q r. s t u."), (5, "p q r. s t v."), (5, "another text under one id")], key=str)
 
 
