@@ -184,9 +184,10 @@ def repeated_hashes(rows: DataFrame, fields: list[tuple[str, T.DataType, pa.Data
     names, kinds, types = (list(x) for x in zip(*fields, strict=True))
     own = [T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]
     ordered = rows.select(*PACK, *names)
-    dealt = ordered.repartition(F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.coalesce("chunk", "key"))).sortWithinPartitions("bucket")
+    each = F.xxhash64("doc_id", "key")  # copies of one text spread by doc_id
+    dealt = ordered.repartition(F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.coalesce("chunk", each))).sortWithinPartitions("bucket")
     repeated = dealt.mapInArrow(_repeated_batches(names, types), T.StructType([*PACK_FIELDS, *own]))
-    together = repeated.repartition(F.coalesce("chunk", "key")).sortWithinPartitions("chunk", "bucket")
+    together = repeated.repartition(F.coalesce("chunk", each)).sortWithinPartitions("chunk", "bucket")
     found = together.mapInArrow(_document_batches(names, types), T.StructType([*own, T.StructField("hashes", T.BinaryType())]))
     path = new_path(rows.sparkSession, name)
     found.withColumn("kind", F.col("hashes").isNotNull().cast("int")).write.partitionBy("kind").parquet(path)
