@@ -191,6 +191,35 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert {r["doc_id"]: list(r["removed"]) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()} == want
 
 
+def test_line_dedup_against_brute_force_on_near_lines(spark):
+    """Lines of up to 70 words with 0 to 30% of them changed, on both sides of the similarity, and rows that repeat an id or have none."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    bases = [rng.sample(words, n) for n in (4, 5, 9, 17, 33, 70)]
+
+    def near(base):
+        return " ".join(rng.choice(words) if rng.random() < share else w for w in base) if (share := rng.choice((0, 0.05, 0.1, 0.15, 0.3))) else " ".join(base)
+
+    rows = [(i, "\n".join(near(rng.choice(bases)) for _ in range(8))) for i in range(40)]
+    rows += [(5, near(bases[4]) + "\nonly this row has these seven words"), (5, "another text under one id\n" + near(bases[5])), (None, near(bases[3])), (None, "a b c d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = sorted((r["id"], r["key"], r["text"]) for r in line_dedup._keyed(df).collect())
+    want, seen = [], []
+    for i, _, text in keyed:
+        gone = []
+        for n, line in enumerate(text.split("\n")):
+            s = set(line.split())
+            if len(s) >= 5 and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                gone.append(n)
+            if len(s) >= 5:
+                seen.append(s)
+        want.append((None if i == line_dedup.NO_ID else i, text.count("\n") + 1, gone))
+    got = [(r["doc_id"], r["n_lines"], list(r["removed"])) for r in line_dedup.removal_report(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    left = {r["text"] for r in line_dedup.remove_lines(df).filter("doc_id = 5").collect()}
+    assert any("only this row has these seven words" in t for t in left) and any("another text under one id" in t for t in left)
+
+
 def test_sentence_spans(docs, empty):
     got = {r["doc_id"]: r for r in sentence_spans.remove_repeats(docs).collect()}
     spans = defaultdict(list)
