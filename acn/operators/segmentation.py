@@ -89,15 +89,12 @@ def segment_phased_baf_legacy(df: DataFrame, gamma: float = 10, phase_gamma: flo
 
 
 def segment_phased_baf_multisample(df: DataFrame, breakpoints: DataFrame | None = None, gamma: float = 10, baf_option: int = 3, patient: str = "patient_id") -> DataFrame:
-    """Breaks that all samples of a patient share, over loci that each of them has; BAF is winsorised for the fit and its penalty is gamma
-    times the mean of the samples' deviations. Adds baf_phased and baf_seg."""
+    """Breaks that all samples of a patient share, over loci that each of them has, in pieces between breakpoints and large gaps; BAF is
+    winsorised for the fit and its penalty is gamma times the mean of the samples' deviations. Adds baf_phased and baf_seg."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot(index="pos", columns="sample_id", values="baf").sort_index()
-        wide = wide.dropna()
-        out = rows[rows["pos"].isin(wide.index)].sort_values(["sample_id", "pos"])
-        if wide.empty:
-            return out.assign(baf_phased=0.0, baf_seg=0.0)
+        out = rows.sort_values(["sample_id", "pos"])
         x = wide.to_numpy(float)
         sds = [max(np.nan_to_num(kernels.robust_sd(np.minimum(x[:, j], 1 - x[:, j]))), kernels.FLOOR_SD) for j in range(x.shape[1])]
 
@@ -119,7 +116,10 @@ def segment_phased_baf_multisample(df: DataFrame, breakpoints: DataFrame | None
         level = pd.DataFrame(phased).groupby(run).transform(lambda v: kernels.summary(v.to_numpy(), baf_option)).to_numpy()
         return out.assign(baf_phased=phased.T.ravel(), baf_seg=level.T.ravel())
 
-    pieces = presegment(df, breakpoints) if breakpoints is not None else df.withColumn("piece", F.lit(0).cast("bigint"))
+    samples = df.groupBy(patient, "chrom").agg(F.count_distinct("sample_id").alias("_of"))
+    known = df.filter("baf is not null")
+    common = known.groupBy(patient, "chrom", "pos").agg(F.count("*").alias("_has")).join(samples, [patient, "chrom"]).filter("_has = _of")
+    pieces = presegment(known.join(common.select(patient, "chrom", "pos"), [patient, "chrom", "pos"], "left_semi"), breakpoints)
     return _grouped(pieces, [patient, "chrom", "piece"], [("baf_phased", T.DoubleType()), ("baf_seg", T.DoubleType())], work).drop("piece")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,20 +50,51 @@ def presegment(df: DataFrame, breakpoints: DataFrame | None = None, gap: int = 3
     return counted.select("_row.*", "_n").withColumn("piece", F.col("piece") + F.col("_n")).drop("_n")
 
 
-def genome_chunks(df: DataFrame, hole: int = 1_000_000, min_snps: int = 200) -> DataFrame:
-    """Pieces between holes, as intervals with their number of loci; pieces under min_snps go to the neighbour on the nearer side.
+def _join_small(pieces: list[list], least: int) -> list[list]:
+    """pieces: first chromosome, start, last chromosome, end, loci, members, in order of the genome. Small ones join until none is left:
+    at the genome's ends with what comes next, elsewhere with the nearer neighbour of their chromosome, or the one before them."""
+    size = lambda i: pieces[i][4] + (i == 0) - (i == len(pieces) - 1)  # noqa: E731  the first counts one more, the last one less
+
+    def join(borders: set[int]) -> list[list]:
+        out = []
+        for i, p in enumerate(pieces):
+            if i - 1 in borders:
+                last = out[-1]
+                out[-1] = [*last[:2], *p[2:4], last[4] + p[4], last[5] + p[5]]
+            else:
+                out.append(p)
+        return out
+
+    def border(i: int) -> int:
+        before, own, after = pieces[i - 1 : i + 2]
+        left, right = before[2] == own[0], own[2] == after[0]
+        nearer_right = own[1] - before[3] > after[1] - own[3]
+        return i if right and (nearer_right or not left) else i - 1
+
+    while len(pieces) > 1 and size(0) < least:
+        pieces = join({0})
+    while len(pieces) > 1 and size(len(pieces) - 1) < least:
+        pieces = join({len(pieces) - 2})
+    while len(pieces) > 1 and (small := [i for i in range(len(pieces)) if size(i) < least]):
+        pieces = join({border(i) for i in small})
+    return pieces
+
 
-    The small ones join in one step: a run of small pieces goes whole to the nearer large one of its chromosome."""
+def genome_chunks(df: DataFrame, hole: int = 1_000_000, min_snps: int = 200) -> DataFrame:
+    """Pieces between holes, joined until each holds min_snps loci. Returns sample_id, chunk (0 and up in order of the genome), chrom,
+    start_pos, end_pos and n; a chunk that spans chromosomes has a row for each. Only the pieces of a sample, whose number the genome's
+    length bounds, meet in one task."""
     pieces = big_gap_split(df, hole).groupBy(*KEYS, "piece").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*KEYS).orderBy("start_pos")
-    large = F.col("n") >= min_snps
-    left = F.last(F.when(large, F.struct("piece", "end_pos")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    turned = Window.partitionBy(*KEYS).orderBy(F.desc("start_pos"))
-    right = F.last(F.when(large, F.struct("piece", "start_pos")), True).over(turned.rowsBetween(Window.unboundedPreceding, -1))
-    placed = pieces.withColumns({"_l": left, "_r": right})
-    to_left = F.col("_r").isNull() | (F.col("_l").isNotNull() & (F.col("start_pos") - F.col("_l.end_pos") <= F.col("_r.start_pos") - F.col("end_pos")))
-    home = F.when(large | (F.col("_l").isNull() & F.col("_r").isNull()), F.when(large, F.col("piece")).otherwise(F.min("piece").over(Window.partitionBy(*KEYS)))).when(to_left, F.col("_l.piece")).otherwise(F.col("_r.piece"))
-    return placed.withColumn("home", home).groupBy(*KEYS, "home").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("n").alias("n")).drop("home")
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        number = rows["chrom"].map(lambda c: int(c) if c.isdigit() else 99)
+        rows = rows.assign(_number=number).sort_values(["_number", "chrom", "start_pos"]).reset_index(drop=True)
+        single = [[r.chrom, r.start_pos, r.chrom, r.end_pos, r.n, [i]] for i, r in enumerate(rows.itertuples())]
+        chunk = {i: k for k, p in enumerate(_join_small(single, min_snps)) for i in p[5]}
+        rows = rows.assign(chunk=[chunk[i] for i in range(len(rows))])
+        return rows.groupby(["sample_id", "chunk", "chrom"], as_index=False).agg(start_pos=("start_pos", "min"), end_pos=("end_pos", "max"), n=("n", "sum"))
+
+    return pieces.groupBy("sample_id").applyInPandas(work, "sample_id string, chunk long, chrom string, start_pos long, end_pos long, n long")
 
 
 def _median(values: Column) -> Column:

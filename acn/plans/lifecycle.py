@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, calls, fit, loci, phasing, regression, segmentation
+from ..operators import aggregates, calls, fit, intervals, loci, phasing, pseudonormal, regression, segmentation
 from ..sources.readers import load_rho_psi
 from ..storage import materialise
 
+REGION = ["sample_id", "chrom", "arm", "start_pos", "end_pos"]
 #: What the three kinds of analysis set apart: BAF summary, penalties and minimum runs, and the ranges of ploidy and purity.
 MODES = {
     "paired": {"baf_option": 3, "phase_gamma": 1, "phase_kmin": 1, "gamma": 10, "kmin": 3, "ploidy": (1.6, 4.8), "rho": (0.1, 1.0)},
@@ -44,6 +45,33 @@ def paired(tumour: DataFrame, normal: DataFrame, alleles: DataFrame, haplotypes:
     return refit(segmented, logr, preset, mode) | {"logr": logr, "baf_segmented": segmented}
 
 
+def losses(hets: DataFrame, logr: DataFrame, geometry: DataFrame, mode: str = "cell_line") -> DataFrame:
+    """Regions without heterozygosity of samples without a normal: by long gaps between hets, then by low LogR inside single gaps of what is
+    left. In germlines the former need low LogR too. Regions that overlap are one."""
+    found = pseudonormal.loh_noise_filter(pseudonormal.loh_by_het_gaps(hets, geometry), geometry).select(*REGION)
+    found = materialise(found, "losses")
+    low = pseudonormal.loh_by_logr_windows(hets, logr, found, geometry, mode=mode).select(*REGION)
+    found = pseudonormal.drop_undepleted(found, logr, geometry) if mode == "germline" else found
+    return materialise(intervals.interval_merge_adjacent(found.unionByName(low)).select(*REGION), "losses")
+
+
+def unmatched(counts: DataFrame, alleles: DataFrame, geometry: DataFrame, mode: str = "cell_line") -> dict[str, DataFrame]:
+    """Counts of samples without a normal -> LogR of the sample, its losses, and counts of a normal that is heterozygous inside them. With
+    the latter as the normal, paired() goes on in the same mode."""
+    rows = materialise(aggregates.baf_logr_unpaired(counts, alleles), "unpaired")
+    logr = loci.finite_logr(rows).select("sample_id", "chrom", "pos", "logr")
+    hets = loci.het_snp_filter_counts(rows).select("sample_id", "chrom", "pos")
+    lost = losses(hets, logr, geometry, mode)
+    return {"logr": logr, "losses": lost, "normal": materialise(pseudonormal.pseudo_normal_counts(counts, alleles, lost).drop("spiked"), "pseudo-normal")}
+
+
+def several_samples(baf: DataFrame, logr: DataFrame, breakpoints: DataFrame | None = None, preset: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Phased BAF (with patient_id) and LogR of several samples of each patient -> shared breaks, then every sample's fit and profile."""
+    segmented = segmentation.segment_phased_baf_multisample(baf, breakpoints)
+    segmented = materialise(segmented.drop("patient_id"), "segmented")
+    return refit(segmented, logr, preset) | {"baf_segmented": segmented}
+
+
 def refit(baf_segmented: DataFrame, logr: DataFrame, preset: DataFrame | None = None, mode: str = "paired") -> dict[str, DataFrame]:
     """From segmented tracks on: fit, profile, ploidy and clonal share."""
     m = MODES[mode]

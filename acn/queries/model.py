@@ -665,7 +665,7 @@ def _(spark, t, g):
 _LOH = "(select v.sample_id, v.chrom, v.start_pos, v.end_pos from v_intervals v) i"
 
 
-@query("loh_noise_filter", "v_intervals v_geometry", f"select i.* from {_LOH} join v_geometry g on g.chrom = i.chrom where not (i.start_pos <= cen_right and i.end_pos >= cen_left and i.end_pos - i.start_pos < 1000000) and not (i.chrom in ('13', '14', '15', '21', '22') and i.end_pos <= cen_left)")
+@query("loh_noise_filter", "v_intervals v_geometry", f"select i.* from {_LOH} join v_geometry g on g.chrom = i.chrom where not (i.start_pos <= cen_right and i.end_pos >= cen_left and i.end_pos - i.start_pos < 1000000) and not (i.chrom in ('1', '9', '16') and i.start_pos > cen_left and i.start_pos < cen_right + 100000 and i.end_pos - i.start_pos > 1000000) and not (i.chrom in ('13', '14', '15', '21', '22') and i.end_pos <= cen_left)")
 def _(spark, i, g):
     return pseudonormal.loh_noise_filter(i.select("sample_id", "chrom", "start_pos", "end_pos"), g)
 
