@@ -191,8 +191,10 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert {r["doc_id"]: list(r["removed"]) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()} == want
 
 
-def test_line_dedup_against_brute_force_on_near_lines(spark):
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 4])
+def test_line_dedup_against_brute_force_on_near_lines(spark, monkeypatch, hot):
     """Lines of up to 70 words with 0 to 30% of them changed, on both sides of the similarity, and rows that repeat an id or have none."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(3000)]
     bases = [rng.sample(words, n) for n in (4, 5, 9, 17, 33, 70)]
