@@ -7,6 +7,7 @@ import pytest
 
 from acn.functions import stats
 from acn.operators import calls, fit, kernels, segmentation, tables
+from acn.sources import sinks
 
 GRID = [(i, j, 1.6 + 0.4 * i, 0.3 + 0.15 * j) for i in range(4) for j in range(4)]
 
@@ -228,3 +229,37 @@ def test_binomial_tests(spark):
         mass = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
         low = sum(mass[: k + 1])
         assert r["pmf"] == pytest.approx(mass[k]) and r["two"] == pytest.approx(2 * min(low, 1 - low))
+
+
+def test_extended_profile_has_all_solutions(spark, tmp_path):
+    """67 columns a segment; solutions beyond those found, and bootstrap columns without a bootstrap, are NA."""
+    option = "struct<nMaj1:double,nMin1:double,frac1:double,nMaj2:double,nMin2:double,frac2:double,SDfrac:double>"
+    schema = f"sample_id string, chrom string, start_pos long, end_pos long, baf double, pval double, logr double, ntot double, solutions array<{option}>, bootstrap map<int,struct<sd_bs:double,lo:double,hi:double>>"
+    rows = [
+        ("a", "1", 1, 9, 0.6, 0.0, 0.1, 2.3, [(2.0, 1.0, 0.3, 1.0, 1.0, 0.7, 0.02), (2.0, 1.0, 0.4, 2.0, 0.0, 0.6, 0.03)], {0: (0.01, 0.28, 0.32)}),
+        ("a", "2", 1, 9, 0.5, 1.0, 0.0, 2.0, [(1.0, 1.0, 1.0, None, None, None, None)], None),
+    ]
+    path = str(tmp_path / "profile")
+    sinks.write_profile_extended(spark.createDataFrame(rows, schema), path)
+    got = {r["chr"]: r for r in spark.read.option("sep", "\t").option("header", True).csv(path).collect()}
+    first, second = got["1"].asDict(), got["2"].asDict()
+    assert len(first) == 1 + 7 + 6 * 10
+    assert (first["nMaj1_A"], first["frac1_A"], first["SDfrac_A"], first["SDfrac_A_BS"], first["frac1_A_0.025"], first["frac1_A_0.975"]) == ("2.0", "0.3", "0.02", "0.01", "0.28", "0.32")
+    assert (first["frac2_B"], first["SDfrac_B"], first["frac1_B_0.025"], first["nMaj1_C"]) == ("0.6", "0.03", "NA", "NA")
+    assert (second["frac1_A"], second["nMaj2_A"], second["nMaj1_B"]) == ("1.0", "NA", "NA")
+
+
+def test_states_of_male_x(spark):
+    """Segments built from a purity and copies give them back, with the share of a mixture."""
+    purity, log = 0.8, lambda x: math.log2(0.8 * x + 0.2)
+    levels = [(log(1), "none"), (log(2), "gain"), (log(1.3), "gain"), (log(1.8), "gain"), (log(0), "loss"), (log(0.4), "loss")]
+    segs = spark.createDataFrame([("a", k, k, 50, v) for k, (v, _) in enumerate(levels)], "sample_id string, start_pos int, end_pos int, n int, logr double")
+    calibration = spark.createDataFrame([("a", 0.0, 0.05)], "sample_id string, shift double, sd_max double")
+    rho = spark.createDataFrame([("a", purity)], "sample_id string, purity double")
+    got = calls.call_x_segments(segs, calibration, rho).orderBy("start_pos").collect()
+    assert [r["kind"] for r in got] == [k for _, k in levels]
+    assert [r["is_clonal"] for r in got] == [True, True, False, False, True, False]
+    assert [(got[k]["nMaj1"], got[k]["frac1"]) for k in (0, 1, 4)] == [(1, 1), (2, 1), (0, 1)]
+    mixed = lambda r: {r["nMaj1"]: pytest.approx(r["frac1"]), r["nMaj2"]: pytest.approx(r["frac2"])}
+    assert mixed(got[2]) == {2: 0.3, 1: 0.7} and mixed(got[3]) == {2: 0.8, 1: 0.2} and mixed(got[5]) == {0: 0.6, 1: 0.4}
+    assert all(r["frac1"] >= 0.5 for r in got)
