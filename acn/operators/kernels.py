@@ -172,14 +172,22 @@ def summary(values: np.ndarray, option: int) -> float:
     return float(values.mean()) if option == 2 or option == 3 and median in (0.0, 1.0) else median
 
 
-def phase_vote(switch: np.ndarray, evidence: np.ndarray, first: int) -> np.ndarray:
-    """The joint haplotype: each locus by the weighted votes of those up to max_lag before it. switch, evidence: (loci, lags, samples)."""
-    n, lags, _ = switch.shape
+def phase_vote(bits: np.ndarray, phased: np.ndarray, sets: np.ndarray, max_lag: int, balanced_weight: float) -> np.ndarray:
+    """The joint haplotype: each locus by the votes of those up to max_lag before it, nearer ones weighing more. A sample's vote is what its
+    bits say about a switch; it counts fully where all loci between are phased and both ends share a set, else balanced_weight, as a share of
+    the samples' sum. bits, phased, sets: (loci, samples), NaN for no set."""
+    n = len(bits)
+    open_ = np.cumsum(~phased, axis=0)
+    before = open_ - ~phased
     h = np.zeros(n, int)
-    h[0] = first
+    h[0] = int(np.round(bits[0].mean()))
     for p in range(1, n):
-        k = min(lags, p)
-        weight = np.arange(k, 0, -1) / (k * (k + 1) / 2)
-        bits = np.abs(h[p - 1 :: -1][:k, None] - switch[p, :k]) * evidence[p, :k]
-        h[p] = int(np.round(float((weight[:, None] * bits).sum()) + 1e-12))
+        k = min(max_lag, p)
+        back = slice(p - k, p)
+        sure = (open_[p] == before[back]) & (sets[p] == sets[back])
+        evidence = np.where(sure, 1.0, balanced_weight)
+        switch = np.abs(bits[p] - bits[back])
+        votes = np.abs(h[back, None] - switch) * evidence / evidence.sum(axis=1, keepdims=True)
+        weight = np.arange(1, k + 1) / (k * (k + 1) / 2)
+        h[p] = int(np.round(float((weight[:, None] * votes).sum()) + 1e-12))
     return h

@@ -93,28 +93,24 @@ def phased_genotypes(counts: DataFrame, haps: DataFrame, baf_segmented: DataFram
     return rows.select("sample_id", *LOCUS, "ref", "alt", gt.alias("gt"), "ps", allele_count(allele_letter_to_index("ref")).alias("ad_ref"), allele_count(allele_letter_to_index("alt")).alias("ad_alt"))
 
 
-def multisample_phasing(phased: DataFrame, max_lag: int = 100, balanced_weight: float = 0.25, n_samples: int | None = None) -> DataFrame:
-    """Joint haplotype bit by locus, from the votes of up to max_lag loci before it. Loci are those of all samples; the vote itself is a
-    recursion over one chromosome, a grouped map of its lagged evidence."""
-    n = phased.select("sample_id").distinct().count() if n_samples is None else n_samples
-    shared = phased.groupBy(*LOCUS).agg(F.countDistinct("sample_id").alias("_n")).filter(F.col("_n") == n).select(*LOCUS)
-    rows = phased.join(shared, LOCUS, "left_semi")
-    lagged = phase_switches(rows, max_lag).join(phase_evidence(rows, max_lag, balanced_weight), [*KEYS, "pos", "lag"])
-    votes = lagged.groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("lag", "sample_id", "switch", "evidence"))).alias("votes"))
-    first = rows.groupBy(*LOCUS).agg(F.bround(F.avg("bit")).cast("int").alias("majority"))
-    joined = first.join(votes, LOCUS, "left").select("chrom", "pos", "majority", F.transform("votes", lambda v: v["lag"]).alias("lags"), F.transform("votes", lambda v: v["switch"]).alias("sw"), F.transform("votes", lambda v: v["evidence"]).alias("ev"))
+def multisample_phasing(phased: DataFrame, max_lag: int = 100, balanced_weight: float = 0.25, patient: str = "patient_id") -> DataFrame:
+    """Joint haplotype bit by locus, from the votes of up to max_lag loci before it (those of phase_switches() and phase_evidence()). Loci are
+    those of all of a patient's samples; without a column patient, all samples are one's. The vote is a recursion along one patient's
+    chromosome, so these are the groups."""
+    of = [patient] if patient in phased.columns else []
+    n = phased.groupBy(*of).agg(F.count_distinct("sample_id").alias("_of")) if of else phased.agg(F.count_distinct("sample_id").alias("_of"))
+    has = phased.groupBy(*of, *LOCUS).agg(F.count_distinct("sample_id").alias("_has"))
+    shared = (has.join(n, of) if of else has.join(F.broadcast(n), how="cross")).filter("_has = _of").select(*of, *LOCUS)  # n is one row without of
+    rows = phased.join(shared, [*of, *LOCUS], "left_semi").select(*of, "sample_id", *LOCUS, "bit", "phased", F.col("ps").cast("double").alias("ps"))
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pos").reset_index(drop=True)
-        s = np.zeros((len(p), max_lag, n))
-        e = np.zeros((len(p), max_lag, n))
-        for i, (lags, sw, ev) in enumerate(zip(p.lags, p.sw, p.ev, strict=True)):
-            if lags is not None and len(lags):
-                k = len(lags) // n
-                s[i, :k], e[i, :k] = np.reshape(sw, (k, n)), np.reshape(ev, (k, n))
-        return pd.DataFrame({"chrom": p.chrom, "pos": p.pos, "bit": kernels.phase_vote(s, e, int(p.majority.iloc[0]))})
-
-    return joined.groupBy("chrom").applyInPandas(work, "chrom string, pos long, bit int")
+        wide = p.pivot(index="pos", columns="sample_id", values=["bit", "phased", "ps"]).sort_index()
+        bit = kernels.phase_vote(wide["bit"].to_numpy(int), wide["phased"].to_numpy(bool), wide["ps"].to_numpy(float), max_lag, balanced_weight)
+        out = pd.DataFrame({"chrom": p["chrom"].iloc[0], "pos": wide.index.to_numpy(), "bit": bit})
+        return out.assign(**{k: p[k].iloc[0] for k in of})
+
+    schema = ", ".join([*(f"{k} {phased.schema[k].dataType.simpleString()}" for k in of), "chrom string, pos long, bit int"])
+    return rows.groupBy(*of, "chrom").applyInPandas(work, schema)
 
 
 def imbalanced_regions(profiles: DataFrame, min_samples: int = 2) -> DataFrame:

@@ -59,7 +59,8 @@ def test_tails():
 
 
 def test_vote_follows_sure_evidence():
-    switch = np.zeros((5, 2, 1))
-    switch[2:, 0] = 1
-    evidence = np.ones((5, 2, 1))
-    assert k.phase_vote(switch[:, :1], evidence[:, :1], 0).tolist() == [0, 0, 1, 0, 1]
+    """Of two samples that disagree on a switch, the one phased in one set outweighs the other."""
+    bits = np.array([[0, 0], [0, 0], [1, 0], [1, 0]])
+    phased = np.array([[True, False]] * 4)
+    assert k.phase_vote(bits, phased, np.array([[1.0, np.nan]] * 4), 100, 0.25).tolist() == [0, 0, 1, 1]
+    assert k.phase_vote(bits, ~phased, np.array([[np.nan, 1.0]] * 4), 100, 0.25).tolist() == [0, 0, 0, 0]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from acn.operators import pseudonormal, segmentation, windows
+from acn.operators import phasing, pseudonormal, segmentation, windows
 from acn.plans import lifecycle
 
 KEYS = "sample_id string, chrom string, pos long"
@@ -125,3 +125,26 @@ def test_several_samples_break_at_gaps(spark):
     level = got.assign(late=got.pos >= 6_000_000).groupby(["sample_id", "late"]).baf_seg.agg(["nunique", "mean"])
     assert (level["nunique"] == 1).all()
     assert level["mean"].tolist() == pytest.approx([0.5, 0.62, 0.7, 0.74], abs=0.01)
+
+
+def test_joint_phase_of_each_patient(spark):
+    """The recursion over phase_switches() and phase_evidence() in plain Python, for patients of three and of two samples."""
+    rng, rows = np.random.default_rng(12), []
+    for patient, samples in (("p", "abc"), ("q", "de")):
+        for s in samples:
+            rows += [(patient, s, "1", 10 * i, int(rng.integers(0, 2)), bool(rng.random() < 0.8), None if rng.random() < 0.1 else 10 * (i // 20)) for i in range(60)]
+    rows.append(("q", "d", "1", 15, 1, True, 0))  # the other sample lacks it
+    df = spark.createDataFrame(rows, KEYS.replace("sample_id", "patient_id string, sample_id") + ", bit int, phased boolean, ps long")
+    got = {(r["patient_id"], r["pos"]): r["bit"] for r in phasing.multisample_phasing(df, 7).collect()}
+    for patient in "pq":
+        own = df.filter((F.col("patient_id") == patient) & (F.col("pos") % 10 == 0)).drop("patient_id")
+        switch = {(r["sample_id"], r["pos"], r["lag"]): r["switch"] for r in windows.phase_switches(own, 7).collect()}
+        sure = {(r["sample_id"], r["pos"], r["lag"]): r["evidence"] for r in windows.phase_evidence(own, 7).collect()}
+        first = [r[4] for r in rows if r[0] == patient and r[3] == 0]
+        h = [round(sum(first) / len(first))]
+        for i in range(1, 60):
+            k = min(7, i)
+            vote = sum((k + 1 - lag) / (k * (k + 1) / 2) * abs(h[i - lag] - switch[s, 10 * i, lag]) * sure[s, 10 * i, lag] for s in {x[0] for x in switch} for lag in range(1, k + 1))
+            h.append(round(vote + 1e-12))
+        assert [got[patient, 10 * i] for i in range(60)] == h
+    assert len(got) == 120
