@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, sentence_spans, suffix_dedup, token_store, warc
+from . import (
+    exact_dedup, hard_negatives, jaccard_join, line_dedup, mixing, packing, positional_index, quality_rules, sentence_spans, source_audit, suffix_dedup, token_store, warc,
+)
 from ._shared import documents
 
 
@@ -56,5 +58,27 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(token_store.read_store(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_jaccard_join, op4_exact_dedup, op5_line_dedup, op6_sentence_spans, op7_warc, op8_quality_rules, op9_suffix_dedup, op10_token_store)}
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    codes = hard_negatives.build_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=label)
+    return hard_negatives.mine(codes, F.col("vec_id") % 100 == 0)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = positional_index.build_index(documents(spark, sf_dir))
+    return positional_index.contamination(index, positional_index.phrase_matches(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir))
+
+
+_ALL = (
+    op1_packing, op2_mixing, op3_jaccard_join, op4_exact_dedup, op5_line_dedup, op6_sentence_spans, op7_warc, op8_quality_rules, op9_suffix_dedup, op10_token_store,
+    op11_hard_negatives, op12_decontamination, op13_source_audit,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {
+    "op2_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE, "op12_decontamination": positional_index.ORACLE, "op13_source_audit": source_audit.ORACLE,
+}
