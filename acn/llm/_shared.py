@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
 import time
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +12,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, new_path  # noqa: F401  the operators take them from here
+
 #: A word is a run of characters outside this ASCII white space; bytes.split() splits at the same six.
 WHITE = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,29 +23,6 @@ def on_one_machine(spark: SparkSession) -> bool:
     return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session on one machine, such as a test's, may leave it unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not on_one_machine(spark):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and returns the table read back: lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove_folder(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -36,12 +36,12 @@ def cyclic_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
 def water_fill(sources: DataFrame, max_epochs: float = 3.0, budget_share: float = 1.0) -> DataFrame:
     """source, source_size, weight -> with target. One row per source: the only table that is ordered as a whole."""
     order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     levels = (
         sources.withColumn("cap", max_epochs * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
         .withColumn("budget", budget_share * F.sum("source_size").over(everything))
-        .withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
+        .withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
         .withColumn("water", F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "level"))).over(everything)["level"])
     )
     return levels.select("source", "source_size", "weight", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("weight"))).alias("target"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bytes_of, materialise, pair_hash, release, table_batch, text_key
+from ._shared import bytes_of, fresh_names, materialise, pair_hash, release, table_batch, text_key
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -190,5 +190,6 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_loss: f
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns. Each row is judged by its own text, whatever others have its doc_id."""
-    bad = _judged(docs, labels).filter("not kept").select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (text_key("text") == F.col("_bad_key")), "left_anti")
+    bad_id, bad_key = fresh_names(docs, "bad_id", "bad_key")
+    bad = _judged(docs, labels).filter("not kept").select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (text_key("text") == F.col(bad_key)), "left_anti")

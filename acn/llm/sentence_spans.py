@@ -8,7 +8,9 @@ other places are removed. Spans that overlap extend each other, so a repeated pa
 With `passage`, every whole sentence inside a repeated passage of that many words or more goes, wherever the passage begins and
 ends: of the words from the sentence's start to the passage's end and those from the passage's start to the sentence's end, one
 part or the other has half of passage + 1. So each sentence also gives the half's words from its start on and those up to its
-end, or itself if it is longer. A passage without a whole sentence inside has nothing to remove.
+end, or itself if it is longer. A passage without a whole sentence inside has nothing to remove. The rule that decides is thus: a
+sentence goes where it and what follows it, or it and what goes before it, up to (passage + 2) // 2 words (26 for 51), stands at an
+earlier place; a shorter repeat than `passage` may go, too, from that length on.
 
 Hot spans: first places and counts are found by an aggregate with map-side combine; the join back is an equi-join in which
 only spans with two places or more take part.
@@ -53,7 +55,7 @@ def _span_batches(run: int, min_words: int, passage: int | None):
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
-                columns: list[list[np.ndarray]] = [[], [], [], []]
+                columns: list[list[np.ndarray]] = [[], [], [], [], []]
                 for doc_id, text in zip(part.column(0).to_pylist(), bytes_of(part.column(1)), strict=True):
                     pieces = [x.lower().split() for x in sentences(text)]
                     full = [i for i, x in enumerate(pieces) if x]
@@ -76,10 +78,11 @@ def _span_batches(run: int, min_words: int, passage: int | None):
                             continue
                         cuts = zip(begins[low_word].tolist(), (begins[high_word] - 1).tolist(), strict=True)
                         hashes = np.fromiter((xxhash.xxh3_64_intdigest(flat[x:y], seed=seed) for x, y in cuts), np.uint64, len(at)).view(np.int64)
-                        for column, x in zip(columns, (np.full(len(at), -1 if doc_id is None else doc_id), np.full(len(at), uid), at, hashes), strict=True):
+                        for column, x in zip(columns, (np.full(len(at), doc_id or 0), np.full(len(at), doc_id is None), np.full(len(at), uid), at, hashes), strict=True):
                             column.append(x)
                 if columns[0]:
-                    yield table_batch(names, types, [np.concatenate(c) for c in columns])
+                    ids, unknown, *rest = (np.concatenate(c) for c in columns)
+                    yield table_batch(names, types, [pa.array(ids, mask=unknown), *rest])
 
     return spans
 
@@ -120,10 +123,10 @@ def _remover(names: list[str], own_spans: str):
 
 def remove_repeats(docs: DataFrame, run: int = 3, min_words: int = 15, passage: int | None = None) -> DataFrame:
     """docs without the sentences of later places, text as the last of its columns, then n_sentences, n_removed and n_words_removed, which
-    take the place of any columns of these names; null doc_id comes first, as -1."""
+    take the place of any columns of these names; null doc_id comes first."""
     own, spans = fresh_names(docs, "own_id", "own_spans")
     found = repeated_spans(docs, run, min_words, passage).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("uid", "at", "n")).alias(spans))
     plain = docs.drop(*COUNTED).withColumn("text", F.col("text").cast("string"))
-    joined = plain.join(found, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col(own), "left").drop(own)
+    joined = plain.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").drop(own)
     schema = T.StructType([*(f for f in plain.schema.fields if f.name != "text"), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTED)])
     return joined.mapInArrow(_remover(joined.columns, spans), schema)

@@ -83,8 +83,8 @@ class WordEncoder:
         if len(self.words) > CACHE:
             self.words = {w: x for w in words if (x := self.words.get(w)) is not None}
         new = [w for w in words if w not in self.words]
-        # letters and the marks behind them are tokens apart
-        ends = {w: core for w in new if (core := w.rstrip(TAIL)) != w and core.isalpha()}
+        # ASCII letters and the marks behind them are tokens apart; other letters may change when lower-cased and take a mark along
+        ends = {w: core for w in new if (core := w.rstrip(TAIL)) != w and core.isascii() and core.isalpha()}
         if fresh := {ends.get(w, w) for w in new}.union(w[len(core) :] for w, core in ends.items()).difference(self.words):
             self._learn(list(fresh))
         self.words.update((w, self.words[core] + self.words[w[len(core) :]]) for w, core in ends.items())

@@ -12,8 +12,8 @@ test or lie within a member already read.
 
 Paths are opened with pyarrow's file systems (local or mounted folders, S3, GCS; HDFS where libhdfs is installed).
 
-Defined results: null html is an empty payload; null url is left out of the record; null page_id can't be stored and is refused
-by the writer's schema (such rows go under id -1); repeated page_ids stay separate records; an empty table gives no archive and
+Defined results: null html is an empty payload; null url is left out of the record; null page_id is the smallest of all and
+comes back as null; rows that repeat a page_id stay records of their own, none of which revisits its own page_id; an empty table gives no archive and
 an empty result.
 """
 
@@ -40,12 +40,12 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
     return coder.compress(data) + coder.flush()
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record; a revisit has no payload."""
     revisit = refers_to is not None
     body = b"" if revisit else payload
     head = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'null' if page_id is None else page_id}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body))),
     ]
     if url is not None:
@@ -86,13 +86,13 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_revisit: int = 1
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     first = (
         rows.filter(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
         .filter("n > 1").select(F.col("digest").alias("_digest"), "keeper")
     )
     placed = rows.join(first, F.col("digest") == F.col("_digest"), "left")
-    refers = F.when(F.col("keeper") != F.col("page_id"), F.col("keeper"))
+    refers = F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
     return materialise(placed.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(_write(folder), "path string, size long, records long"), "warc-list")
 
 
@@ -142,7 +142,7 @@ def members(stream, start: int, end: int, size: int) -> Iterator[bytes]:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, types = ["page_id", "url", "record_type", "refers_to", "digest", "payload"], [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-    number = lambda x: None if x is None else int(x.strip("<>").rpartition(":")[2])
+    number = lambda x: None if x is None or x == "<urn:page:null>" else int(x.strip("<>").rpartition(":")[2])
     for batch in batches:
         for path, start, end, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             store, at = open_folder(path)
@@ -181,6 +181,6 @@ def full_payloads(read: DataFrame) -> DataFrame:
 ORACLE = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) h from pages),
 m as (select *, max(page_id) over (partition by h) k from p)
-select page_id, cast(n as bigint) payload_bytes, h payload_digest, case when n >= 1000 and k != page_id then 'revisit' else 'response' end record_type,
-       case when n >= 1000 and k != page_id then k end refers_to from m
+select page_id, cast(n as bigint) payload_bytes, h payload_digest, case when n >= 1000 and k is distinct from page_id then 'revisit' else 'response' end record_type,
+       case when n >= 1000 and k is distinct from page_id then k end refers_to from m
 """
