@@ -201,7 +201,8 @@ def pair_divergence(rows: DataFrame, groups: DataFrame) -> DataFrame:
         "lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
         (F.col("times") * (F.abs(F.col("p") - F.col("zero_b")) - F.abs(F.col("zero") - F.col("zero_b")))).alias("value"),
     )
-    both = paths.repartitionByRange("lang", "row").sortWithinPartitions("lang", "row").mapInArrow(_tree_batches, "lang string, a string, b string, value long")
+    begin = F.transform(F.slice("row", 1, 3), lambda x: F.struct(x["source"], x["count"]))  # ranges are drawn from short keys
+    both = paths.repartitionByRange("lang", begin, F.xxhash64("row")).sortWithinPartitions("lang", "row").mapInArrow(_tree_batches, "lang string, a string, b string, value long")
     sums = base.unionByName(alone).unionByName(both).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     ways = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
     return sums.select("lang", ways.alias("w"), "value").select("lang", "w.source", "w.item", "value")
