@@ -4,12 +4,15 @@ segments: sample_id, b (BAF), r (LogR), length, and size, mean, sd where clonali
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cn_alleles, div, expected_baf, nearest_edge, psi_t_from_cn, reliability, rescue_negative_minor, rho_psi_from_segment, t_statistic
+from ..functions.scalars import cn_alleles, div, expected_baf, nearest_edge, psi_t_from_cn, rescue_negative_minor, rho_psi_from_segment, t_statistic
 from ..functions.stats import binomial_pmf, one_sample_t
 from ..storage import materialise
+from . import grids
 
 SMALLER_BETTER = {0: True, 1: False, 2: False, 3: False}
 CLONAL_SMALLER_BETTER = {0: False, 1: True, 2: True, 3: True, 4: False}
@@ -32,35 +35,20 @@ def _points(grid: DataFrame, segments: DataFrame) -> DataFrame:
 def score_grid_ascat(grid: DataFrame, segments: DataFrame, metric: int = 1, gamma: float = 1.0, uninformative: float = 0.51) -> DataFrame:
     """sample_id, i, j, psi, rho, score. Metrics: 0 squared distance of the minor allele from whole numbers (least is best); 1 the same turned
     round; 2 both alleles; 3 as 2, homozygous deletions weighing more. Which allele is minor is decided by their sums at the point."""
-    n_a, n_b = cn_alleles("b", "r", "rho", "psi", gamma)
-    rows = _points(grid, segments.select("sample_id", "b", "r", "length")).withColumns({"n_a": n_a, "n_b": n_b})
-    off = lambda n: F.abs(F.col(n) - F.greatest(F.bround(F.col(n)), F.lit(0.0)))
-    inner = lambda n: (0.5 - off(n)) * (0.5 - off(n))
-    length = F.col("length")
-    if metric == 0:
-        term = lambda n: off(n) * off(n) * length * F.when(F.col("b") <= uninformative, 0.05).otherwise(1.0)
-    elif metric == 1:
-        term = lambda n: inner(n) * length
-    else:
-        gone = (F.col("n_a") < 0.5) & (F.col("n_b") < 0.5) & (F.col("n_a") >= 0) & (F.col("n_b") >= 0)
-        weight = F.when(gone, 8.0).otherwise(1.0) if metric == 3 else F.lit(1.0)
-        term = lambda n: 0.5 * (inner("n_a") + inner("n_b")) * weight * length
-    sums = rows.groupBy("sample_id", "i", "j", "psi", "rho").agg(F.sum("n_a").alias("sum_a"), F.sum("n_b").alias("sum_b"), F.sum(term("n_a")).alias("if_a"), F.sum(term("n_b")).alias("if_b"))
+    out = ["sum_a", "sum_b", "if_a", "if_b"]
+    parts = grids.score(grid, segments, lambda s, psi, rho: grids.ascat_sums(s, psi, rho, metric, gamma, uninformative), np.add, ["b", "r", "length"], out)
+    sums = parts.groupBy("sample_id", "i", "j", "psi", "rho").agg(*(F.sum(c).alias(c) for c in out))
     return sums.select("sample_id", "i", "j", "psi", "rho", F.when(F.col("sum_a") < F.col("sum_b"), F.col("if_a")).otherwise(F.col("if_b")).alias("score"))
 
 
 def local_minima(scored: DataFrame, radius: int = 3, score: str = "score") -> DataFrame:
-    """Strict minima of their (2 radius + 1)-squared neighbourhood; points that near the border don't count. A minimum over rows, then one
-    over columns, each with the number of points that reach it."""
-    w = Window.partitionBy("sample_id", "i").orderBy("j").rangeBetween(-radius, radius)
-    rows = scored.withColumns({"_m": F.min(score).over(w), "_near": F.collect_list(score).over(w)})
-    rows = rows.withColumn("_c", F.size(F.filter("_near", lambda x: x == F.col("_m"))))
-    v = Window.partitionBy("sample_id", "j").orderBy("i").rangeBetween(-radius, radius)
-    rows = rows.withColumns({"_mm": F.min("_m").over(v), "_all": F.collect_list(F.struct("_m", "_c")).over(v)})
-    count = F.aggregate(F.filter("_all", lambda x: x["_m"] == F.col("_mm")), F.lit(0), lambda acc, x: acc + x["_c"])
-    every = Window.partitionBy("sample_id")
-    inside = F.col("i").between(F.min("i").over(every) + radius, F.max("i").over(every) - radius) & F.col("j").between(F.min("j").over(every) + radius, F.max("j").over(every) - radius)
-    return rows.withColumns({"_in": inside, "_n": count}).filter((F.col("_in")) & (F.col(score) == F.col("_mm")) & (F.col("_n") == 1)).select(*scored.columns)
+    """Strict minima of their (2 radius + 1)-squared neighbourhood; points that near the border don't count. A sample's grid, of
+    fixed size, is a group."""
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        return p[grids.strict_minima(p["i"].to_numpy(int), p["j"].to_numpy(int), p[score].to_numpy(float), radius)]
+
+    return scored.groupBy("sample_id").applyInPandas(work, scored.schema)
 
 
 def grid_point_stats(grid: DataFrame, segments: DataFrame, gamma: float = 1.0) -> DataFrame:
@@ -82,22 +70,25 @@ def select_ascat_optimum(scored: DataFrame, segments: DataFrame, metric: int = 1
     """sample_id, psi, rho, ploidy, goodness: the best local optimum that passes the filters. Where none does and allow_pure holds, points with
     rho over 1 are blocked and the test for zero copies is left out. The last of equal scores wins; rho is at most 1. No optimum: null."""
     smaller = SMALLER_BETTER[metric]
-    signed = scored.withColumn("m", F.col("score") if smaller else -F.col("score"))
-
-    def found(points: DataFrame, strict: bool) -> DataFrame:
-        minima = local_minima(points, score="m")
-        s = minima.join(grid_point_stats(minima, segments, gamma), ["sample_id", "i", "j", "psi", "rho"])
-        s = s.withColumn("goodness", 100 * (1 - F.col("m") / F.col("most")) if smaller else -100 * F.col("m") / F.col("most"))
-        inside = (F.col("ploidy") > min_ploidy) & (F.col("ploidy") < max_ploidy) if strict else F.col("ploidy").between(min_ploidy, max_ploidy)
-        good = inside & (F.col("rho") >= min_rho) & (F.col("goodness") >= min_goodness)
-        return s.filter(good if strict else good & ((F.col("percent_zero") > 0.01) | (F.col("percent_zero_odd") > 0.1)))
-
-    first = found(signed, False).withColumn("turn", F.lit(1))
-    if allow_pure:
-        second = found(signed.withColumn("m", F.when(F.col("rho") > 1, 1e20).otherwise(F.col("m"))), True).withColumn("turn", F.lit(2))
-        first = first.unionByName(second)
+    signed = scored.withColumn("m", F.col("score") if smaller else -F.col("score")).select("sample_id", "i", "j", "psi", "rho", "m")
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        turns = []
+        for turn in (1, 2) if allow_pure else (1,):
+            m = p["m"].to_numpy(float) if turn == 1 else np.where(p["rho"] > 1, 1e20, p["m"])
+            turns.append(p.assign(m=m, turn=turn)[grids.strict_minima(p["i"].to_numpy(int), p["j"].to_numpy(int), m, 3)])
+        return pd.concat(turns)
+
+    minima = signed.groupBy("sample_id").applyInPandas(work, "sample_id string, i int, j int, psi double, rho double, m double, turn int")
+    minima = materialise(minima, "local-minima")  # a few rows a sample
+    point = ["sample_id", "i", "j", "psi", "rho"]
+    s = minima.join(grid_point_stats(minima.select(*point).distinct(), segments, gamma), point)
+    s = s.withColumn("goodness", 100 * (1 - F.col("m") / F.col("most")) if smaller else -100 * F.col("m") / F.col("most"))
+    inside = (F.col("ploidy") > min_ploidy) & (F.col("ploidy") < max_ploidy)
+    some_zero = F.col("ploidy").between(min_ploidy, max_ploidy) & ((F.col("percent_zero") > 0.01) | (F.col("percent_zero_odd") > 0.1))
+    good = (F.col("rho") >= min_rho) & (F.col("goodness") >= min_goodness) & F.when(F.col("turn") == 1, some_zero).otherwise(inside)
     order = F.struct(F.col("turn"), F.col("m"), -F.col("i"), -F.col("j"))
-    best = first.groupBy("sample_id").agg(F.min_by(F.struct("psi", F.least("rho", F.lit(1.0)).alias("rho"), "ploidy", "goodness"), order).alias("b"))
+    best = s.filter(good).groupBy("sample_id").agg(F.min_by(F.struct("psi", F.least("rho", F.lit(1.0)).alias("rho"), "ploidy", "goodness"), order).alias("b"))
     return segments.select("sample_id").distinct().join(best, "sample_id", "left").select("sample_id", "b.*")
 
 
@@ -113,13 +104,6 @@ def refine_bounds(optimum: DataFrame, min_psi: float = 1.0, max_psi: float = 5.4
     return optimum.select("sample_id", psi[0].alias("psi_min"), psi[1].alias("psi_max"), rho[0].alias("rho_min"), rho[1].alias("rho_max"))
 
 
-def refined_grid(bounds: DataFrame, steps: int = 100) -> DataFrame:
-    """sample_id, i, j, psi, rho: steps + 1 points each way inside each sample's bounds."""
-    at = lambda lo, hi, k: F.col(lo) + (F.col(hi) - F.col(lo)) * (F.col(k) - 1) / steps
-    rows = bounds.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(steps + 1)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(steps + 1))))
-    return rows.select("sample_id", "i", "j", at("psi_min", "psi_max", "i").alias("psi"), at("rho_min", "rho_max", "j").alias("rho"))
-
-
 def _once(rows: DataFrame, **columns: Column) -> DataFrame:
     """rows with columns that what stands above reads: by way of a generator, since plain projections are merged into one and then
     compute a nested expression again wherever it is used."""
@@ -182,22 +166,24 @@ def segment_ln_likelihood_ratio(segments: DataFrame, rho_psi: DataFrame | None =
 
 def score_grid_clonal(grid: DataFrame, segments: DataFrame, metric: int = 0, gamma: float = 1.0, sig: float = 0.05, max_dist: float = 0.01, uninformative: float = 0.51, read_depth: float = 30) -> DataFrame:
     """sample_id, i, j, psi, rho, score and ref (the longest clonal unbalanced segment: b, r, nMaj, nMin, length). Metrics: 0 clonal share of the
-    genome (largest is best), 1 mean squared t, 2 mean squared difference of level and mean BAF, 3 the same by length, 4 sum of log ratios."""
-    informative = segments.filter(F.col("b") > uninformative)
-    rows = grid.join(informative, "sample_id") if "sample_id" in grid.columns else _points(grid, informative)
-    rows = segment_is_clonal(rows, sig=sig, max_dist=max_dist, gamma=gamma)
-    rows = segment_standardised_error(rows, gamma=gamma) if metric == 1 else rows
-    rows = segment_ln_likelihood_ratio(rows, read_depth=read_depth, gamma=gamma) if metric == 4 else rows
-    off = (F.col("b") - F.col("mean")) * (F.col("b") - F.col("mean"))
-    score = {
-        0: lambda: div(F.sum(F.when(F.col("is_clonal"), F.col("length")).otherwise(0)), F.sum("length")),
-        1: lambda: div(F.sum(F.col("t_error") * F.col("t_error")), F.count("t_error")),
-        2: lambda: F.avg(off),
-        3: lambda: div(F.sum(F.col("length") * off), F.sum("length")),
-        4: lambda: F.sum("ln_ratio"),
-    }[metric]()
-    ref = F.max_by(F.struct("b", "r", "nMaj", "nMin", "length"), F.when(F.col("is_clonal") & ~F.col("balanced"), F.struct("length", (-F.col("start_pos")).alias("s")) if "start_pos" in segments.columns else F.struct("length", (-F.col("seg_id")).alias("s"))))
-    return rows.groupBy("sample_id", "i", "j", "psi", "rho").agg(F.coalesce(score, F.lit(0.0)).alias("score"), ref.alias("ref"))
+    genome (largest is best), 1 mean squared t, 2 mean squared difference of level and mean BAF, 3 the same by length, 4 sum of log ratios.
+    grid: points for all samples, bounds by sample (as refine_bounds() gives them), or a few points for each sample."""
+    place = -F.col("start_pos" if "start_pos" in segments.columns else "seg_id")
+    informative = segments.filter(F.col("b") > uninformative).withColumn("place", place.cast("double"))
+    out = ["top", "below", "longest", "place", "b", "r", "n_maj", "n_min"]
+
+    def sums(s, psi, rho):
+        return np.concatenate(grids.clonal_sums(s, psi, rho, metric, gamma, sig, max_dist, read_depth, CAP))
+
+    def add(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        later = (y[2] > x[2]) | ((y[2] == x[2]) & (y[3] > x[3]))
+        return np.concatenate([x[:2] + y[:2], np.where(later, y[2:], x[2:])])
+
+    parts = grids.score(grid, informative, sums, add, ["b", "r", "length", "size", "mean", "sd", "place"], out)
+    ref = F.struct("b", "r", F.col("n_maj").alias("nMaj"), F.col("n_min").alias("nMin"), F.col("longest").alias("length"))
+    total = F.sum("top") if metric == 4 else div(F.sum("top"), F.sum("below"))
+    found = F.max_by(F.when(F.col("longest") > 0, ref), F.struct("longest", "place"))
+    return parts.groupBy("sample_id", "i", "j", "psi", "rho").agg(F.coalesce(total, F.lit(0.0)).alias("score"), found.alias("ref"))
 
 
 def centroid_optimum(scored: DataFrame, smaller: bool = False) -> DataFrame:
@@ -213,10 +199,18 @@ def centroid_optimum(scored: DataFrame, smaller: bool = False) -> DataFrame:
 
 
 def reference_segment_solution(optimum: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """rho and psi that make the optimum's reference segment exactly its state; without one the sample has no tumour: rho 1, psi 2."""
+    """rho and psi that make the optimum's reference segment exactly its state, null where that rho isn't above 0; without such a segment the
+    sample has no tumour: rho 1, psi 2."""
     rho, _, psi_t = rho_psi_from_segment("ref.b", "ref.r", "ref.nMaj", "ref.nMin", gamma)
-    none = F.col("ref").isNull()
-    return optimum.select("sample_id", F.when(none, 1.0).otherwise(rho).alias("rho"), F.when(none, 2.0).otherwise(psi_t).alias("psi"), (~none).alias("has_reference"))
+    none, good = F.col("ref").isNull(), rho > 0
+    return optimum.select("sample_id", F.when(none, 1.0).when(good, rho).alias("rho"), F.when(none, 2.0).when(good, psi_t).alias("psi"), (~none).alias("has_reference"))
+
+
+def mean_ploidy(segments: DataFrame, points: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """sample_id, ploidy: both alleles' unrounded copies at each sample's point (rho, psi), weighted by length."""
+    n_a, n_b = cn_alleles("b", "r", "rho", "psi", gamma)
+    rows = segments.select("sample_id", "b", "r", "length").join(points.select("sample_id", "rho", "psi"), "sample_id")
+    return rows.groupBy("sample_id").agg(div(F.sum((n_a + n_b) * F.col("length")), F.sum("length")).alias("ploidy"))
 
 
 def recalc_psi_t(segments: DataFrame, rho_psi: DataFrame, include_subclonal: bool = False, sig: float = 0.05, max_dist: float = 0.01, gamma: float = 1.0) -> DataFrame:
@@ -232,28 +226,40 @@ def drop_short(segments: DataFrame) -> DataFrame:
     return segments.filter("length > 1")
 
 
-def segment_reliability(segments: DataFrame, rho_psi: DataFrame, gamma: float = 1.0) -> DataFrame:
-    rows = segments.join(rho_psi.select("sample_id", "rho", "psi"), "sample_id")
-    return rows.withColumns(reliability("b", "r", "rho", "psi", gamma))
-
-
 def fit_copy_number(segments: DataFrame, preset: DataFrame | None = None, metric: int = 1, clonal_metric: int = 0, gamma: float = 1.0, min_ploidy: float = 1.6, max_ploidy: float = 4.8, min_rho: float = 0.1, max_rho: float = 1.0, min_goodness: float = 63) -> DataFrame:
-    """sample_id, method, rho, psi, ploidy, distance, is_best: the coarse optimum (ASCAT), the refined grid's (FRAC_GENOME, with tumour ploidy
-    recalculated) and its reference segment's (REF_SEG). A preset (sample_id, rho, psi) takes the place of the coarse grid."""
+    """sample_id, method, rho, psi, ploidy, distance, is_best: the coarse optimum (ASCAT), the refined grid's (FRAC_GENOME; psi is the tumour's
+    from clonal segments, ploidy all segments' at the point) and its reference segment's (REF_SEG). distance is the clonal metric. REF_SEG is best
+    where its point lies inside the limits of ploidy and purity and its distance beats the grid's; a sample without a reference segment counts as
+    rho 1, psi 2 and distance 1, a reference without a rho as infinitely far. A preset (sample_id, rho, psi) takes the coarse grid's place."""
     spark = segments.sparkSession
     if preset is None:
         grid = rho_psi_grid(spark, max(min_ploidy - 0.6, 0), max_ploidy + 0.6, max(min_rho - 0.03, 0.05), max_rho + 0.03)
         coarse = select_ascat_optimum(score_grid_ascat(grid, segments, metric, gamma), segments, metric, min_ploidy, max_ploidy, min_rho, min_goodness, gamma)
     else:
-        coarse = preset.select("sample_id", "psi", "rho", F.lit(None).cast("double").alias("ploidy"), F.lit(None).cast("double").alias("goodness"))
+        coarse = preset.select("sample_id", "psi", "rho", F.col("psi").alias("ploidy"), F.lit(None).cast("double").alias("goodness"))
     coarse = materialise(coarse.filter("psi is not null"), "coarse-fit")
-    fine = refined_grid(refine_bounds(coarse, min_rho=min_rho, max_rho=max_rho))
-    best = centroid_optimum(score_grid_clonal(fine, drop_short(segments), clonal_metric, gamma), CLONAL_SMALLER_BETTER[clonal_metric])
-    best = materialise(best.withColumn("rho", F.least("rho", F.lit(1.0))), "fine-fit")
-    psi_t = recalc_psi_t(segments, best.select("sample_id", "rho", "psi"), gamma=gamma)
+    smaller, used = CLONAL_SMALLER_BETTER[clonal_metric], drop_short(segments)
+    bounds = refine_bounds(coarse, min_ploidy, max_ploidy, min_rho, max_rho)
+    best = materialise(centroid_optimum(score_grid_clonal(bounds, used, clonal_metric, gamma), smaller), "fine-fit")
+    pure = best.withColumn("rho", F.least("rho", F.lit(1.0)))
+    grid_fit = (
+        pure.join(recalc_psi_t(segments, pure.select("sample_id", "rho", "psi"), gamma=gamma).select("sample_id", "psi_t"), "sample_id")
+        .join(mean_ploidy(used, best, gamma), "sample_id").select("sample_id", "rho", F.col("psi_t").alias("psi"), "ploidy", F.col("score").alias("distance"))
+    )
+    # the reference segment's point, scored like the grid's
+    ref = materialise(reference_segment_solution(best, gamma), "reference-fit")
+    points = ref.filter("has_reference and rho is not null").select("sample_id", F.lit(1).alias("i"), F.lit(1).alias("j"), "psi", "rho")
+    scored = score_grid_clonal(points, used, clonal_metric, gamma).select("sample_id", "score")
+    ploidy = F.when(F.col("has_reference"), F.col("ploidy")).otherwise(2.0)
+    distance = F.when(~F.col("has_reference"), 1.0).when(F.col("rho").isNull(), float("inf")).otherwise(F.col("score"))
+    ref_fit = ref.join(mean_ploidy(used, points, gamma), "sample_id", "left").join(scored, "sample_id", "left").select("sample_id", "rho", "psi", ploidy.alias("ploidy"), distance.alias("distance"))
+    inside = F.col("psi").between(min_ploidy, max_ploidy) & F.col("rho").between(min_rho, max_rho)
+    better = F.col("distance") < F.col("grid_distance") if smaller else F.col("distance") > F.col("grid_distance")
+    contest = ref_fit.join(grid_fit.select("sample_id", F.col("distance").alias("grid_distance")), "sample_id").select("sample_id", F.coalesce(inside & better, F.lit(False)).alias("won"))
+    none = F.lit(None).cast("double")
     rows = [
-        coarse.select("sample_id", F.lit("ASCAT").alias("method"), "rho", "psi", "ploidy", F.col("goodness").alias("distance")),
-        best.join(psi_t.select("sample_id", "psi_t"), "sample_id").select("sample_id", F.lit("FRAC_GENOME").alias("method"), "rho", F.col("psi_t").alias("psi"), F.col("psi_t").alias("ploidy"), F.col("score").alias("distance")),
-        reference_segment_solution(best, gamma).select("sample_id", F.lit("REF_SEG").alias("method"), "rho", "psi", F.col("psi").alias("ploidy"), F.lit(None).cast("double").alias("distance")),
+        coarse.select("sample_id", F.lit("ASCAT").alias("method"), "rho", "psi", "ploidy", none.alias("distance"), F.lit(None).cast("boolean").alias("is_best")),
+        grid_fit.join(contest, "sample_id").select("sample_id", F.lit("FRAC_GENOME").alias("method"), "rho", "psi", "ploidy", "distance", (~F.col("won")).alias("is_best")),
+        ref_fit.join(contest, "sample_id").select("sample_id", F.lit("REF_SEG").alias("method"), "rho", "psi", "ploidy", "distance", F.col("won").alias("is_best")),
     ]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("is_best", F.col("method") == "FRAC_GENOME")
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -34,13 +34,18 @@ def interval_overlap(a: DataFrame, b: DataFrame, keys=("chrom",), bin_width: int
     return both.filter((F.col("start_pos") <= F.col("b_end_pos")) & (F.col("b_start_pos") <= F.col("end_pos")) & (F.col("_bin") == first)).drop("_bin")
 
 
-def interval_disjoin(iv: DataFrame, keys=("chrom",)) -> DataFrame:
-    """The pieces between neighbouring boundaries that some interval covers: a sweep over +1 at starts and -1 behind ends."""
+def interval_disjoin(iv: DataFrame, keys=("chrom",), bin_width: int = BIN) -> DataFrame:
+    """The pieces between neighbouring boundaries that some interval covers: a sweep over +1 at starts and -1 behind ends, in two levels. The
+    sums of bins are swept first, a row a bin, then each bin's boundaries from what it takes over, so that no task sweeps a chromosome."""
     keys = list(keys)
     edges = iv.select(*keys, F.col("start_pos").alias("at"), F.lit(1).alias("d")).union(iv.select(*keys, F.col("end_pos") + 1, F.lit(-1)))
-    points = edges.groupBy(*keys, "at").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    swept = points.withColumns({"depth": F.sum("d").over(w), "next": F.lead("at").over(w)})
+    points = edges.groupBy(*keys, "at").agg(F.sum("d").alias("d")).withColumn("_bin", (F.col("at") / bin_width).cast("bigint"))
+    along = Window.partitionBy(*keys).orderBy("_bin")
+    before = F.sum("_d").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    bins = points.groupBy(*keys, "_bin").agg(F.sum("d").alias("_d"), F.min("at").alias("_first"))
+    taken_over = bins.select(*keys, "_bin", F.coalesce(before, F.lit(0)).alias("_open"), F.lead("_first").over(along).alias("_later"))
+    w = Window.partitionBy(*keys, "_bin").orderBy("at")
+    swept = points.join(taken_over, [*keys, "_bin"]).withColumns({"depth": F.col("_open") + F.sum("d").over(w), "next": F.coalesce(F.lead("at").over(w), "_later")})
     return swept.filter("depth > 0 and next is not null").select(*keys, F.col("at").alias("start_pos"), (F.col("next") - 1).alias("end_pos"), "depth")
 
 

@@ -35,10 +35,6 @@ def genotypes_to_vcf_rows(gt: DataFrame) -> DataFrame:
     return gt.filter("g0 + g1 + g2 > 0").select("sample_id", F.when(F.col("chrom") == "23", "X").otherwise(F.col("chrom")).alias("chrom"), "pos", F.col("snp_id").alias("id"), F.col("ref_allele").alias("ref"), F.col("alt_allele").alias("alt"), call.alias("gt"))
 
 
-def vcf_lines(vcf: DataFrame) -> DataFrame:
-    return vcf.select("chrom", "pos", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), "gt").alias("value"))
-
-
 def vcf_rows_to_haplotypes(vcf: DataFrame) -> DataFrame:
     """Phased genotypes as hap1 and hap2, with ids numbered by position."""
     bits = F.split("gt", r"\|")
@@ -83,14 +79,19 @@ def apply_external_haplotypes(haps: DataFrame, external: DataFrame) -> DataFrame
 
 
 def phased_genotypes(counts: DataFrame, haps: DataFrame, baf_segmented: DataFrame, include_homozygous: bool = False) -> DataFrame:
-    """Genotypes with phase set and read depths: | where the locus lies in an imbalanced segment, else /."""
+    """Genotypes with phase set and read depths of loci in segmented BAF (baf_phased, baf_seg). The first allele is the one that baf_phased
+    counts, the segment's upper side: 1 where that is the share of alternative reads. | where the segment is imbalanced, else /. With
+    include_homozygous all loci come, those outside segments with their haplotypes."""
     rows = haps.join(counts, ["sample_id", *LOCUS])
     rows = rows if include_homozygous else rows.filter("hap1 <> hap2")
-    sets = phase_set_ids(baf_segmented.select("sample_id", *LOCUS, "baf_seg")).select("sample_id", *LOCUS, "ps", "baf_seg")
-    rows = rows.join(sets, ["sample_id", *LOCUS], "left")
-    sure = F.greatest(F.col("baf_seg"), 1 - F.col("baf_seg")) > 0.525
-    gt = F.concat(F.col("hap1").cast("string"), F.when(F.coalesce(sure, F.lit(False)), "|").otherwise("/"), F.col("hap2").cast("string"))
-    return rows.select("sample_id", *LOCUS, "ref", "alt", gt.alias("gt"), "ps", allele_count(allele_letter_to_index("ref")).alias("ad_ref"), allele_count(allele_letter_to_index("alt")).alias("ad_alt"))
+    sets = phase_set_ids(baf_segmented.select("sample_id", *LOCUS, "baf_phased", "baf_seg")).select("sample_id", *LOCUS, "ps", "baf_phased", "baf_seg")
+    rows = rows.join(sets, ["sample_id", *LOCUS], "left" if include_homozygous else "inner")
+    ref, alt = allele_count(allele_letter_to_index("ref")), allele_count(allele_letter_to_index("alt"))
+    upper = F.coalesce(F.abs(F.col("baf_phased") - div(alt, ref + alt)) < 1e-5, F.lit(False)).cast("int")
+    sure = F.coalesce(F.greatest(F.col("baf_seg"), 1 - F.col("baf_seg")) > 0.525, F.lit(True))
+    own = F.concat(upper.cast("string"), F.when(sure, "|").otherwise("/"), (1 - upper).cast("string"))
+    gt = F.when(F.col("baf_phased").isNull(), F.concat(F.col("hap1").cast("string"), F.lit("|"), F.col("hap2").cast("string"))).otherwise(own)
+    return rows.select("sample_id", *LOCUS, "ref", "alt", gt.alias("gt"), "ps", ref.alias("ad_ref"), alt.alias("ad_alt"))
 
 
 def multisample_phasing(phased: DataFrame, max_lag: int = 100, balanced_weight: float = 0.25, patient: str = "patient_id") -> DataFrame:
@@ -113,18 +114,28 @@ def multisample_phasing(phased: DataFrame, max_lag: int = 100, balanced_weight:
     return rows.groupBy(*of, "chrom").applyInPandas(work, schema)
 
 
+def _of_patient(df: DataFrame) -> list[str]:
+    return [c for c in ("patient_id",) if c in df.columns]
+
+
 def imbalanced_regions(profiles: DataFrame, min_samples: int = 2) -> DataFrame:
-    """Pieces of the genome in which several samples are imbalanced, with those samples."""
-    odd = profiles.filter((F.col("nMaj1") != F.col("nMin1")) | (F.col("nMaj2") != F.col("nMin2"))).select("sample_id", "chrom", "start_pos", "end_pos")
-    pieces = interval_disjoin(odd).drop("depth").select("chrom", F.col("start_pos").alias("pos"), "end_pos")
-    held = assign_points_to_intervals(pieces.withColumnRenamed("end_pos", "_end"), odd, ["chrom"]).groupBy("chrom", F.col("pos").alias("start_pos"), F.col("_end").alias("end_pos")).agg(F.array_sort(F.collect_set("sample_id")).alias("samples"))
-    return held.filter(F.size("samples") >= min_samples)
+    """Pieces of the genome in which several samples of a patient are imbalanced, with those samples. Without a column patient_id all samples
+    are one patient's."""
+    keys = [*_of_patient(profiles), "chrom"]
+    odd = profiles.filter((F.col("nMaj1") != F.col("nMin1")) | (F.col("nMaj2") != F.col("nMin2"))).select(*keys, "sample_id", "start_pos", "end_pos")
+    pieces = interval_disjoin(odd, keys).drop("depth").select(*keys, F.col("start_pos").alias("pos"), F.col("end_pos").alias("_end"))
+    held = assign_points_to_intervals(pieces, odd, keys)
+    found = held.groupBy(*keys, F.col("pos").alias("start_pos"), F.col("_end").alias("end_pos")).agg(F.array_sort(F.collect_set("sample_id")).alias("samples"))
+    return found.filter(F.size("samples") >= min_samples)
 
 
 def mirrored_imbalance(regions: DataFrame, phased: DataFrame, joint: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Share of each sample's loci that agree with the joint haplotype in each region; mirrored where samples differ by more than threshold."""
-    rows = phased.join(joint.select(*LOCUS, F.col("bit").alias("joint_bit")), LOCUS)
-    inside = assign_points_to_intervals(rows, regions, ["chrom"]).filter(F.expr("array_contains(samples, sample_id)"))
-    share = inside.groupBy("chrom", "start_pos", "end_pos", "sample_id").agg(F.avg((F.col("bit") == F.col("joint_bit")).cast("double")).alias("agree"), F.count("*").alias("n"))
-    spread = share.groupBy("chrom", "start_pos", "end_pos").agg((F.max("agree") - F.min("agree")).alias("spread"), F.array_sort(F.collect_list(F.struct("sample_id", "agree"))).alias("by_sample"))
+    """Share of each sample's loci that agree with the joint haplotype in each region; mirrored where a patient's samples differ by more than
+    threshold. Regions, loci and joint haplotype carry patient_id, or none of them does."""
+    of = _of_patient(regions)
+    rows = phased.join(joint.select(*of, *LOCUS, F.col("bit").alias("joint_bit")), [*of, *LOCUS])
+    inside = assign_points_to_intervals(rows, regions, [*of, "chrom"]).filter(F.expr("array_contains(samples, sample_id)"))
+    region = [*of, "chrom", "start_pos", "end_pos"]
+    share = inside.groupBy(*region, "sample_id").agg(F.avg((F.col("bit") == F.col("joint_bit")).cast("double")).alias("agree"), F.count("*").alias("n"))
+    spread = share.groupBy(*region).agg((F.max("agree") - F.min("agree")).alias("spread"), F.array_sort(F.collect_list(F.struct("sample_id", "agree"))).alias("by_sample"))
     return spread.withColumn("mirrored", F.col("spread") > threshold)

@@ -88,7 +88,7 @@ def segment_phased_baf_legacy(df: DataFrame, gamma: float = 10, phase_gamma: flo
     return _grouped(df.filter("baf is not null"), KEYS, [("baf_phased", T.DoubleType()), ("baf_seg", T.DoubleType())], work)
 
 
-def segment_phased_baf_multisample(df: DataFrame, breakpoints: DataFrame | None = None, gamma: float = 10, baf_option: int = 3, patient: str = "patient_id") -> DataFrame:
+def segment_phased_baf_multisample(df: DataFrame, breakpoints: DataFrame | None = None, gamma: float = 5, baf_option: int = 3, patient: str = "patient_id") -> DataFrame:
     """Breaks that all samples of a patient share, over loci that each of them has, in pieces between breakpoints and large gaps; BAF is
     winsorised for the fit and its penalty is gamma times the mean of the samples' deviations. Adds baf_phased and baf_seg."""
 

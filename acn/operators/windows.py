@@ -148,15 +148,16 @@ def phase_switches(df: DataFrame, max_lag: int = 100) -> DataFrame:
 
 
 def phase_evidence(df: DataFrame, max_lag: int = 100, balanced_weight: float = 0.25) -> DataFrame:
-    """sample_id, chrom, pos, lag, evidence: 1 where all loci from lag to here are phased and both ends share a phase set, else
-    balanced_weight; as a share of the samples' sum."""
-    w = ordered()
+    """sample_id, chrom, pos, lag, evidence (and patient_id, where df has it): 1 where all loci from lag to here are phased and both ends share
+    a phase set, else balanced_weight; as a share of the sum of the patient's samples."""
+    own = [c for c in ("patient_id",) if c in df.columns]
+    w = ordered([*own, *KEYS])
     rows = df.withColumn("_open", F.sum((~F.col("phased")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     back = F.collect_list(F.struct("ps", (F.col("_open") - (~F.col("phased")).cast("int")).alias("before"))).over(w.rowsBetween(-max_lag, -1))
     each = rows.withColumn("_back", back).select("*", F.posexplode(F.reverse("_back")).alias("_l", "_b"))
     sure = (F.col("_open") - F.col("_b.before") == 0) & (F.col("ps") == F.col("_b.ps"))
-    raw = each.select(*KEYS, "pos", (F.col("_l") + 1).alias("lag"), F.when(sure, 1.0).otherwise(balanced_weight).alias("e"))
-    return raw.withColumn("evidence", F.col("e") / F.sum("e").over(Window.partitionBy("chrom", "pos", "lag"))).drop("e")
+    raw = each.select(*own, *KEYS, "pos", (F.col("_l") + 1).alias("lag"), F.when(sure, 1.0).otherwise(balanced_weight).alias("e"))
+    return raw.withColumn("evidence", F.col("e") / F.sum("e").over(Window.partitionBy(*own, "chrom", "pos", "lag"))).drop("e")
 
 
 def phase_set_ids(df: DataFrame, threshold: float = 0.525) -> DataFrame:

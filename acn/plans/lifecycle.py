@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, calls, fit, intervals, loci, phasing, pseudonormal, regression, segmentation
+from ..operators import aggregates, calls, fit, intervals, loci, phasing, pseudonormal, regression, segmentation, windows
 from ..sources.readers import load_rho_psi
 from ..storage import materialise
 
+#: Reads a locus needs for its haplotype BAF in a run.
+MIN_COUNTS = 10
 REGION = ["sample_id", "chrom", "arm", "start_pos", "end_pos"]
 #: What the three kinds of analysis set apart: BAF summary, penalties and minimum runs, and the ranges of ploidy and purity.
 MODES = {
@@ -28,10 +30,11 @@ def tracks(tumour: DataFrame, normal: DataFrame, alleles: DataFrame, covariates:
 
 
 def segments_of(baf_segmented: DataFrame, logr: DataFrame) -> DataFrame:
-    """Segmented BAF and LogR -> segments with the moments that the fits need."""
-    synced = loci.sync_segments_with_logr(baf_segmented, logr)
-    means = synced.groupBy("sample_id", "chrom", "baf_seg").agg(F.avg("logr").alias("logr_seg"))
-    return aggregates.segment_info(synced.join(means, ["sample_id", "chrom", "baf_seg"]))
+    """Segmented BAF and LogR -> segments with the moments that the fits need. LogR is averaged over each run of equal baf_seg, so that
+    separate segments of equal BAF keep their own."""
+    synced = loci.sync_segments_with_logr(windows.run_islands(baf_segmented, "baf_seg"), logr)
+    means = synced.groupBy("sample_id", "chrom", "run_id").agg(F.avg("logr").alias("logr_seg"))
+    return aggregates.segment_info(synced.join(means, ["sample_id", "chrom", "run_id"]).drop("run_id"))
 
 
 def paired(tumour: DataFrame, normal: DataFrame, alleles: DataFrame, haplotypes: DataFrame, mode: str = "paired", breakpoints: DataFrame | None = None, preset: DataFrame | None = None, **covariates) -> dict[str, DataFrame]:
@@ -40,7 +43,7 @@ def paired(tumour: DataFrame, normal: DataFrame, alleles: DataFrame, haplotypes:
     the points from which a run can go on; a preset (sample_id, rho, psi) skips the coarse grid."""
     m = MODES[mode]
     logr = materialise(loci.finite_logr(tracks(tumour, normal, alleles, **covariates)), "logr")
-    baf = phasing.haplotype_baf(tumour, haplotypes)
+    baf = phasing.haplotype_baf(tumour, haplotypes, MIN_COUNTS)
     segmented = materialise(segmentation.segment_phased_baf(baf, breakpoints, m["gamma"], m["phase_gamma"], m["kmin"], m["phase_kmin"], baf_option=m["baf_option"]), "segmented")
     return refit(segmented, logr, preset, mode) | {"logr": logr, "baf_segmented": segmented}
 
@@ -65,6 +68,38 @@ def unmatched(counts: DataFrame, alleles: DataFrame, geometry: DataFrame, mode:
     return {"logr": logr, "losses": lost, "normal": materialise(pseudonormal.pseudo_normal_counts(counts, alleles, lost).drop("spiked"), "pseudo-normal")}
 
 
+def multisample(
+    tumour: DataFrame, normal: DataFrame, alleles: DataFrame, haplotypes: DataFrame, patients: DataFrame, mode: str = "paired", breakpoints: DataFrame | None = None,
+    preset: DataFrame | None = None, **covariates,
+) -> dict[str, DataFrame]:
+    """Several samples of each patient, in two passes. patients: patient_id, sample_id. Each sample is phased and segmented alone; what their
+    imbalanced segments say about the haplotypes is put together by patient, and the samples' haplotypes are rewritten by it; BAF is made anew
+    and segmented with breaks that a patient's samples share. After every sample's fit and profile come the regions in which samples of a patient are
+    imbalanced, and whether towards opposite haplotypes. A patient with one sample keeps its own segments."""
+    m = MODES[mode]
+    logr = materialise(loci.finite_logr(tracks(tumour, normal, alleles, **covariates)), "logr")
+    settings = (breakpoints, m["gamma"], m["phase_gamma"], m["kmin"], m["phase_kmin"])
+    alone = materialise(segmentation.segment_phased_baf(phasing.haplotype_baf(tumour, haplotypes, MIN_COUNTS), *settings, baf_option=m["baf_option"]), "alone")
+    several = patients.groupBy("patient_id").agg(F.count_distinct("sample_id").alias("n")).filter("n > 1").select("patient_id")
+    members = materialise(patients.select("patient_id", "sample_id").distinct().join(several, "patient_id"), "members")
+    bits = materialise(phase_bits(phasing.phased_genotypes(tumour, haplotypes, alone), members), "phase-bits")
+    joint = materialise(phasing.multisample_phasing(bits), "joint-haplotype")
+    known = members.join(joint, "patient_id").select("sample_id", "chrom", "pos", F.col("bit").alias("hap1"), F.lit(1).alias("ps"))  # one phase set a chromosome
+    rewritten = materialise(phasing.apply_external_haplotypes(haplotypes.join(members, "sample_id", "left_semi"), known), "haplotypes")
+    baf = phasing.haplotype_baf(tumour, rewritten, MIN_COUNTS).join(members, "sample_id")
+    shared = segmentation.segment_phased_baf_multisample(baf, breakpoints, baf_option=m["baf_option"]).drop("patient_id")
+    segmented = materialise(shared.unionByName(alone.join(members, "sample_id", "left_anti").select(*shared.columns)), "segmented")
+    out = refit(segmented, logr, preset, mode) | {"logr": logr, "baf_segmented": segmented, "joint": joint, "haplotypes": rewritten}
+    regions = materialise(phasing.imbalanced_regions(out["profile"].join(members, "sample_id")), "imbalanced-regions")
+    return out | {"regions": regions, "mirrored": phasing.mirrored_imbalance(regions, bits, joint)}
+
+
+def phase_bits(genotypes: DataFrame, patients: DataFrame) -> DataFrame:
+    """Phased genotypes as patient_id, sample_id, chrom, pos, bit (the first allele), phased and ps."""
+    bit, phased = F.substring("gt", 1, 1).cast("int"), F.substring("gt", 2, 1) == "|"
+    return genotypes.join(patients, "sample_id").select("patient_id", "sample_id", "chrom", "pos", bit.alias("bit"), phased.alias("phased"), "ps")
+
+
 def several_samples(baf: DataFrame, logr: DataFrame, breakpoints: DataFrame | None = None, preset: DataFrame | None = None) -> dict[str, DataFrame]:
     """Phased BAF (with patient_id) and LogR of several samples of each patient -> shared breaks, then every sample's fit and profile."""
     segmented = segmentation.segment_phased_baf_multisample(baf, breakpoints)

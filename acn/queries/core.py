@@ -116,7 +116,7 @@ def _(spark, track):
     return readers.read_generic_table(spark, text_table(spark, track.select(F.col("chrom").alias("my chrom"), "pos", "baf"), "generic", header=True))
 
 
-_MANIFEST = "select chrom, 'l' || chrom as impute_legend, 'm' || chrom as genetic_map, 'h' || chrom as impute_hap, cast(start_pos as int) as start, cast(end_pos as int) as \"end\", cast(cast(chrom as int) % 2 as int) as is_par from v_geometry"
+_MANIFEST = "select chrom, 'l' || chrom as impute_legend, 'm' || chrom as genetic_map, 'h' || chrom as impute_hap, cast(start_pos as int) as start, cast(end_pos as int) as \"end\", cast(cast(chrom as int) % 2 as int) as is_par from v_spans"
 
 
 def _manifest(spark, geometry):
@@ -124,9 +124,9 @@ def _manifest(spark, geometry):
     return text_table(spark, rows, "manifest")
 
 
-@query("read_region_manifest", "v_geometry v_track", f"select * from ({_MANIFEST}) t where is_par = 1")
-def _(spark, geometry, track):
-    return readers.read_region_manifest(spark, _manifest(spark, geometry.join(track.select("chrom").distinct(), "chrom", "left_semi")), True)
+@query("read_region_manifest", "v_spans", f"select * from ({_MANIFEST}) t where is_par = 1")
+def _(spark, spans):
+    return readers.read_region_manifest(spark, _manifest(spark, spans), True)
 
 
 @query("chromosome_list", "v_track", "select distinct chrom from v_track where chrom not in ('X', 'Y')")
@@ -199,15 +199,14 @@ def _(spark, profile):
     return _text_back(spark, sinks.write_profile, profile, sinks.profile_table(profile).schema)
 
 
-@query("write_rho_psi", "v_fit v_track", "select sample_id, method, rho, psi, ploidy, distance, is_best from v_fit")
-def _(spark, rho_psi, track):
-    own = rho_psi.join(track.select("sample_id").distinct(), "sample_id", "left_semi")
-    return _text_back(spark, sinks.write_rho_psi, own, own.schema)
+@query("write_rho_psi", "v_fits", "select sample_id, method, rho, psi, ploidy, distance, is_best from v_fits")
+def _(spark, rho_psi):
+    return _text_back(spark, sinks.write_rho_psi, rho_psi, rho_psi.schema)
 
 
-@query("load_rho_psi", "v_fit v_track", "select sample_id, rho, psi as psi_t, distance as goodness from v_fit where method = 'FRAC_GENOME'")
-def _(spark, rho_psi, track):
-    return readers.load_rho_psi(rho_psi.join(track.select("sample_id").distinct(), "sample_id", "left_semi"))
+@query("load_rho_psi", "v_fits", "select sample_id, rho, psi as psi_t, distance as goodness from v_fits where method = 'FRAC_GENOME'")
+def _(spark, rho_psi):
+    return readers.load_rho_psi(rho_psi)
 
 
 _TOTAL = "(case when frac1 < 1 then nMaj1 * frac1 + nMaj2 * frac2 else nMaj1 end + case when frac1 < 1 then nMin1 * frac1 + nMin2 * frac2 else nMin1 end)"
@@ -399,10 +398,14 @@ def _(spark, p, s):
     return intervals.assign_points_to_intervals(p, s, closed="right").select("sample_id", "chrom", "pos", "start_pos", "end_pos")
 
 
-@query("interval_overlap", "v_intervals", "select a.chrom, a.start_pos, a.end_pos, b.start_pos as b_start_pos, b.end_pos as b_end_pos from v_intervals a join v_intervals b on a.chrom = b.chrom and a.start_pos <= b.end_pos and b.start_pos <= a.end_pos where a.sample_id = 's1' and b.sample_id = 's2'")
+_OVERLAP = "a.chrom = b.chrom and a.start_pos <= b.end_pos and b.start_pos <= a.end_pos"
+
+
+@query("interval_overlap", "v_intervals", f"""
+  select a.chrom, a.sample_id, a.start_pos, a.end_pos, b.sample_id as b_sample_id, b.start_pos as b_start_pos, b.end_pos as b_end_pos from v_intervals a join v_intervals b on {_OVERLAP}""")
 def _(spark, i):
-    pick = lambda s: i.filter(F.col("sample_id") == s).select("chrom", "start_pos", "end_pos")
-    return intervals.interval_overlap(pick("s1"), pick("s2"))
+    own = i.select("chrom", "sample_id", "start_pos", "end_pos")
+    return intervals.interval_overlap(own, own)
 
 
 _PIECES = """edges as (select chrom, start_pos as edge_at, 1 as d from v_intervals union all select chrom, end_pos + 1, -1 from v_intervals),

@@ -446,12 +446,19 @@ def _(spark, s):
     return rounded(fit.grid_point_stats(fit.rho_psi_grid(spark), _segs(s)), "ploidy", "percent_zero", "percent_zero_odd", "most")
 
 
-@query("select_ascat_optimum", "v_segments", """select s.sample_id, b.psi, b.rho, round(b.ploidy, 6) as ploidy, round(b.goodness, 4) as goodness from (select distinct sample_id from v_segments) s left join (
-  select m.sample_id, arg_min(m.psi, (m.m, -m.i, -m.j)) as psi, arg_min(least(m.rho, 1.0), (m.m, -m.i, -m.j)) as rho, arg_min(st.ploidy, (m.m, -m.i, -m.j)) as ploidy, arg_min(-100 * m.m / st.most, (m.m, -m.i, -m.j)) as goodness
-  from minima m join stats st on st.sample_id = m.sample_id and st.i = m.i and st.j = m.j where st.ploidy between 1.6 and 4.8 and m.rho >= 0.1 and -100 * m.m / st.most >= 20 and (st.percent_zero > 0.01 or st.percent_zero_odd > 0.1) group by m.sample_id) b on b.sample_id = s.sample_id""", f"{_GRID}, {_POINT}, {_MINIMA}, {_STATS}")
-def _(spark, s):
-    segs = _segs(s)
-    best = fit.select_ascat_optimum(fit.score_grid_ascat(fit.rho_psi_grid(spark), segs, 1), segs, 1, min_goodness=20, allow_pure=False)
+_SECOND = "turned as (select sample_id, i, j, psi, rho, case when rho > 1 then 1e20 else m end as m from scored), minima2 as (select c.* from turned c where " + _MINIMA.split("from scored c where ")[1].replace("from scored o", "from turned o")
+_GOOD = "m.rho >= 0.1 and -100 * m.m / st.most >= 63"
+_TURNS = f"""turns as (select 1 as turn, m.*, st.ploidy, -100 * m.m / st.most as goodness from (select sample_id, i, j, psi, rho, m from minima) m join stats st on st.sample_id = m.sample_id and st.i = m.i and st.j = m.j
+    where st.ploidy between 1.6 and 4.8 and (st.percent_zero > 0.01 or st.percent_zero_odd > 0.1) and {_GOOD}
+  union all select 2, m.*, st.ploidy, -100 * m.m / st.most from minima2 m join stats st on st.sample_id = m.sample_id and st.i = m.i and st.j = m.j where st.ploidy > 1.6 and st.ploidy < 4.8 and {_GOOD})"""
+_CHOICE = """select s.sample_id, b.psi, b.rho, round(b.ploidy, 6) as ploidy, round(b.goodness, 4) as goodness from (select distinct sample_id from v_segments) s left join (
+  select sample_id, arg_min(psi, o) as psi, arg_min(least(rho, 1.0), o) as rho, arg_min(ploidy, o) as ploidy, arg_min(goodness, o) as goodness from (select *, (turn, m, -i, -j) as o from turns) t
+  group by sample_id) b on b.sample_id = s.sample_id"""
+
+
+@query("select_ascat_optimum", "v_segments v_model_segments", _CHOICE, f"{_GRID}, {_POINT.replace('s.baf', 's.b').replace('s.logr', 's.r').replace('s.n as len', 's.length as len').replace('from v_segments', 'from v_model_segments')}, {_MINIMA}, {_STATS}, {_SECOND}, {_TURNS}")
+def _(spark, s, segs):
+    best = fit.select_ascat_optimum(fit.score_grid_ascat(fit.rho_psi_grid(spark), segs, 1), segs, 1)
     return best.select("sample_id", "psi", "rho", r6("ploidy").alias("ploidy"), F.round("goodness", 4).alias("goodness"))
 
 
@@ -522,7 +529,7 @@ def _(spark, s, f):
 
 @query("fit_copy_number", "v_seg6")
 def _(spark, s):
-    return fit.fit_copy_number(s, metric=1, min_goodness=20)
+    return fit.fit_copy_number(s, metric=1)
 
 
 @query("fit_copy_number_preset", "v_seg6 v_fit")
@@ -594,9 +601,11 @@ def _(spark, s, b):
 # --- phasing, several samples, no normal ---------------------------------------------------------------------------------------
 
 
-@query("phasing_regions", "v_geometry v_track", "select chrom, 1 + n * 5000000 + 1 as start_pos, least(end_pos, 1 + (n + 1) * 5000000) as end_pos from (select g.*, unnest(range(0, 12)) as n from v_geometry g) t")
-def _(spark, g, t):
-    return phasing.phasing_regions(g.join(t.select("chrom").distinct(), "chrom", "left_semi"))
+@query("phasing_regions", "v_spans", """
+  select chrom, start_pos + n * 5000000 + 1 as start_pos, least(end_pos, start_pos + (n + 1) * 5000000) as end_pos
+  from (select s.*, unnest(range(0, cast(ceil((end_pos - start_pos) / 5000000) as bigint))) as n from v_spans s) t""")
+def _(spark, g):
+    return phasing.phasing_regions(g)
 
 
 _HAP = "(select h.sample_id, h.chrom, h.pos, case when hap1 = 1 then a else r end as on1, a + r as depth from (select h.*, [c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', h.ref)] as r, [c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', h.alt)] as a from v_haplotypes h join v_hap_counts c on c.sample_id = h.sample_id and c.chrom = h.chrom and c.pos = h.pos where hap1 <> hap2) h) x"
@@ -626,9 +635,21 @@ def _(spark, h):
     return phasing.apply_external_haplotypes(h, ext).select("chrom", "pos", "hap1", "hap2")
 
 
-@query("phased_genotypes", "v_haplotypes v_hap_counts v_baf_segmented", f"select h.chrom, h.pos, h.hap1 || case when greatest(z.baf_seg, 1 - z.baf_seg) > 0.525 then '|' else '/' end || h.hap2 as gt, z.ps from v_haplotypes h join v_hap_counts c on c.chrom = h.chrom and c.pos = h.pos join {_PS} on z.chrom = h.chrom and z.pos = h.pos where h.hap1 <> h.hap2", _SETS.replace("> 0.6", "> 0.525"))
+_SEGMENTED = f"""seg as (select z.chrom, z.pos, z.ps, z.baf_seg, case when z.baf_seg > 0.6 then x.on1 / x.depth else 1 - x.on1 / x.depth end as phased
+    from {_PS} left join {_HAP} on x.chrom = z.chrom and x.pos = z.pos and x.depth > 0),
+  own as (select h.*, [c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', h.ref)] as ad_ref, [c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', h.alt)] as ad_alt
+    from v_haplotypes h join v_hap_counts c on c.chrom = h.chrom and c.pos = h.pos where h.hap1 <> h.hap2),
+  bits as (select own.*, seg.ps, seg.baf_seg, seg.phased, cast(abs(phased - ad_alt / (ad_ref + ad_alt)) < 1e-5 as int) as bit from own join seg on seg.chrom = own.chrom and seg.pos = own.pos)"""
+
+
+@query("phased_genotypes", "v_haplotypes v_hap_counts v_baf_segmented", """
+  select chrom, pos, case when phased is null then hap1 || '|' || hap2 else bit || case when greatest(baf_seg, 1 - baf_seg) > 0.525 then '|' else '/' end || (1 - bit) end as gt,
+    ps, ad_ref, ad_alt from bits""",
+       _SETS.replace("> 0.6", "> 0.525") + ", " + _SEGMENTED)
 def _(spark, h, c, s):
-    return phasing.phased_genotypes(c, h, s).select("chrom", "pos", "gt", "ps")
+    level = s.select("sample_id", "chrom", "pos", "baf_seg")
+    rows = level.join(phasing.haplotype_baf(c, h), ["sample_id", "chrom", "pos"], "left").withColumn("baf_phased", F.when(F.col("baf_seg") > 0.6, F.col("baf")).otherwise(1 - F.col("baf")))
+    return phasing.phased_genotypes(c, h, rows).select("chrom", "pos", "gt", "ps", "ad_ref", "ad_alt")
 
 
 @query("multisample_phasing", "v_phased")
@@ -637,29 +658,54 @@ def _(spark, p):
 
 
 def _three(p, samples):
-    return p.drop("sample_id").join(samples, how="cross").withColumns({"nMaj1": F.col("nMaj1") + F.col("k") % 2, "start_pos": F.col("start_pos") + F.col("k") * 10})
+    """The profile as three samples' of two patients; the second patient's segments begin 7 bases later."""
+    own = p.drop("sample_id").join(samples, how="cross").withColumns({"nMaj1": F.col("nMaj1") + F.col("k") % 2, "start_pos": F.col("start_pos") + F.col("k") * 10})
+    both = own.withColumn("o", F.explode(F.array(F.lit(0), F.lit(7))))
+    return both.withColumns({"patient_id": F.concat(F.lit("p"), F.col("o").cast("string")), "start_pos": F.col("start_pos") + F.col("o")})
 
 
-_ODD = "(select s.sample_id, p.chrom, p.start_pos + s.k * 10 as start_pos, p.end_pos from v_profile p cross join v_samples s where p.nMaj1 + s.k % 2 <> p.nMin1 or p.nMaj2 <> p.nMin2)"
+_ODD = """(select 'p' || o.o as patient_id, s.sample_id, p.chrom, p.start_pos + s.k * 10 + o.o as start_pos, p.end_pos from v_profile p cross join v_samples s cross join (values (0), (7)) as o(o)
+  where p.nMaj1 + s.k % 2 <> p.nMin1 or p.nMaj2 <> p.nMin2)"""
 
 
-@query("imbalanced_regions", "v_profile v_samples", "select chrom, edge_at as start_pos, nxt - 1 as end_pos, depth as n from (select chrom, edge_at, sum(d) over (partition by chrom order by edge_at) as depth, lead(edge_at) over (partition by chrom order by edge_at) as nxt from (select chrom, edge_at, sum(d) as d from (select chrom, start_pos as edge_at, 1 as d from " + _ODD + " a union all select chrom, end_pos + 1, -1 from " + _ODD + " b) e group by chrom, edge_at) p) q where depth > 1 and nxt is not null")
+@query("imbalanced_regions", "v_profile v_samples", f"""
+  select patient_id, chrom, edge_at as start_pos, nxt - 1 as end_pos, cast(depth as integer) as n from (
+    select patient_id, chrom, edge_at, sum(d) over (partition by patient_id, chrom order by edge_at) as depth, lead(edge_at) over (partition by patient_id, chrom order by edge_at) as nxt from (
+      select patient_id, chrom, edge_at, sum(d) as d from (
+        select patient_id, chrom, start_pos as edge_at, 1 as d from {_ODD} a union all select patient_id, chrom, end_pos + 1, -1 from {_ODD} b) e
+      group by patient_id, chrom, edge_at) p) q
+  where depth > 1 and nxt is not null""")
 def _(spark, p, s):
-    return phasing.imbalanced_regions(_three(p, s)).select("chrom", "start_pos", "end_pos", F.size("samples").alias("n"))
+    return phasing.imbalanced_regions(_three(p, s)).select("patient_id", "chrom", "start_pos", "end_pos", F.size("samples").alias("n"))
 
 
-_AGREE = "(select r.chrom, r.start_pos, r.end_pos, p.sample_id, avg(cast(p.bit = q.bit as int)) as agree from (select distinct chrom, start_pos, end_pos from v_segments) r join v_phased p on p.chrom = r.chrom and p.pos between r.start_pos and r.end_pos join (select chrom, pos, bit from v_phased where sample_id = 's1') q on q.chrom = p.chrom and q.pos = p.pos group by r.chrom, r.start_pos, r.end_pos, p.sample_id) a"
+def _two_patients(p):
+    """The phased loci as two patients'; the second's bits are turned on every locus of an odd phase set."""
+    both = p.withColumn("o", F.explode(F.array(F.lit(0), F.lit(1))))
+    return both.withColumns({"patient_id": F.concat(F.lit("p"), F.col("o").cast("string")), "bit": F.when((F.col("o") == 1) & (F.col("ps") % 2 == 1), 1 - F.col("bit")).otherwise(F.col("bit"))})
 
 
-@query("mirrored_imbalance", "v_segments v_phased", f"select chrom, start_pos, end_pos, round(max(agree) - min(agree), 6) as spread, max(agree) - min(agree) > 0.9 as mirrored from {_AGREE} group by chrom, start_pos, end_pos")
+_PATIENTS = """pat as (select 'p' || o.o as patient_id, p.sample_id, p.chrom, p.pos, case when o.o = 1 and p.ps % 2 = 1 then 1 - p.bit else p.bit end as bit, p.ps, p.phased
+  from v_phased p cross join (values (0), (1)) as o(o))"""
+_AGREE = """(select p.patient_id, r.chrom, r.start_pos, r.end_pos, p.sample_id, avg(cast(p.bit = q.bit as int)) as agree
+  from (select distinct chrom, start_pos, end_pos from v_segments) r join pat p on p.chrom = r.chrom and p.pos between r.start_pos and r.end_pos
+  join (select patient_id, chrom, pos, bit from pat where sample_id = 's1') q on q.patient_id = p.patient_id and q.chrom = p.chrom and q.pos = p.pos
+  group by p.patient_id, r.chrom, r.start_pos, r.end_pos, p.sample_id) a"""
+
+
+@query("mirrored_imbalance", "v_segments v_phased", f"""
+  select patient_id, chrom, start_pos, end_pos, round(max(agree) - min(agree), 6) as spread, max(agree) - min(agree) > 0.9 as mirrored from {_AGREE}
+  group by patient_id, chrom, start_pos, end_pos""", _PATIENTS)
 def _(spark, s, p):
-    regions = s.select("chrom", "start_pos", "end_pos", F.array(*map(F.lit, ("s1", "s2", "s3"))).alias("samples"))
-    return rounded(phasing.mirrored_imbalance(regions, p, p.filter("sample_id = 's1'")).select("chrom", "start_pos", "end_pos", "spread", "mirrored"), "spread")
+    bits = _two_patients(p)
+    regions = s.select("chrom", "start_pos", "end_pos", F.array(*map(F.lit, ("s1", "s2", "s3"))).alias("samples")).join(bits.select("patient_id").distinct(), how="cross")
+    found = phasing.mirrored_imbalance(regions, bits, bits.filter("sample_id = 's1'"))
+    return rounded(found.select("patient_id", "chrom", "start_pos", "end_pos", "spread", "mirrored"), "spread")
 
 
-@query("loh_by_het_gaps", "v_hets v_geometry")
+@query("loh_by_het_gaps", "v_lost v_geometry")
 def _(spark, t, g):
-    return pseudonormal.loh_by_het_gaps(t, g, gamma=10, kmin=2)
+    return pseudonormal.loh_by_het_gaps(t.filter("is_het").select("sample_id", "chrom", "pos"), g)
 
 
 _LOH = "(select v.sample_id, v.chrom, v.start_pos, v.end_pos from v_intervals v) i"
@@ -670,14 +716,14 @@ def _(spark, i, g):
     return pseudonormal.loh_noise_filter(i.select("sample_id", "chrom", "start_pos", "end_pos"), g)
 
 
-@query("loh_by_logr_windows", "v_hets v_tracks v_geometry")
-def _(spark, hets, t, g):
-    found = pseudonormal.loh_by_het_gaps(hets, g, gamma=10, kmin=2, min_level=0.4)
-    lost = t.withColumn("logr", F.col("logr") - 1)
-    return pseudonormal.loh_by_logr_windows(hets, lost, found.select("sample_id", "chrom", "arm", "start_pos", "end_pos"), g, min_gap=5e5, gamma=1, min_density=0.0, min_snps=2)
+@query("loh_by_logr_windows", "v_lost v_geometry")
+def _(spark, t, g):
+    hets = t.filter("is_het").select("sample_id", "chrom", "pos")
+    found = pseudonormal.loh_by_het_gaps(hets, g)
+    return pseudonormal.loh_by_logr_windows(hets, t, found.select("sample_id", "chrom", "arm", "start_pos", "end_pos"), g)
 
 
-_SPIKE = """reg as (select sample_id, chrom, min(pos) as s, max(pos) as e from v_counts where cast(chrom as int) % 2 = 0 group by sample_id, chrom),
+_SPIKE = """reg as (select sample_id, chrom, min(pos) as s, min(pos) + (max(pos) - min(pos)) // 3 as e from v_counts group by sample_id, chrom),
   ins as (select c.sample_id, c.chrom, c.pos, row_number() over (partition by c.sample_id, c.chrom order by c.pos) as n from v_counts c join reg r on r.sample_id = c.sample_id and r.chrom = c.chrom and c.pos between r.s and r.e),
   dep as (select c.*, a.a0, a.a1, c.count_a + c.count_c + c.count_g + c.count_t as d, coalesce(i.n % 10 = 1, false) and a.a0 is not null as spike from v_counts c left join v_alleles a on a.chrom = c.chrom and a.pos = c.pos left join ins i on i.sample_id = c.sample_id and i.chrom = c.chrom and i.pos = c.pos)"""
 
@@ -688,7 +734,8 @@ def _new(i, c):
 
 @query("pseudo_normal_counts", "v_counts v_alleles", f"select sample_id, chrom, pos, {_new(1, 'count_a')}, {_new(2, 'count_c')}, {_new(3, 'count_g')}, {_new(4, 'count_t')}, spike as spiked from dep", _SPIKE)
 def _(spark, c, a):
-    loh = c.filter("cast(chrom as int) % 2 = 0").groupBy("sample_id", "chrom").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"))
+    third = (F.min("pos") + F.floor((F.max("pos") - F.min("pos")) / 3)).cast("long")
+    loh = c.groupBy("sample_id", "chrom").agg(F.min("pos").alias("start_pos"), third.alias("end_pos"))
     return pseudonormal.pseudo_normal_counts(c, a, loh)
 
 

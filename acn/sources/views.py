@@ -64,7 +64,25 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         select sample_id, row_number() over (partition by sample_id order by chrom, seg) as seg_id, r, b, length, length as size, m as mean, s as sd
         from (select sample_id, chrom, cast(floor(pos / 12500000) as int) as seg, round(avg(logr), 6) as r, min(baf_seg) as b, count(*) as length,
           round(avg(baf_phased), 6) as m, round(stddev_samp(baf_phased), 6) as s from v_baf_segmented group by sample_id, chrom, cast(floor(pos / 12500000) as int)) t"""),
-    "v_fit": ([], "select 's1' as sample_id, 'FRAC_GENOME' as method, cast(0.73 as double) as rho, cast(2.15 as double) as psi, cast(2.1 as double) as ploidy, cast(0.9 as double) as distance, true as is_best"),
+    "v_fit": (["v_segments"], """
+        select sample_id, 'FRAC_GENOME' as method, cast(0.73 as double) as rho, cast(2.15 as double) as psi, round(2 + avg(logr), 6) as ploidy,
+          round(avg(case when baf > 0.6 then 1.0 else 0.5 end), 6) as distance, true as is_best from v_segments group by sample_id"""),
+    "v_fits": (["v_segments"], """
+        select concat(chrom, '-', cast(start_pos as string)) as sample_id, m.method, round(cast(0.2 as double) + (n % 7) / cast(10 as double) + m.k / cast(50 as double), 6) as rho,
+          round(cast(1.6 as double) + logr * logr + m.k / cast(9 as double), 6) as psi, round(2 + logr, 6) as ploidy, case when m.k > 0 then round(baf, 6) end as distance, case when m.k > 0 then (n + m.k) % 2 = 0 end as is_best
+        from v_segments cross join (select * from (values ('ASCAT', 0), ('FRAC_GENOME', 1), ('REF_SEG', 2)) as t(method, k)) m"""),
+    "v_spans": (["v_track"], """
+        select chrom, cast(floor(pos / 12000000) as int) as part, min(pos) as start_pos, max(pos) as end_pos from v_track group by chrom, cast(floor(pos / 12000000) as int)"""),
+    "v_model_segments": (["v_segments"], """
+        select sample_id, b, r + (length % 7 - 3) / cast(400 as double) as r, length from (
+          select sample_id, n as length, round((1 - 0.7 + cast(0.7 as double) * maj) / (2 - 2 * 0.7 + cast(0.7 as double) * (maj + mnr)), 6) as b,
+            round(log2((2 - 2 * 0.7 + cast(0.7 as double) * (maj + mnr)) / (2 - 2 * 0.7 + cast(0.7 as double) * 2.4)), 6) as r
+          from (select sample_id, n, 1 + n % 3 as maj, case when n % 5 < 3 then 1 else 0 end as mnr from v_segments) s) t"""),
+    "v_lost": (["events"], """
+        select 's1' as sample_id, cast(user_id % 22 + 1 as string) as chrom, 25000000 + 5 * least(event_id, 4000) + 25000 * greatest(0, least(event_id, 5200) - 4000)
+            + 5 * greatest(0, least(event_id, 7000) - 5200) + 51 * greatest(0, least(event_id, 9000) - 7000) + 5 * greatest(0, event_id - 9000) as pos,
+          not (event_id between 7000 and 9000) as is_het, round(case when event_id between 7000 and 9000 then -1.5 else 0.0 end + (value - 50) / 5000, 6) as logr
+        from events"""),
     "v_vcf": (["v_haplotypes"], """
         select sample_id, chrom, pos, ref, alt, concat(cast(hap1 as string), case when (cast(pos / 5000 as bigint)) % 5 = 0 then '/' else '|' end, cast(hap2 as string)) as gt,
           cast(floor(pos / 1000000) as int) as ps, cast((cast(pos / 5000 as bigint)) % 43 as int) as ad_ref, cast((cast(pos / 5000 as bigint)) % 47 as int) as ad_alt from v_haplotypes"""),

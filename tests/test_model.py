@@ -31,6 +31,48 @@ def test_fit_returns_purity(spark, segments):
     assert got["FRAC_GENOME"]["psi"] == pytest.approx(PSI_T, abs=0.08)
 
 
+def test_reference_segment_against_the_grid(spark, segments):
+    """The reference segment wins where the grid misses the truth, and only inside the limits."""
+
+    def fitted(segs, rho, **limits):
+        preset = spark.createDataFrame([("s1", rho, PSI_T)], "sample_id string, rho double, psi double")
+        return {r["method"]: r for r in fit.fit_copy_number(segs, preset, **limits).collect()}
+
+    # round 0.6 the window ends at 0.63, where the 2+1 segment is just close enough to be clonal and to be the reference
+    long = segments.withColumn("length", F.when(F.col("seg_id") == 1, 900).otherwise(F.col("length")))
+    got = fitted(long, 0.6)
+    assert got["REF_SEG"]["is_best"] and not got["FRAC_GENOME"]["is_best"] and got["ASCAT"]["is_best"] is None and got["ASCAT"]["distance"] is None
+    assert got["REF_SEG"]["rho"] == pytest.approx(RHO, abs=1e-6) and got["REF_SEG"]["psi"] == pytest.approx(PSI_T, abs=1e-6)
+    assert got["REF_SEG"]["distance"] == 1.0 > got["FRAC_GENOME"]["distance"] > 0 and got["ASCAT"]["ploidy"] == PSI_T
+    n_all = {0: 2, 1: 3, 2: 2, 3: 1, 4: 4, 5: 4}
+    lengths = {r["seg_id"]: r["length"] for r in long.collect()}
+    assert got["REF_SEG"]["ploidy"] == pytest.approx(sum(n_all[i] * n for i, n in lengths.items()) / sum(lengths.values()), abs=1e-6)
+    # the grid holds the truth: no distance is better than its own
+    got = fitted(long, RHO)
+    assert got["FRAC_GENOME"]["is_best"] and not got["REF_SEG"]["is_best"] and got["FRAC_GENOME"]["distance"] == got["REF_SEG"]["distance"] == 1.0
+    # better, but outside the limits
+    got = fitted(long, 0.6, max_rho=0.65)
+    assert got["FRAC_GENOME"]["is_best"] and not got["REF_SEG"]["is_best"] and got["REF_SEG"]["distance"] == 1.0
+    # no clonal segment: no reference, so no tumour
+    noise = segments.withColumns({"b": F.lit(0.53), "mean": F.lit(0.53), "sd": F.lit(0.0001)})
+    got = fitted(noise, RHO)
+    assert (got["REF_SEG"]["rho"], got["REF_SEG"]["psi"], got["REF_SEG"]["ploidy"], got["REF_SEG"]["distance"], got["REF_SEG"]["is_best"]) == (1.0, 2.0, 2.0, 1.0, True)
+
+
+def test_minima_against_all_neighbours():
+    from acn.operators import grids
+
+    rng = np.random.default_rng(2)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(3, 30), np.arange(5, 27), indexing="ij"))
+    for radius in (1, 3):
+        m = rng.integers(0, 40, len(i)).astype(float)
+        m[rng.integers(0, len(i), 5)] = np.nan
+        near = (np.abs(i[:, None] - i) <= radius) & (np.abs(j[:, None] - j) <= radius) & ~np.eye(len(i), dtype=bool)
+        inside = (i >= 3 + radius) & (i <= 29 - radius) & (j >= 5 + radius) & (j <= 26 - radius)
+        want = inside & ~np.isnan(m) & ~(near & (m[None, :] <= m[:, None])).any(axis=1)
+        assert (grids.strict_minima(i, j, m, radius) == want).all() and want.any()
+
+
 def test_subclonal_fraction_is_found(spark):
     rows = []
     for s, (maj, mnr, share) in enumerate([(1, 1, 1.0), (2, 1, 0.3), (2, 1, 1.0)]):

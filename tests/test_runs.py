@@ -56,3 +56,99 @@ def test_paired_run_from_counts(spark):
     got = lifecycle.paired(tumour, normal, alleles, haps)
     assert got["rho_psi"].filter("is_best").first()["rho"] == pytest.approx(rho, abs=0.03)
     assert got["profile"].select("chrom").distinct().count() == len(STATES)
+
+
+def test_separate_segments_of_equal_baf_keep_their_logr(spark):
+    """LogR is averaged by run, not by value."""
+    rows = [("x", "1", 100 * (i + 1), 0.5, 0.5 if i < 20 or i >= 40 else 0.8, -1.0 if i < 20 else 0.3 if i < 40 else 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id string, chrom string, pos long, baf_phased double, baf_seg double, logr double")
+    got = lifecycle.segments_of(df.drop("logr"), df.select("sample_id", "chrom", "pos", "logr")).orderBy("start_pos").collect()
+    assert [(r["b"], r["r"], r["length"]) for r in got] == [(0.5, pytest.approx(-1.0), 20), (0.8, pytest.approx(0.3), 20), (0.5, pytest.approx(1.0), 20)]
+
+
+#: sample -> states of chromosomes 1 to 4, and for each which haplotype (0 or 1) has the larger number.
+COHORT = {
+    ("p", "x"): [((1, 1), 0), ((2, 1), 0), ((2, 0), 0), ((3, 1), 1)],
+    ("p", "y"): [((1, 1), 0), ((2, 1), 1), ((2, 0), 0), ((2, 1), 1)],
+    ("q", "v"): [((2, 1), 0), ((2, 1), 0), ((1, 1), 0), ((2, 0), 1)],
+    ("q", "w"): [((2, 1), 0), ((2, 1), 0), ((2, 0), 0), ((2, 0), 1)],
+    ("r", "u"): [((1, 1), 0), ((2, 1), 0), ((2, 0), 0), ((1, 1), 1)],
+}
+
+
+def cohort(spark, rho=0.75, loci=260):
+    """Counts of tumours and normals, alleles, and haplotypes whose phase switches every 65 loci; the true first haplotype of each patient is random."""
+    rng = np.random.default_rng(12)
+    true = {(p, c): rng.integers(0, 2, loci) for p, _ in COHORT for c in range(1, 5)}
+    tumour, normal, haps = [], [], []
+    for (patient, sample), chroms in COHORT.items():
+        psi_t = float(np.mean([sum(s) for s, _ in chroms]))
+        for c, ((maj, mnr), side) in enumerate(chroms, 1):
+            total = 2 - 2 * rho + rho * (maj + mnr)
+            for i in range(loci):
+                pos, bit = 20_000 * (i + 1), int(true[patient, c][i])
+                on_side = (1 - rho + rho * maj) / total
+                alt_share = on_side if (bit == 1) == (side == 0) else 1 - on_side
+                depth = int(rng.poisson(90 * total / 2 / (1 - rho + rho * psi_t / 2)))
+                alt = int(rng.binomial(depth, alt_share))
+                tumour.append((sample, str(c), pos, depth - alt, alt, 0, 0))
+                n = int(rng.binomial(100, 0.5))
+                normal.append((sample, str(c), pos, n, 100 - n, 0, 0))
+                guess = bit ^ (i // 65 % 2)
+                haps.append((sample, str(c), pos, "A", "C", guess, 1 - guess))
+    counts = "sample_id string, chrom string, pos long, count_a int, count_c int, count_g int, count_t int"
+    haps = spark.createDataFrame(haps, "sample_id string, chrom string, pos long, ref string, alt string, hap1 int, hap2 int")
+    alleles = haps.select("chrom", "pos", F.lit(1).alias("a0"), F.lit(2).alias("a1")).distinct()
+    return spark.createDataFrame(tumour, counts), spark.createDataFrame(normal, counts), alleles, haps, true
+
+
+def test_samples_of_two_patients_with_mirrored_gains(spark):
+    tumour, normal, alleles, haps, true = cohort(spark)
+    patients = spark.createDataFrame(list(COHORT), "patient_id string, sample_id string")
+    preset = spark.createDataFrame([(s, 0.75, float(np.mean([sum(x) for x, _ in c]))) for (_, s), c in COHORT.items()], "sample_id string, rho double, psi double")
+    got = lifecycle.multisample(tumour, normal, alleles, haps, patients, preset=preset)
+    # the joint haplotype is the true one or its opposite along a whole imbalanced chromosome
+    for (patient, chrom), own in true.items():
+        bits = {r["pos"]: r["bit"] for r in got["joint"].filter(f"patient_id = '{patient}' and chrom = '{chrom}'").collect()}
+        if patient != "r" and (patient, chrom) not in {("p", 1)}:
+            same = np.mean([bits[20_000 * (i + 1)] == own[i] for i in range(len(own)) if 20_000 * (i + 1) in bits])
+            assert max(same, 1 - same) > 0.98
+    assert got["joint"].filter("patient_id = 'r'").count() == 0
+    mirrored = {(r["patient_id"], r["chrom"]) for r in got["mirrored"].filter("mirrored").collect()}
+    seen = {(r["patient_id"], r["chrom"]) for r in got["regions"].collect()}
+    assert mirrored == {("p", "2")}
+    assert seen == {("p", "2"), ("p", "3"), ("p", "4"), ("q", "1"), ("q", "2"), ("q", "4")}
+    profile = {(r["sample_id"], r["chrom"]): (r["nMaj1"], r["nMin1"]) for r in got["profile"].filter("frac1 = 1").collect()}
+    assert profile == {(s, str(c)): state for (_, s), chroms in COHORT.items() for c, (state, _) in enumerate(chroms, 1)}
+
+
+def test_patients_of_one_table_give_what_each_gives_alone(spark):
+    from acn.operators import phasing, windows
+
+    rng = np.random.default_rng(5)
+    rows = [(p, f"{p}{s}", c, 1000 * i, int(rng.integers(0, 2)), float(i // 7 + s), bool(rng.random() < 0.9)) for p in "pq" for s in range(3) for c in ("1", "2") for i in range(40)]
+    bits = spark.createDataFrame(rows, "patient_id string, sample_id string, chrom string, pos long, bit int, ps double, phased boolean")
+    states = [(p, f"{p}{s}", c, int(a), int(a + rng.integers(3000, 30000)), float(rng.integers(1, 3)), 1.0) for p in "pq" for s in range(3) for c in ("1", "2") for a in rng.integers(0, 30000, 4)]
+    profile = spark.createDataFrame(states, "patient_id string, sample_id string, chrom string, start_pos long, end_pos long, nMaj1 double, nMin1 double")
+    profile = profile.withColumns({"nMaj2": F.lit(None).cast("double"), "nMin2": F.lit(None).cast("double")})
+
+    def everything(profile, bits):
+        joint = phasing.multisample_phasing(bits)
+        regions = phasing.imbalanced_regions(profile)
+        return [sorted(map(tuple, x.collect()), key=str) for x in (regions, phasing.mirrored_imbalance(regions, bits, joint), windows.phase_evidence(bits, 5))]
+
+    both = everything(profile, bits)
+    parts = [everything(profile.filter(f"patient_id = '{p}'"), bits.filter(f"patient_id = '{p}'")) for p in "pq"]
+    assert both == [sorted(a + b, key=str) for a, b in zip(*parts, strict=True)] and all(both)
+    assert {r[0] for r in both[0]} == {"p", "q"} and len(both[0]) > 4
+
+
+def test_pieces_of_intervals_do_not_depend_on_bins(spark):
+    from acn.operators import intervals
+
+    rng = np.random.default_rng(1)
+    iv = spark.createDataFrame([(str(i % 2), int(a), int(a + rng.integers(0, 4_000_000))) for i, a in enumerate(rng.integers(0, 9_000_000, 200))], "chrom string, start_pos long, end_pos long")
+    one, two, three = (sorted(map(tuple, intervals.interval_disjoin(iv, bin_width=w).collect())) for w in (10**9, 1_000_000, 37_000))
+    assert one == two == three and len(one) > 300
+    cover = [(c, a, b, sum(r["start_pos"] <= a and r["end_pos"] >= b for r in iv.collect() if r["chrom"] == c)) for c, a, b, _ in one]
+    assert cover == one
