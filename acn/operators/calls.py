@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import candidate_edges, cn_major_minor, cn_total_major, cn_total_minor, expected_baf, psi_from_psit, rescue_negative_minor, rho_psi_from_segment, t_statistic, two_state_fraction
-from ..functions.stats import one_sample_t, t_two_tailed
-from . import kernels
+from ..functions.stats import one_sample_t
+from . import merging
 from .aggregates import mask_high_states
 from .intervals import assign_points_to_intervals, interval_overlap, segment_at_position
 from .loci import finite_logr
@@ -116,69 +116,16 @@ def merge_segments(calls: DataFrame, baf_segmented: DataFrame, logr: DataFrame,
         names = ["sample_id", "chrom", "start_pos", "end_pos", "baf", "logr"]
         if s.empty:
             return pd.DataFrame(columns=names)
-        tracks = {}
-        for k in (1, 2):
-            t = p[p.kind == k].sort_values("pos")
-            tracks[k] = (t["pos"].to_numpy(), t["v"].to_numpy(float))
+        baf, ratio = (merging.Track(t["pos"].to_numpy(), t["v"].to_numpy(float), k == 1) for k in (1, 2) for t in (p[p.kind == k].sort_values("pos"),))
         rho, psi = float(s["rho"].iloc[0]), float(s["_psi"].iloc[0])
-        merged = _merge(s[["pos", "end_pos", "v", "w", "nMaj1", "nMin1", "frac1"]].to_numpy(float).tolist(), tracks, rho, psi, baf_option, max_gap, gamma, sig)
+        own = s[["pos", "end_pos", "v", "w", "nMaj1", "nMin1", "frac1"]].to_numpy(float).tolist()
+        merged = merging.merge(own, baf, ratio, rho, psi, baf_option, max_gap, gamma, sig)
         out = pd.DataFrame([(s["sample_id"].iloc[0], s["chrom"].iloc[0], int(m[0]), int(m[1]), m[2], m[3]) for m in merged], columns=names)
         return out
 
     return rows.groupBy(*KEYS).applyInPandas(work, "sample_id string, chrom string, start_pos long, end_pos long, baf double, logr double")
 
 
-def _merge(segs: list[list[float]], tracks: dict, rho: float, psi: float, option: int, max_gap: int, gamma: float, sig: float) -> list[list[float]]:
-    def values(k: int, seg: list[float]) -> np.ndarray:
-        pos, v = tracks[k]
-        return v[np.searchsorted(pos, seg[0]) : np.searchsorted(pos, seg[1], "right")]
-
-    def square(seg: list[float]) -> tuple[float, float]:
-        copies = 2 ** (seg[3] / gamma) * ((1 - rho) * 2 + rho * psi)
-        return float(np.round((rho - 1 - (seg[2] - 1) * copies) / rho)), float(np.round((rho - 1 + seg[2] * copies) / rho))
-
-    def differ(x: np.ndarray, y: np.ndarray) -> bool:
-        vx, vy = x.var(ddof=1) / len(x), y.var(ddof=1) / len(y)
-        if vx + vy == 0:
-            return bool(x.mean() != y.mean())
-        df = (vx + vy) ** 2 / (vx**2 / (len(x) - 1) + vy**2 / (len(y) - 1))
-        return bool(t_two_tailed((x.mean() - y.mean()) / np.sqrt(vx + vy), df) < sig)
-
-    def alike(a: list[float], b: list[float]) -> bool:
-        if a[4] == b[4] and a[5] == b[5] and a[6] == 1 and b[6] == 1:
-            return True
-        (p, q), (r, s) = square(a), square(b)
-        if p != r and q != s:
-            return False
-        pairs = [(values(k, a), values(k, b)) for k in (2, 1)]
-        return all(len(x) > 10 and len(y) > 10 for x, y in pairs) and not any(differ(x, y) for x, y in pairs)
-
-    settled = [False] * (len(segs) - 1)  # whether the border behind segment i has been judged
-    while not all(settled):
-        open_ = [i for i in range(len(segs)) if (i and not settled[i - 1]) or (i < len(segs) - 1 and not settled[i])]
-        i = min(open_, key=lambda k: (segs[k][1] - segs[k][0], k))
-        sides = [k for k in (i - 1, i) if 0 <= k < len(settled)]
-        sides.sort(key=lambda k: max(0, segs[k + 1][0] - segs[k][1] - 1))
-        for k in sides:
-            if settled[k]:
-                continue
-            a, b = segs[k], segs[k + 1]
-            if b[0] - a[1] - 1 <= max_gap and alike(a, b):
-                keep = b if k == i else a  # the neighbour's states stay
-                joined = [a[0], b[1], 0.0, 0.0, *keep[4:]]
-                baf, ratio = values(1, joined), values(2, joined)
-                joined[2] = kernels.summary(baf, option) if len(baf) else keep[2]
-                joined[3] = float(ratio.mean()) if len(ratio) else 0.0
-                segs[k : k + 2] = [joined]
-                del settled[k]
-                for m in (k - 1, k):
-                    if 0 <= m < len(settled):
-                        settled[m] = False
-                break
-            settled[k] = True
-    return segs
-
-
 def average_states(profile: DataFrame) -> DataFrame:
     return profile.withColumns({"avg_major": cn_total_major(), "avg_minor": cn_total_minor()})
 
@@ -253,15 +200,3 @@ def call_x_segments(segs: DataFrame, calibration: DataFrame, purity: DataFrame)
 
 def locus_overlay(segments: DataFrame, loci: DataFrame) -> DataFrame:
     return interval_overlap(segments, loci)
-
-
-def write_order(profile: DataFrame) -> list:
-    """Columns of the short profile."""
-    return ["sample_id", F.col("chrom").alias("chr"), F.col("start_pos").alias("startpos"), F.col("end_pos").alias("endpos"), "nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2"]
-
-
-def rho_psi_row(rho_psi: DataFrame) -> DataFrame:
-    """The FRAC_GENOME row as sample_id, rho, psi_t, goodness."""
-    return rho_psi.filter("method = 'FRAC_GENOME'").select("sample_id", "rho", F.col("psi").alias("psi_t"), F.col("distance").alias("goodness"))
-
-

@@ -8,16 +8,50 @@ BLOCK, STEP = 5000, 4000
 FLOOR_SD, FEW = 0.09, 50
 
 
+class Ranks:
+    """Order statistics of any stretch of a fixed array: a wavelet matrix over ranks. For each bit, from the highest, it holds how many
+    ranks before each place have the bit unset, and the ranks are then parted by it."""
+
+    def __init__(self, x: np.ndarray):
+        self.sorted, ranks = np.unique(x, return_inverse=True)
+        self.levels: list[tuple[int, np.ndarray, int]] = []
+        for bit in range(max(len(self.sorted) - 1, 1).bit_length() - 1, -1, -1):
+            unset = (ranks >> bit & 1) == 0
+            self.levels.append((bit, np.r_[0, unset.cumsum()], int(unset.sum())))
+            ranks = np.r_[ranks[unset], ranks[~unset]]
+
+    def nth(self, low, high, k) -> np.ndarray:
+        """The k-th smallest, from 0, of each stretch [low, high)."""
+        low, high, k = (np.array(v) for v in (low, high, k))
+        rank = np.zeros(np.broadcast(low, high, k).shape, np.int64)
+        for bit, before, zeros in self.levels:
+            a, b = before[low], before[high]
+            right = k >= b - a
+            low, high = np.where(right, zeros + low - a, a), np.where(right, zeros + high - b, b)
+            k, rank = np.where(right, k - (b - a), k), rank | right.astype(np.int64) << bit
+        return self.sorted[rank]
+
+    def one(self, low: int, high: int, k: int) -> float:
+        """nth() of one stretch."""
+        rank = 0
+        for bit, before, zeros in self.levels:
+            a, b = int(before[low]), int(before[high])
+            if k < b - a:
+                low, high = a, b
+            else:
+                low, high, k, rank = zeros + low - a, zeros + high - b, k - (b - a), rank | 1 << bit
+        return float(self.sorted[rank])
+
+
 def running_median(x: np.ndarray, half: int) -> np.ndarray:
-    """Centred medians with shrinking windows and Tukey's rule at both ends."""
+    """Centred medians with shrinking windows and Tukey's rule at both ends; the same time whatever the width."""
     n = len(x)
     half = min(half, ((n if n % 2 else n - 1) - 1) // 2) if n else 0
     if half < 1 or n < 3:
         return x.astype(float).copy()
-    out = np.empty(n)
-    out[half : n - half] = np.median(np.lib.stride_tricks.sliding_window_view(x, 2 * half + 1), axis=1)
-    for i in range(1, half):
-        out[i], out[n - 1 - i] = np.median(x[: 2 * i + 1]), np.median(x[n - 2 * i - 1 :])
+    i = np.arange(n)
+    h = np.minimum(half, np.minimum(i, n - 1 - i))
+    out = Ranks(x).nth(i - h, i + h + 1, h).astype(float)
     out[0] = np.median([x[0], out[1], 3 * out[1] - 2 * out[2]])
     out[-1] = np.median([x[-1], out[-2], 3 * out[-2] - 2 * out[-3]])
     return out
@@ -172,22 +206,28 @@ def summary(values: np.ndarray, option: int) -> float:
     return float(values.mean()) if option == 2 or option == 3 and median in (0.0, 1.0) else median
 
 
-def phase_vote(bits: np.ndarray, phased: np.ndarray, sets: np.ndarray, max_lag: int, balanced_weight: float) -> np.ndarray:
+def phase_vote(bits: np.ndarray, phased: np.ndarray, sets: np.ndarray, max_lag: int, balanced_weight: float, block: int = 4096) -> np.ndarray:
     """The joint haplotype: each locus by the votes of those up to max_lag before it, nearer ones weighing more. A sample's vote is what its
     bits say about a switch; it counts fully where all loci between are phased and both ends share a set, else balanced_weight, as a share of
-    the samples' sum. bits, phased, sets: (loci, samples), NaN for no set."""
+    the samples' sum. bits, phased, sets: (loci, samples), NaN for no set. The samples' share s of votes for a switch is made for a block of loci
+    and all lags at once; a locus then votes s, or 1 - s where its own joint bit is 1, so the recursion is one inner product a locus."""
     n = len(bits)
     open_ = np.cumsum(~phased, axis=0)
     before = open_ - ~phased
-    h = np.zeros(n, int)
-    h[0] = int(np.round(bits[0].mean()))
-    for p in range(1, n):
-        k = min(max_lag, p)
-        back = slice(p - k, p)
-        sure = (open_[p] == before[back]) & (sets[p] == sets[back])
-        evidence = np.where(sure, 1.0, balanced_weight)
-        switch = np.abs(bits[p] - bits[back])
-        votes = np.abs(h[back, None] - switch) * evidence / evidence.sum(axis=1, keepdims=True)
-        weight = np.arange(1, k + 1) / (k * (k + 1) / 2)
-        h[p] = int(np.round(float((weight[:, None] * votes).sum()) + 1e-12))
-    return h
+    h = np.zeros(n)
+    h[0] = np.round(bits[0].mean())
+    lags = np.arange(1, max_lag + 1)
+    for start in range(1, n, block):
+        p = np.arange(start, min(start + block, n))
+        share = np.zeros((len(p), max_lag))
+        for lag in lags.tolist():
+            q = np.maximum(p - lag, 0)
+            evidence = np.where((open_[p] == before[q]) & (sets[p] == sets[q]), 1.0, balanced_weight)
+            share[:, lag - 1] = (evidence * np.abs(bits[p] - bits[q])).sum(axis=1) / evidence.sum(axis=1)
+        k = np.minimum(max_lag, p)[:, None]
+        weight = np.maximum(k + 1 - lags, 0) / (k * (k + 1) / 2)
+        base, turn = (weight * share).sum(axis=1) + 1e-12, weight * (1 - 2 * share)
+        for row, at in enumerate(p.tolist()):
+            low = max(at - max_lag, 0)
+            h[at] = np.round(base[row] + turn[row, : at - low] @ h[low:at][::-1])
+    return h.astype(int)

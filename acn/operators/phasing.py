@@ -105,9 +105,10 @@ def multisample_phasing(phased: DataFrame, max_lag: int = 100, balanced_weight:
     rows = phased.join(shared, [*of, *LOCUS], "left_semi").select(*of, "sample_id", *LOCUS, "bit", "phased", F.col("ps").cast("double").alias("ps"))
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
-        wide = p.pivot(index="pos", columns="sample_id", values=["bit", "phased", "ps"]).sort_index()
-        bit = kernels.phase_vote(wide["bit"].to_numpy(int), wide["phased"].to_numpy(bool), wide["ps"].to_numpy(float), max_lag, balanced_weight)
-        out = pd.DataFrame({"chrom": p["chrom"].iloc[0], "pos": wide.index.to_numpy(), "bit": bit})
+        p = p.drop_duplicates(["pos", "sample_id"]).sort_values(["pos", "sample_id"])
+        pos, wide = p["pos"].unique(), (-1, p["sample_id"].nunique())
+        bit = kernels.phase_vote(p["bit"].to_numpy(int).reshape(wide), p["phased"].to_numpy(bool).reshape(wide), p["ps"].to_numpy(float).reshape(wide), max_lag, balanced_weight)
+        out = pd.DataFrame({"chrom": p["chrom"].iloc[0], "pos": pos, "bit": bit})
         return out.assign(**{k: p[k].iloc[0] for k in of})
 
     schema = ", ".join([*(f"{k} {phased.schema[k].dataType.simpleString()}" for k in of), "chrom string, pos long, bit int"])

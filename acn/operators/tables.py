@@ -43,12 +43,6 @@ def square_plot_points(profile: DataFrame, rho_psi: DataFrame, chrom: str, pos:
     return exact.union(first).union(second)
 
 
-def isobaf_points(rho_psi: DataFrame, baf: float, top: int = 5) -> DataFrame:
-    """For each whole major copy number, the minor one that gives this BAF."""
-    rows = rho_psi.select("sample_id", "rho").withColumn("n_maj", F.explode(F.sequence(F.lit(0), F.lit(top))).cast("double"))
-    return rows.withColumn("n_min", (1 - F.col("rho") + F.col("rho") * F.col("n_maj") - baf * (2 - 2 * F.col("rho") + F.col("rho") * F.col("n_maj"))) / (baf * F.col("rho")))
-
-
 def score_surface(scored: DataFrame, raw: bool = False) -> DataFrame:
     """The grid with its log score (raw for the log ratio) and a mark on the best point."""
     best = scored.groupBy("sample_id").agg(F.max("score").alias("_b"))

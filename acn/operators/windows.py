@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import cn_total, div, refit_position
+from ..functions.scalars import div, refit_position
+from . import kernels
 
 KEYS = ["sample_id", "chrom"]
 
@@ -97,29 +100,21 @@ def genome_chunks(df: DataFrame, hole: int = 1_000_000, min_snps: int = 200) ->
     return pieces.groupBy("sample_id").applyInPandas(work, "sample_id string, chunk long, chrom string, start_pos long, end_pos long, n long")
 
 
-def _median(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    mid = F.floor(n / 2).cast("int")
-    return F.when(n % 2 == 1, F.get(s, mid)).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2)
-
-
 def running_median(df: DataFrame, value: str, k: int = 101, keys=None, out: str = "running_median") -> DataFrame:
     """Centred median of k values; windows shrink near the ends, and each end is the median of itself, its neighbour's median and the line
-    through the next two (Tukey's rule). k falls to the largest odd number that the group holds."""
-    w = ordered(keys)
-    n = F.count("*").over(Window.partitionBy(*(keys or KEYS)))
-    i = F.row_number().over(w)
-    span = F.collect_list(value).over(w.rowsBetween(-(k // 2), k // 2))
-    rows = df.withColumns({"_n": n, "_i": i, "_span": span})
-    half = F.least(F.lit(k // 2), ((F.when(F.col("_n") % 2 == 1, F.col("_n")).otherwise(F.col("_n") - 1)) / 2).cast("int"))
-    h = F.least(half, F.col("_i") - 1, F.col("_n") - F.col("_i")).cast("int")
-    at = F.least(F.col("_i"), F.lit(k // 2 + 1)).cast("int")  # the row's own place in its span
-    rows = rows.withColumn("_m", _median(F.slice("_span", at - h, 2 * h + 1)))
-    second, third = F.lead("_m", 1).over(w), F.lead("_m", 2).over(w)
-    before, before2 = F.lag("_m", 1).over(w), F.lag("_m", 2).over(w)
-    three = lambda a, b, c: a + b + c - F.greatest(a, b, c) - F.least(a, b, c)
-    m = F.when((F.col("_n") < 3) | (half < 1), F.col(value)).when(F.col("_i") == 1, three(F.col(value), second, 3 * second - 2 * third)).when(F.col("_i") == F.col("_n"), three(F.col(value), before, 3 * before - 2 * before2)).otherwise(F.col("_m"))
-    return rows.withColumn(out, m).drop("_n", "_i", "_span", "_m")
+    through the next two (Tukey's rule). k falls to the largest odd number that the group holds. Nulls stay null and count nowhere."""
+    keys = list(keys or KEYS)
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        x = p[value].to_numpy(float)
+        order = np.argsort(p["pos"].to_numpy(), kind="stable")
+        order = order[~np.isnan(x[order])]
+        smooth = np.full(len(x), np.nan)
+        smooth[order] = kernels.running_median(x[order], k // 2)
+        return p.assign(**{out: smooth})
+
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.DoubleType())])
+    return df.drop(out).groupBy(*keys).applyInPandas(work, schema)
 
 
 def mad_sd(df: DataFrame, value: str, half_width: int = 25, keys=None) -> DataFrame:
@@ -193,15 +188,20 @@ def adjacent_equal_merge_x(segs: DataFrame, tol: float = 0.01) -> DataFrame:
 
 
 def refit_suggestions(profile: DataFrame, fit: DataFrame, n: int = 5, min_mb: float = 2, gamma: float = 1.0) -> DataFrame:
-    """Purity and ploidy that make each of the longest clonal altered segments exactly its rounded state; one row with
-    the fit's own purity for samples without any."""
+    """Purity and ploidy that make each of a sample's longest n clonal segments of unequal alleles exactly its state, with their distance from
+    the fit's (sample_id, rho, psi_t). A sample without any, or without a segment of unequal alleles above min_mb, gets one row that asks
+    for a purity from elsewhere (outside_purity)."""
     from ..functions.scalars import rho_psi_from_segment
 
-    rho, psi, psi_t = rho_psi_from_segment("baf", "logr", "nMaj1", "nMin1", gamma)
-    rows = top_segments(profile, n, min_mb).select("sample_id", "rank", "chrom", refit_position("start_pos", "end_pos").alias("pos_mb"), "nMaj1", "nMin1", rho.alias("rho"), psi_t.alias("psi_t"))
-    rest = fit.join(rows, "sample_id", "left_anti").select("sample_id", F.lit(1).alias("rank"), "rho")
-    return rows.unionByName(rest, allowMissingColumns=True)
-
-
-def total_copies(profile: DataFrame) -> DataFrame:
-    return profile.withColumn("total_cn", cn_total())
+    length = F.col("end_pos") - F.col("start_pos")
+    unequal = profile.filter(F.col("nMaj1") != F.col("nMin1"))
+    large = unequal.filter(length > min_mb * 1e6).select("sample_id").distinct()
+    w = Window.partitionBy("sample_id").orderBy(length.desc(), "chrom", "start_pos")
+    top = unequal.filter(~(F.col("frac1") < 1)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).join(large, "sample_id", "left_semi")
+    rho, _, psi_t = rho_psi_from_segment("baf", "logr", "nMaj1", "nMin1", gamma)
+    place = refit_position("start_pos", "end_pos").alias("pos_mb")
+    rows = top.select("sample_id", "rank", "chrom", place, "nMaj1", "nMin1", "baf", "logr", rho.alias("rho"), psi_t.alias("psi_t"))
+    own = fit.select("sample_id", F.col("rho").alias("_rho"), F.col("psi_t").alias("_psi_t"))
+    far = {"rho_diff": F.abs(F.col("_rho") - F.col("rho")), "psi_t_diff": F.abs(F.col("_psi_t") - F.col("psi_t"))}
+    placed = own.join(rows, "sample_id", "left").withColumns(far).withColumn("outside_purity", F.col("rank").isNull())
+    return placed.withColumn("rank", F.coalesce("rank", F.lit(1))).drop("_rho", "_psi_t")

@@ -104,9 +104,16 @@ def _refit(maj, mnr):
 _R, _P, _T = _refit("nMaj1", "nMin1")
 
 
-@query("refit_suggestions", "v_profile v_fit", f"select sample_id, rank, chrom, ceil((start_pos + (end_pos - start_pos) / 2) / 1e6) as pos_mb, nMaj1, nMin1, round({_R}, 6) as rho, round({_T}, 6) as psi_t from {_TOP} where rank <= 5")
+_CHOSEN = """(select *, row_number() over (partition by sample_id order by end_pos - start_pos desc, chrom, start_pos) as rank from v_profile where nMaj1 <> nMin1 and not (frac1 < 1)) t
+  where rank <= 5 and sample_id in (select sample_id from v_profile where nMaj1 <> nMin1 and end_pos - start_pos > 2000000)"""
+
+
+@query("refit_suggestions", "v_profile v_fit", f"""
+  select sample_id, rank, chrom, ceil((start_pos + (end_pos - start_pos) / 2) / 1e6) as pos_mb, nMaj1, nMin1, round({_R}, 6) as rho, round({_T}, 6) as psi_t,
+    round(abs(0.73::double - {_R}), 6) as rho_diff, round(abs(2.15::double - {_T}), 6) as psi_t_diff, false as outside_purity from {_CHOSEN}""")
 def _(spark, p, f):
-    return rounded(windows.refit_suggestions(p, f), "rho", "psi_t")
+    found = windows.refit_suggestions(p, f.select("sample_id", "rho", F.col("psi").alias("psi_t"))).drop("baf", "logr")
+    return rounded(found, "rho", "psi_t", "rho_diff", "psi_t_diff")
 
 
 _R3, _P3, _T3 = _refit("3.0", "1.0")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 
 ALLELE_COUNTS = "chrom string, pos int, count_a int, count_c int, count_g int, count_t int, good_depth int"
 ALLELES = "pos int, a0 int, a1 int"
@@ -25,8 +24,3 @@ SOLUTION_FIELDS = ["nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2", "SDfrac
 ACROCENTRIC = ["13", "14", "15", "21", "22"]
 #: Pseudo-autosomal bounds of X: loci strictly between them aren't shared with Y.
 NONPAR_X = {"hg19": (2699520, 154931044), "hg38": (2781479, 155701383)}
-
-
-def chromosome_order(spark: SparkSession) -> DataFrame:
-    """chrom, ordinal: 1 to 22, then X and Y."""
-    return spark.createDataFrame([(str(i), i) for i in range(1, 23)] + [("X", 23), ("Y", 24)], "chrom string, ordinal int")
