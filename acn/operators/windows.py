@@ -188,13 +188,13 @@ def adjacent_equal_merge_x(segs: DataFrame, tol: float = 0.01) -> DataFrame:
 
 
 def refit_suggestions(profile: DataFrame, fit: DataFrame, n: int = 5, min_mb: float = 2, gamma: float = 1.0) -> DataFrame:
-    """Purity and ploidy that make each of a sample's longest n clonal segments of unequal alleles exactly its state, with their distance from
-    the fit's (sample_id, rho, psi_t). A sample without any, or without a segment of unequal alleles above min_mb, gets one row that asks
+    """Purity and ploidy that make each of a sample's longest n clonal segments of unequal alleles (those with a BAF) exactly its state, with their
+    distance from the fit's (sample_id, rho, psi_t). A sample without any, or without a segment of unequal alleles above min_mb, gets one row that asks
     for a purity from elsewhere (outside_purity)."""
     from ..functions.scalars import rho_psi_from_segment
 
     length = F.col("end_pos") - F.col("start_pos")
-    unequal = profile.filter(F.col("nMaj1") != F.col("nMin1"))
+    unequal = profile.filter((F.col("nMaj1") != F.col("nMin1")) & F.col("baf").isNotNull())
     large = unequal.filter(length > min_mb * 1e6).select("sample_id").distinct()
     w = Window.partitionBy("sample_id").orderBy(length.desc(), "chrom", "start_pos")
     top = unequal.filter(~(F.col("frac1") < 1)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).join(large, "sample_id", "left_semi")

@@ -20,9 +20,14 @@ MODES = {
 }
 
 
-def tracks(tumour: DataFrame, normal: DataFrame, alleles: DataFrame, covariates: DataFrame | None = None, short: list[str] | None = None, long: list[str] | None = None, replication: list[str] | None = None) -> DataFrame:
-    """Counts -> BAF and corrected LogR."""
-    rows = aggregates.baf_logr(tumour, normal, alleles)
+def tracks(tumour: DataFrame, normal: DataFrame, alleles: DataFrame, **covariates) -> DataFrame:
+    """Counts -> BAF and LogR, corrected where covariates are given (those of corrected())."""
+    return corrected(aggregates.baf_logr(tumour, normal, alleles), **covariates)
+
+
+def corrected(rows: DataFrame, covariates: DataFrame | None = None, short: list[str] | None = None, long: list[str] | None = None, replication: list[str] | None = None) -> DataFrame:
+    """rows with the residual LogR of a fit on GC content in a short and a long window, and on replication timing, each the most
+    correlated of its kind in each sample; unchanged without covariates."""
     if covariates is None:
         return rows
     joined = materialise(loci.match_covariates(loci.finite_logr(rows), covariates), "tracks")
@@ -37,15 +42,18 @@ def segments_of(baf_segmented: DataFrame, logr: DataFrame) -> DataFrame:
     return aggregates.segment_info(synced.join(means, ["sample_id", "chrom", "run_id"]).drop("run_id"))
 
 
-def paired(tumour: DataFrame, normal: DataFrame, alleles: DataFrame, haplotypes: DataFrame, mode: str = "paired", breakpoints: DataFrame | None = None, preset: DataFrame | None = None, **covariates) -> dict[str, DataFrame]:
+def paired(
+    tumour: DataFrame, normal: DataFrame, alleles: DataFrame, haplotypes: DataFrame, mode: str = "paired", breakpoints: DataFrame | None = None, preset: DataFrame | None = None,
+    males: DataFrame | None = None, build: str = "hg38", **covariates,
+) -> dict[str, DataFrame]:
     """Counts and haplotypes -> segmented BAF, fit and profile of every sample. covariates are those of tracks(): with them, LogR is
     corrected for GC content and replication. Tables are written after tracks, segmentation and calls,
-    the points from which a run can go on; a preset (sample_id, rho, psi) skips the coarse grid."""
+    the points from which a run can go on; a preset (sample_id, rho, psi) skips the coarse grid. males and build are refit()'s."""
     m = MODES[mode]
     logr = materialise(loci.finite_logr(tracks(tumour, normal, alleles, **covariates)), "logr")
     baf = phasing.haplotype_baf(tumour, haplotypes, MIN_COUNTS)
     segmented = materialise(segmentation.segment_phased_baf(baf, breakpoints, m["gamma"], m["phase_gamma"], m["kmin"], m["phase_kmin"], baf_option=m["baf_option"]), "segmented")
-    return refit(segmented, logr, preset, mode) | {"logr": logr, "baf_segmented": segmented}
+    return refit(segmented, logr, preset, mode, males, breakpoints, build) | {"logr": logr, "baf_segmented": segmented}
 
 
 def losses(hets: DataFrame, logr: DataFrame, geometry: DataFrame, mode: str = "cell_line") -> DataFrame:
@@ -58,19 +66,32 @@ def losses(hets: DataFrame, logr: DataFrame, geometry: DataFrame, mode: str = "c
     return materialise(intervals.interval_merge_adjacent(found.unionByName(low)).select(*REGION), "losses")
 
 
-def unmatched(counts: DataFrame, alleles: DataFrame, geometry: DataFrame, mode: str = "cell_line") -> dict[str, DataFrame]:
-    """Counts of samples without a normal -> LogR of the sample, its losses, and counts of a normal that is heterozygous inside them. With
-    the latter as the normal, paired() goes on in the same mode."""
+def unmatched(counts: DataFrame, alleles: DataFrame, geometry: DataFrame, mode: str = "cell_line", **covariates) -> dict[str, DataFrame]:
+    """Counts of samples without a normal -> LogR of the sample, its losses, and counts of a normal that is heterozygous inside them, from
+    which genotypes are made for phasing. Losses are looked for in LogR as counted; covariates, those of corrected(), correct the LogR that is returned."""
     rows = materialise(aggregates.baf_logr_unpaired(counts, alleles), "unpaired")
     logr = loci.finite_logr(rows).select("sample_id", "chrom", "pos", "logr")
     hets = loci.het_snp_filter_counts(rows).select("sample_id", "chrom", "pos")
     lost = losses(hets, logr, geometry, mode)
-    return {"logr": logr, "losses": lost, "normal": materialise(pseudonormal.pseudo_normal_counts(counts, alleles, lost).drop("spiked"), "pseudo-normal")}
+    normal = materialise(pseudonormal.pseudo_normal_counts(counts, alleles, lost).drop("spiked"), "pseudo-normal")
+    return {"logr": corrected(logr, **covariates).select("sample_id", "chrom", "pos", "logr"), "losses": lost, "normal": normal}
+
+
+def without_normal(
+    counts: DataFrame, alleles: DataFrame, haplotypes: DataFrame, geometry: DataFrame, mode: str = "cell_line", breakpoints: DataFrame | None = None,
+    preset: DataFrame | None = None, males: DataFrame | None = None, build: str = "hg38", **covariates,
+) -> dict[str, DataFrame]:
+    """unmatched(), then segmentation, fit and profile of the samples from their own LogR and the haplotypes that the made-up normal gave."""
+    m, found = MODES[mode], unmatched(counts, alleles, geometry, mode, **covariates)
+    logr = materialise(found["logr"], "logr")
+    baf = phasing.haplotype_baf(counts, haplotypes, MIN_COUNTS)
+    segmented = materialise(segmentation.segment_phased_baf(baf, breakpoints, m["gamma"], m["phase_gamma"], m["kmin"], m["phase_kmin"], baf_option=m["baf_option"]), "segmented")
+    return refit(segmented, logr, preset, mode, males, breakpoints, build) | found | {"logr": logr, "baf_segmented": segmented}
 
 
 def multisample(
     tumour: DataFrame, normal: DataFrame, alleles: DataFrame, haplotypes: DataFrame, patients: DataFrame, mode: str = "paired", breakpoints: DataFrame | None = None,
-    preset: DataFrame | None = None, **covariates,
+    preset: DataFrame | None = None, males: DataFrame | None = None, build: str = "hg38", **covariates,
 ) -> dict[str, DataFrame]:
     """Several samples of each patient, in two passes. patients: patient_id, sample_id. Each sample is phased and segmented alone; what their
     imbalanced segments say about the haplotypes is put together by patient, and the samples' haplotypes are rewritten by it; BAF is made anew
@@ -89,7 +110,7 @@ def multisample(
     baf = phasing.haplotype_baf(tumour, rewritten, MIN_COUNTS).join(members, "sample_id")
     shared = segmentation.segment_phased_baf_multisample(baf, breakpoints, baf_option=m["baf_option"]).drop("patient_id")
     segmented = materialise(shared.unionByName(alone.join(members, "sample_id", "left_anti").select(*shared.columns)), "segmented")
-    out = refit(segmented, logr, preset, mode) | {"logr": logr, "baf_segmented": segmented, "joint": joint, "haplotypes": rewritten}
+    out = refit(segmented, logr, preset, mode, males, breakpoints, build) | {"logr": logr, "baf_segmented": segmented, "joint": joint, "haplotypes": rewritten}
     regions = materialise(phasing.imbalanced_regions(out["profile"].join(members, "sample_id")), "imbalanced-regions")
     return out | {"regions": regions, "mirrored": phasing.mirrored_imbalance(regions, bits, joint)}
 
@@ -107,10 +128,18 @@ def several_samples(baf: DataFrame, logr: DataFrame, breakpoints: DataFrame | No
     return refit(segmented, logr, preset) | {"baf_segmented": segmented}
 
 
-def refit(baf_segmented: DataFrame, logr: DataFrame, preset: DataFrame | None = None, mode: str = "paired") -> dict[str, DataFrame]:
-    """From segmented tracks on: fit, profile, ploidy and clonal share."""
+def refit(
+    baf_segmented: DataFrame, logr: DataFrame, preset: DataFrame | None = None, mode: str = "paired", males: DataFrame | None = None, breakpoints: DataFrame | None = None, build: str = "hg38",
+) -> dict[str, DataFrame]:
+    """From segmented tracks on: fit, profile (with the bootstrap of subclonal fractions), ploidy, clonal share and suggestions for another fit.
+    males (sample_id): samples whose X is called from LogR alone and takes the place of X in their profile."""
     m = MODES[mode]
     segs = materialise(segments_of(baf_segmented, logr), "segments")
     rho_psi = materialise(fit.fit_copy_number(segs, preset, min_ploidy=m["ploidy"][0], max_ploidy=m["ploidy"][1], min_rho=m["rho"][0], max_rho=m["rho"][1]), "rho-psi")
-    profile = materialise(calls.call_profile(baf_segmented, logr, load_rho_psi(rho_psi), baf_option=m["baf_option"]), "profile")
-    return {"rho_psi": rho_psi, "profile": profile, "ploidy": aggregates.ploidy_weighted(profile), "clonal_share": aggregates.pga_is_clonal(profile)}
+    used = load_rho_psi(rho_psi)
+    profile = materialise(calls.call_profile(baf_segmented, logr, used, baf_option=m["baf_option"]), "profile")
+    ploidy = materialise(aggregates.ploidy_weighted(profile), "ploidy")
+    if males is not None:
+        profile = materialise(calls.male_x(profile, logr, used, ploidy, males, breakpoints, build), "profile-x")
+    suggestions = windows.refit_suggestions(profile, used)
+    return {"rho_psi": rho_psi, "profile": profile, "ploidy": ploidy, "clonal_share": aggregates.pga_is_clonal(profile), "refit_suggestions": suggestions}

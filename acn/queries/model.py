@@ -579,24 +579,47 @@ def _(spark, s, f):
     return calls.call_profile(s, s, _rho_psi_t(f)).select("sample_id", "chrom", "start_pos", "end_pos", "baf", "logr", "nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2", "masked")
 
 
-_CAL = "cal as (select sample_id, coalesce(-case when count(*) filter (where nMaj1 = 1 and nMin1 = 1 and frac1 = 1) > 1 then avg(logr) filter (where nMaj1 = 1 and nMin1 = 1 and frac1 = 1) when count(*) filter (where nMaj1 = 2 and nMin1 = 0 and frac1 = 1) > 1 then avg(logr) filter (where nMaj1 = 2 and nMin1 = 0 and frac1 = 1) end, -log2(2 / 2.1::double)) as shift, greatest(coalesce(stddev_samp(logr) filter (where nMaj1 = 1 and nMin1 = 1 and frac1 = 1), 0), coalesce(stddev_samp(logr) filter (where nMaj1 = 2 and nMin1 = 1 and frac1 = 1), 0), coalesce(stddev_samp(logr) filter (where nMaj1 = 3 and nMin1 = 1 and frac1 = 1), 0), coalesce(stddev_samp(logr) filter (where nMaj1 = 4 and nMin1 = 1 and frac1 = 1), 0), 0.05) as sd_max from v_profile group by sample_id)"
+_IS = {k: f"nMaj1 = {k[0]} and nMin1 = {k[1]} and frac1 = 1" for k in ("11", "22", "21", "31", "41", "20", "10")} | {"no": "nMin1 = 0 and frac1 = 1"}
+_COUNTED = ", ".join([f"count(*) filter (where {c}) as n{k}, stddev_samp(logr) filter (where {c}) as s{k}" for k, c in _IS.items()] + [f"avg(logr) filter (where {_IS[k]}) as m{k}" for k in ("11", "20")])
+_CAL = f"""states as (select sample_id, {_COUNTED} from v_profile group by sample_id),
+  spread as (select s.*, case when n11 > 1 then -m11 when n20 > 0 then -m20 else -log2(2 / f.ploidy) end as shift,
+    greatest(coalesce(case when n11 > 1 then s11 else s22 end, 0), coalesce(s21, 0), coalesce(s31, 0), coalesce(s41, 0), 0.05) as sd_max from states s join v_fit f on f.sample_id = s.sample_id),
+  cal as (select *, case when n10 > 1 then s10 when nno > 1 then sno else sd_max end as sd_loss from spread)"""
 
 
-@query("logr_calibration_x", "v_profile v_fit", "select sample_id, round(shift, 6) as shift, round(sd_max, 6) as sd_max from cal", _CAL)
+@query("logr_calibration_x", "v_profile v_fit", "select sample_id, round(shift, 6) as shift, round(sd_max, 6) as sd_max, round(sd_loss, 6) as sd_loss from cal", _CAL)
 def _(spark, p, f):
-    return rounded(calls.logr_calibration_x(p, f), "shift", "sd_max")
+    return rounded(calls.logr_calibration_x(p, f), "shift", "sd_max", "sd_loss")
 
 
-@query("call_x_segments", "v_profile v_fit v_segments", "select chrom, start_pos, case when logr > 1.96 * sd_max then 'gain' when logr < -1.96 * sd_max then 'loss' else 'none' end as kind from v_segments s join cal c on c.sample_id = s.sample_id", _CAL)
-def _(spark, p, f, s):
-    called = calls.call_x_segments(s, calls.logr_calibration_x(p, f), f.select("sample_id", F.col("rho").alias("purity")))
-    return called.select("chrom", "start_pos", "kind")
+_X_CALLED = """x as (select s.chrom, s.start_pos, s.logr as raw, s.logr + c.shift as v, c.sd_max as sd, c.sd_loss, f.rho as p, greatest(ceil((pow(2, s.logr + c.shift) - (1 - f.rho)) / f.rho) - 1, 1) + 1 as c
+    from v_segments s join cal c on c.sample_id = s.sample_id join v_fit f on f.sample_id = s.sample_id),
+  levels as (select *, case when raw >= 0 and v > 1.96 * sd then 'gain' when raw < 0 and v < -1.96 * sd then 'loss' else 'none' end as kind,
+    log2(p * (c - 1) + 1 - p) as low, log2(p * c + 1 - p) as high, greatest(log2(1 - p), log2(0.01)) as gone, (1 - pow(2, v)) / p as lost from x),
+  judged as (select *, abs(v - low) < abs(v - high) as down, case when c = 2 then round(high - v, 2) <= round(sd / high, 2) when c >= 6 then true
+    when abs(v - low) < abs(v - high) then round(v - low, 2) <= round(sd / low, 2) else round(high - v, 2) < round(sd / high, 2) end as sure_gain,
+    round(abs(gone - v), 2) < round(abs(sd_loss / gone), 2) or lost >= 0.95 as sure_loss from levels),
+  copies as (select *, case when kind = 'gain' then case when c > 2 and down and sure_gain then c - 1 else c end when kind = 'loss' then 0 else 1 end as cn,
+    case when kind = 'gain' then sure_gain when kind = 'loss' then sure_loss end as is_clonal from judged),
+  shares as (select *, case when is_clonal or kind = 'none' then 1 when kind = 'gain' then (pow(2, v) - (p * (cn - 1) + 1 - p)) / p else lost end as ccf, case when kind = 'gain' then cn - 1 else 1 end as other from copies)"""
 
 
-@query("call_x_states", "v_profile v_fit v_segments")
+@query("call_x_segments", "v_profile v_fit v_segments", f"""
+  select chrom, start_pos, kind, cast(cn as double) as cn, is_clonal, round(ccf, 6) as ccf, cast(case when not coalesce(is_clonal, true) and ccf <= 0.5 then other else cn end as double) as nMaj1,
+    round(case when not coalesce(is_clonal, true) and ccf <= 0.5 then 1 - ccf else ccf end, 6) as frac1, cast(case when coalesce(is_clonal, true) then 0 when ccf <= 0.5 then cn else other end as double) as nMaj2
+  from shares""", f"{_CAL}, {_X_CALLED}")
 def _(spark, p, f, s):
     called = calls.call_x_segments(s, calls.logr_calibration_x(p, f), f.select("sample_id", F.col("rho").alias("purity")))
-    return called.select("chrom", "start_pos", "kind", "is_clonal", "ccf", "nMaj1", "frac1", "nMaj2", "frac2")
+    return rounded(called.select("chrom", "start_pos", "kind", "cn", "is_clonal", "ccf", "nMaj1", "frac1", "nMaj2"), "ccf", "frac1")
+
+
+@query("male_x", "v_profile v_fit v_track v_breakpoints")
+def _(spark, p, f, t, b):
+    """Chromosome 1's loci stand for X, three times as far apart."""
+    x = t.filter("chrom = '1'").withColumns({"chrom": F.lit("X"), "pos": F.col("pos") * 3})
+    cuts = b.filter("chrom = '1'").select(F.lit("X").alias("chrom"), (F.col("pos") * 3).alias("pos"))
+    out = calls.male_x(p, x, f, f, f.select("sample_id"), cuts)
+    return rounded(out.select("sample_id", "chrom", "start_pos", "end_pos", "logr", "nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2"), "logr", "frac1", "frac2")
 
 
 @query("locus_overlay", "v_segments v_breakpoints", "select s.chrom, s.start_pos, b.pos as b_start_pos from v_segments s join v_breakpoints b on b.chrom = s.chrom and s.start_pos <= b.pos + 100000 and b.pos <= s.end_pos")

@@ -24,3 +24,6 @@ SOLUTION_FIELDS = ["nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2", "SDfrac
 ACROCENTRIC = ["13", "14", "15", "21", "22"]
 #: Pseudo-autosomal bounds of X: loci strictly between them aren't shared with Y.
 NONPAR_X = {"hg19": (2699520, 154931044), "hg38": (2781479, 155701383)}
+#: What a male X is segmented over, and its centromere.
+MALE_X = {"hg19": (2699520, 155260560), "hg38": (2781479, 156030895)}
+X_CENTROMERE = {"hg19": (58632012, 61632012), "hg38": (58605580, 62412542)}

@@ -152,3 +152,42 @@ def test_pieces_of_intervals_do_not_depend_on_bins(spark):
     assert one == two == three and len(one) > 300
     cover = [(c, a, b, sum(r["start_pos"] <= a and r["end_pos"] >= b for r in iv.collect() if r["chrom"] == c)) for c, a, b, _ in one]
     assert cover == one
+
+
+def test_a_male_and_a_female_in_one_run(spark):
+    """Autosomes as planted; the male's X, one copy and two on the long arm, from LogR alone; the female's as an autosome."""
+    rng, rho, tumour, normal, haps = np.random.default_rng(21), 0.7, [], [], []
+    states = {"1": (1, 1), "2": (2, 1), "3": (1, 0), "4": (1, 1)}
+    for s in ("m", "f"):
+        psi_t = float(np.mean([sum(v) for v in states.values()]))
+        for chrom, (maj, mnr) in states.items():
+            for i in range(250):
+                total = 2 - 2 * rho + rho * (maj + mnr)
+                depth, n = int(rng.poisson(120 * total / (2 - 2 * rho + rho * psi_t))), int(rng.poisson(100))
+                a = int(rng.binomial(depth, (1 - rho + rho * maj) / total))
+                tumour.append((s, chrom, 20_000 * (i + 1), depth - a, a, 0, 0))
+                normal.append((s, chrom, 20_000 * (i + 1), n // 2, n - n // 2, 0, 0))
+                haps.append((s, chrom, 20_000 * (i + 1), "A", "C", 1, 0))
+        for pos in range(3_000_000, 155_000_000, 250_000):
+            copies = (2 if pos > 62_000_000 else 1) if s == "m" else 2
+            own = 1 if s == "m" else 2
+            depth, n = int(rng.poisson(120 * (own * (1 - rho) + rho * copies) / (2 - 2 * rho + rho * psi_t))), int(rng.poisson(50 * own))
+            a = int(rng.binomial(depth, 0.5)) if s == "f" else depth
+            tumour.append((s, "X", pos, depth - a, a, 0, 0))
+            normal.append((s, "X", pos, n // 2 if s == "f" else 0, n - n // 2 if s == "f" else n, 0, 0))
+            if s == "f":
+                haps.append((s, "X", pos, "A", "C", 1, 0))
+    counts = "sample_id string, chrom string, pos long, count_a int, count_c int, count_g int, count_t int"
+    tumour, normal = spark.createDataFrame(tumour, counts), spark.createDataFrame(normal, counts)
+    haps = spark.createDataFrame(haps, "sample_id string, chrom string, pos long, ref string, alt string, hap1 int, hap2 int")
+    alleles = tumour.select("chrom", "pos", F.lit(1).alias("a0"), F.lit(2).alias("a1")).distinct()
+    preset = spark.createDataFrame([(s, rho, 2.0) for s in "mf"], "sample_id string, rho double, psi double")
+    got = lifecycle.paired(tumour, normal, alleles, haps, preset=preset, males=spark.createDataFrame([("m",)], "sample_id string"))
+    rows = got["profile"].collect()
+    states_of = lambda s, c: [(r["nMaj1"], r["nMin1"], r["frac1"]) for r in sorted(rows, key=lambda r: r["start_pos"]) if (r["sample_id"], r["chrom"]) == (s, c)]
+    assert states_of("m", "X") == [(1, 0, 1), (2, 0, 1)] and states_of("f", "X") == [(1, 1, 1)]
+    for s in "mf":
+        for chrom, (maj, mnr) in states.items():
+            assert {x[:2] for x in states_of(s, chrom) if x[2] == 1} == {(maj, mnr)}
+    asked = {r["sample_id"]: r for r in got["refit_suggestions"].filter("rank = 1").collect()}
+    assert asked["m"]["rho"] == pytest.approx(rho, abs=0.05) and not asked["m"]["outside_purity"] and asked["m"]["rho_diff"] < 0.05

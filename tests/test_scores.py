@@ -185,6 +185,8 @@ def test_bootstrap_brackets_the_fraction(spark):
     rho_psi = spark.createDataFrame([("a", rho, 2.3)], "sample_id string, rho double, psi_t double")
     called = calls.call_subclones(df, df, rho_psi)
     first, again = (sorted(map(tuple, calls.bootstrap_fraction_ci(df, called, rho_psi, n=400).collect())) for _ in range(2))
+    boot = {r["start_pos"]: r["bootstrap"] for r in calls.with_bootstrap(called, df, rho_psi, 400).collect()}
+    assert {k: (b["sd_bs"], b["lo"], b["hi"]) for k, b in boot[0].items()} == {r[4]: r[5:] for r in first} and boot[10_000_000] is None
     assert first == again and first and {r[2] for r in first} == {0}
     f = called.filter("start_pos = 0").first()["frac1"]
     _, _, _, _, option, sd, lo, hi = first[0]
@@ -252,14 +254,46 @@ def test_extended_profile_has_all_solutions(spark, tmp_path):
 def test_states_of_male_x(spark):
     """Segments built from a purity and copies give them back, with the share of a mixture."""
     purity, log = 0.8, lambda x: math.log2(0.8 * x + 0.2)
-    levels = [(log(1), "none"), (log(2), "gain"), (log(1.3), "gain"), (log(1.8), "gain"), (log(0), "loss"), (log(0.4), "loss")]
+    levels = [(log(1), "none"), (log(2), "gain"), (log(1.3), "gain"), (log(1.8), "gain"), (log(0), "loss"), (log(0.4), "loss"), (log(2.5), "gain"), (log(7.2), "gain")]
     segs = spark.createDataFrame([("a", k, k, 50, v) for k, (v, _) in enumerate(levels)], "sample_id string, start_pos int, end_pos int, n int, logr double")
-    calibration = spark.createDataFrame([("a", 0.0, 0.05)], "sample_id string, shift double, sd_max double")
+    calibration = spark.createDataFrame([("a", 0.0, 0.05, 0.05)], "sample_id string, shift double, sd_max double, sd_loss double")
     rho = spark.createDataFrame([("a", purity)], "sample_id string, purity double")
     got = calls.call_x_segments(segs, calibration, rho).orderBy("start_pos").collect()
     assert [r["kind"] for r in got] == [k for _, k in levels]
-    assert [r["is_clonal"] for r in got] == [True, True, False, False, True, False]
-    assert [(got[k]["nMaj1"], got[k]["frac1"]) for k in (0, 1, 4)] == [(1, 1), (2, 1), (0, 1)]
+    assert [r["is_clonal"] for r in got] == [None, True, False, False, True, False, False, True]
+    assert [(got[k]["nMaj1"], got[k]["frac1"]) for k in (0, 1, 4, 7)] == [(1, 1), (2, 1), (0, 1), (7, 1)]
     mixed = lambda r: {r["nMaj1"]: pytest.approx(r["frac1"]), r["nMaj2"]: pytest.approx(r["frac2"])}
-    assert mixed(got[2]) == {2: 0.3, 1: 0.7} and mixed(got[3]) == {2: 0.8, 1: 0.2} and mixed(got[5]) == {0: 0.6, 1: 0.4}
-    assert all(r["frac1"] >= 0.5 for r in got)
+    assert mixed(got[2]) == {2: 0.3, 1: 0.7} and mixed(got[3]) == {2: 0.8, 1: 0.2} and mixed(got[5]) == {0: 0.6, 1: 0.4} and mixed(got[6]) == {3: 0.5, 2: 0.5}
+    assert all(r["frac1"] >= 0.5 - 1e-9 for r in got)
+
+
+def test_calibration_of_doubled_genomes(spark):
+    """Without 1+1 the offset comes from 2+0, then from the ploidy; 2+2 gives the spread."""
+    state = lambda s, a, b, v: (s, float(a), float(b), 1.0, v)
+    rows = [state("a", 1, 1, v) for v in (-0.1, -0.3)] + [state("a", 1, 0, v) for v in (-1.0, -1.4)]
+    rows += [state("b", 2, 2, v) for v in (0.1, 0.5)] + [state("b", 2, 0, -0.4), state("b", 3, 0, -0.2)] + [state("c", 2, 2, 0.0), state("c", 1, 1, 0.0)]
+    profile = spark.createDataFrame(rows, "sample_id string, nMaj1 double, nMin1 double, frac1 double, logr double")
+    ploidy = spark.createDataFrame([("a", 2.0), ("b", 4.0), ("c", 4.0)], "sample_id string, ploidy double")
+    got = {r["sample_id"]: (r["shift"], r["sd_max"], r["sd_loss"]) for r in calls.logr_calibration_x(profile, ploidy).collect()}
+    sd = lambda *v: float(np.std(v, ddof=1))
+    assert got["a"] == pytest.approx((0.2, sd(-0.1, -0.3), sd(-1.0, -1.4))) and got["b"] == pytest.approx((0.4, sd(0.1, 0.5), sd(-0.4, -0.2)))
+    assert got["c"] == pytest.approx((1.0, 0.05, 0.05))
+
+
+def test_male_x_takes_its_place_in_the_profile(spark):
+    """A gain of 80% purity on the long arm of one male; the female keeps its X."""
+    rng, rows = np.random.default_rng(3), []
+    for s in ("m", "f"):
+        for i, pos in enumerate(range(3_000_000, 155_000_000, 100_000)):
+            rows.append((s, "X", pos, float((math.log2(1.8) if s == "m" and 90_000_000 <= pos < 130_000_000 else 0.0) + rng.normal(0, 0.03))))
+    logr = spark.createDataFrame(rows, "sample_id string, chrom string, pos long, logr double")
+    auto = [(s, str(c), 1, 9, float(v), 1.0, 1.0, 1.0, None, None, None) for s in "mf" for c, v in ((1, 0.01), (2, -0.01), (3, 0.0))] + [(s, "X", 1, 9, 0.0, 1.0, 1.0, 1.0, None, None, None) for s in "mf"]
+    names = "sample_id string, chrom string, start_pos long, end_pos long, logr double, nMaj1 double, nMin1 double, frac1 double, nMaj2 double, nMin2 double, frac2 double"
+    profile, fit_ = spark.createDataFrame(auto, names), spark.createDataFrame([("m", 0.8, 2.0), ("f", 0.8, 2.0)], "sample_id string, rho double, ploidy double")
+    cuts = spark.createDataFrame([("chrX", 90_000_000), ("X", 129_950_000), ("1", 5)], "chrom string, pos long")
+    for breakpoints in (None, cuts):
+        out = calls.male_x(profile, logr, fit_, fit_, spark.createDataFrame([("m",)], "sample_id string"), breakpoints).collect()
+        own = sorted((r["start_pos"], r["end_pos"], r["nMaj1"], r["nMin1"], r["frac1"]) for r in out if (r["sample_id"], r["chrom"]) == ("m", "X"))
+        assert [(r["nMaj1"], r["nMin1"]) for r in out if (r["sample_id"], r["chrom"]) == ("f", "X")] == [(1.0, 1.0)] and len(out) == 7 + len(own)
+        assert [x[2:] for x in own] == [(1.0, 0.0, 1.0), (1.0, 0.0, 1.0), (2.0, 0.0, 1.0), (1.0, 0.0, 1.0)]
+        assert own[0][0] == 3_000_000 and abs(own[2][0] - 90_000_000) <= 200_000 and abs(own[2][1] - 129_900_000) <= 200_000

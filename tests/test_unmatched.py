@@ -148,3 +148,22 @@ def test_joint_phase_of_each_patient(spark):
             h.append(round(vote + 1e-12))
         assert [got[patient, 10 * i] for i in range(60)] == h
     assert len(got) == 120
+
+
+def test_covariates_correct_the_returned_logr(spark, geometry):
+    """A depth that follows GC content leaves no trace in LogR; losses are the same."""
+    rng, counts, gc = np.random.default_rng(4), [], []
+    for p in range(2_000, LENGTH, 4_000):
+        share = float(rng.uniform(0.3, 0.6))
+        depth = int(rng.poisson(60 * 2 ** (3 * (share - 0.45))))
+        a = int(rng.binomial(depth, 0.5))
+        counts.append(("a", "1", p, a, depth - a, 0, 0))
+        gc.append(("1", p, share, float(rng.uniform(0.3, 0.6))))
+    counts = spark.createDataFrame(counts, KEYS + ", count_a int, count_c int, count_g int, count_t int")
+    alleles = counts.select("chrom", "pos", F.lit(1).alias("a0"), F.lit(2).alias("a1"))
+    covariates = spark.createDataFrame(gc, "chrom string, pos long, gc_1kb double, gc_100kb double")
+    raw = lifecycle.unmatched(counts, alleles, geometry)
+    fair = lifecycle.unmatched(counts, alleles, geometry, covariates=covariates, short=["gc_1kb"], long=["gc_100kb"], replication=[])
+    r = lambda got: got["logr"].join(covariates, ["chrom", "pos"]).agg(F.corr("logr", "gc_1kb")).first()[0]
+    assert r(raw) > 0.6 and abs(r(fair)) < 0.02
+    assert sorted(map(tuple, raw["losses"].collect())) == sorted(map(tuple, fair["losses"].collect()))
