@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions import stats
 from ..operators import aggregates, calls, fit, intervals, loci, phasing, pseudonormal, regression, segmentation, tables, windows
+from ..plans import lifecycle
 from .core import _JOINED, _TOTAL, query, r6, rounded
 
 # --- windows ------------------------------------------------------------------------------------------------------------------
@@ -851,3 +852,39 @@ def _(spark, t):
 def _(spark, s):
     return rounded(tables.segment_band_points(s), "mirror", "seg_mirror")
 
+
+# --- whole runs ---------------------------------------------------------------------------------------------------------------
+
+
+def _cohort(c):
+    """Tumour and normal counts, alleles and haplotypes of the planted cohort: A is the reference allele, C the other."""
+    locus = ["sample_id", "chrom", "pos"]
+    counts = lambda a, alt: c.select(*locus, a.alias("count_a"), alt.alias("count_c"), F.lit(0).alias("count_g"), F.lit(0).alias("count_t"))
+    tumour, normal = counts(F.col("depth") - F.col("alt"), F.col("alt")), counts(F.lit(50) + F.col("pos") % 3, F.lit(50) - F.col("pos") % 3)
+    alleles = c.select("chrom", "pos", F.lit(1).alias("a0"), F.lit(2).alias("a1")).distinct()
+    return tumour, normal, alleles, c.select(*locus, F.lit("A").alias("ref"), F.lit("C").alias("alt"), F.col("hap1").cast("int").alias("hap1"), F.col("hap2").cast("int").alias("hap2"))
+
+
+#: What was planted: copies by chromosome; samples s1 and s2 have the larger number on opposite haplotypes of every fifth.
+_PLANTED = """planted as (select distinct sample_id, k, chrom, cast(case when cast(chrom as int) % 3 = 0 then 2 when cast(chrom as int) % 5 = 0 then 2 else 1 end as double) as nMaj1,
+  cast(case when cast(chrom as int) % 3 = 0 then cast(chrom as int) % 2 else 1 end as double) as nMin1 from v_cohort)"""
+
+
+@query("paired_run", "v_cohort", "select sample_id, chrom, nMaj1, nMin1 from planted", _PLANTED)
+def _(spark, c):
+    """The state of most of each chromosome, which has to be what was planted."""
+    tumour, normal, alleles, haps = _cohort(c)
+    preset = c.select("sample_id").distinct().select("sample_id", F.lit(0.7).alias("rho"), F.lit(2.1).alias("psi"))
+    profile = lifecycle.paired(tumour, normal, alleles, haps, preset=preset)["profile"]
+    state = F.max_by(F.struct("nMaj1", "nMin1"), F.col("end_pos") - F.col("start_pos"))
+    return profile.groupBy("sample_id", "chrom").agg(state.alias("s")).select("sample_id", "chrom", "s.nMaj1", "s.nMin1")
+
+
+@query("multisample_run", "v_cohort", "select 'p' as patient_id, chrom, bool_or(cast(chrom as int) % 5 = 0) as mirrored from planted where k < 2 and nMaj1 <> nMin1 group by chrom", _PLANTED)
+def _(spark, c):
+    """Samples s1 and s2 are one patient's, s3 another's: chromosomes with imbalance in both samples, and whether it is mirrored."""
+    tumour, normal, alleles, haps = _cohort(c)
+    patients = c.select(F.when(F.col("k") < 2, "p").otherwise("q").alias("patient_id"), "sample_id").distinct()
+    preset = patients.select("sample_id", F.lit(0.7).alias("rho"), F.lit(2.1).alias("psi"))
+    found = lifecycle.multisample(tumour, normal, alleles, haps, patients, preset=preset)["mirrored"]
+    return found.groupBy("patient_id", "chrom").agg(F.bool_or("mirrored").alias("mirrored"))

@@ -89,6 +89,17 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "v_phased": (["v_vcf", "v_samples"], """
         select s.sample_id, v.chrom, v.pos, v.ref, v.alt, cast((cast(v.pos / 5000 as bigint) + s.k * cast(floor(cast(v.pos / 5000 as bigint) / 50) as bigint)) % 2 as int) as bit,
           v.ps + s.k as ps, (cast(v.pos / 5000 as bigint)) % (9 + s.k) <> 0 as phased from v_vcf v cross join v_samples s where substr(v.gt, 1, 1) <> substr(v.gt, 3, 1)"""),
+    "v_cohort": (["events", "v_samples"], """
+        select sample_id, k, chrom, pos, depth, least(depth, greatest(0, cast(round(depth * case when bit = 1 then up else 1 - up end) as int) + jitter)) as alt, guess as hap1, 1 - guess as hap2
+        from (
+          select sample_id, k, chrom, pos, bit, jitter, guess, cast(round(45 * (cast(0.6 as double) + cast(0.7 as double) * (maj + mnr))) as int) + jitter as depth,
+            case when side = 1 then 1 - (cast(0.3 as double) + cast(0.7 as double) * maj) / (cast(0.6 as double) + cast(0.7 as double) * (maj + mnr))
+              else (cast(0.3 as double) + cast(0.7 as double) * maj) / (cast(0.6 as double) + cast(0.7 as double) * (maj + mnr)) end as up
+          from (
+            select s.sample_id, s.k, cast(e.c as string) as chrom, event_id * 5000 as pos, (event_id * 7 % 11) % 2 as bit, cast(event_id % 5 as int) - 2 as jitter,
+              ((event_id * 7 % 11) % 2 + cast(floor(event_id / 900) as bigint)) % 2 as guess, case when e.c % 5 = 0 and s.k = 1 then 1 else 0 end as side,
+              case when e.c % 3 = 0 then 2 else 1 + cast(e.c % 5 = 0 as int) end as maj, case when e.c % 3 = 0 then e.c % 2 else 1 end as mnr
+            from (select event_id, user_id % 22 + 1 as c from events) e cross join v_samples s) t) u"""),
     "v_svs": (["events"], """
         select cast(user_id % 22 + 1 as string) as chrom, event_id * 5000 as pos,
           case when event_id % 2 = 0 then concat('N[', cast((user_id + 3) % 22 + 1 as string), ':', cast(event_id * 4000 as string), '[')
