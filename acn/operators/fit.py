@@ -231,7 +231,7 @@ def fit_copy_number(segments: DataFrame, preset: DataFrame | None = None, metric
     from clonal segments, ploidy all segments' at the point) and its reference segment's (REF_SEG). distance is the clonal metric. REF_SEG is best
     where its point lies inside the limits of ploidy and purity and its distance beats the grid's; a sample without a reference segment counts as
     rho 1, psi 2 and distance 1, a reference without a rho as infinitely far. A preset (sample_id, rho, psi) takes the coarse grid's place."""
-    spark = segments.sparkSession
+    spark, segments = segments.sparkSession, materialise(segments, "fit-segments")  # read by each of the steps
     if preset is None:
         grid = rho_psi_grid(spark, max(min_ploidy - 0.6, 0), max_ploidy + 0.6, max(min_rho - 0.03, 0.05), max_rho + 0.03)
         coarse = select_ascat_optimum(score_grid_ascat(grid, segments, metric, gamma), segments, metric, min_ploidy, max_ploidy, min_rho, min_goodness, gamma)
