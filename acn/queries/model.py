@@ -38,12 +38,19 @@ def _(spark, t):
     return windows.genome_chunks(t, 150_000, 20)
 
 
-_MED = """(select *, case when n < 3 or half < 1 then logr else list_aggregate(list_slice(span, cast(place - h as bigint), cast(place + h as bigint)), 'median') end as m from (
-  select *, least(i, 11) as place, least(half, i - 1, n - i) as h from (select sample_id, chrom, pos, logr, row_number() over w as i, count(*) over (partition by sample_id, chrom) as n,
-  list(logr) over (partition by sample_id, chrom order by pos rows between 10 preceding and 10 following) as span from v_tracks window w as (partition by sample_id, chrom order by pos)) a
-  cross join lateral (select least(10, (case when n % 2 = 1 then n else n - 1 end - 1) // 2) as half) b) c) d"""
-_MEDIAN = f"""(select sample_id, chrom, pos, logr, n, i, case when n < 3 or half < 1 then logr when i = 1 then list_aggregate([logr, m1, 3 * m1 - 2 * m2], 'median') when i = n then list_aggregate([logr, b1, 3 * b1 - 2 * b2], 'median') else m end as running_median
-  from (select *, lead(m, 1) {_W} as m1, lead(m, 2) {_W} as m2, lag(m, 1) {_W} as b1, lag(m, 2) {_W} as b2 from {_MED}) e) rm"""
+def _median_sql(source, value, k, out="running_median"):
+    """source (sample_id, chrom, pos, ...) with the running median of k values and Tukey's ends."""
+    wing = k // 2
+    middle = f"""(select *, case when n < 3 or half < 1 then {value} else list_aggregate(list_slice(span, cast(place - h as bigint), cast(place + h as bigint)), 'median') end as m from (
+      select *, least(i, {wing + 1}) as place, least(half, i - 1, n - i) as h from (select *, row_number() over w as i, count(*) over (partition by sample_id, chrom) as n,
+      list({value}) over (partition by sample_id, chrom order by pos rows between {wing} preceding and {wing} following) as span from {source} src window w as (partition by sample_id, chrom order by pos)) a
+      cross join lateral (select least({wing}, (case when n % 2 = 1 then n else n - 1 end - 1) // 2) as half) b) c) d"""
+    lagged = f"(select *, lead(m, 1) {_W} as m1, lead(m, 2) {_W} as m2, lag(m, 1) {_W} as b1, lag(m, 2) {_W} as b2 from {middle}) e"
+    return f"""(select * exclude (span, m, m1, m2, b1, b2, place, h, half), case when n < 3 or half < 1 then {value} when i = 1 then list_aggregate([{value}, m1, 3 * m1 - 2 * m2], 'median')
+      when i = n then list_aggregate([{value}, b1, 3 * b1 - 2 * b2], 'median') else m end as {out} from {lagged}) rm"""
+
+
+_MEDIAN = _median_sql("v_tracks", "logr", 21)
 
 
 @query("running_median", "v_tracks", f"select sample_id, chrom, pos, round(running_median, 6) as running_median from {_MEDIAN}")
@@ -51,7 +58,7 @@ def _(spark, t):
     return rounded(windows.running_median(t, "logr", 21).select("sample_id", "chrom", "pos", "running_median"), "running_median")
 
 
-@query("mad_sd", "v_tracks", f"select sample_id, chrom, round(1.4826 * median(abs(d - c)), 6) as sd from (select *, median(d) over (partition by sample_id, chrom) as c from (select *, logr - running_median as d from {_MEDIAN.replace('from v_tracks window', 'from v_tracks where logr <> 0 window')}) x) y group by sample_id, chrom")
+@query("mad_sd", "v_tracks", f"select sample_id, chrom, round(1.4826 * median(abs(d - c)), 6) as sd from (select *, median(d) over (partition by sample_id, chrom) as c from (select *, logr - running_median as d from {_median_sql('(select * from v_tracks where logr <> 0)', 'logr', 21)}) x) y group by sample_id, chrom")
 def _(spark, t):
     return rounded(windows.mad_sd(t, "logr", 10), "sd")
 
@@ -310,9 +317,18 @@ def _(spark, s):
     return s.select("seg_id", F.round(sc.t_statistic("size", "mean", "sd", 0.6), 4).alias("t"))
 
 
-@query("one_sample_t_pvalue", "v_seg6")
+def _t_tails(t, df):
+    """Two-tailed p of Student's t for whole degrees of freedom: a finite series in the cosine of atan(t / sqrt(df))."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = f"sin({angle}) / sqrt(pi()) * list_sum(list_transform(range(0, cast({df} as bigint) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0)) * pow(cos({angle}), 2 * j)))"
+    odd = f"coalesce(sin({angle}) * sqrt(pi()) / 2 * list_sum(list_transform(range(0, (cast({df} as bigint) - 1) // 2), lambda j: exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * pow(cos({angle}), 2 * j + 1))), 0)"
+    return f"(1 - case when cast({df} as bigint) % 2 = 0 then {even} else 2 / pi() * ({angle} + {odd}) end)"
+
+
+@query("one_sample_t_pvalue", "v_seg6", f"""
+  select seg_id, abs(round(case when abs(mean - 0.6) < 0.01 then 1 when sd is null or sd = 0 then 0 when size > 1 then {_t_tails("(mean - 0.6::double) * sqrt(size) / sd", "(size - 1)")} end, 6)) as pval from v_seg6""")
 def _(spark, s):
-    return s.select("seg_id", stats.one_sample_t("size", "mean", "sd", F.lit(0.6)).alias("pval"))
+    return s.select("seg_id", r6(stats.one_sample_t("size", "mean", "sd", F.lit(0.6))).alias("pval"))
 
 
 @query("welch_t", "v_seg6", "select seg_id, round((a.mean - nm) / sqrt(a.sd * a.sd / a.size + ns * ns / nn), 4) as t, round(pow(a.sd * a.sd / a.size + ns * ns / nn, 2) / (pow(a.sd * a.sd / a.size, 2) / (a.size - 1) + pow(ns * ns / nn, 2) / (nn - 1)), 4) as df from (select *, lead(mean) over w as nm, lead(sd) over w as ns, lead(size) over w as nn from v_seg6 window w as (partition by sample_id order by seg_id)) a where nn is not null")
@@ -323,11 +339,18 @@ def _(spark, s):
     return rows.select("seg_id", F.round(t, 4).alias("t"), F.round(df, 4).alias("df"))
 
 
-@query("binomial_tests", "v_hap_counts")
+def _log_pmf(k, n, p):
+    return f"lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0) + case when {k} = 0 then 0 else {k} * ln({p}) end + case when {k} = {n} then 0 else ({n} - {k}) * ln(1 - {p}) end"
+
+
+@query("binomial_tests", "v_hap_counts", f"""
+  select chrom, pos, round(2 * least(low, 1 - low) + 1e-9, 6) as pval, round(exp({_log_pmf("k", "n", "0.5::double")}) + 1e-11, 8) as pmf
+  from (select chrom, pos, k, n, case when k >= n then 1 else list_sum(list_transform(range(0, k + 1), lambda x: exp({_log_pmf("x", "n", "0.5::double")}))) end as low
+    from (select chrom, pos, cast(count_a as bigint) as k, cast(count_a + count_c as bigint) as n from v_hap_counts) c) t""")
 def _(spark, c):
     n = (F.col("count_a") + F.col("count_c")).cast("double")
     k = F.col("count_a").cast("double")
-    return c.select("chrom", "pos", stats.binomial_two_tailed(k, n, F.lit(0.5)).alias("pval"), stats.binomial_pmf(k, n, F.lit(0.5)).alias("pmf"))
+    return c.select("chrom", "pos", r6(stats.binomial_two_tailed(k, n, F.lit(0.5)) + 1e-9).alias("pval"), F.round(stats.binomial_pmf(k, n, F.lit(0.5)) + 1e-11, 8).alias("pmf"))
 
 
 @query("logr_pvalue", "v_segments", "select chrom, start_pos, case when abs(logr - 0) < 0.05 then 1.0 else 0.0 end as p from v_segments")
@@ -494,14 +517,69 @@ def _(spark, s):
     return fit.segment_is_clonal(rows).filter("edge.m1 is not null").select("chrom", "start_pos", F.round("t", 4).alias("t"))
 
 
-@query("segment_standardised_error", "v_seg6 v_fit")
+def _edge_sql(source, first, second):
+    """source (b, rho, ...) with the nearest edge's states m1, n1, m2, n2 and their BAF l1 and l2, from these copies of both alleles."""
+    level = lambda a, c: f"(case when {a} = 0 and {c} = 0 then 0.5 else (1 - rho + rho * {a}) / nullif(2 - 2 * rho + rho * ({a} + {c}), 0) end)"
+    lift = "x0 + b * (0.01 - y0) / nullif(1 - b, 0)"
+    rescued = f"""(select *, case when y0 < 0 then case when b = 1 or {lift} < 0 then 1000.0::double else {lift} end else x0 end as x, case when y0 < 0 then 0.01::double else y0 end as y
+      from (select *, {first} as x0, {second} as y0 from {source} s0) s1) s2"""
+    corners = f"(select *, floor(x) as fx, floor(y) as fy, b > {level('floor(x)', 'floor(y)')} as over3, b > {level('ceil(x)', 'ceil(y)')} as over2, x + y < floor(x) + floor(y) + 1 as low from {rescued}) s3"
+    edges = f"""(select *, fx + case when not low and (over3 or over2) then 1 else 0 end as m1, fy + case when not low and not (over3 or over2) then 1 else 0 end as n1,
+      fx + case when not low or over3 then 1 else 0 end as m2, fy + case when not low or not over3 then 1 else 0 end as n2 from {corners}) s4"""
+    return f"(select *, {level('m1', 'n1')} as l1, {level('m2', 'n2')} as l2 from {edges}) s5"
+
+
+_NA6, _NB6 = ("(rho - 1 - (b - 1) * pow(2, r) * ((1 - rho) * 2 + rho * psi)) / rho", "(rho - 1 + b * pow(2, r) * ((1 - rho) * 2 + rho * psi)) / rho")
+_ALL_A, _ALL_B = "(rho - 1 + b * psi * pow(2, r)) / rho", "(rho - 1 + (1 - b) * psi * pow(2, r)) / rho"
+
+
+def _closest(source):
+    """source (b, r, size, sd, rho, psi, ...) with level, n_maj and n_min of the closest state, and whether it explains the BAF."""
+    lifted = _edge_sql(source, f"greatest({_NA6}, {_NB6})", f"least({_NA6}, {_NB6})")
+    chosen = f"(select *, case when abs(l1 - b) <= abs(l2 - b) or l2 is null then l1 else l2 end as level, abs(l1 - b) <= abs(l2 - b) or l2 is null as one from {lifted}) c1"
+    tail = _t_tails("(b - level) * sqrt(size) / sd", "(size - 1)")
+    return f"""(select *, case when one then m1 else m2 end as n_maj, case when one then n1 else n2 end as n_min,
+      coalesce(case when sd = 0 then false when abs(b - level) < 0.01 then true when sd is null or size < 2 then false else {tail} > 0.05 end and x - x0 < 1, false) as clonal from {chosen}) c2"""
+
+
+def _t_error(source):
+    """source with t_error: the t of the mean against the closest corner; null without spread."""
+    lifted = lambda v: f"(case when {v} < 0 or {v} is null then 0.01::double else {v} end)"
+    level = lambda a, c: f"((1 - rho + rho * {a}) / nullif(2 - 2 * rho + rho * ({a} + {c}), 0))"
+    corners = [level(a, c) for a, c in (("floor(x)", "ceil(y)"), ("ceil(x)", "ceil(y)"), ("floor(x)", "floor(y)"), ("ceil(x)", "floor(y)"))]
+    best = "case when d1 <= least(d2, d3, d4) then k1 when d2 <= least(d3, d4) then k2 when d3 <= d4 then k3 else k4 end"
+    near = ", ".join(f"coalesce(abs(k{n} - b), 1e9) as d{n}" for n in range(1, 5))
+    inner = f"(select *, {', '.join(f'{c} as k{n}' for n, c in enumerate(corners, 1))} from (select *, {lifted(_ALL_A)} as x, {lifted(_ALL_B)} as y from {source} e0) e1) e2"
+    return f"(select *, case when size > 0 and sd <> 0 then (mean - {best}) * sqrt(size) / sd end as t_error from (select *, {near} from {inner}) e3) e4"
+
+
+def _ln_ratio(source):
+    """source with ln_ratio: the log of the likelier of the nearest edge's levels over the other."""
+    reads = f"(select *, floor(size * 30.0 + 0.5) as n, greatest(0, least(floor(size * 30.0 + 0.5), floor(mean * size * 30 + 0.5))) as k, least(greatest(coalesce(l1, 0), 0), 1) as p1, least(greatest(coalesce(l2, 0), 0), 1) as p2 from {_edge_sql(source, _ALL_A, _ALL_B)}) r1"
+    log = lambda p: f"(case when {p} = 0 then case when k = 0 then 0 end when {p} = 1 then case when k = n then 0 end else {_log_pmf('k', 'n', p)} end)"
+    return f"(select *, case when l1 is not null and l2 is not null and g1 > -745.13 and g2 > -745.13 then abs(g1 - g2) else 0 end as ln_ratio from (select *, {log('p1')} as g1, {log('p2')} as g2 from {reads}) r2) r3"
+
+
+_SEG_FIT = "(select s.*, f.rho, f.psi from v_seg6 s join v_fit f on f.sample_id = s.sample_id)"
+_SEG_GRID = "(select s.*, g.i, g.j, g.rho, g.psi from v_seg6 s cross join grid g where s.b > 0.51)"
+_BY_POINT = "group by sample_id, i, j, psi, rho"
+
+
+@query("segment_standardised_error", "v_seg6 v_fit", f"select sample_id, seg_id, round(t_error, 5) as t_error from {_t_error(_SEG_FIT)}")
 def _(spark, s, f):
-    return fit.segment_standardised_error(s, _fit6(f)).select("sample_id", "seg_id", "t_error")
+    return fit.segment_standardised_error(s, _fit6(f)).select("sample_id", "seg_id", F.round("t_error", 5).alias("t_error"))
 
 
-@query("segment_ln_likelihood_ratio", "v_seg6 v_fit")
+@query("segment_ln_likelihood_ratio", "v_seg6 v_fit", f"select sample_id, seg_id, round(ln_ratio, 4) as ln_ratio from {_ln_ratio(_SEG_FIT)}")
 def _(spark, s, f):
-    return fit.segment_ln_likelihood_ratio(s, _fit6(f)).select("sample_id", "seg_id", "ln_ratio")
+    return fit.segment_ln_likelihood_ratio(s, _fit6(f)).select("sample_id", "seg_id", F.round("ln_ratio", 4).alias("ln_ratio"))
+
+
+_CLONAL_SQL = {
+    0: f"select sample_id, i, j, psi, rho, round(sum(case when clonal then length else 0 end) / sum(length), 8) as score from {_closest(_SEG_GRID)} {_BY_POINT}",
+    1: f"select sample_id, i, j, psi, rho, round(coalesce(sum(t_error * t_error) / nullif(count(t_error), 0), 0), 4) as score from {_t_error(_SEG_GRID)} {_BY_POINT}",
+    4: f"select sample_id, i, j, psi, rho, round(sum(ln_ratio), 3) as score from {_ln_ratio(_SEG_GRID)} {_BY_POINT}",
+}
 
 
 for _m, _sql in ((2, "avg(pow(s.b - s.mean, 2))"), (3, "sum(s.length * pow(s.b - s.mean, 2)) / sum(s.length)")):
@@ -510,10 +588,10 @@ for _m, _sql in ((2, "avg(pow(s.b - s.mean, 2))"), (3, "sum(s.length * pow(s.b -
         return fit.score_grid_clonal(fit.rho_psi_grid(spark), s, m).drop("ref").withColumn("score", F.round("score", 8))
 
 
-for _m in (0, 1, 4):
-    @query(f"score_grid_clonal_{_m}", "v_seg6")
-    def _(spark, s, m=_m):
-        return fit.score_grid_clonal(fit.rho_psi_grid(spark), s, m).drop("ref")
+for _m, _digits in ((0, 8), (1, 4), (4, 3)):
+    @query(f"score_grid_clonal_{_m}", "v_seg6", _CLONAL_SQL[_m], _GRID)
+    def _(spark, s, m=_m, digits=_digits):
+        return fit.score_grid_clonal(fit.rho_psi_grid(spark), s, m).drop("ref").withColumn("score", F.round("score", digits))
 
 
 _TIED = "tied as (select s.* from (select sample_id, i, j, psi, rho, round(score, 1) as score from " + _score_sql(1) + " t) s join (select sample_id, max(round(score, 1)) as best from " + _score_sql(1) + " t group by sample_id) b on b.sample_id = s.sample_id and b.best = s.score), centre as (select sample_id, quantile_cont(i, 0.5) as ci, quantile_cont(j, 0.5) as cj, count(*) as n_best from tied group by sample_id)"
@@ -525,14 +603,30 @@ def _(spark, s):
     return fit.centroid_optimum(scored).select("sample_id", "psi", "rho", "n_best")
 
 
-@query("reference_segment_solution", "v_seg6")
+_REFERENCE = f"""own as materialized (select * from {_closest(_SEG_GRID)}),
+  pts as materialized (select sample_id, i, j, psi, rho, sum(case when clonal then length else 0 end) / sum(length) as score,
+    arg_max([b, r, n_maj, n_min], (length, -seg_id)) filter (where clonal and n_maj <> n_min) as ref from own {_BY_POINT}),
+  tied as (select p.* from pts p join (select sample_id, max(score) as best from pts group by sample_id) m on m.sample_id = p.sample_id and m.best = p.score),
+  centre as (select sample_id, quantile_cont(i, 0.5) as ci, quantile_cont(j, 0.5) as cj from tied group by sample_id),
+  nearest as (select t.sample_id, t.ref, row_number() over (partition by t.sample_id order by pow(t.i - c.ci, 2) + pow(t.j - c.cj, 2), -t.i, -t.j) as place from tied t join centre c on c.sample_id = t.sample_id),
+  solved as (select *, (2 * ref[1] - 1) / nullif(2 * ref[1] - ref[1] * (ref[3] + ref[4]) - 1 + ref[3], 0) as own_rho from nearest where place = 1)"""
+
+
+@query("reference_segment_solution", "v_seg6", """
+  select sample_id, round(case when ref is null then 1 when own_rho > 0 then own_rho end, 6) as rho, ref is not null as has_reference,
+    round(case when ref is null then 2 when own_rho > 0 then ((own_rho * (ref[3] + ref[4]) + 2 - 2 * own_rho) / pow(2, ref[2]) - 2 * (1 - own_rho)) / own_rho end, 6) as psi from solved""", f"{_GRID}, {_REFERENCE}")
 def _(spark, s):
-    return fit.reference_segment_solution(fit.centroid_optimum(fit.score_grid_clonal(fit.rho_psi_grid(spark), s, 0)))
+    return rounded(fit.reference_segment_solution(fit.centroid_optimum(fit.score_grid_clonal(fit.rho_psi_grid(spark), s, 0))), "rho", "psi")
 
 
-@query("recalc_psi_t", "v_seg6 v_fit")
+_OWN_PSI = "((rho * (n_maj + n_min) + 2 - 2 * rho) / pow(2, r) - 2 * (1 - rho)) / rho"
+
+
+@query("recalc_psi_t", "v_seg6 v_fit", f"""
+  select sample_id, max(rho) as rho, round(coalesce(sum({_OWN_PSI} * length) filter (where clonal) / sum(length) filter (where clonal), max(psi)), 6) as psi_t from own where length > 1 group by sample_id""",
+       f"own as materialized (select * from {_closest(_SEG_FIT)})")
 def _(spark, s, f):
-    return fit.recalc_psi_t(s, _fit6(f), include_subclonal=True)
+    return rounded(fit.recalc_psi_t(s, _fit6(f)), "psi_t")
 
 
 @query("fit_copy_number", "v_seg6")
@@ -560,9 +654,31 @@ def _(spark, s, t):
     return calls.segment_logr_mean(s, t).select("chrom", "start_pos", F.round("logr", 4).alias("logr"))
 
 
-@query("call_subclones", "v_baf_segmented v_fit")
+_CALLED_PSI = "(0.73::double * 2.15::double + 2 * (1 - 0.73::double))"
+_TAU_HERE = "(1 - 0.73::double + 0.73::double * m2 - 2 * baf * (1 - 0.73::double) - baf * 0.73::double * (n2 + m2)) / nullif(baf * 0.73::double * (n1 + m1) - baf * 0.73::double * (n2 + m2) - 0.73::double * m1 + 0.73::double * m2, 0)"
+_LIFT = "x0 + baf * (0.01 - y0) / nullif(1 - baf, 0)"
+_CALLS = f"""runs as (select *, sum(new) over (partition by sample_id, chrom order by pos rows unbounded preceding) as run from (
+    select *, case when lag(baf_seg) {_W} = baf_seg then 0 else 1 end as new from v_baf_segmented) a),
+  seg as (select sample_id, chrom, min(pos) as start_pos, max(pos) as end_pos, greatest(min(baf_seg), 1 - min(baf_seg)) as baf, count(baf_phased) as n, avg(baf_phased) as mean, stddev_samp(baf_phased) as sd, avg(logr) as logr
+    from runs group by sample_id, chrom, run),
+  sq as materialized (select *, case when y0 < 0 then case when baf = 1 or {_LIFT} < 0 then 1000.0 else {_LIFT} end else x0 end as x, case when y0 < 0 then 0.01 else y0 end as y
+    from (select *, (0.73::double - 1 + baf * {_CALLED_PSI} * pow(2, logr)) / 0.73::double as x0, (0.73::double - 1 + (1 - baf) * {_CALLED_PSI} * pow(2, logr)) / 0.73::double as y0 from seg) b),
+  lv as materialized (select *, {_level('ceil(x)', 'ceil(y)')} as l2, {_level('floor(x)', 'floor(y)')} as l3, x + y < floor(x) + floor(y) + 1 as low from sq),
+  {_EDGES.replace("select chrom, start_pos, baf, k,", "select sample_id, chrom, start_pos, baf, k,")},
+  tested as materialized (select lv.*, g.m1, g.n1, g.m2, g.n2, {_level('g.m1', 'g.n1')} as e1, {_level('g.m2', 'g.n2')} as e2 from lv left join good g on g.sample_id = lv.sample_id and g.chrom = lv.chrom and g.start_pos = lv.start_pos and g.k = 0 and g.ok),
+  levels as materialized (select *, case when m1 is null then null when abs(e1 - baf) <= abs(e2 - baf) then e1 else e2 end as level, abs(e1 - baf) <= abs(e2 - baf) as one from tested),
+  judged as materialized (select *, case when abs(baf - level) < 0.01 then 1 when sd is null or sd = 0 then 0 when level is not null then {_t_tails("(mean - level) * sqrt(n) / sd", "(n - 1)")} end as pval from levels),
+  opened as (select sample_id, chrom, start_pos, arg_min([m1, n1, {_TAU_HERE}, m2, n2], k) as o from good where ok group by sample_id, chrom, start_pos)"""
+
+
+@query("call_subclones", "v_baf_segmented v_fit", """
+  select j.sample_id, j.chrom, j.start_pos, j.end_pos, round(j.baf, 6) as baf, round(j.logr, 6) as logr, round(x + y, 6) as ntot, abs(round(pval, 6)) as pval,
+    cast(case when pval <= 0.05 then o[1] when one then m1 else m2 end as double) as nMaj1, cast(case when pval <= 0.05 then o[2] when one then n1 else n2 end as double) as nMin1, round(case when pval <= 0.05 then o[3] else 1 end, 6) as frac1,
+    cast(case when pval <= 0.05 then o[4] end as double) as nMaj2, cast(case when pval <= 0.05 then o[5] end as double) as nMin2, round(case when pval <= 0.05 then 1 - o[3] end, 6) as frac2
+  from judged j left join opened p on p.sample_id = j.sample_id and p.chrom = j.chrom and p.start_pos = j.start_pos""", _CALLS)
 def _(spark, s, f):
-    return calls.call_subclones(s, s, _rho_psi_t(f)).select("sample_id", "chrom", "start_pos", "end_pos", "baf", "logr", "ntot", "pval", "nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2")
+    found = calls.call_subclones(s, s, _rho_psi_t(f)).select("sample_id", "chrom", "start_pos", "end_pos", "baf", "logr", "ntot", "pval", "nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2")
+    return rounded(found, "baf", "logr", "ntot", "pval", "frac1", "frac2")
 
 
 @query("bootstrap_fraction_ci", "v_baf_segmented v_fit")
@@ -802,20 +918,40 @@ def _(spark, h):
     return rounded(regression.gc_window_content(seq.select("chrom", "pos"), seq, {"10": 10, "50": 50}), "gc_10", "gc_50").select("chrom", "pos", "gc_10", "gc_50")
 
 
-@query("coverage_track", "v_counts v_normal_counts v_alleles")
+_DEPTHS = """(select sample_id, chrom, pos, t / median(t) over (partition by sample_id) as tumour, n / median(n) over (partition by sample_id) as normal from (
+  select c.sample_id, c.chrom, c.pos, [c.count_a, c.count_c, c.count_g, c.count_t][a.a0] + [c.count_a, c.count_c, c.count_g, c.count_t][a.a1] as t,
+    [m.count_a, m.count_c, m.count_g, m.count_t][a.a0] + [m.count_a, m.count_c, m.count_g, m.count_t][a.a1] as n
+  from v_counts c join v_normal_counts m on m.sample_id = c.sample_id and m.chrom = c.chrom and m.pos = c.pos join v_alleles a on a.chrom = c.chrom and a.pos = c.pos) d)"""
+_BOTH_SMOOTH = _median_sql("(select * exclude (i, n) from " + _median_sql(_DEPTHS, "tumour", 101, "tumour_smooth") + ")", "normal", 101, "normal_smooth")
+
+
+@query("coverage_track", "v_counts v_normal_counts v_alleles", f"""
+  select sample_id, chrom, pos, round(tumour, 6) as tumour, round(normal, 6) as normal, round(tumour_smooth, 6) as tumour_smooth, round(normal_smooth, 6) as normal_smooth from {_BOTH_SMOOTH} where i % 100 = 1""")
 def _(spark, t, n, a):
-    return tables.coverage_track(loci.match_counts(t, n, a))
+    return rounded(tables.coverage_track(loci.match_counts(t, n, a)), "tumour", "normal", "tumour_smooth", "normal_smooth")
 
 
-@query("total_cn_track", "v_profile v_track v_fit")
+_ALL_PSI = "(f.rho * f.psi + 2 * (1 - f.rho))"
+_SMOOTH_LOGR = _median_sql("(select sample_id, chrom, pos, logr from v_track)", "logr", 21, "smooth")
+
+
+@query("total_cn_track", "v_profile v_track v_fit", f"""
+  select m.sample_id, m.chrom, m.pos, round(m.smooth, 6) as smooth, round(({_ALL_PSI} * pow(2, m.smooth) - 2 * (1 - f.rho)) / f.rho, 6) as cn, round({_TOTAL}, 6) as state_cn
+  from (select sample_id, chrom, pos, smooth from {_SMOOTH_LOGR}) m join v_fit f on f.sample_id = m.sample_id
+  join v_profile p on p.sample_id = m.sample_id and p.chrom = m.chrom and m.pos between p.start_pos and p.end_pos""")
 def _(spark, p, t, f):
     return rounded(tables.total_cn_track(p, t, f, 21), "smooth", "cn", "state_cn")
 
 
-@query("allele_ratio_track", "v_baf_segmented")
+_RATIOS = "(select sample_id, chrom, pos, baf_seg * pow(2, level) as major_ratio, (1 - baf_seg) * pow(2, level) as minor_ratio, exp(logr) as ratio from (select *, avg(logr) over (partition by sample_id, chrom, baf_seg) as level from v_baf_segmented) x)"
+
+
+@query("allele_ratio_track", "v_baf_segmented", f"""
+  select chrom, pos, round(major_ratio, 6) as major_ratio, round(minor_ratio, 6) as minor_ratio, round(ratio, 6) as ratio, round(ratio_smooth, 6) as ratio_smooth from {_median_sql(_RATIOS, "ratio", 101, "ratio_smooth")} where i % 100 = 1""")
 def _(spark, s):
     seg = s.groupBy("sample_id", "chrom", "baf_seg").agg(F.avg("logr").alias("logr_seg"))
-    return rounded(tables.allele_ratio_track(s, s.join(seg, ["sample_id", "chrom", "baf_seg"])), "major_ratio", "minor_ratio", "ratio", "ratio_smooth").select("chrom", "pos", "major_ratio", "minor_ratio", "ratio", "ratio_smooth")
+    found = rounded(tables.allele_ratio_track(s, s.join(seg, ["sample_id", "chrom", "baf_seg"])), "major_ratio", "minor_ratio", "ratio", "ratio_smooth")
+    return found.select("chrom", "pos", "major_ratio", "minor_ratio", "ratio", "ratio_smooth")
 
 
 _PSI = "(0.73::double * 2.15::double + 2 * (1 - 0.73::double))"
