@@ -211,7 +211,8 @@ def reliability(b, r, rho, psi, gamma=1.0) -> dict[str, Column]:
     bounded = lambda x: F.least(F.lit(100.0), F.greatest(F.lit(0.0), x))
     conf_r = F.when(F.abs(back_r) > 0.15, bounded(100 * (1 - div(F.abs(back_r - r), F.abs(r)))))
     conf_b = F.when(back_b != 0.5, bounded(F.when(b == 0.5, 100.0).otherwise(100 * (1 - div(F.abs(back_b - b), F.abs(b - 0.5))))))
-    return {"nA": n_a, "nB": n_b, "back_baf": back_b, "back_logr": back_r, "conf_baf": conf_b, "conf_logr": conf_r, "confidence": F.when(conf_r.isNull(), conf_b).when(conf_b.isNull(), conf_r).otherwise((conf_r + conf_b) / 2)}
+    return {"nA": n_a, "nB": n_b, "back_baf": back_b, "back_logr": back_r, "conf_baf": conf_b, "conf_logr": conf_r,
+        "confidence": F.when(conf_r.isNull(), conf_b).when(conf_b.isNull(), conf_r).otherwise((conf_r + conf_b) / 2)}
 
 
 def refit_position(start, end) -> Column:

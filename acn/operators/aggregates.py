@@ -23,7 +23,8 @@ def baf_logr(tumour: DataFrame, normal: DataFrame, alleles: DataFrame, min_norma
     kept = min_depth_filter(match_counts(tumour, normal, alleles), min_normal)
     t, n = F.col("t1") + F.col("t2"), F.col("n1") + F.col("n2")
     one = allele_choice() == 1
-    rows = kept.select("sample_id", "chrom", "pos", div(F.when(one, F.col("t1")).otherwise(F.col("t2")), t).alias("baf"), div(F.when(one, F.col("n1")).otherwise(F.col("n2")), n).alias("normal_baf"), div(t, n).alias("ratio"))
+    rows = kept.select("sample_id", "chrom", "pos", div(F.when(one, F.col("t1")).otherwise(F.col("t2")), t).alias("baf"),
+        div(F.when(one, F.col("n1")).otherwise(F.col("n2")), n).alias("normal_baf"), div(t, n).alias("ratio"))
     means = rows.groupBy("sample_id").agg(F.avg("ratio").alias("mean_ratio"))
     return rows.join(means, "sample_id").select("sample_id", "chrom", "pos", "baf", "normal_baf", F.when(F.col("ratio") > 0, F.log2(F.col("ratio") / F.col("mean_ratio"))).alias("logr"))
 
@@ -71,7 +72,8 @@ def segment_info(df: DataFrame, pool: str = "value") -> DataFrame:
     pool="value": over all loci of the sample whose baf_seg has that value; "run": over the run's own."""
     rows = df.filter("baf_seg is not null and logr_seg is not null")
     runs = run_islands(rows.withColumn("_both", F.struct("baf_seg", "logr_seg")), "_both")
-    own = runs.groupBy("sample_id", "chrom", "run_id").agg(F.first("logr_seg").alias("r"), F.first("baf_seg").alias("b"), F.count("*").alias("length"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("size"), F.avg("baf_phased").alias("mean"), F.stddev_samp("baf_phased").alias("sd"))
+    own = runs.groupBy("sample_id", "chrom", "run_id").agg(F.first("logr_seg").alias("r"), F.first("baf_seg").alias("b"), F.count("*").alias("length"),
+        F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("size"), F.avg("baf_phased").alias("mean"), F.stddev_samp("baf_phased").alias("sd"))
     if pool == "run":
         return own
     pooled = rows.groupBy("sample_id", F.col("baf_seg").alias("b")).agg(F.count("*").alias("size"), F.avg("baf_phased").alias("mean"), F.stddev_samp("baf_phased").alias("sd"))
@@ -118,7 +120,8 @@ def array_probe_centering(df: DataFrame) -> DataFrame:
     kind = F.when(F.col("probe_id").startswith("CN"), "cn").otherwise("snp")
     rows = df.withColumn("probe_class", kind)
     means = rows.groupBy("sample_id", "probe_class").agg(F.avg("tumour_lrr").alias("_mean"))
-    return rows.join(means, ["sample_id", "probe_class"]).select("sample_id", "probe_id", "chrom", "pos", "probe_class", F.round(F.col("tumour_lrr") - F.col("_mean"), 4).alias("logr"), F.when(F.col("tumour_baf") != 2, F.col("tumour_baf")).alias("baf"))
+    return rows.join(means, ["sample_id", "probe_class"]).select("sample_id", "probe_id", "chrom", "pos", "probe_class",
+        F.round(F.col("tumour_lrr") - F.col("_mean"), 4).alias("logr"), F.when(F.col("tumour_baf") != 2, F.col("tumour_baf")).alias("baf"))
 
 
 def snp_density(hets: DataFrame) -> DataFrame:
@@ -136,4 +139,5 @@ def profile_summary(profile: DataFrame) -> DataFrame:
     """Megabases of homozygous deletion, share of bases that are subclonal, and segments of 48 to 52% first state."""
     length = F.col("end_pos") - F.col("start_pos")
     gone = ((F.col("nMaj1") == 0) & (F.col("nMin1") == 0)) | ((F.col("nMaj2") == 0) & (F.col("nMin2") == 0))
-    return profile.groupBy("sample_id").agg((F.sum(F.when(gone, length).otherwise(0)) / 1e6).alias("hom_del_mb"), div(F.sum(F.when(F.col("frac1") < 1, length).otherwise(0)), F.sum(length)).alias("subclonal_share"), F.count_if(F.col("frac1").between(0.48, 0.52)).alias("n_even"))
+    return profile.groupBy("sample_id").agg((F.sum(F.when(gone, length).otherwise(0)) / 1e6).alias("hom_del_mb"),
+        div(F.sum(F.when(F.col("frac1") < 1, length).otherwise(0)), F.sum(length)).alias("subclonal_share"), F.count_if(F.col("frac1").between(0.48, 0.52)).alias("n_even"))

@@ -23,7 +23,8 @@ from .windows import KEYS, run_islands
 
 def segment_switchpoints(baf_segmented: DataFrame) -> DataFrame:
     """Segments: runs of equal baf_seg, with bounds, level on the upper side and the moments of their phased BAF."""
-    runs = run_islands(baf_segmented, "baf_seg").groupBy(*KEYS, "run_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.first("baf_seg").alias("_b"), F.count("baf_phased").alias("n"), F.avg("baf_phased").alias("mean"), F.stddev_samp("baf_phased").alias("sd"))
+    runs = run_islands(baf_segmented, "baf_seg").groupBy(*KEYS, "run_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"),
+        F.first("baf_seg").alias("_b"), F.count("baf_phased").alias("n"), F.avg("baf_phased").alias("mean"), F.stddev_samp("baf_phased").alias("sd"))
     return runs.withColumn("baf", F.greatest(F.col("_b"), 1 - F.col("_b"))).drop("_b")
 
 
@@ -63,7 +64,8 @@ def call_segments(segments: DataFrame, rho_psi: DataFrame, gamma: float = 1.0, s
 
     possible = F.concat(F.filter("_edges", lambda e: e["m1"].isNotNull()), F.filter("_edges", lambda e: e["m1"].isNull()))
     empty = F.lit(None).cast("double")
-    clonal = F.array(F.struct(F.col("_maj").alias("nMaj1"), F.col("_min").alias("nMin1"), F.lit(1.0).alias("frac1"), empty.alias("nMaj2"), empty.alias("nMin2"), empty.alias("frac2"), empty.alias("SDfrac")))
+    clonal = F.array(F.struct(F.col("_maj").alias("nMaj1"), F.col("_min").alias("nMin1"), F.lit(1.0).alias("frac1"), empty.alias("nMaj2"), empty.alias("nMin2"),
+        empty.alias("frac2"), empty.alias("SDfrac")))
     rows = rows.withColumn("solutions", F.when(F.col("pval") <= sig, F.transform(possible, option)).otherwise(clonal))
     a = F.get("solutions", F.lit(0))
     states = {c: a[c] for c in ("nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2")}
@@ -112,14 +114,16 @@ def with_bootstrap(calls: DataFrame, baf_segmented: DataFrame, rho_psi: DataFram
     return calls.join(maps, key, "left")
 
 
-def merge_segments(calls: DataFrame, baf_segmented: DataFrame, logr: DataFrame, rho_psi: DataFrame, baf_option: int = 3, max_gap: int = 3_000_000, gamma: float = 1.0, sig: float = 0.05, psi_mode: str = "consistent") -> DataFrame:
+def merge_segments(calls: DataFrame, baf_segmented: DataFrame, logr: DataFrame, rho_psi: DataFrame, baf_option: int = 3, max_gap: int = 3_000_000,
+    gamma: float = 1.0, sig: float = 0.05, psi_mode: str = "consistent") -> DataFrame:
     """Greedy merging inside each sample's chromosome, shortest first, with the nearer neighbour first: segments at most max_gap apart join
     when both are clonal with one state, or when they lie in one square and neither BAF nor LogR differ (Welch, more than 10 values each).
     Returns sample_id, chrom, start_pos, end_pos, baf, logr. rho_psi: sample_id, rho, psi_t; psi_mode="compat" puts psi of all cells in the
     formulas that expect the tumour's."""
     fit = rho_psi.withColumn("_psi", F.col("psi_t") if psi_mode == "consistent" else psi_from_psit("rho", "psi_t")).select("sample_id", "rho", "_psi")
     null = lambda t: F.lit(None).cast(t)
-    segs = calls.join(fit, "sample_id").select(*KEYS, F.lit(0).alias("kind"), F.col("start_pos").alias("pos"), "end_pos", F.col("baf").alias("v"), F.col("logr").alias("w"), "nMaj1", "nMin1", "frac1", "rho", "_psi")
+    segs = calls.join(fit, "sample_id").select(*KEYS, F.lit(0).alias("kind"), F.col("start_pos").alias("pos"), "end_pos", F.col("baf").alias("v"),
+        F.col("logr").alias("w"), "nMaj1", "nMin1", "frac1", "rho", "_psi")
     point = lambda df, k, c: df.filter(F.col(c).isNotNull()).select(*KEYS, F.lit(k).alias("kind"), "pos", null("bigint").alias("end_pos"), F.col(c).alias("v"), *(null("double").alias(x) for x in ("w", "nMaj1", "nMin1", "frac1", "rho", "_psi")))
     rows = segs.unionByName(point(baf_segmented, 1, "baf_phased")).unionByName(point(finite_logr(logr), 2, "logr"))
 
@@ -148,7 +152,8 @@ def apply_segments(baf_segmented: DataFrame, segments: DataFrame) -> DataFrame:
     return placed.drop("start_pos", "end_pos")
 
 
-def call_profile(baf_segmented: DataFrame, logr: DataFrame, rho_psi: DataFrame, max_state: int = 250, gamma: float = 1.0, sig: float = 0.05, max_dist: float = 0.01, baf_option: int = 3, draws: int = 1000) -> DataFrame:
+def call_profile(baf_segmented: DataFrame, logr: DataFrame, rho_psi: DataFrame, max_state: int = 250, gamma: float = 1.0, sig: float = 0.05, max_dist: float = 0.01,
+    baf_option: int = 3, draws: int = 1000) -> DataFrame:
     """Calls, merging, calls on what was merged, their bootstrap, and masking."""
     first = materialise(call_subclones(baf_segmented, logr, rho_psi, gamma, sig, max_dist), "calls")
     merged = materialise(merge_segments(first, baf_segmented, logr, rho_psi, baf_option, gamma=gamma), "merged")
@@ -218,7 +223,8 @@ def call_x_segments(segs: DataFrame, calibration: DataFrame, purity: DataFrame)
     swap, other = mixed & (F.col("ccf") <= 0.5), F.when(gain, F.col("cn") - 1).otherwise(1.0)
     return rows.withColumns({
         "nMaj1": F.when(swap, other).otherwise(F.col("cn")), "nMin1": F.lit(0.0), "frac1": F.when(swap, 1 - F.col("ccf")).otherwise(F.col("ccf")),
-        "nMaj2": F.when(mixed, F.when(swap, F.col("cn")).otherwise(other)).otherwise(0.0), "nMin2": F.lit(0.0), "frac2": F.when(mixed, F.when(swap, F.col("ccf")).otherwise(1 - F.col("ccf"))).otherwise(0.0),
+        "nMaj2": F.when(mixed, F.when(swap, F.col("cn")).otherwise(other)).otherwise(0.0), "nMin2": F.lit(0.0),
+            "frac2": F.when(mixed, F.when(swap, F.col("ccf")).otherwise(1 - F.col("ccf"))).otherwise(0.0),
     }).drop("_clonal_gain", "_copies", "_clonal_loss")
 
 
@@ -241,7 +247,8 @@ def x_segments(logr: DataFrame, breakpoints: DataFrame | None = None, build: str
         none = on_x.isEmpty()
         pieces = counted.filter(F.lit(none) | (F.col("pos") < F.col("_last"))).select("sample_id", "chrom", "pos", "logr", "arm", "piece")
     fitted = segment_logr(pieces.withColumn("arm", F.concat_ws(":", "arm", F.col("piece").cast("string"))), "logr", gamma, kmin)
-    runs = run_islands(fitted, "fit", keys=[*KEYS, "arm"]).groupBy(*KEYS, "arm", "run_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").alias("n"), F.avg("logr").alias("logr"))
+    runs = run_islands(fitted, "fit", keys=[*KEYS, "arm"]).groupBy(*KEYS, "arm", "run_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"),
+        F.count("*").alias("n"), F.avg("logr").alias("logr"))
     return runs.select(*KEYS, F.substring("arm", 1, 1).alias("arm"), "start_pos", "end_pos", "n", "logr")
 
 
@@ -261,7 +268,8 @@ def male_x(profile: DataFrame, logr: DataFrame, rho_psi: DataFrame, ploidy: Data
     runs = kept.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     states = ["nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2", "kind", "is_clonal"]
     first = F.min_by(F.struct(*states), "start_pos").alias("_s")
-    merged = runs.groupBy("sample_id", "chrom", "arm", "_run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), (F.sum(F.col("logr") * F.col("n")) / F.sum("n")).alias("logr"), F.sum("n").alias("n"), first)
+    merged = runs.groupBy("sample_id", "chrom", "arm", "_run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"),
+        (F.sum(F.col("logr") * F.col("n")) / F.sum("n")).alias("logr"), F.sum("n").alias("n"), first)
     rows = merged.select("sample_id", "chrom", "start_pos", "end_pos", "logr", "n", *(F.col(f"_s.{c}").alias(c) for c in states[:6]))
     others = profile.join(males.select("sample_id").distinct().withColumn("chrom", F.lit("X")), ["sample_id", "chrom"], "left_anti")
     return others.unionByName(rows.select(*(c for c in rows.columns if c in profile.columns)), allowMissingColumns=True)

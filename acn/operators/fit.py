@@ -66,7 +66,8 @@ def grid_point_stats(grid: DataFrame, segments: DataFrame, gamma: float = 1.0) -
     )
 
 
-def select_ascat_optimum(scored: DataFrame, segments: DataFrame, metric: int = 1, min_ploidy: float = 1.6, max_ploidy: float = 4.8, min_rho: float = 0.1, min_goodness: float = 63, gamma: float = 1.0, allow_pure: bool = True) -> DataFrame:
+def select_ascat_optimum(scored: DataFrame, segments: DataFrame, metric: int = 1, min_ploidy: float = 1.6, max_ploidy: float = 4.8, min_rho: float = 0.1,
+    min_goodness: float = 63, gamma: float = 1.0, allow_pure: bool = True) -> DataFrame:
     """sample_id, psi, rho, ploidy, goodness: the best local optimum that passes the filters. Where none does and allow_pure holds, points with
     rho over 1 are blocked and the test for zero copies is left out. The last of equal scores wins; rho is at most 1. No optimum: null."""
     smaller = SMALLER_BETTER[metric]
@@ -164,7 +165,8 @@ def segment_ln_likelihood_ratio(segments: DataFrame, rho_psi: DataFrame | None =
     return rows.withColumn("ln_ratio", F.when(good, F.abs(F.ln("_p") - F.ln("_q"))).otherwise(0.0)).drop("_x", "_y", "_major", "_minor", "_e", "_p", "_q")
 
 
-def score_grid_clonal(grid: DataFrame, segments: DataFrame, metric: int = 0, gamma: float = 1.0, sig: float = 0.05, max_dist: float = 0.01, uninformative: float = 0.51, read_depth: float = 30) -> DataFrame:
+def score_grid_clonal(grid: DataFrame, segments: DataFrame, metric: int = 0, gamma: float = 1.0, sig: float = 0.05, max_dist: float = 0.01,
+    uninformative: float = 0.51, read_depth: float = 30) -> DataFrame:
     """sample_id, i, j, psi, rho, score and ref (the longest clonal unbalanced segment: b, r, nMaj, nMin, length). Metrics: 0 clonal share of the
     genome (largest is best), 1 mean squared t, 2 mean squared difference of level and mean BAF, 3 the same by length, 4 sum of log ratios.
     grid: points for all samples, bounds by sample (as refine_bounds() gives them), or a few points for each sample."""
@@ -226,7 +228,8 @@ def drop_short(segments: DataFrame) -> DataFrame:
     return segments.filter("length > 1")
 
 
-def fit_copy_number(segments: DataFrame, preset: DataFrame | None = None, metric: int = 1, clonal_metric: int = 0, gamma: float = 1.0, min_ploidy: float = 1.6, max_ploidy: float = 4.8, min_rho: float = 0.1, max_rho: float = 1.0, min_goodness: float = 63) -> DataFrame:
+def fit_copy_number(segments: DataFrame, preset: DataFrame | None = None, metric: int = 1, clonal_metric: int = 0, gamma: float = 1.0, min_ploidy: float = 1.6,
+    max_ploidy: float = 4.8, min_rho: float = 0.1, max_rho: float = 1.0, min_goodness: float = 63) -> DataFrame:
     """sample_id, method, rho, psi, ploidy, distance, is_best: the coarse optimum (ASCAT), the refined grid's (FRAC_GENOME; psi is the tumour's
     from clonal segments, ploidy all segments' at the point) and its reference segment's (REF_SEG). distance is the clonal metric. REF_SEG is best
     where its point lies inside the limits of ploidy and purity and its distance beats the grid's; a sample without a reference segment counts as

@@ -32,7 +32,8 @@ def genotype_from_array(df: DataFrame, cut: float | None = None) -> DataFrame:
 def genotypes_to_vcf_rows(gt: DataFrame) -> DataFrame:
     """VCF body rows of genotyped loci, with X for 23."""
     call = F.when(F.col("g0") == 1, "0/0").when(F.col("g1") == 1, "0/1").when(F.col("g2") == 1, "1/1")
-    return gt.filter("g0 + g1 + g2 > 0").select("sample_id", F.when(F.col("chrom") == "23", "X").otherwise(F.col("chrom")).alias("chrom"), "pos", F.col("snp_id").alias("id"), F.col("ref_allele").alias("ref"), F.col("alt_allele").alias("alt"), call.alias("gt"))
+    return gt.filter("g0 + g1 + g2 > 0").select("sample_id", F.when(F.col("chrom") == "23", "X").otherwise(F.col("chrom")).alias("chrom"), "pos",
+        F.col("snp_id").alias("id"), F.col("ref_allele").alias("ref"), F.col("alt_allele").alias("alt"), call.alias("gt"))
 
 
 def vcf_rows_to_haplotypes(vcf: DataFrame) -> DataFrame:
@@ -40,12 +41,14 @@ def vcf_rows_to_haplotypes(vcf: DataFrame) -> DataFrame:
     bits = F.split("gt", r"\|")
     phased = vcf.filter(F.col("gt").contains("|"))
     n = F.row_number().over(ordered())
-    return phased.select(*KEYS, F.concat(F.lit("snp"), n.cast("string")).alias("snpidx"), F.concat(F.lit("rs"), n.cast("string")).alias("rsidx"), "pos", "ref", "alt", F.get(bits, F.lit(0)).cast("int").alias("hap1"), F.get(bits, F.lit(1)).cast("int").alias("hap2"))
+    return phased.select(*KEYS, F.concat(F.lit("snp"), n.cast("string")).alias("snpidx"), F.concat(F.lit("rs"), n.cast("string")).alias("rsidx"), "pos", "ref",
+        "alt", F.get(bits, F.lit(0)).cast("int").alias("hap1"), F.get(bits, F.lit(1)).cast("int").alias("hap2"))
 
 
 def phasing_regions(manifest: DataFrame, size: int = 5_000_000) -> DataFrame:
     """Regions of size bases, from just behind each manifest row's start to its end."""
-    rows = manifest.select("chrom", F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e")).withColumn("_n", F.explode(F.sequence(F.lit(0), (F.ceil((F.col("_e") - F.col("_s")) / size) - 1).cast("int"))))
+    rows = manifest.select("chrom", F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e")).withColumn("_n",
+        F.explode(F.sequence(F.lit(0), (F.ceil((F.col("_e") - F.col("_s")) / size) - 1).cast("int"))))
     return rows.select("chrom", (F.col("_s") + F.col("_n") * size + 1).alias("start_pos"), F.least(F.col("_e"), F.col("_s") + (F.col("_n") + 1) * size).alias("end_pos"))
 
 
@@ -66,7 +69,8 @@ def haplotype_baf_array(df: DataFrame, haps: DataFrame) -> DataFrame:
 def apply_external_haplotypes(haps: DataFrame, external: DataFrame) -> DataFrame:
     """Haplotypes rewritten by external phase blocks (sample_id, chrom, pos, hap1, ps). Het loci between follow the nearest external one;
     neighbouring blocks are turned so that the inferred phase runs through: a running exclusive or of the flips at block borders."""
-    known = haps.filter("hap1 <> hap2").join(external.select("sample_id", *LOCUS, F.col("hap1").alias("e1"), "ps"), ["sample_id", *LOCUS]).withColumn("off", (F.col("hap1") != F.col("e1")).cast("int")).select("sample_id", *LOCUS, "off", "ps")
+    known = haps.filter("hap1 <> hap2").join(external.select("sample_id", *LOCUS, F.col("hap1").alias("e1"), "ps"), ["sample_id", *LOCUS]).withColumn("off",
+        (F.col("hap1") != F.col("e1")).cast("int")).select("sample_id", *LOCUS, "off", "ps")
     near = nearest_join(haps.filter("hap1 <> hap2"), known, ["off", "ps"]).drop("near_pos")
     w = ordered()
     border = F.col("ps") != F.lag("ps").over(w)

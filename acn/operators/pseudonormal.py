@@ -66,7 +66,8 @@ def _loci_per_base(logr: DataFrame, geometry: DataFrame) -> DataFrame:
     return logr.groupBy("sample_id").agg(F.count("*").alias("_loci"), F.lit(1).alias("_one")).join(total, "_one").select("sample_id", (F.col("_loci") / F.col("_bases")).alias("_rate"))
 
 
-def loh_by_logr_windows(hets: DataFrame, logr: DataFrame, loh: DataFrame, geometry: DataFrame, min_gap: float | None = None, gamma: float = 100, kmin: int = 5, low: float = -0.8, min_density: float = 0.5, min_snps: int = 10, mode: str = "cell_line", dist: float = 5e5) -> DataFrame:
+def loh_by_logr_windows(hets: DataFrame, logr: DataFrame, loh: DataFrame, geometry: DataFrame, min_gap: float | None = None, gamma: float = 100, kmin: int = 5,
+    low: float = -0.8, min_density: float = 0.5, min_snps: int = 10, mode: str = "cell_line", dist: float = 5e5) -> DataFrame:
     """Losses in what loh leaves, outside short arms of acrocentric chromosomes: each gap between neighbouring hets of min_gap or more, whose
     density of LogR loci is more than min_density times the sample's own, is segmented by itself. Cell lines need a mean and a median below
     low first. A loss goes from the first to the last run below low and holds min_snps loci; level is the mean of its runs' levels."""
@@ -87,7 +88,8 @@ def loh_by_logr_windows(hets: DataFrame, logr: DataFrame, loh: DataFrame, geomet
     runs = _runs(segment_logr(own.select(*KEYS, "arm", "pos", "logr", "density"), "logr", gamma, kmin), "logr", [*KEYS, "arm"]).filter(F.col("level") < low)
     found = runs.groupBy(*KEYS, "arm").agg(F.min("start_pos").alias("_from"), F.max("end_pos").alias("_to"), F.avg("level").alias("level"))
     inside = own.join(found, [*KEYS, "arm"]).filter(F.col("pos").between(F.col("_from"), F.col("_to")))
-    whole = inside.groupBy(*KEYS, "arm").agg(F.first("_from").alias("start_pos"), F.first("_to").alias("end_pos"), F.count("*").alias("n"), F.first("level").alias("level"), F.first("density").alias("density"))
+    whole = inside.groupBy(*KEYS, "arm").agg(F.first("_from").alias("start_pos"), F.first("_to").alias("end_pos"), F.count("*").alias("n"),
+        F.first("level").alias("level"), F.first("density").alias("density"))
     return whole.filter(F.col("n") >= min_snps).withColumn("arm", F.substring_index("arm", ":", 1))
 
 

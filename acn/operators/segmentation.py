@@ -64,7 +64,8 @@ def flip_phased(baf: str, segmented: str) -> Column:
     return F.when(F.col(segmented) > 0.5, F.col(baf)).otherwise(1 - F.col(baf))
 
 
-def segment_phased_baf(df: DataFrame, breakpoints: DataFrame | None = None, gamma: float = 10, phase_gamma: float = 3, kmin: int = 3, phase_kmin: int = 3, no_segmentation: bool = False, baf_option: int = 3) -> DataFrame:
+def segment_phased_baf(df: DataFrame, breakpoints: DataFrame | None = None, gamma: float = 10, phase_gamma: float = 3, kmin: int = 3, phase_kmin: int = 3,
+    no_segmentation: bool = False, baf_option: int = 3) -> DataFrame:
     """Adds baf_phased and baf_seg. Pieces between breakpoints and large gaps are groups of their own."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:

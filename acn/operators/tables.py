@@ -57,7 +57,8 @@ def profile_lines(profile: DataFrame, loci: DataFrame) -> DataFrame:
     start = counts.withColumn("_start", F.sum("_n").over(Window.partitionBy("sample_id").orderBy(number)) - F.col("_n"))
     numbered = loci.select(*KEYS, "pos").withColumn("_k", F.row_number().over(Window.partitionBy(*KEYS).orderBy("pos"))).join(start, KEYS).withColumn("locus", F.col("_start") + F.col("_k"))
     key = [*KEYS, "start_pos", "end_pos"]
-    bounds = assign_points_to_intervals(numbered.select(*KEYS, "pos", "locus"), profile.select(*key), closed="right").groupBy(*key).agg(F.min("locus").alias("first_locus"), F.max("locus").alias("last_locus"))
+    bounds = assign_points_to_intervals(numbered.select(*KEYS, "pos", "locus"), profile.select(*key),
+        closed="right").groupBy(*key).agg(F.min("locus").alias("first_locus"), F.max("locus").alias("last_locus"))
     return average_states(profile).join(bounds, key).select(*key, "first_locus", "last_locus", "avg_major", "avg_minor", cn_total().alias("total_cn"))
 
 

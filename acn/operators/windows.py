@@ -184,7 +184,8 @@ def adjacent_equal_merge_x(segs: DataFrame, tol: float = 0.01) -> DataFrame:
     w = Window.partitionBy("sample_id", "chrom", "arm").orderBy("start_pos")
     new = F.coalesce((F.abs(F.col("cn") - F.lag("cn").over(w)) > tol).cast("int"), F.lit(0))
     runs = segs.withColumn("_new", new).withColumn("run_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("sample_id", "chrom", "arm", "run_id").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("n").alias("n"), (F.sum(F.col("logr") * F.col("n")) / F.sum("n")).alias("logr"), (F.sum(F.col("cn") * F.col("n")) / F.sum("n")).alias("cn")).drop("run_id")
+    return runs.groupBy("sample_id", "chrom", "arm", "run_id").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("n").alias("n"),
+        (F.sum(F.col("logr") * F.col("n")) / F.sum("n")).alias("logr"), (F.sum(F.col("cn") * F.col("n")) / F.sum("n")).alias("cn")).drop("run_id")
 
 
 def refit_suggestions(profile: DataFrame, fit: DataFrame, n: int = 5, min_mb: float = 2, gamma: float = 1.0) -> DataFrame:

@@ -67,7 +67,8 @@ def _(spark, track):
 
 @query("read_gc_covariates", "v_covariates", "select chrom, pos, " + ", ".join(f"round(gc_1kb + {i}, 6) as {c}" for i, c in enumerate(S.GC_COLUMNS)) + " from v_covariates")
 def _(spark, cov):
-    rows = cov.select(F.concat_ws("_", "chrom", F.col("pos").cast("string")), "chrom", "pos", *((F.col("gc_1kb") + i).alias(c) for i, c in enumerate(S.GC_COLUMNS)), *(F.lit(0.0).alias(f"x{i}") for i in range(6)))
+    rows = cov.select(F.concat_ws("_", "chrom", F.col("pos").cast("string")), "chrom", "pos", *((F.col("gc_1kb") + i).alias(c) for i, c in enumerate(S.GC_COLUMNS)),
+        *(F.lit(0.0).alias(f"x{i}") for i in range(6)))
     return rounded(readers.read_gc_covariates(spark, text_table(spark, rows, "gc", header=True)), *S.GC_COLUMNS)
 
 
@@ -102,7 +103,9 @@ def _(spark, vcf):
 
 
 QUERIES["write_phased_vcf"] = lambda spark, d: _written_vcf(spark, view(spark, d, "v_vcf"))
-ORACLE_SQL["write_phased_vcf"] = with_views("select sample_id, chrom, chrom || chr(9) || pos || chr(9) || '.' || chr(9) || ref || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || '.' || chr(9) || 'GT:PS:AD' || chr(9) || gt || ':' || ps || ':' || ad_ref || ',' || ad_alt as value from v_vcf", ["v_vcf"])
+ORACLE_SQL["write_phased_vcf"] = with_views(
+    "select sample_id, chrom, chrom || chr(9) || pos || chr(9) || '.' || chr(9) || ref || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || '.' || chr(9) || "
+    "'GT:PS:AD' || chr(9) || gt || ':' || ps || ':' || ad_ref || ',' || ad_alt as value from v_vcf", ["v_vcf"])
 
 
 def _written_vcf(spark, vcf):
@@ -116,11 +119,15 @@ def _(spark, track):
     return readers.read_generic_table(spark, text_table(spark, track.select(F.col("chrom").alias("my chrom"), "pos", "baf"), "generic", header=True))
 
 
-_MANIFEST = "select chrom, 'l' || chrom as impute_legend, 'm' || chrom as genetic_map, 'h' || chrom as impute_hap, cast(start_pos as int) as start, cast(end_pos as int) as \"end\", cast(cast(chrom as int) % 2 as int) as is_par from v_spans"
+_MANIFEST = (
+    "select chrom, 'l' || chrom as impute_legend, 'm' || chrom as genetic_map, 'h' || chrom as impute_hap, cast(start_pos as int) as start, cast(end_pos as int) as "
+    "\"end\", cast(cast(chrom as int) % 2 as int) as is_par from v_spans"
+)
 
 
 def _manifest(spark, geometry):
-    rows = geometry.select("chrom", F.concat(F.lit("l"), "chrom").alias("a"), F.concat(F.lit("m"), "chrom").alias("b"), F.concat(F.lit("h"), "chrom").alias("c"), "start_pos", "end_pos", (F.col("chrom").cast("int") % 2).alias("p"))
+    rows = geometry.select("chrom", F.concat(F.lit("l"), "chrom").alias("a"), F.concat(F.lit("m"), "chrom").alias("b"), F.concat(F.lit("h"), "chrom").alias("c"),
+        "start_pos", "end_pos", (F.col("chrom").cast("int") % 2).alias("p"))
     return text_table(spark, rows, "manifest")
 
 
@@ -144,7 +151,8 @@ def _(spark, track):
 @query("union_region_files", "v_haplotypes", "select 'snp' || pos as snpidx, 'rs' || pos as rsidx, pos, ref, alt, hap1, hap2 from v_haplotypes")
 def _(spark, haps):
     path = new_path(spark, "by-region")
-    rows = haps.select(F.concat(F.lit("snp"), F.col("pos").cast("string")).alias("a"), F.concat(F.lit("rs"), F.col("pos").cast("string")).alias("b"), "pos", "ref", "alt", "hap1", "hap2", (F.col("pos") / 5e6).cast("int").alias("region"))
+    rows = haps.select(F.concat(F.lit("snp"), F.col("pos").cast("string")).alias("a"), F.concat(F.lit("rs"), F.col("pos").cast("string")).alias("b"), "pos", "ref",
+        "alt", "hap1", "hap2", (F.col("pos") / 5e6).cast("int").alias("region"))
     rows.write.partitionBy("region").option("sep", " ").csv(path)
     return readers.union_region_files(spark, f"{path}/*")
 
@@ -185,7 +193,10 @@ def _(spark, seg):
     return _parquet_back(spark, sinks.write_baf_segmented, seg, ["sample_id", "chrom", "pos", "baf", "baf_phased", "baf_seg"])
 
 
-_PROFILE = "sample_id, chrom as chr, start_pos as startpos, end_pos as endpos, nMaj1 as \"nMaj1_A\", nMin1 as \"nMin1_A\", frac1 as \"frac1_A\", nMaj2 as \"nMaj2_A\", nMin2 as \"nMin2_A\", frac2 as \"frac2_A\""
+_PROFILE = (
+    "sample_id, chrom as chr, start_pos as startpos, end_pos as endpos, nMaj1 as \"nMaj1_A\", nMin1 as \"nMin1_A\", frac1 as \"frac1_A\", nMaj2 as \"nMaj2_A\", nMin2 as "
+    "\"nMin2_A\", frac2 as \"frac2_A\""
+)
 
 
 def _text_back(spark, write, df, schema):
@@ -212,13 +223,17 @@ def _(spark, rho_psi):
 _TOTAL = "(case when frac1 < 1 then nMaj1 * frac1 + nMaj2 * frac2 else nMaj1 end + case when frac1 < 1 then nMin1 * frac1 + nMin2 * frac2 else nMin1 end)"
 
 
-@query("write_purity_ploidy", "v_fit v_profile", f"select f.sample_id, f.rho as purity, round(p.ploidy, 6) as ploidy, round(f.rho * f.psi + 2 * (1 - f.rho), 6) as psi from v_fit f join (select sample_id, sum({_TOTAL} * (end_pos - start_pos)) / sum(end_pos - start_pos) as ploidy from v_profile group by sample_id) p on f.sample_id = p.sample_id")
+@query("write_purity_ploidy", "v_fit v_profile",
+    f"select f.sample_id, f.rho as purity, round(p.ploidy, 6) as ploidy, round(f.rho * f.psi + 2 * (1 - f.rho), 6) as psi from v_fit f join (select sample_id, sum({_TOTAL} "
+    f"* (end_pos - start_pos)) / sum(end_pos - start_pos) as ploidy from v_profile group by sample_id) p on f.sample_id = p.sample_id")
 def _(spark, rho_psi, profile):
     t = rounded(sinks.purity_ploidy_table(readers.load_rho_psi(rho_psi), aggregates.ploidy_weighted(profile)), "ploidy", "psi")
     return _text_back(spark, sinks.write_purity_ploidy, t, t.schema)
 
 
-@query("write_masking_details", "v_profile", "select sample_id, count(*) filter (where nMaj1 > 3 or nMin1 > 3) as n_masked, cast(sum(case when nMaj1 > 3 or nMin1 > 3 then end_pos - start_pos else 0 end) as bigint) as bases_masked from v_profile group by sample_id")
+@query("write_masking_details", "v_profile",
+    "select sample_id, count(*) filter (where nMaj1 > 3 or nMin1 > 3) as n_masked, cast(sum(case when nMaj1 > 3 or nMin1 > 3 then end_pos - start_pos else 0 end) as "
+    "bigint) as bases_masked from v_profile group by sample_id")
 def _(spark, profile):
     t = aggregates.masking_details(aggregates.mask_high_states(profile, 3))
     return _text_back(spark, sinks.write_masking_details, t, t.schema)
@@ -258,7 +273,10 @@ def _(spark, t, n, a):
     return loci.min_depth_filter(loci.match_counts(t, n, a), 20)
 
 
-_PICK = "(select c.sample_id, c.chrom, c.pos, [c.count_a, c.count_c, c.count_g, c.count_t][a.a0] as ref, [c.count_a, c.count_c, c.count_g, c.count_t][a.a1] as alt from v_counts c join v_alleles a on c.chrom = a.chrom and c.pos = a.pos) p"
+_PICK = (
+    "(select c.sample_id, c.chrom, c.pos, [c.count_a, c.count_c, c.count_g, c.count_t][a.a0] as ref, [c.count_a, c.count_c, c.count_g, c.count_t][a.a1] as alt from "
+    "v_counts c join v_alleles a on c.chrom = a.chrom and c.pos = a.pos) p"
+)
 
 
 @query("pick_allele_counts", "v_counts v_alleles", f"select *, ref + alt as depth from {_PICK}")
@@ -274,7 +292,8 @@ def _(spark, c, a):
     return rounded(aggregates.baf_logr_unpaired(c, a), "baf", "logr")
 
 
-@query("het_snp_filter_counts", "v_counts v_alleles", f"select sample_id, chrom, pos, depth, round(baf, 6) as baf, round(logr, 6) as logr from {_UNPAIRED} where baf between 0.1 and 0.9 and depth > 10")
+@query("het_snp_filter_counts", "v_counts v_alleles",
+    f"select sample_id, chrom, pos, depth, round(baf, 6) as baf, round(logr, 6) as logr from {_UNPAIRED} where baf between 0.1 and 0.9 and depth > 10")
 def _(spark, c, a):
     return rounded(loci.het_snp_filter_counts(aggregates.baf_logr_unpaired(c, a)), "baf", "logr")
 
@@ -299,7 +318,9 @@ def _(spark, c, a):
     return loci.keep_listed_loci(c, a)
 
 
-@query("finite_logr", "v_track", "select * from (select chrom, pos, case when pos % 7 = 0 then null when pos % 11 = 0 then cast('inf' as double) else logr end as logr from v_track) t where logr is not null and not isinf(logr)")
+@query("finite_logr", "v_track",
+    "select * from (select chrom, pos, case when pos % 7 = 0 then null when pos % 11 = 0 then cast('inf' as double) else logr end as logr from v_track) t where logr is "
+    "not null and not isinf(logr)")
 def _(spark, t):
     return loci.finite_logr(t.select("chrom", "pos", F.when(F.col("pos") % 7 == 0, None).when(F.col("pos") % 11 == 0, float("inf")).otherwise(F.col("logr")).alias("logr")))
 
@@ -324,7 +345,9 @@ def _(spark, s):
     return loci.drop_singleton_segments(s)
 
 
-@query("strand_flip_alleles", "v_array", "select probe_id, case when strand = '-' then translate(allele_a, 'ACGT', 'TGCA') else allele_a end as allele_a, case when strand = '-' then translate(allele_b, 'ACGT', 'TGCA') else allele_b end as allele_b from v_array")
+@query("strand_flip_alleles", "v_array",
+    "select probe_id, case when strand = '-' then translate(allele_a, 'ACGT', 'TGCA') else allele_a end as allele_a, case when strand = '-' then translate(allele_b, "
+    "'ACGT', 'TGCA') else allele_b end as allele_b from v_array")
 def _(spark, a):
     return loci.strand_flip_alleles(a).select("probe_id", "allele_a", "allele_b")
 
@@ -337,7 +360,10 @@ def _(spark, t, c):
     return loci.match_covariates(t, c.select("chrom", "pos", "gc_1kb")).select("chrom", "pos", "logr", "gc_1kb")
 
 
-_GENO = "(select c.sample_id, p.chrom, p.pos, p.snp_id, p.a0 as ref_allele, p.a1 as alt_allele, [c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', p.a0)] as ref, [c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', p.a1)] as alt from v_panel p join v_hap_counts c on p.chrom = c.chrom and p.pos = c.pos) g"
+_GENO = (
+    "(select c.sample_id, p.chrom, p.pos, p.snp_id, p.a0 as ref_allele, p.a1 as alt_allele, [c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', p.a0)] as ref, "
+    "[c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', p.a1)] as alt from v_panel p join v_hap_counts c on p.chrom = c.chrom and p.pos = c.pos) g"
+)
 
 
 @query("join_genotype_counts", "v_panel v_hap_counts", f"select * from {_GENO}")
@@ -345,12 +371,16 @@ def _(spark, p, c):
     return loci.join_genotype_counts(p, c)
 
 
-@query("genotype_from_normal", "v_panel v_hap_counts", f"select sample_id, chrom, pos, snp_id, ref_allele, alt_allele, cast(b <= 0.1 as int) as g0, cast(b > 0.1 and b < 0.9 as int) as g1, cast(b >= 0.9 as int) as g2 from (select *, case when ref + alt = 0 then 0 else alt / (ref + alt) end as b from {_GENO}) t")
+@query("genotype_from_normal", "v_panel v_hap_counts",
+    f"select sample_id, chrom, pos, snp_id, ref_allele, alt_allele, cast(b <= 0.1 as int) as g0, cast(b > 0.1 and b < 0.9 as int) as g1, cast(b >= 0.9 as int) as g2 from "
+    f"(select *, case when ref + alt = 0 then 0 else alt / (ref + alt) end as b from {_GENO}) t")
 def _(spark, p, c):
     return phasing.genotype_from_normal(p, c)
 
 
-@query("genotypes_to_vcf_rows", "v_panel v_hap_counts", f"select sample_id, chrom, pos, snp_id as id, ref_allele as ref, alt_allele as alt, case when b <= 0.1 then '0/0' when b < 0.9 then '0/1' else '1/1' end as gt from (select *, case when ref + alt = 0 then 0 else alt / (ref + alt) end as b from {_GENO}) t")
+@query("genotypes_to_vcf_rows", "v_panel v_hap_counts",
+    f"select sample_id, chrom, pos, snp_id as id, ref_allele as ref, alt_allele as alt, case when b <= 0.1 then '0/0' when b < 0.9 then '0/1' else '1/1' end as gt from "
+    f"(select *, case when ref + alt = 0 then 0 else alt / (ref + alt) end as b from {_GENO}) t")
 def _(spark, p, c):
     return phasing.genotypes_to_vcf_rows(phasing.genotype_from_normal(p, c))
 
@@ -360,22 +390,29 @@ def _(spark, a):
     return phasing.genotype_from_array(a)
 
 
-@query("vcf_rows_to_haplotypes", "v_vcf", "select sample_id, chrom, 'snp' || row_number() over w as snpidx, 'rs' || row_number() over w as rsidx, pos, ref, alt, cast(substr(gt, 1, 1) as int) as hap1, cast(substr(gt, 3, 1) as int) as hap2 from v_vcf where gt like '%|%' window w as (partition by sample_id, chrom order by pos)")
+@query("vcf_rows_to_haplotypes", "v_vcf",
+    "select sample_id, chrom, 'snp' || row_number() over w as snpidx, 'rs' || row_number() over w as rsidx, pos, ref, alt, cast(substr(gt, 1, 1) as int) as hap1, "
+    "cast(substr(gt, 3, 1) as int) as hap2 from v_vcf where gt like '%|%' window w as (partition by sample_id, chrom order by pos)")
 def _(spark, v):
     return phasing.vcf_rows_to_haplotypes(v)
 
 
-@query("orient_array_alleles", "v_array v_panel", "select probe_id, round(case when allele_a = a0 then tumour_baf else 1 - tumour_baf end, 6) as baf from v_array a join v_panel p on a.chrom = p.chrom and a.pos = p.pos where (allele_a = a0 and allele_b = a1) or (allele_a = a1 and allele_b = a0)")
+@query("orient_array_alleles", "v_array v_panel",
+    "select probe_id, round(case when allele_a = a0 then tumour_baf else 1 - tumour_baf end, 6) as baf from v_array a join v_panel p on a.chrom = p.chrom and a.pos = "
+    "p.pos where (allele_a = a0 and allele_b = a1) or (allele_a = a1 and allele_b = a0)")
 def _(spark, a, p):
     return rounded(loci.orient_array_alleles(a.withColumnRenamed("tumour_baf", "baf").join(p, ["chrom", "pos"])), "baf").select("probe_id", "baf")
 
 
-@query("sync_segments_with_logr", "v_baf_segmented v_tracks", "select s.chrom, s.pos, s.baf_seg, t.logr from v_baf_segmented s join v_tracks t on s.sample_id = t.sample_id and s.chrom = t.chrom and s.pos = t.pos")
+@query("sync_segments_with_logr", "v_baf_segmented v_tracks",
+    "select s.chrom, s.pos, s.baf_seg, t.logr from v_baf_segmented s join v_tracks t on s.sample_id = t.sample_id and s.chrom = t.chrom and s.pos = t.pos")
 def _(spark, s, t):
     return loci.sync_segments_with_logr(s, t).select("chrom", "pos", "baf_seg", "logr")
 
 
-@query("natural_join_samples", "v_tracks", "select chrom, pos, max(baf) filter (where sample_id = 's1') as v1, max(baf) filter (where sample_id = 's2') as v2, max(baf) filter (where sample_id = 's3') as v3 from v_tracks group by chrom, pos having count(*) = 3")
+@query("natural_join_samples", "v_tracks",
+    "select chrom, pos, max(baf) filter (where sample_id = 's1') as v1, max(baf) filter (where sample_id = 's2') as v2, max(baf) filter (where sample_id = 's3') as v3 "
+    "from v_tracks group by chrom, pos having count(*) = 3")
 def _(spark, t):
     return loci.natural_join_samples(t, 3).select("chrom", "pos", *(F.get("values", F.lit(i)).alias(f"v{i + 1}") for i in range(3)))
 
@@ -417,12 +454,16 @@ def _(spark, i):
     return intervals.interval_disjoin(i)
 
 
-@query("interval_count_overlaps", "v_intervals", "select a.chrom, a.start_pos, a.end_pos, count(*) as n from (select distinct chrom, start_pos, end_pos from v_intervals) a join v_intervals b on a.chrom = b.chrom and a.start_pos <= b.end_pos and b.start_pos <= a.end_pos group by a.chrom, a.start_pos, a.end_pos having count(*) > 1")
+@query("interval_count_overlaps", "v_intervals",
+    "select a.chrom, a.start_pos, a.end_pos, count(*) as n from (select distinct chrom, start_pos, end_pos from v_intervals) a join v_intervals b on a.chrom = b.chrom and "
+    "a.start_pos <= b.end_pos and b.start_pos <= a.end_pos group by a.chrom, a.start_pos, a.end_pos having count(*) > 1")
 def _(spark, i):
     return intervals.interval_count_overlaps(i, i, least=2)
 
 
-@query("interval_distance", "v_segments", "select chrom, start_pos, greatest(0, nxt - end_pos - 1) as gap from (select chrom, start_pos, end_pos, lead(start_pos) over (partition by sample_id, chrom order by start_pos) as nxt from v_segments) t where nxt is not null")
+@query("interval_distance", "v_segments",
+    "select chrom, start_pos, greatest(0, nxt - end_pos - 1) as gap from (select chrom, start_pos, end_pos, lead(start_pos) over (partition by sample_id, chrom order by "
+    "start_pos) as nxt from v_segments) t where nxt is not null")
 def _(spark, s):
     nxt = F.lead("start_pos").over(windows.ordered(order="start_pos"))
     return s.withColumn("nxt", nxt).filter("nxt is not null").select("chrom", "start_pos", sc.interval_distance("start_pos", "end_pos", "nxt", "nxt").alias("gap"))
@@ -439,7 +480,8 @@ def _(spark, s):
     return intervals.segment_at_position(s, "7", 20_000_000)
 
 
-@query("centromere_exclusion", "v_track v_geometry", "select t.* from v_track t join v_geometry g on t.chrom = g.chrom where pos between start_pos and end_pos and (pos < cen_left - 500000 or pos > cen_right + 500000)")
+@query("centromere_exclusion", "v_track v_geometry",
+    "select t.* from v_track t join v_geometry g on t.chrom = g.chrom where pos between start_pos and end_pos and (pos < cen_left - 500000 or pos > cen_right + 500000)")
 def _(spark, t, g):
     return intervals.centromere_exclusion(t, g)
 
@@ -472,7 +514,9 @@ _BAF_LOGR = f"""(select sample_id, chrom, pos, case when t1 + t2 > 0 then case w
   (t1 + t2) / (n1 + n2) as ratio from (select *, strpos('0123456789abcdef', substr(md5(sample_id || '|' || chrom || '|' || pos), 1, 1)) % 2 as pick from {_MATCH} where n1 + n2 >= 10 and t1 + t2 >= 1) t) b"""
 
 
-@query("baf_logr", "v_counts v_normal_counts v_alleles", f"select sample_id, chrom, pos, round(baf, 6) as baf, round(normal_baf, 6) as normal_baf, round(log2(ratio / avg(ratio) over (partition by sample_id)), 6) as logr from {_BAF_LOGR}")
+@query("baf_logr", "v_counts v_normal_counts v_alleles",
+    f"select sample_id, chrom, pos, round(baf, 6) as baf, round(normal_baf, 6) as normal_baf, round(log2(ratio / avg(ratio) over (partition by sample_id)), 6) as logr from "
+    f"{_BAF_LOGR}")
 def _(spark, t, n, a):
     return rounded(aggregates.baf_logr(t, n, a), "baf", "normal_baf", "logr")
 
@@ -487,13 +531,18 @@ def _(spark, t, c):
     return rounded(aggregates.covariate_correlations(loci.match_covariates(t, c), _COVS), "r")
 
 
-@query("pick_covariates", "v_track v_covariates", f"select sample_id, max_by(covariate, r) filter (where covariate in ('gc_25bp', 'gc_1kb')) as short, max_by(covariate, r) filter (where covariate in ('gc_5kb', 'gc_100kb')) as long, max_by(covariate, r) filter (where covariate in ('rt_01', 'rt_02')) as replication from ({_CORR}) t group by sample_id")
+@query("pick_covariates", "v_track v_covariates",
+    f"select sample_id, max_by(covariate, r) filter (where covariate in ('gc_25bp', 'gc_1kb')) as short, max_by(covariate, r) filter (where covariate in ('gc_5kb', "
+    f"'gc_100kb')) as long, max_by(covariate, r) filter (where covariate in ('rt_01', 'rt_02')) as replication from ({_CORR}) t group by sample_id")
 def _(spark, t, c):
     corrs = aggregates.covariate_correlations(loci.match_covariates(t, c), _COVS)
     return aggregates.pick_covariates(corrs, ["gc_25bp", "gc_1kb"], ["gc_5kb", "gc_100kb"], ["rt_01", "rt_02"])
 
 
-_RUNS = "(select *, sum(case when prev is null or prev <> baf_seg then 1 else 0 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) as run_id from (select *, lag(baf_seg) over (partition by sample_id, chrom order by pos) as prev from v_baf_segmented) t) r"
+_RUNS = (
+    "(select *, sum(case when prev is null or prev <> baf_seg then 1 else 0 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) as run_id from "
+    "(select *, lag(baf_seg) over (partition by sample_id, chrom order by pos) as prev from v_baf_segmented) t) r"
+)
 
 
 @query("run_islands", "v_baf_segmented", f"select sample_id, chrom, pos, cast(run_id as bigint) as run_id from {_RUNS}")
@@ -501,13 +550,17 @@ def _(spark, s):
     return windows.run_islands(s, "baf_seg").select("sample_id", "chrom", "pos", "run_id")
 
 
-@query("segment_means", "v_baf_segmented", f"select sample_id, chrom, cast(run_id as bigint) as run_id, min(pos) as start_pos, max(pos) as end_pos, count(*) as n, round(avg(logr), 6) as mean_value from {_RUNS} group by sample_id, chrom, run_id")
+@query("segment_means", "v_baf_segmented",
+    f"select sample_id, chrom, cast(run_id as bigint) as run_id, min(pos) as start_pos, max(pos) as end_pos, count(*) as n, round(avg(logr), 6) as mean_value from {_RUNS} "
+    f"group by sample_id, chrom, run_id")
 def _(spark, s):
     return rounded(aggregates.segment_means(s), "mean_value")
 
 
 for _option, _sql in ((1, "median(baf_phased)"), (2, "avg(baf_phased)"), (3, "case when median(baf_phased) in (0.0, 1.0) then avg(baf_phased) else median(baf_phased) end")):
-    @query(f"segment_baf_summary_{_option}", "v_baf_segmented", f"select sample_id, chrom, cast(run_id as bigint) as run_id, min(pos) as start_pos, max(pos) as end_pos, round({_sql}, 6) as baf from {_RUNS} group by sample_id, chrom, run_id")
+    @query(f"segment_baf_summary_{_option}", "v_baf_segmented",
+        f"select sample_id, chrom, cast(run_id as bigint) as run_id, min(pos) as start_pos, max(pos) as end_pos, round({_sql}, 6) as baf from {_RUNS} group by sample_id, "
+        f"chrom, run_id")
     def _(spark, s, option=_option):
         return rounded(aggregates.segment_baf_summary(s, option), "baf")
 
@@ -517,12 +570,15 @@ def _(spark, s):
     return aggregates.segments_collapse(s)
 
 
-@query("segment_switchpoints", "v_baf_segmented", f"select sample_id, chrom, cast(run_id as bigint) as run_id, min(pos) as start_pos, max(pos) as end_pos, count(*) as n, round(avg(baf_phased), 6) as mean, round(stddev_samp(baf_phased), 6) as sd, greatest(min(baf_seg), 1 - min(baf_seg)) as baf from {_RUNS} group by sample_id, chrom, run_id")
+@query("segment_switchpoints", "v_baf_segmented",
+    f"select sample_id, chrom, cast(run_id as bigint) as run_id, min(pos) as start_pos, max(pos) as end_pos, count(*) as n, round(avg(baf_phased), 6) as mean, "
+    f"round(stddev_samp(baf_phased), 6) as sd, greatest(min(baf_seg), 1 - min(baf_seg)) as baf from {_RUNS} group by sample_id, chrom, run_id")
 def _(spark, s):
     return rounded(calls.segment_switchpoints(s), "mean", "sd")
 
 
-@query("segment_info", "v_baf_segmented", f"""select r.sample_id, r.chrom, cast(r.run_id as bigint) as run_id, r.b, r.n as length, r.start_pos, r.end_pos, p.size, round(p.mean, 6) as mean, round(p.sd, 6) as sd
+@query("segment_info", "v_baf_segmented",
+    f"""select r.sample_id, r.chrom, cast(r.run_id as bigint) as run_id, r.b, r.n as length, r.start_pos, r.end_pos, p.size, round(p.mean, 6) as mean, round(p.sd, 6) as sd
   from (select sample_id, chrom, run_id, min(baf_seg) as b, count(*) as n, min(pos) as start_pos, max(pos) as end_pos from {_RUNS} group by sample_id, chrom, run_id) r
   join (select sample_id, baf_seg, count(*) as size, avg(baf_phased) as mean, stddev_samp(baf_phased) as sd from v_baf_segmented group by sample_id, baf_seg) p on p.sample_id = r.sample_id and p.baf_seg = r.b""")
 def _(spark, s):
@@ -538,7 +594,9 @@ def _(spark, p):
     return rounded(aggregates.ploidy_weighted(p), "ploidy")
 
 
-@query("pga_is_clonal", "v_profile", f"select sample_id, round(1 - sum(case when frac1 < 1 then {_LEN} else 0 end) / sum(case when nMaj1 = 1 and nMin1 = 1 and frac1 = 1 then 0 else {_LEN} end), 6) as clonal_share from v_profile group by sample_id")
+@query("pga_is_clonal", "v_profile",
+    f"select sample_id, round(1 - sum(case when frac1 < 1 then {_LEN} else 0 end) / sum(case when nMaj1 = 1 and nMin1 = 1 and frac1 = 1 then 0 else {_LEN} end), 6) as "
+    f"clonal_share from v_profile group by sample_id")
 def _(spark, p):
     return rounded(aggregates.pga_is_clonal(p), "clonal_share")
 
@@ -556,7 +614,9 @@ def _(spark, t, n, a):
     return rounded(aggregates.coverage_normalised(loci.match_counts(t, n, a)), "tumour", "normal")
 
 
-@query("array_probe_centering", "v_array", "select probe_id, probe_class, round(tumour_lrr - avg(tumour_lrr) over (partition by sample_id, probe_class), 4) as logr, case when tumour_baf <> 2 then tumour_baf end as baf from (select *, case when probe_id like 'CN%' then 'cn' else 'snp' end as probe_class from v_array) t")
+@query("array_probe_centering", "v_array",
+    "select probe_id, probe_class, round(tumour_lrr - avg(tumour_lrr) over (partition by sample_id, probe_class), 4) as logr, case when tumour_baf <> 2 then tumour_baf "
+    "end as baf from (select *, case when probe_id like 'CN%' then 'cn' else 'snp' end as probe_class from v_array) t")
 def _(spark, a):
     return aggregates.array_probe_centering(a).select("probe_id", "probe_class", "logr", "baf")
 
@@ -566,12 +626,17 @@ def _(spark, t):
     return aggregates.snp_density(t).withColumn("density", r6(F.col("density") * 1e6))
 
 
-@query("profile_summary", "v_profile", f"select sample_id, round(sum(case when (nMaj1 = 0 and nMin1 = 0) or (nMaj2 = 0 and nMin2 = 0) then {_LEN} else 0 end) / 1e6, 6) as hom_del_mb, round(sum(case when frac1 < 1 then {_LEN} else 0 end) / sum({_LEN}), 6) as subclonal_share, count(*) filter (where frac1 between 0.48 and 0.52) as n_even from v_profile group by sample_id")
+@query("profile_summary", "v_profile",
+    f"select sample_id, round(sum(case when (nMaj1 = 0 and nMin1 = 0) or (nMaj2 = 0 and nMin2 = 0) then {_LEN} else 0 end) / 1e6, 6) as hom_del_mb, round(sum(case when "
+    f"frac1 < 1 then {_LEN} else 0 end) / sum({_LEN}), 6) as subclonal_share, count(*) filter (where frac1 between 0.48 and 0.52) as n_even from v_profile group by "
+    f"sample_id")
 def _(spark, p):
     return rounded(aggregates.profile_summary(p), "hom_del_mb", "subclonal_share")
 
 
-@query("pileup_allele_counts", "v_bases", "select sample_id, chrom, pos, count(*) filter (where base = 'A') as count_a, count(*) filter (where base = 'C') as count_c, count(*) filter (where base = 'G') as count_g, count(*) filter (where base = 'T') as count_t, count(*) as good_depth from v_bases where base_qual >= 20 and map_qual >= 35 group by sample_id, chrom, pos")
+@query("pileup_allele_counts", "v_bases",
+    "select sample_id, chrom, pos, count(*) filter (where base = 'A') as count_a, count(*) filter (where base = 'C') as count_c, count(*) filter (where base = 'G') as "
+    "count_g, count(*) filter (where base = 'T') as count_t, count(*) as good_depth from v_bases where base_qual >= 20 and map_qual >= 35 group by sample_id, chrom, pos")
 def _(spark, b):
     return loci.pileup_allele_counts(b)
 

@@ -15,12 +15,17 @@ from .core import _JOINED, _TOTAL, query, r6, rounded
 _W = "over (partition by sample_id, chrom order by pos)"
 
 
-@query("inter_het_distance", "v_tracks", f"select sample_id, chrom, pos, gap, round(gap / max(gap) over (partition by sample_id, chrom), 6) as scaled_gap from (select sample_id, chrom, pos, coalesce(lead(pos) {_W} - pos, pos - lag(pos) {_W}) as gap from v_tracks) t")
+@query("inter_het_distance", "v_tracks",
+    f"select sample_id, chrom, pos, gap, round(gap / max(gap) over (partition by sample_id, chrom), 6) as scaled_gap from (select sample_id, chrom, pos, coalesce(lead(pos) "
+    f"{_W} - pos, pos - lag(pos) {_W}) as gap from v_tracks) t")
 def _(spark, t):
     return rounded(windows.inter_het_distance(t).select("sample_id", "chrom", "pos", "gap", "scaled_gap"), "scaled_gap")
 
 
-_SPLIT = f"(select sample_id, chrom, pos, cast(sum(far) over (partition by sample_id, chrom order by pos rows unbounded preceding) as bigint) as piece from (select *, coalesce(cast(pos - lag(pos) {_W} >= 150000 as int), 0) as far from v_tracks) t) s"
+_SPLIT = (
+    f"(select sample_id, chrom, pos, cast(sum(far) over (partition by sample_id, chrom order by pos rows unbounded preceding) as bigint) as piece from (select *, "
+    f"coalesce(cast(pos - lag(pos) {_W} >= 150000 as int), 0) as far from v_tracks) t) s"
+)
 
 
 @query("big_gap_split", "v_tracks", f"select * from {_SPLIT}")
@@ -58,19 +63,30 @@ def _(spark, t):
     return rounded(windows.running_median(t, "logr", 21).select("sample_id", "chrom", "pos", "running_median"), "running_median")
 
 
-@query("mad_sd", "v_tracks", f"select sample_id, chrom, round(1.4826 * median(abs(d - c)), 6) as sd from (select *, median(d) over (partition by sample_id, chrom) as c from (select *, logr - running_median as d from {_median_sql('(select * from v_tracks where logr <> 0)', 'logr', 21)}) x) y group by sample_id, chrom")
+@query("mad_sd", "v_tracks",
+    f"select sample_id, chrom, round(1.4826 * median(abs(d - c)), 6) as sd from (select *, median(d) over (partition by sample_id, chrom) as c from (select *, logr - "
+    f"running_median as d from {_median_sql('(select * from v_tracks where logr <> 0)', 'logr', 21)}) x) y group by sample_id, chrom")
 def _(spark, t):
     return rounded(windows.mad_sd(t, "logr", 10), "sd")
 
 
-@query("winsorise", "v_tracks", f"select sample_id, chrom, pos, round(least(greatest(logr, running_median - s), running_median + s), 6) as winsorised from (select *, 2.5 * 1.4826 * median(abs(logr - running_median)) over (partition by sample_id, chrom) as s from {_MEDIAN}) x")
+@query("winsorise", "v_tracks",
+    f"select sample_id, chrom, pos, round(least(greatest(logr, running_median - s), running_median + s), 6) as winsorised from (select *, 2.5 * 1.4826 * median(abs(logr - "
+    f"running_median)) over (partition by sample_id, chrom) as s from {_MEDIAN}) x")
 def _(spark, t):
     return rounded(windows.winsorise(t, "logr", 10).select("sample_id", "chrom", "pos", "winsorised"), "winsorised")
 
 
 _LAGS = "(select range as lag from range(1, 101)) l"
-_SWITCH = f"(select p.sample_id, p.chrom, p.pos, l.lag, abs(p.bit - q.bit) as switch, case when p.open_after - q.open_before = 0 and p.ps = q.ps then 1.0 else 0.25 end as e from numbered p cross join {_LAGS} join numbered q on q.sample_id = p.sample_id and q.chrom = p.chrom and q.i = p.i - l.lag) s"
-_NUMBERED = "numbered as (select *, row_number() over w as i, sum(case when phased then 0 else 1 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) as open_after, sum(case when phased then 0 else 1 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) - case when phased then 0 else 1 end as open_before from v_phased window w as (partition by sample_id, chrom order by pos))"
+_SWITCH = (
+    f"(select p.sample_id, p.chrom, p.pos, l.lag, abs(p.bit - q.bit) as switch, case when p.open_after - q.open_before = 0 and p.ps = q.ps then 1.0 else 0.25 end as e from "
+    f"numbered p cross join {_LAGS} join numbered q on q.sample_id = p.sample_id and q.chrom = p.chrom and q.i = p.i - l.lag) s"
+)
+_NUMBERED = (
+    "numbered as (select *, row_number() over w as i, sum(case when phased then 0 else 1 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) "
+    "as open_after, sum(case when phased then 0 else 1 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) - case when phased then 0 else 1 "
+    "end as open_before from v_phased window w as (partition by sample_id, chrom order by pos))"
+)
 
 
 @query("phase_switches", "v_phased", f"select sample_id, chrom, pos, lag, switch from {_SWITCH}", _NUMBERED)
@@ -83,8 +99,16 @@ def _(spark, p):
     return rounded(windows.phase_evidence(p, 100), "evidence")
 
 
-_SETS = "sets as (select sample_id, chrom, pos, min(pos) over (partition by sample_id, chrom, run) as ps from (select *, sum(case when prev is null or prev <> baf_seg then 1 else 0 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) as run from (select *, lag(baf_seg) over (partition by sample_id, chrom order by pos) as prev from v_baf_segmented where greatest(baf_seg, 1 - baf_seg) > 0.6) a) b)"
-_PS = "(select v.sample_id, v.chrom, v.pos, v.baf_seg, coalesce(case when b.pos is null or (a.pos is not null and a.pos - v.pos < v.pos - b.pos) then a.ps else b.ps end, min(v.pos) over (partition by v.sample_id, v.chrom)) as ps from v_baf_segmented v asof left join sets b on v.sample_id = b.sample_id and v.chrom = b.chrom and v.pos >= b.pos asof left join sets a on v.sample_id = a.sample_id and v.chrom = a.chrom and v.pos <= a.pos) z"
+_SETS = (
+    "sets as (select sample_id, chrom, pos, min(pos) over (partition by sample_id, chrom, run) as ps from (select *, sum(case when prev is null or prev <> baf_seg then 1 "
+    "else 0 end) over (partition by sample_id, chrom order by pos rows unbounded preceding) as run from (select *, lag(baf_seg) over (partition by sample_id, chrom order "
+    "by pos) as prev from v_baf_segmented where greatest(baf_seg, 1 - baf_seg) > 0.6) a) b)"
+)
+_PS = (
+    "(select v.sample_id, v.chrom, v.pos, v.baf_seg, coalesce(case when b.pos is null or (a.pos is not null and a.pos - v.pos < v.pos - b.pos) then a.ps else b.ps end, "
+    "min(v.pos) over (partition by v.sample_id, v.chrom)) as ps from v_baf_segmented v asof left join sets b on v.sample_id = b.sample_id and v.chrom = b.chrom and v.pos "
+    ">= b.pos asof left join sets a on v.sample_id = a.sample_id and v.chrom = a.chrom and v.pos <= a.pos) z"
+)
 
 
 @query("phase_set_ids", "v_baf_segmented", f"select chrom, pos, ps from {_PS}", _SETS)
@@ -92,7 +116,10 @@ def _(spark, s):
     return windows.phase_set_ids(s.select("sample_id", "chrom", "pos", "baf_seg"), 0.6).select("chrom", "pos", "ps")
 
 
-_TOP = "(select *, row_number() over (partition by sample_id order by end_pos - start_pos desc, chrom, start_pos) as rank from v_profile where frac1 = 1 and not (nMaj1 = 1 and nMin1 = 1) and end_pos - start_pos > 2000000) t"
+_TOP = (
+    "(select *, row_number() over (partition by sample_id order by end_pos - start_pos desc, chrom, start_pos) as rank from v_profile where frac1 = 1 and not (nMaj1 = 1 "
+    "and nMin1 = 1) and end_pos - start_pos > 2000000) t"
+)
 
 
 @query("top_segments", "v_profile", f"select sample_id, chrom, start_pos, end_pos, rank from {_TOP} where rank <= 5")
@@ -127,7 +154,9 @@ def _(spark, p, f):
 _R3, _P3, _T3 = _refit("3.0", "1.0")
 
 
-@query("suggest_refit", "v_profile", f"select sample_id, chrom, start_pos, end_pos, round({_R3}, 6) as rho, round({_P3}, 6) as psi, round({_T3}, 6) as psi_t from v_profile where chrom = '7' and start_pos <= 20000000 and end_pos >= 20000000")
+@query("suggest_refit", "v_profile",
+    f"select sample_id, chrom, start_pos, end_pos, round({_R3}, 6) as rho, round({_P3}, 6) as psi, round({_T3}, 6) as psi_t from v_profile where chrom = '7' and start_pos "
+    f"<= 20000000 and end_pos >= 20000000")
 def _(spark, p):
     return rounded(calls.suggest_refit(p, "7", 20_000_000, 3, 1), "rho", "psi", "psi_t")
 
@@ -140,9 +169,14 @@ def _(spark, t):
 _XSEG = "(select sample_id, chrom, case when start_pos < 20000000 then 'p' else 'q' end as arm, start_pos, end_pos, n, logr, cast(1 + n % 2 as double) as cn from v_segments) x"
 
 
-@query("adjacent_equal_merge_x", "v_segments", f"select sample_id, chrom, arm, min(start_pos) as start_pos, max(end_pos) as end_pos, cast(sum(n) as bigint) as n, round(sum(logr * n) / sum(n), 6) as logr, round(sum(cn * n) / sum(n), 6) as cn from (select *, sum(new) over (partition by sample_id, chrom, arm order by start_pos rows unbounded preceding) as run from (select *, coalesce(cast(abs(cn - lag(cn) over (partition by sample_id, chrom, arm order by start_pos)) > 0.01 as int), 0) as new from {_XSEG}) a) b group by sample_id, chrom, arm, run")
+@query("adjacent_equal_merge_x", "v_segments",
+    f"select sample_id, chrom, arm, min(start_pos) as start_pos, max(end_pos) as end_pos, cast(sum(n) as bigint) as n, round(sum(logr * n) / sum(n), 6) as logr, "
+    f"round(sum(cn * n) / sum(n), 6) as cn from (select *, sum(new) over (partition by sample_id, chrom, arm order by start_pos rows unbounded preceding) as run from "
+    f"(select *, coalesce(cast(abs(cn - lag(cn) over (partition by sample_id, chrom, arm order by start_pos)) > 0.01 as int), 0) as new from {_XSEG}) a) b group by "
+    f"sample_id, chrom, arm, run")
 def _(spark, s):
-    segs = s.select("sample_id", "chrom", F.when(F.col("start_pos") < 20_000_000, "p").otherwise("q").alias("arm"), "start_pos", "end_pos", "n", "logr", (1 + F.col("n") % 2).cast("double").alias("cn"))
+    segs = s.select("sample_id", "chrom", F.when(F.col("start_pos") < 20_000_000, "p").otherwise("q").alias("arm"), "start_pos", "end_pos", "n", "logr",
+        (1 + F.col("n") % 2).cast("double").alias("cn"))
     return rounded(windows.adjacent_equal_merge_x(segs), "logr", "cn")
 
 
@@ -191,7 +225,8 @@ def _(spark, p):
     return loci.replace_chrom_rows(p, new, "22").select("chrom", "start_pos", "nMaj1", "nMaj2")
 
 
-@query("count_reconciliation", "v_counts v_alleles", "select sample_id, chrom, pos, 'missing' as fault from v_counts c where not exists (select 1 from v_alleles a where a.chrom = c.chrom and a.pos = c.pos)")
+@query("count_reconciliation", "v_counts v_alleles",
+    "select sample_id, chrom, pos, 'missing' as fault from v_counts c where not exists (select 1 from v_alleles a where a.chrom = c.chrom and a.pos = c.pos)")
 def _(spark, c, a):
     return loci.count_reconciliation(loci.keep_listed_loci(c, a), c)
 
@@ -214,19 +249,24 @@ def _(spark, s):
 
 
 for _name, _f in (("cn_total", sc.cn_total), ("cn_total_major", sc.cn_total_major), ("cn_total_minor", sc.cn_total_minor)):
-    _expr = {"cn_total": _TOTAL, "cn_total_major": "case when frac1 < 1 then nMaj1 * frac1 + nMaj2 * frac2 else nMaj1 end", "cn_total_minor": "case when frac1 < 1 then nMin1 * frac1 + nMin2 * frac2 else nMin1 end"}[_name]
+    _expr = {"cn_total": _TOTAL, "cn_total_major": "case when frac1 < 1 then nMaj1 * frac1 + nMaj2 * frac2 else nMaj1 end",
+        "cn_total_minor": "case when frac1 < 1 then nMin1 * frac1 + nMin2 * frac2 else nMin1 end"}[_name]
 
     @query(_name, "v_profile", f"select chrom, start_pos, round({_expr}, 6) as v from v_profile")
     def _(spark, p, f=_f):
         return p.select("chrom", "start_pos", r6(f()).alias("v"))
 
 
-@query("average_states", "v_profile", "select chrom, start_pos, round(case when frac1 < 1 then nMaj1 * frac1 + nMaj2 * frac2 else nMaj1 end, 6) as avg_major, round(case when frac1 < 1 then nMin1 * frac1 + nMin2 * frac2 else nMin1 end, 6) as avg_minor from v_profile")
+@query("average_states", "v_profile",
+    "select chrom, start_pos, round(case when frac1 < 1 then nMaj1 * frac1 + nMaj2 * frac2 else nMaj1 end, 6) as avg_major, round(case when frac1 < 1 then nMin1 * frac1 + "
+    "nMin2 * frac2 else nMin1 end, 6) as avg_minor from v_profile")
 def _(spark, p):
     return rounded(calls.average_states(p).select("chrom", "start_pos", "avg_major", "avg_minor"), "avg_major", "avg_minor")
 
 
-@query("psi_conversions", "v_segments", "select chrom, start_pos, round(baf * 2.15::double + 2 * (1 - baf), 6) as psi, round((2.15::double - 2 * (1 - baf)) / baf, 6) as psi_t, round((2.15::double * pow(2, logr) - 2 * (1 - baf)) / baf, 6) as cn from v_segments")
+@query("psi_conversions", "v_segments",
+    "select chrom, start_pos, round(baf * 2.15::double + 2 * (1 - baf), 6) as psi, round((2.15::double - 2 * (1 - baf)) / baf, 6) as psi_t, round((2.15::double * pow(2, "
+    "logr) - 2 * (1 - baf)) / baf, 6) as cn from v_segments")
 def _(spark, s):
     return s.select("chrom", "start_pos", r6(sc.psi_from_psit("baf", 2.15)).alias("psi"), r6(sc.psit_from_psi("baf", 2.15)).alias("psi_t"), r6(sc.logr_to_cn("baf", 2.15, "logr")).alias("cn"))
 
@@ -235,7 +275,9 @@ def _level(maj, mnr, rho="0.73::double"):
     return f"(case when {maj} = 0 and {mnr} = 0 then 0.5 else (1 - {rho} + {rho} * {maj}) / (2 - 2 * {rho} + {rho} * ({maj} + {mnr})) end)"
 
 
-@query("expected_levels", "v_profile", f"select chrom, start_pos, round({_level('nMaj1', 'nMin1')}, 6) as baf, round(log2((2 - 2 * 0.73::double + 0.73::double * (nMaj1 + nMin1)) / (2 - 2 * 0.73::double + 0.73::double * 2.15::double)), 6) as logr from v_profile")
+@query("expected_levels", "v_profile",
+    f"select chrom, start_pos, round({_level('nMaj1', 'nMin1')}, 6) as baf, round(log2((2 - 2 * 0.73::double + 0.73::double * (nMaj1 + nMin1)) / (2 - 2 * 0.73::double + "
+    f"0.73::double * 2.15::double)), 6) as logr from v_profile")
 def _(spark, p):
     return p.select("chrom", "start_pos", r6(sc.expected_baf(0.73, "nMaj1", "nMin1")).alias("baf"), r6(sc.expected_logr(0.73, 2.15, "nMaj1", "nMin1")).alias("logr"))
 
@@ -246,7 +288,9 @@ def _(spark, p):
     return p.select("chrom", "start_pos", r6(r).alias("rho"), r6(s).alias("psi"), r6(t).alias("psi_t"))
 
 
-@query("psi_t_from_cn", "v_profile", "select chrom, start_pos, round(((0.73::double * (nMaj1 + nMin1) + 2 - 2 * 0.73::double) / pow(2, logr) - 2 * (1 - 0.73::double)) / 0.73::double, 6) as psi_t from v_profile")
+@query("psi_t_from_cn", "v_profile",
+    "select chrom, start_pos, round(((0.73::double * (nMaj1 + nMin1) + 2 - 2 * 0.73::double) / pow(2, logr) - 2 * (1 - 0.73::double)) / 0.73::double, 6) as psi_t from "
+    "v_profile")
 def _(spark, p):
     return p.select("chrom", "start_pos", r6(sc.psi_t_from_cn(F.col("nMaj1") + F.col("nMin1"), "logr", 0.73)).alias("psi_t"))
 
@@ -269,7 +313,11 @@ def _square(s):
     return s.withColumns({"x": x, "y": y})
 
 
-_NEAREST = "select chrom, start_pos, floor(x) + m1 as m1, floor(y) + n1 as n1, floor(x) + m2 as m2, floor(y) + n2 as n2 from (select *, case when baf > l3 then case when low then [0, 0, 1, 0] else [1, 0, 1, 1] end when baf > l2 then case when low then [0, 0, 0, 1] else [1, 0, 1, 1] end else case when low then [0, 0, 0, 1] else [0, 1, 1, 1] end end as o, o[1] as m1, o[2] as n1, o[3] as m2, o[4] as n2 from lv) t"
+_NEAREST = (
+    "select chrom, start_pos, floor(x) + m1 as m1, floor(y) + n1 as n1, floor(x) + m2 as m2, floor(y) + n2 as n2 from (select *, case when baf > l3 then case when low "
+    "then [0, 0, 1, 0] else [1, 0, 1, 1] end when baf > l2 then case when low then [0, 0, 0, 1] else [1, 0, 1, 1] end else case when low then [0, 0, 0, 1] else [0, 1, 1, "
+    "1] end end as o, o[1] as m1, o[2] as n1, o[3] as m2, o[4] as n2 from lv) t"
+)
 
 
 @query("nearest_edge", "v_segments", _NEAREST, _AT)
@@ -303,10 +351,14 @@ def _(spark, s):
     return _opened(s).drop("baf")
 
 
-_TAU = "(1 - 0.73::double + 0.73::double * m2 - 2 * baf * (1 - 0.73::double) - baf * 0.73::double * (n2 + m2)) / nullif(baf * 0.73::double * (n1 + m1) - baf * 0.73::double * (n2 + m2) - 0.73::double * m1 + 0.73::double * m2, 0)"
+_TAU = (
+    "(1 - 0.73::double + 0.73::double * m2 - 2 * baf * (1 - 0.73::double) - baf * 0.73::double * (n2 + m2)) / nullif(baf * 0.73::double * (n1 + m1) - baf * 0.73::double * "
+    "(n2 + m2) - 0.73::double * m1 + 0.73::double * m2, 0)"
+)
 
 
-@query("two_state_fraction", "v_segments", f"select chrom, start_pos, k, round({_TAU}, 4) as tau from good where ok and abs(baf * 0.73 * (n1 + m1) - baf * 0.73 * (n2 + m2) - 0.73 * m1 + 0.73 * m2) > 1e-3", f"{_AT}, {_EDGES}")
+@query("two_state_fraction", "v_segments",
+    f"select chrom, start_pos, k, round({_TAU}, 4) as tau from good where ok and abs(baf * 0.73 * (n1 + m1) - baf * 0.73 * (n2 + m2) - 0.73 * m1 + 0.73 * m2) > 1e-3", f"{_AT}, {_EDGES}")
 def _(spark, s):
     rows = _opened(s).filter("m1 is not null and abs(baf * 0.73 * (n1 + m1) - baf * 0.73 * (n2 + m2) - 0.73 * m1 + 0.73 * m2) > 1e-3")
     return rows.select("chrom", "start_pos", "k", F.round(sc.two_state_fraction("baf", 0.73, "m1", "n1", "m2", "n2"), 4).alias("tau"))
@@ -321,7 +373,10 @@ def _t_tails(t, df):
     """Two-tailed p of Student's t for whole degrees of freedom: a finite series in the cosine of atan(t / sqrt(df))."""
     angle = f"atan(abs({t}) / sqrt({df}))"
     even = f"sin({angle}) / sqrt(pi()) * list_sum(list_transform(range(0, cast({df} as bigint) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0)) * pow(cos({angle}), 2 * j)))"
-    odd = f"coalesce(sin({angle}) * sqrt(pi()) / 2 * list_sum(list_transform(range(0, (cast({df} as bigint) - 1) // 2), lambda j: exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * pow(cos({angle}), 2 * j + 1))), 0)"
+    odd = (
+        f"coalesce(sin({angle}) * sqrt(pi()) / 2 * list_sum(list_transform(range(0, (cast({df} as bigint) - 1) // 2), lambda j: exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * "
+        f"pow(cos({angle}), 2 * j + 1))), 0)"
+    )
     return f"(1 - case when cast({df} as bigint) % 2 = 0 then {even} else 2 / pi() * ({angle} + {odd}) end)"
 
 
@@ -331,7 +386,10 @@ def _(spark, s):
     return s.select("seg_id", r6(stats.one_sample_t("size", "mean", "sd", F.lit(0.6))).alias("pval"))
 
 
-@query("welch_t", "v_seg6", "select seg_id, round((a.mean - nm) / sqrt(a.sd * a.sd / a.size + ns * ns / nn), 4) as t, round(pow(a.sd * a.sd / a.size + ns * ns / nn, 2) / (pow(a.sd * a.sd / a.size, 2) / (a.size - 1) + pow(ns * ns / nn, 2) / (nn - 1)), 4) as df from (select *, lead(mean) over w as nm, lead(sd) over w as ns, lead(size) over w as nn from v_seg6 window w as (partition by sample_id order by seg_id)) a where nn is not null")
+@query("welch_t", "v_seg6",
+    "select seg_id, round((a.mean - nm) / sqrt(a.sd * a.sd / a.size + ns * ns / nn), 4) as t, round(pow(a.sd * a.sd / a.size + ns * ns / nn, 2) / (pow(a.sd * a.sd / "
+    "a.size, 2) / (a.size - 1) + pow(ns * ns / nn, 2) / (nn - 1)), 4) as df from (select *, lead(mean) over w as nm, lead(sd) over w as ns, lead(size) over w as nn from "
+    "v_seg6 window w as (partition by sample_id order by seg_id)) a where nn is not null")
 def _(spark, s):
     w = windows.ordered(["sample_id"], "seg_id")
     rows = s.withColumns({"nm": F.lead("mean").over(w), "ns": F.lead("sd").over(w), "nn": F.lead("size").over(w)}).filter("nn is not null")
@@ -397,7 +455,10 @@ def _(spark, t):
     return segmentation.pcf_candidates(t.select("sample_id", "chrom", "pos", "logr"), "logr", 5)
 
 
-@query("pcf_compact", "v_track", "select sample_id, chrom, cast(cell as bigint) as cell, count(*) as n, round(sum(logr), 6) as total, round(sum(logr * logr), 6) as squares from (select *, sum(mark) over (partition by sample_id, chrom order by pos rows unbounded preceding) - mark as cell from (select *, cast(pos % 35000 = 0 as int) as mark from v_track) a) b group by sample_id, chrom, cell")
+@query("pcf_compact", "v_track",
+    "select sample_id, chrom, cast(cell as bigint) as cell, count(*) as n, round(sum(logr), 6) as total, round(sum(logr * logr), 6) as squares from (select *, sum(mark) "
+    "over (partition by sample_id, chrom order by pos rows unbounded preceding) - mark as cell from (select *, cast(pos % 35000 = 0 as int) as mark from v_track) a) b "
+    "group by sample_id, chrom, cell")
 def _(spark, t):
     return rounded(segmentation.pcf_compact(t.withColumn("mark", F.col("pos") % 35000 == 0), "logr", "mark"), "total", "squares")
 
@@ -434,8 +495,15 @@ def _segs(s):
     return s.select("sample_id", F.col("baf").alias("b"), F.col("logr").alias("r"), F.col("n").alias("length"))
 
 
-_GRID = "grid as (select i.range as i, j.range as j, round(1.0 + (i.range - 1) * 0.05::double, 6) as psi, round(0.07 + (j.range - 1) * 0.01::double, 6) as rho from range(1, 90) i cross join range(1, 98) j)"
-_POINT = "pts as (select s.sample_id, g.i, g.j, g.psi, g.rho, s.baf as b, s.n as len, (g.rho - 1 - (s.baf - 1) * pow(2, s.logr) * ((1 - g.rho) * 2 + g.rho * g.psi)) / g.rho as na, (g.rho - 1 + s.baf * pow(2, s.logr) * ((1 - g.rho) * 2 + g.rho * g.psi)) / g.rho as nb from v_segments s cross join grid g), off as (select *, abs(na - greatest(round_even(na, 0), 0)) as oa, abs(nb - greatest(round_even(nb, 0), 0)) as ob, na < 0.5 and nb < 0.5 and na >= 0 and nb >= 0 as gone from pts)"
+_GRID = (
+    "grid as (select i.range as i, j.range as j, round(1.0 + (i.range - 1) * 0.05::double, 6) as psi, round(0.07 + (j.range - 1) * 0.01::double, 6) as rho from range(1, "
+    "90) i cross join range(1, 98) j)"
+)
+_POINT = (
+    "pts as (select s.sample_id, g.i, g.j, g.psi, g.rho, s.baf as b, s.n as len, (g.rho - 1 - (s.baf - 1) * pow(2, s.logr) * ((1 - g.rho) * 2 + g.rho * g.psi)) / g.rho as "
+    "na, (g.rho - 1 + s.baf * pow(2, s.logr) * ((1 - g.rho) * 2 + g.rho * g.psi)) / g.rho as nb from v_segments s cross join grid g), off as (select *, abs(na - "
+    "greatest(round_even(na, 0), 0)) as oa, abs(nb - greatest(round_even(nb, 0), 0)) as ob, na < 0.5 and nb < 0.5 and na >= 0 and nb >= 0 as gone from pts)"
+)
 _TERMS = {
     0: ("oa * oa * len * case when b <= 0.51 then 0.05 else 1 end", "ob * ob * len * case when b <= 0.51 then 0.05 else 1 end"),
     1: ("pow(0.5 - oa, 2) * len", "pow(0.5 - ob, 2) * len"),
@@ -460,7 +528,10 @@ for _m in range(4):
         return fit.score_grid_ascat(fit.rho_psi_grid(spark), _segs(s), m).withColumn("score", F.round("score", 4))
 
 
-_MINIMA = "scored as (select *, -score as m from " + _score_sql(1) + " t), minima as (select c.* from scored c where c.i between 4 and 86 and c.j between 4 and 94 and not exists (select 1 from scored o where o.sample_id = c.sample_id and abs(o.i - c.i) <= 3 and abs(o.j - c.j) <= 3 and not (o.i = c.i and o.j = c.j) and o.m <= c.m))"
+_MINIMA = "scored as (select *, -score as m from " + _score_sql(1) + (
+    " t), minima as (select c.* from scored c where c.i between 4 and 86 and c.j between 4 and 94 and not exists (select 1 from scored o where o.sample_id = c.sample_id "
+    "and abs(o.i - c.i) <= 3 and abs(o.j - c.j) <= 3 and not (o.i = c.i and o.j = c.j) and o.m <= c.m))"
+)
 
 
 @query("local_minima", "v_segments", "select sample_id, i, j, psi, rho, round(m, 4) as score from minima", f"{_GRID}, {_POINT}, {_MINIMA}")
@@ -469,10 +540,16 @@ def _(spark, s):
     return fit.local_minima(scored).withColumn("score", F.round("score", 4))
 
 
-_STATS = "stats as (select sample_id, i, j, psi, rho, sum((na + nb) * len) / sum(len) as ploidy, sum((cast(round_even(na, 0) = 0 as int) + cast(round_even(nb, 0) = 0 as int)) * len) / sum(len) as percent_zero, coalesce(sum((cast(round_even(na, 0) = 0 as int) + cast(round_even(nb, 0) = 0 as int)) * len * case when b = 0.5 then 0 else 1 end) / nullif(sum(len * case when b = 0.5 then 0 else 1 end), 0), 0) as percent_zero_odd, 0.25 * sum(len) as most from off group by sample_id, i, j, psi, rho)"
+_STATS = (
+    "stats as (select sample_id, i, j, psi, rho, sum((na + nb) * len) / sum(len) as ploidy, sum((cast(round_even(na, 0) = 0 as int) + cast(round_even(nb, 0) = 0 as int)) "
+    "* len) / sum(len) as percent_zero, coalesce(sum((cast(round_even(na, 0) = 0 as int) + cast(round_even(nb, 0) = 0 as int)) * len * case when b = 0.5 then 0 else 1 "
+    "end) / nullif(sum(len * case when b = 0.5 then 0 else 1 end), 0), 0) as percent_zero_odd, 0.25 * sum(len) as most from off group by sample_id, i, j, psi, rho)"
+)
 
 
-@query("grid_point_stats", "v_segments", "select sample_id, i, j, psi, rho, round(ploidy, 6) as ploidy, round(percent_zero, 6) as percent_zero, round(percent_zero_odd, 6) as percent_zero_odd, round(most, 4) as most from stats", f"{_GRID}, {_POINT}, {_STATS}")
+@query("grid_point_stats", "v_segments",
+    "select sample_id, i, j, psi, rho, round(ploidy, 6) as ploidy, round(percent_zero, 6) as percent_zero, round(percent_zero_odd, 6) as percent_zero_odd, round(most, 4) "
+    "as most from stats", f"{_GRID}, {_POINT}, {_STATS}")
 def _(spark, s):
     return rounded(fit.grid_point_stats(fit.rho_psi_grid(spark), _segs(s)), "ploidy", "percent_zero", "percent_zero_odd", "most")
 
@@ -487,18 +564,25 @@ _CHOICE = """select s.sample_id, b.psi, b.rho, round(b.ploidy, 6) as ploidy, rou
   group by sample_id) b on b.sample_id = s.sample_id"""
 
 
-@query("select_ascat_optimum", "v_segments v_model_segments", _CHOICE, f"{_GRID}, {_POINT.replace('s.baf', 's.b').replace('s.logr', 's.r').replace('s.n as len', 's.length as len').replace('from v_segments', 'from v_model_segments')}, {_MINIMA}, {_STATS}, {_SECOND}, {_TURNS}")
+@query("select_ascat_optimum", "v_segments v_model_segments", _CHOICE,
+    f"{_GRID}, {_POINT.replace('s.baf', 's.b').replace('s.logr', 's.r').replace('s.n as len', 's.length as len').replace('from v_segments', 'from v_model_segments')}, "
+    f"{_MINIMA}, {_STATS}, {_SECOND}, {_TURNS}")
 def _(spark, s, segs):
     best = fit.select_ascat_optimum(fit.score_grid_ascat(fit.rho_psi_grid(spark), segs, 1), segs, 1)
     return best.select("sample_id", "psi", "rho", r6("ploidy").alias("ploidy"), F.round("goodness", 4).alias("goodness"))
 
 
-_OPTIMA = "(select concat(chrom, '-', cast(start_pos as string)) as sample_id, round(1 + (n % 45) / cast(10 as double), 6) as psi, round(least(0.1 + n / cast(157 as double), 1), 2) as rho from v_segments)"
+_OPTIMA = (
+    "(select concat(chrom, '-', cast(start_pos as string)) as sample_id, round(1 + (n % 45) / cast(10 as double), 6) as psi, round(least(0.1 + n / cast(157 as double), "
+    "1), 2) as rho from v_segments)"
+)
 _LOWER = "case when {0} - {1} / 2 < {2} then {2} when {0} + {1} / 2 > {3} then {3} - {1} else {0} - {1} / 2 end"
 _PSI_LOW, _RHO_LOW = _LOWER.format("psi", "0.44", "1.0", "5.4"), _LOWER.format("rho", "(0.1 * rho)", "0.1", "1.0")
 
 
-@query("refine_bounds", "v_segments", f"select sample_id, round({_PSI_LOW}, 6) as psi_min, round({_PSI_LOW} + 0.44, 6) as psi_max, round({_RHO_LOW}, 6) as rho_min, round({_RHO_LOW} + 0.1 * rho, 6) as rho_max from {_OPTIMA} o")
+@query("refine_bounds", "v_segments",
+    f"select sample_id, round({_PSI_LOW}, 6) as psi_min, round({_PSI_LOW} + 0.44, 6) as psi_max, round({_RHO_LOW}, 6) as rho_min, round({_RHO_LOW} + 0.1 * rho, 6) as "
+    f"rho_max from {_OPTIMA} o")
 def _(spark, s):
     spark.sql(f"select * from {_OPTIMA} o").createOrReplaceTempView("v_optima")
     return rounded(fit.refine_bounds(spark.table("v_optima")), "psi_min", "psi_max", "rho_min", "rho_max")
@@ -511,9 +595,12 @@ def _fit6(f):
 _T_LEVEL = f"""lvl as (select q.*, o.m1, o.n1, o.m2, o.n2, {_level('o.m1', 'o.n1')} as e1, {_level('o.m2', 'o.n2')} as e2 from lv q join good o on o.chrom = q.chrom and o.start_pos = q.start_pos and o.k = 0)"""
 
 
-@query("segment_is_clonal", "v_segments", "select chrom, start_pos, round((baf - case when abs(e1 - baf) <= abs(e2 - baf) then e1 else e2 end) * sqrt(n) / 0.05, 4) as t from lvl where least(m1, n1, m2, n2) >= 0", f"{_AT}, {_EDGES}, {_T_LEVEL}")
+@query("segment_is_clonal", "v_segments",
+    "select chrom, start_pos, round((baf - case when abs(e1 - baf) <= abs(e2 - baf) then e1 else e2 end) * sqrt(n) / 0.05, 4) as t from lvl where least(m1, n1, m2, n2) >= "
+    "0", f"{_AT}, {_EDGES}, {_T_LEVEL}")
 def _(spark, s):
-    rows = s.select("chrom", "start_pos", F.col("baf").alias("b"), F.col("logr").alias("r"), F.col("n").alias("size"), F.col("n").alias("length"), F.lit(0.05).alias("sd"), F.lit(0.73).alias("rho"), F.lit(2.15).alias("psi"))
+    rows = s.select("chrom", "start_pos", F.col("baf").alias("b"), F.col("logr").alias("r"), F.col("n").alias("size"), F.col("n").alias("length"),
+        F.lit(0.05).alias("sd"), F.lit(0.73).alias("rho"), F.lit(2.15).alias("psi"))
     return fit.segment_is_clonal(rows).filter("edge.m1 is not null").select("chrom", "start_pos", F.round("t", 4).alias("t"))
 
 
@@ -523,7 +610,10 @@ def _edge_sql(source, first, second):
     lift = "x0 + b * (0.01 - y0) / nullif(1 - b, 0)"
     rescued = f"""(select *, case when y0 < 0 then case when b = 1 or {lift} < 0 then 1000.0::double else {lift} end else x0 end as x, case when y0 < 0 then 0.01::double else y0 end as y
       from (select *, {first} as x0, {second} as y0 from {source} s0) s1) s2"""
-    corners = f"(select *, floor(x) as fx, floor(y) as fy, b > {level('floor(x)', 'floor(y)')} as over3, b > {level('ceil(x)', 'ceil(y)')} as over2, x + y < floor(x) + floor(y) + 1 as low from {rescued}) s3"
+    corners = (
+        f"(select *, floor(x) as fx, floor(y) as fy, b > {level('floor(x)', 'floor(y)')} as over3, b > {level('ceil(x)', 'ceil(y)')} as over2, x + y < floor(x) + floor(y) + 1 "
+        f"as low from {rescued}) s3"
+    )
     edges = f"""(select *, fx + case when not low and (over3 or over2) then 1 else 0 end as m1, fy + case when not low and not (over3 or over2) then 1 else 0 end as n1,
       fx + case when not low or over3 then 1 else 0 end as m2, fy + case when not low or not over3 then 1 else 0 end as n2 from {corners}) s4"""
     return f"(select *, {level('m1', 'n1')} as l1, {level('m2', 'n2')} as l2 from {edges}) s5"
@@ -555,9 +645,15 @@ def _t_error(source):
 
 def _ln_ratio(source):
     """source with ln_ratio: the log of the likelier of the nearest edge's levels over the other."""
-    reads = f"(select *, floor(size * 30.0 + 0.5) as n, greatest(0, least(floor(size * 30.0 + 0.5), floor(mean * size * 30 + 0.5))) as k, least(greatest(coalesce(l1, 0), 0), 1) as p1, least(greatest(coalesce(l2, 0), 0), 1) as p2 from {_edge_sql(source, _ALL_A, _ALL_B)}) r1"
+    reads = (
+        f"(select *, floor(size * 30.0 + 0.5) as n, greatest(0, least(floor(size * 30.0 + 0.5), floor(mean * size * 30 + 0.5))) as k, least(greatest(coalesce(l1, 0), 0), 1) as "
+        f"p1, least(greatest(coalesce(l2, 0), 0), 1) as p2 from {_edge_sql(source, _ALL_A, _ALL_B)}) r1"
+    )
     log = lambda p: f"(case when {p} = 0 then case when k = 0 then 0 end when {p} = 1 then case when k = n then 0 end else {_log_pmf('k', 'n', p)} end)"
-    return f"(select *, case when l1 is not null and l2 is not null and g1 > -745.13 and g2 > -745.13 then abs(g1 - g2) else 0 end as ln_ratio from (select *, {log('p1')} as g1, {log('p2')} as g2 from {reads}) r2) r3"
+    return (
+        f"(select *, case when l1 is not null and l2 is not null and g1 > -745.13 and g2 > -745.13 then abs(g1 - g2) else 0 end as ln_ratio from (select *, {log('p1')} as g1, "
+        f"{log('p2')} as g2 from {reads}) r2) r3"
+    )
 
 
 _SEG_FIT = "(select s.*, f.rho, f.psi from v_seg6 s join v_fit f on f.sample_id = s.sample_id)"
@@ -583,7 +679,8 @@ _CLONAL_SQL = {
 
 
 for _m, _sql in ((2, "avg(pow(s.b - s.mean, 2))"), (3, "sum(s.length * pow(s.b - s.mean, 2)) / sum(s.length)")):
-    @query(f"score_grid_clonal_{_m}", "v_seg6", f"select s.sample_id, g.i, g.j, g.psi, g.rho, round({_sql}, 8) as score from v_seg6 s cross join grid g where s.b > 0.51 group by s.sample_id, g.i, g.j, g.psi, g.rho", _GRID)
+    @query(f"score_grid_clonal_{_m}", "v_seg6",
+        f"select s.sample_id, g.i, g.j, g.psi, g.rho, round({_sql}, 8) as score from v_seg6 s cross join grid g where s.b > 0.51 group by s.sample_id, g.i, g.j, g.psi, g.rho", _GRID)
     def _(spark, s, m=_m):
         return fit.score_grid_clonal(fit.rho_psi_grid(spark), s, m).drop("ref").withColumn("score", F.round("score", 8))
 
@@ -594,10 +691,15 @@ for _m, _digits in ((0, 8), (1, 4), (4, 3)):
         return fit.score_grid_clonal(fit.rho_psi_grid(spark), s, m).drop("ref").withColumn("score", F.round("score", digits))
 
 
-_TIED = "tied as (select s.* from (select sample_id, i, j, psi, rho, round(score, 1) as score from " + _score_sql(1) + " t) s join (select sample_id, max(round(score, 1)) as best from " + _score_sql(1) + " t group by sample_id) b on b.sample_id = s.sample_id and b.best = s.score), centre as (select sample_id, quantile_cont(i, 0.5) as ci, quantile_cont(j, 0.5) as cj, count(*) as n_best from tied group by sample_id)"
+_TIED = "tied as (select s.* from (select sample_id, i, j, psi, rho, round(score, 1) as score from " + _score_sql(1) + " t) s join (select sample_id, max(round(score, 1)) as best from " + _score_sql(1) + (
+    " t group by sample_id) b on b.sample_id = s.sample_id and b.best = s.score), centre as (select sample_id, quantile_cont(i, 0.5) as ci, quantile_cont(j, 0.5) as cj, "
+    "count(*) as n_best from tied group by sample_id)"
+)
 
 
-@query("centroid_optimum", "v_segments", "select t.sample_id, arg_min(t.psi, (pow(t.i - c.ci, 2) + pow(t.j - c.cj, 2), -t.i, -t.j)) as psi, arg_min(t.rho, (pow(t.i - c.ci, 2) + pow(t.j - c.cj, 2), -t.i, -t.j)) as rho, max(c.n_best) as n_best from tied t join centre c on c.sample_id = t.sample_id group by t.sample_id", f"{_GRID}, {_POINT}, {_TIED}")
+@query("centroid_optimum", "v_segments",
+    "select t.sample_id, arg_min(t.psi, (pow(t.i - c.ci, 2) + pow(t.j - c.cj, 2), -t.i, -t.j)) as psi, arg_min(t.rho, (pow(t.i - c.ci, 2) + pow(t.j - c.cj, 2), -t.i, "
+    "-t.j)) as rho, max(c.n_best) as n_best from tied t join centre c on c.sample_id = t.sample_id group by t.sample_id", f"{_GRID}, {_POINT}, {_TIED}")
 def _(spark, s):
     scored = fit.score_grid_ascat(fit.rho_psi_grid(spark), _segs(s), 1).withColumn("score", F.round("score", 1))
     return fit.centroid_optimum(scored).select("sample_id", "psi", "rho", "n_best")
@@ -646,7 +748,10 @@ def _rho_psi_t(f):
     return f.select("sample_id", "rho", F.col("psi").alias("psi_t"))
 
 
-_SEGLOGR = f"(select s.sample_id, s.chrom, s.start_pos, s.end_pos, coalesce(avg(t.logr), 0) as logr from v_segments s left join v_track t on t.sample_id = s.sample_id and t.chrom = s.chrom and t.pos between s.start_pos and s.end_pos group by s.sample_id, s.chrom, s.start_pos, s.end_pos) x"
+_SEGLOGR = (
+    f"(select s.sample_id, s.chrom, s.start_pos, s.end_pos, coalesce(avg(t.logr), 0) as logr from v_segments s left join v_track t on t.sample_id = s.sample_id and t.chrom "
+    f"= s.chrom and t.pos between s.start_pos and s.end_pos group by s.sample_id, s.chrom, s.start_pos, s.end_pos) x"
+)
 
 
 @query("segment_logr_mean", "v_segments v_track", f"select chrom, start_pos, round(logr, 4) as logr from {_SEGLOGR}")
@@ -655,7 +760,10 @@ def _(spark, s, t):
 
 
 _CALLED_PSI = "(0.73::double * 2.15::double + 2 * (1 - 0.73::double))"
-_TAU_HERE = "(1 - 0.73::double + 0.73::double * m2 - 2 * baf * (1 - 0.73::double) - baf * 0.73::double * (n2 + m2)) / nullif(baf * 0.73::double * (n1 + m1) - baf * 0.73::double * (n2 + m2) - 0.73::double * m1 + 0.73::double * m2, 0)"
+_TAU_HERE = (
+    "(1 - 0.73::double + 0.73::double * m2 - 2 * baf * (1 - 0.73::double) - baf * 0.73::double * (n2 + m2)) / nullif(baf * 0.73::double * (n1 + m1) - baf * 0.73::double * "
+    "(n2 + m2) - 0.73::double * m1 + 0.73::double * m2, 0)"
+)
 _LIFT = "x0 + baf * (0.01 - y0) / nullif(1 - baf, 0)"
 _CALLS = f"""runs as (select *, sum(new) over (partition by sample_id, chrom order by pos rows unbounded preceding) as run from (
     select *, case when lag(baf_seg) {_W} = baf_seg then 0 else 1 end as new from v_baf_segmented) a),
@@ -697,7 +805,8 @@ def _(spark, s, f):
 
 
 _IS = {k: f"nMaj1 = {k[0]} and nMin1 = {k[1]} and frac1 = 1" for k in ("11", "22", "21", "31", "41", "20", "10")} | {"no": "nMin1 = 0 and frac1 = 1"}
-_COUNTED = ", ".join([f"count(*) filter (where {c}) as n{k}, stddev_samp(logr) filter (where {c}) as s{k}" for k, c in _IS.items()] + [f"avg(logr) filter (where {_IS[k]}) as m{k}" for k in ("11", "20")])
+_COUNTED = ", ".join([f"count(*) filter (where {c}) as n{k}, stddev_samp(logr) filter (where {c}) as s{k}" for k,
+    c in _IS.items()] + [f"avg(logr) filter (where {_IS[k]}) as m{k}" for k in ("11", "20")])
 _CAL = f"""states as (select sample_id, {_COUNTED} from v_profile group by sample_id),
   spread as (select s.*, case when n11 > 1 then -m11 when n20 > 0 then -m20 else -log2(2 / f.ploidy) end as shift,
     greatest(coalesce(case when n11 > 1 then s11 else s22 end, 0), coalesce(s21, 0), coalesce(s31, 0), coalesce(s41, 0), 0.05) as sd_max from states s join v_fit f on f.sample_id = s.sample_id),
@@ -739,7 +848,9 @@ def _(spark, p, f, t, b):
     return rounded(out.select("sample_id", "chrom", "start_pos", "end_pos", "logr", "nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2"), "logr", "frac1", "frac2")
 
 
-@query("locus_overlay", "v_segments v_breakpoints", "select s.chrom, s.start_pos, b.pos as b_start_pos from v_segments s join v_breakpoints b on b.chrom = s.chrom and s.start_pos <= b.pos + 100000 and b.pos <= s.end_pos")
+@query("locus_overlay", "v_segments v_breakpoints",
+    "select s.chrom, s.start_pos, b.pos as b_start_pos from v_segments s join v_breakpoints b on b.chrom = s.chrom and s.start_pos <= b.pos + 100000 and b.pos <= "
+    "s.end_pos")
 def _(spark, s, b):
     spots = b.select("chrom", F.col("pos").alias("start_pos"), (F.col("pos") + 100_000).alias("end_pos"))
     return calls.locus_overlay(s, spots).select("chrom", "start_pos", "b_start_pos")
@@ -755,7 +866,11 @@ def _(spark, g):
     return phasing.phasing_regions(g)
 
 
-_HAP = "(select h.sample_id, h.chrom, h.pos, case when hap1 = 1 then a else r end as on1, a + r as depth from (select h.*, [c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', h.ref)] as r, [c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', h.alt)] as a from v_haplotypes h join v_hap_counts c on c.sample_id = h.sample_id and c.chrom = h.chrom and c.pos = h.pos where hap1 <> hap2) h) x"
+_HAP = (
+    "(select h.sample_id, h.chrom, h.pos, case when hap1 = 1 then a else r end as on1, a + r as depth from (select h.*, [c.count_a, c.count_c, c.count_g, "
+    "c.count_t][strpos('ACGT', h.ref)] as r, [c.count_a, c.count_c, c.count_g, c.count_t][strpos('ACGT', h.alt)] as a from v_haplotypes h join v_hap_counts c on "
+    "c.sample_id = h.sample_id and c.chrom = h.chrom and c.pos = h.pos where hap1 <> hap2) h) x"
+)
 
 
 @query("haplotype_baf", "v_haplotypes v_hap_counts", f"select chrom, pos, round(on1 / depth, 6) as baf from {_HAP} where depth >= 5")
@@ -763,7 +878,9 @@ def _(spark, h, c):
     return rounded(phasing.haplotype_baf(c, h, 5).select("chrom", "pos", "baf"), "baf")
 
 
-@query("haplotype_baf_array", "v_track v_haplotypes", "select t.chrom, t.pos, round(case when h.hap1 = 1 then 1 - t.baf else t.baf end, 6) as baf from v_track t join v_haplotypes h on h.chrom = t.chrom and h.pos = t.pos where h.hap1 <> h.hap2")
+@query("haplotype_baf_array", "v_track v_haplotypes",
+    "select t.chrom, t.pos, round(case when h.hap1 = 1 then 1 - t.baf else t.baf end, 6) as baf from v_track t join v_haplotypes h on h.chrom = t.chrom and h.pos = t.pos "
+    "where h.hap1 <> h.hap2")
 def _(spark, t, h):
     return rounded(phasing.haplotype_baf_array(t, h).select("chrom", "pos", "baf"), "baf")
 
@@ -776,9 +893,12 @@ _EXTERNAL = """ext as (select sample_id, chrom, pos, cast(floor(pos / 5000) % 2
   flips as (select *, (sum(jump) over (partition by chrom order by pos rows unbounded preceding) + off) % 2 as flip from jumps)"""
 
 
-@query("apply_external_haplotypes", "v_haplotypes", "select h.chrom, h.pos, cast(case when flip = 1 then hap2 else hap1 end as int) as hap1, cast(case when flip = 1 then hap1 else hap2 end as int) as hap2 from v_haplotypes h left join flips f on f.chrom = h.chrom and f.pos = h.pos", _EXTERNAL)
+@query("apply_external_haplotypes", "v_haplotypes",
+    "select h.chrom, h.pos, cast(case when flip = 1 then hap2 else hap1 end as int) as hap1, cast(case when flip = 1 then hap1 else hap2 end as int) as hap2 from "
+    "v_haplotypes h left join flips f on f.chrom = h.chrom and f.pos = h.pos", _EXTERNAL)
 def _(spark, h):
-    ext = h.filter("hap1 <> hap2 and pos % 3 = 0").select("sample_id", "chrom", "pos", (F.floor(F.col("pos") / 5000) % 2).cast("int").alias("hap1"), F.floor(F.col("pos") / 1_000_000).cast("int").alias("ps"))
+    ext = h.filter("hap1 <> hap2 and pos % 3 = 0").select("sample_id", "chrom", "pos", (F.floor(F.col("pos") / 5000) % 2).cast("int").alias("hap1"),
+        F.floor(F.col("pos") / 1_000_000).cast("int").alias("ps"))
     return phasing.apply_external_haplotypes(h, ext).select("chrom", "pos", "hap1", "hap2")
 
 
@@ -858,7 +978,10 @@ def _(spark, t, g):
 _LOH = "(select v.sample_id, v.chrom, v.start_pos, v.end_pos from v_intervals v) i"
 
 
-@query("loh_noise_filter", "v_intervals v_geometry", f"select i.* from {_LOH} join v_geometry g on g.chrom = i.chrom where not (i.start_pos <= cen_right and i.end_pos >= cen_left and i.end_pos - i.start_pos < 1000000) and not (i.chrom in ('1', '9', '16') and i.start_pos > cen_left and i.start_pos < cen_right + 100000 and i.end_pos - i.start_pos > 1000000) and not (i.chrom in ('13', '14', '15', '21', '22') and i.end_pos <= cen_left)")
+@query("loh_noise_filter", "v_intervals v_geometry",
+    f"select i.* from {_LOH} join v_geometry g on g.chrom = i.chrom where not (i.start_pos <= cen_right and i.end_pos >= cen_left and i.end_pos - i.start_pos < 1000000) "
+    f"and not (i.chrom in ('1', '9', '16') and i.start_pos > cen_left and i.start_pos < cen_right + 100000 and i.end_pos - i.start_pos > 1000000) and not (i.chrom in "
+    f"('13', '14', '15', '21', '22') and i.end_pos <= cen_left)")
 def _(spark, i, g):
     return pseudonormal.loh_noise_filter(i.select("sample_id", "chrom", "start_pos", "end_pos"), g)
 
@@ -879,7 +1002,8 @@ def _new(i, c):
     return f"cast(case when spike then case when a0 = {i} then ceil(d / 2) when a1 = {i} then floor(d / 2) else 0 end else {c} end as int) as {c}"
 
 
-@query("pseudo_normal_counts", "v_counts v_alleles", f"select sample_id, chrom, pos, {_new(1, 'count_a')}, {_new(2, 'count_c')}, {_new(3, 'count_g')}, {_new(4, 'count_t')}, spike as spiked from dep", _SPIKE)
+@query("pseudo_normal_counts", "v_counts v_alleles",
+    f"select sample_id, chrom, pos, {_new(1, 'count_a')}, {_new(2, 'count_c')}, {_new(3, 'count_g')}, {_new(4, 'count_t')}, spike as spiked from dep", _SPIKE)
 def _(spark, c, a):
     third = (F.min("pos") + F.floor((F.max("pos") - F.min("pos")) / 3)).cast("long")
     loh = c.groupBy("sample_id", "chrom").agg(F.min("pos").alias("start_pos"), third.alias("end_pos"))
@@ -899,7 +1023,9 @@ def _(spark, t, c):
     return regression.linear_correct(loci.match_covariates(t, c), "gc_1kb").select("chrom", "pos", F.round("residual", 5).alias("residual"))
 
 
-_REPORT = " union all ".join(f"select sample_id, '{c}' as covariate, abs(corr({c}, logr)) as before, abs(corr({c}, logr - s * gc_1kb)) as after from (select *, regr_slope(logr, gc_1kb) over () as s from {_JOINED}) t group by sample_id" for c in ("gc_25bp", "rt_02"))
+_REPORT = " union all ".join(
+    f"select sample_id, '{c}' as covariate, abs(corr({c}, logr)) as before, abs(corr({c}, logr - s * gc_1kb)) as after from (select *, regr_slope(logr, gc_1kb) over () as "
+    f"s from {_JOINED}) t group by sample_id" for c in ("gc_25bp", "rt_02"))
 
 
 @query("correlations_report", "v_track v_covariates", f"select sample_id, covariate, round(before, 5) as before, round(after, 5) as after from ({_REPORT}) t")
@@ -912,7 +1038,9 @@ def _(spark, t, c):
 _SEQ = "(select chrom, row_number() over (partition by chrom order by pos) as pos, ref in ('G', 'C') as gc from v_haplotypes) s"
 
 
-@query("gc_window_content", "v_haplotypes", f"select chrom, pos, round(avg(cast(gc as int)) over (partition by chrom order by pos rows between 5 preceding and 5 following), 6) as gc_10, round(avg(cast(gc as int)) over (partition by chrom order by pos rows between 25 preceding and 25 following), 6) as gc_50 from {_SEQ}")
+@query("gc_window_content", "v_haplotypes",
+    f"select chrom, pos, round(avg(cast(gc as int)) over (partition by chrom order by pos rows between 5 preceding and 5 following), 6) as gc_10, round(avg(cast(gc as "
+    f"int)) over (partition by chrom order by pos rows between 25 preceding and 25 following), 6) as gc_50 from {_SEQ}")
 def _(spark, h):
     seq = h.select("chrom", F.row_number().over(windows.ordered(["chrom"])).cast("long").alias("pos"), F.col("ref").alias("base"))
     return rounded(regression.gc_window_content(seq.select("chrom", "pos"), seq, {"10": 10, "50": 50}), "gc_10", "gc_50").select("chrom", "pos", "gc_10", "gc_50")
@@ -943,7 +1071,10 @@ def _(spark, p, t, f):
     return rounded(tables.total_cn_track(p, t, f, 21), "smooth", "cn", "state_cn")
 
 
-_RATIOS = "(select sample_id, chrom, pos, baf_seg * pow(2, level) as major_ratio, (1 - baf_seg) * pow(2, level) as minor_ratio, exp(logr) as ratio from (select *, avg(logr) over (partition by sample_id, chrom, baf_seg) as level from v_baf_segmented) x)"
+_RATIOS = (
+    "(select sample_id, chrom, pos, baf_seg * pow(2, level) as major_ratio, (1 - baf_seg) * pow(2, level) as minor_ratio, exp(logr) as ratio from (select *, avg(logr) "
+    "over (partition by sample_id, chrom, baf_seg) as level from v_baf_segmented) x)"
+)
 
 
 @query("allele_ratio_track", "v_baf_segmented", f"""
@@ -960,7 +1091,8 @@ _PSI = "(0.73::double * 2.15::double + 2 * (1 - 0.73::double))"
 _AT7 = "seg as (select * from v_profile where chrom = '7' and start_pos <= 20000000 and end_pos >= 20000000)"
 
 
-@query("square_plot_points", "v_profile v_fit", f"""select sample_id, 'exact' as kind, round((0.73::double - 1 + baf * {_PSI} * pow(2, logr)) / 0.73::double, 6) as n_maj, round((0.73::double - 1 + (1 - baf) * {_PSI} * pow(2, logr)) / 0.73::double, 6) as n_min, 1.0 as share from seg
+@query("square_plot_points", "v_profile v_fit",
+    f"""select sample_id, 'exact' as kind, round((0.73::double - 1 + baf * {_PSI} * pow(2, logr)) / 0.73::double, 6) as n_maj, round((0.73::double - 1 + (1 - baf) * {_PSI} * pow(2, logr)) / 0.73::double, 6) as n_min, 1.0 as share from seg
   union all select sample_id, 'state 1', nMaj1, nMin1, frac1 from seg union all select sample_id, 'state 2', nMaj2, nMin2, frac2 from seg where nMaj2 is not null""", _AT7)
 def _(spark, p, f):
     return rounded(tables.square_plot_points(p, f, "7", 20_000_000), "n_maj", "n_min", "share")
@@ -974,7 +1106,9 @@ def _(spark, s):
 _LINES = "num as (select *, row_number() over (partition by sample_id order by cast(chrom as int), pos) as locus from v_track)"
 
 
-@query("profile_lines", "v_profile v_track", f"select p.chrom, p.start_pos, min(n.locus) as first_locus, max(n.locus) as last_locus, round(max({_TOTAL}), 6) as total_cn from v_profile p join num n on n.sample_id = p.sample_id and n.chrom = p.chrom and n.pos > p.start_pos and n.pos <= p.end_pos group by p.chrom, p.start_pos", _LINES)
+@query("profile_lines", "v_profile v_track",
+    f"select p.chrom, p.start_pos, min(n.locus) as first_locus, max(n.locus) as last_locus, round(max({_TOTAL}), 6) as total_cn from v_profile p join num n on n.sample_id "
+    f"= p.sample_id and n.chrom = p.chrom and n.pos > p.start_pos and n.pos <= p.end_pos group by p.chrom, p.start_pos", _LINES)
 def _(spark, p, t):
     return rounded(tables.profile_lines(p, t).select("chrom", "start_pos", "first_locus", "last_locus", "total_cn"), "total_cn")
 

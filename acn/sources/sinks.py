@@ -25,7 +25,8 @@ def write_baf_segmented(df: DataFrame, path: str) -> None:
 
 def profile_table(profile: DataFrame) -> DataFrame:
     """The short profile: bounds and the first solution."""
-    return profile.select("sample_id", F.col("chrom").alias("chr"), F.col("start_pos").alias("startpos"), F.col("end_pos").alias("endpos"), *(F.col(c).alias(f"{c}_A") for c in ("nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2")))
+    return profile.select("sample_id", F.col("chrom").alias("chr"), F.col("start_pos").alias("startpos"), F.col("end_pos").alias("endpos"),
+        *(F.col(c).alias(f"{c}_A") for c in ("nMaj1", "nMin1", "frac1", "nMaj2", "nMin2", "frac2")))
 
 
 def profile_extended_table(profile: DataFrame) -> DataFrame:

@@ -160,7 +160,8 @@ def test_heap_merges_like_rescanning(seed):
     state = np.repeat(rng.integers(0, 4, n), 2)[:n]
     baf = np.clip(0.5 + 0.1 * state[pos["baf"] // 100_000] + rng.normal(0, 0.03, n * loci), 0, 1)
     tracks = {"baf": (pos["baf"], np.round(baf, 1) if seed % 3 == 0 else baf), "logr": (pos["logr"], 0.2 * state[pos["logr"] // 100_000] + rng.normal(0, 0.2, 2 * n * loci))}
-    segs = [[j * 100_000 + rng.integers(1, 20_000), (j + 1) * 100_000 - rng.integers(1, 20_000), 0.5 + 0.1 * s + rng.normal(0, 0.01), 0.2 * s, float(1 + s // 2), float(s % 2), float(rng.choice([1.0, 0.7]))] for j, s in enumerate(state.tolist())]
+    segs = [[j * 100_000 + rng.integers(1, 20_000), (j + 1) * 100_000 - rng.integers(1, 20_000), 0.5 + 0.1 * s + rng.normal(0, 0.01), 0.2 * s, float(1 + s // 2),
+        float(s % 2), float(rng.choice([1.0, 0.7]))] for j, s in enumerate(state.tolist())]
     for option, gap in ((1, 25_000), (2, 3_000_000), (3, 3_000_000)):
         got = merging.merge(segs, merging.Track(*tracks["baf"]), merging.Track(*tracks["logr"], False), 0.7, 2.3, option, gap, 1.0, 0.05)
         want = slow_merge(segs, tracks, 0.7, 2.3, option, gap, 0.05)

@@ -11,8 +11,10 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 NAMES = [
-    "baf_logr", "run_islands", "interval_disjoin", "interval_overlap", "assign_points_to_intervals", "complement_intervals", "nearest_join", "running_median", "rho_psi_grid", "score_grid_ascat_1", "local_minima",
-    "select_ascat_optimum", "centroid_optimum", "refine_bounds", "candidate_edges", "phase_switches", "phase_evidence", "pseudo_normal_counts", "haplotype_baf", "apply_external_haplotypes", "union_breakpoints",
+    "baf_logr", "run_islands", "interval_disjoin", "interval_overlap", "assign_points_to_intervals", "complement_intervals", "nearest_join", "running_median",
+        "rho_psi_grid", "score_grid_ascat_1", "local_minima",
+    "select_ascat_optimum", "centroid_optimum", "refine_bounds", "candidate_edges", "phase_switches", "phase_evidence", "pseudo_normal_counts", "haplotype_baf",
+        "apply_external_haplotypes", "union_breakpoints",
 ]
 
 

@@ -158,7 +158,8 @@ def test_smoothed_tracks(spark):
     assert [r["ratio_smooth"] for r in got] == pytest.approx(track(np.exp(logr), 2)[::7].tolist())
     assert [r["major_ratio"] + r["minor_ratio"] for r in got] == pytest.approx((2.0 ** seg[::7]).tolist())
 
-    profile = spark.createDataFrame([("a", "1", 0, 1950, 2.0, 1.0, 0.4, 1.0, 1.0, 0.6), ("a", "1", 2000, 4000, 1.0, 1.0, 1.0, None, None, None)], "sample_id string, chrom string, start_pos long, end_pos long, nMaj1 double, nMin1 double, frac1 double, nMaj2 double, nMin2 double, frac2 double")
+    profile = spark.createDataFrame([("a", "1", 0, 1950, 2.0, 1.0, 0.4, 1.0, 1.0, 0.6), ("a", "1", 2000, 4000, 1.0, 1.0, 1.0, None, None, None)],
+        "sample_id string, chrom string, start_pos long, end_pos long, nMaj1 double, nMin1 double, frac1 double, nMaj2 double, nMin2 double, frac2 double")
     fitted = spark.createDataFrame([("a", 0.8, 2.5)], "sample_id string, rho double, psi double")
     got = tables.total_cn_track(profile, baf, fitted, k=5).orderBy("pos").collect()
     smooth = track(logr, 2)
@@ -287,7 +288,8 @@ def test_male_x_takes_its_place_in_the_profile(spark):
         for i, pos in enumerate(range(3_000_000, 155_000_000, 100_000)):
             rows.append((s, "X", pos, float((math.log2(1.8) if s == "m" and 90_000_000 <= pos < 130_000_000 else 0.0) + rng.normal(0, 0.03))))
     logr = spark.createDataFrame(rows, "sample_id string, chrom string, pos long, logr double")
-    auto = [(s, str(c), 1, 9, float(v), 1.0, 1.0, 1.0, None, None, None) for s in "mf" for c, v in ((1, 0.01), (2, -0.01), (3, 0.0))] + [(s, "X", 1, 9, 0.0, 1.0, 1.0, 1.0, None, None, None) for s in "mf"]
+    auto = [(s, str(c), 1, 9, float(v), 1.0, 1.0, 1.0, None, None, None) for s in "mf" for c,
+        v in ((1, 0.01), (2, -0.01), (3, 0.0))] + [(s, "X", 1, 9, 0.0, 1.0, 1.0, 1.0, None, None, None) for s in "mf"]
     names = "sample_id string, chrom string, start_pos long, end_pos long, logr double, nMaj1 double, nMin1 double, frac1 double, nMaj2 double, nMin2 double, frac2 double"
     profile, fit_ = spark.createDataFrame(auto, names), spark.createDataFrame([("m", 0.8, 2.0), ("f", 0.8, 2.0)], "sample_id string, rho double, ploidy double")
     cuts = spark.createDataFrame([("chrX", 90_000_000), ("X", 129_950_000), ("1", 5)], "chrom string, pos long")

@@ -76,7 +76,8 @@ def test_low_depth_inside_gaps(spark, geometry, depths, mode):
 
 
 def test_undepleted_regions_go(spark, geometry, depths):
-    loh = spark.createDataFrame([("a", "1", "q", 20_005_000, 20_595_000), ("a", "1", "q", 30_000_000, 31_000_000), ("b", "1", "q", 1, 5)], "sample_id string, chrom string, arm string, start_pos long, end_pos long")
+    loh = spark.createDataFrame([("a", "1", "q", 20_005_000, 20_595_000), ("a", "1", "q", 30_000_000, 31_000_000), ("b", "1", "q", 1, 5)],
+        "sample_id string, chrom string, arm string, start_pos long, end_pos long")
     assert [r["start_pos"] for r in pseudonormal.drop_undepleted(loh, depths[1], geometry).collect()] == [20_005_000]
 
 
