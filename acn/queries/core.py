@@ -239,12 +239,6 @@ def _(spark, profile):
     return _text_back(spark, sinks.write_masking_details, t, t.schema)
 
 
-@query("write_profile_extended", "v_baf_segmented")
-def _(spark, seg):
-    c = calls.call_subclones(seg, seg, spark.createDataFrame([("s1", 0.73, 2.15)], "sample_id string, rho double, psi_t double"))
-    return sinks.profile_extended_table(c)
-
-
 @query("split_vcf_by_chrom", "v_vcf", "select sample_id, chrom, pos, gt from v_vcf")
 def _(spark, vcf):
     return _parquet_back(spark, sinks.split_vcf_by_chrom, vcf, ["sample_id", "chrom", "pos", "gt"])

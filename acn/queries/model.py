@@ -8,6 +8,8 @@ from ..functions import scalars as sc
 from ..functions import stats
 from ..operators import aggregates, calls, fit, intervals, loci, phasing, pseudonormal, regression, segmentation, tables, windows
 from ..plans import lifecycle
+from ..sources import sinks
+from ..storage import new_path
 from .core import _JOINED, _TOTAL, query, r6, rounded
 
 # --- windows ------------------------------------------------------------------------------------------------------------------
@@ -736,6 +738,14 @@ def _(spark, s):
     return fit.fit_copy_number(s, metric=1)
 
 
+@query("fit_copy_number_planted", "v_model_segments", "select distinct sample_id, 0.7::double as rho, 2.4::double as psi, true as is_best from v_model_segments")
+def _(spark, s):
+    """Segments of purity 0.7 and tumour ploidy 2.4: the fit finds both, to one digit."""
+    number = F.row_number().over(windows.ordered(["sample_id"], "length"))
+    segs = s.select("sample_id", number.alias("seg_id"), "b", "r", "length", F.col("length").alias("size"), F.col("b").alias("mean"), F.lit(0.02).alias("sd"))
+    return fit.fit_copy_number(segs).filter("method = 'FRAC_GENOME'").select("sample_id", F.round("rho", 1).alias("rho"), F.round("psi", 1).alias("psi"), "is_best")
+
+
 @query("fit_copy_number_preset", "v_seg6 v_fit")
 def _(spark, s, f):
     return fit.fit_copy_number(s, preset=_fit6(f))
@@ -779,6 +789,37 @@ _CALLS = f"""runs as (select *, sum(new) over (partition by sample_id, chrom ord
   opened as (select sample_id, chrom, start_pos, arg_min([m1, n1, {_TAU_HERE}, m2, n2], k) as o from good where ok group by sample_id, chrom, start_pos)"""
 
 
+def _tau_at(level):
+    return _TAU_HERE.replace("baf", level)
+
+
+_SOLVED = f"""solved as (select g.sample_id, g.chrom, g.start_pos, row_number() over (partition by g.sample_id, g.chrom, g.start_pos order by not ok, k) as place,
+    case when ok then m1 end as m1, case when ok then n1 end as n1, case when ok then m2 end as m2, case when ok then n2 end as n2, case when ok then {_TAU_HERE} end as tau,
+    case when ok then (abs({_tau_at("(baf + se)")} - {_TAU_HERE}) + abs({_tau_at("(baf - se)")} - {_TAU_HERE})) / 2 end as spread
+  from (select g.*, j.sd / sqrt(j.n) as se, j.pval from good g join judged j on j.sample_id = g.sample_id and j.chrom = g.chrom and j.start_pos = g.start_pos) g where pval <= 0.05
+  union all select sample_id, chrom, start_pos, 1, case when one then m1 else m2 end, case when one then n1 else n2 end, null, null, 1, null from judged where pval is null or pval > 0.05)"""
+
+
+def _solution_sql(k, letter):
+    value = lambda c: f"max(case when s.place = {k} then {c} end)"
+    own = {"nMaj1": value("s.m1"), "nMin1": value("s.n1"), "frac1": value("s.tau"), "nMaj2": value("s.m2"), "nMin2": value("s.n2"), "frac2": value("case when s.m2 is not null then 1 - s.tau end"), "SDfrac": value("s.spread")}
+    empty = [f'cast(null as double) as "{c}"' for c in (f"SDfrac_{letter}_BS", f"frac1_{letter}_0.025", f"frac1_{letter}_0.975")]
+    return ", ".join([*(f'round(cast({v} as double), 6) as "{c}_{letter}"' for c, v in own.items()), *empty])
+
+
+@query("write_profile_extended", "v_baf_segmented v_fit", f"""
+  select j.sample_id, j.chrom as chr, j.start_pos as startpos, j.end_pos as endpos, round(any_value(j.baf), 6) as BAF, abs(round(any_value(j.pval), 6)) as pval, round(any_value(j.logr), 6) as LogR,
+    round(any_value(j.x + j.y), 6) as ntot, {", ".join(_solution_sql(k, letter) for k, letter in enumerate("ABCDEF", 1))}
+  from judged j join solved s on s.sample_id = j.sample_id and s.chrom = j.chrom and s.start_pos = j.start_pos group by j.sample_id, j.chrom, j.start_pos, j.end_pos""", f"{_CALLS}, {_SOLVED}")
+def _(spark, s, f):
+    """Written as text, and read back."""
+    table = sinks.profile_extended_table(calls.call_subclones(s, s, _rho_psi_t(f)))
+    path = new_path(spark, "profile-extended")
+    table.write.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
+    back = spark.read.schema(table.schema).option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
+    return back.select(*(F.round(f"`{c.name}`", 6).alias(c.name) if c.dataType.typeName() == "double" else F.col(f"`{c.name}`") for c in table.schema))
+
+
 @query("call_subclones", "v_baf_segmented v_fit", """
   select j.sample_id, j.chrom, j.start_pos, j.end_pos, round(j.baf, 6) as baf, round(j.logr, 6) as logr, round(x + y, 6) as ntot, abs(round(pval, 6)) as pval,
     cast(case when pval <= 0.05 then o[1] when one then m1 else m2 end as double) as nMaj1, cast(case when pval <= 0.05 then o[2] when one then n1 else n2 end as double) as nMin1, round(case when pval <= 0.05 then o[3] else 1 end, 6) as frac1,
