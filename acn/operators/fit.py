@@ -229,15 +229,18 @@ def drop_short(segments: DataFrame) -> DataFrame:
 
 
 def fit_copy_number(segments: DataFrame, preset: DataFrame | None = None, metric: int = 1, clonal_metric: int = 0, gamma: float = 1.0, min_ploidy: float = 1.6,
-    max_ploidy: float = 4.8, min_rho: float = 0.1, max_rho: float = 1.0, min_goodness: float = 63) -> DataFrame:
+    max_ploidy: float = 4.8, min_rho: float = 0.1, max_rho: float = 1.0, min_goodness: float = 63, mirrored_baf: bool = False) -> DataFrame:
     """sample_id, method, rho, psi, ploidy, distance, is_best: the coarse optimum (ASCAT), the refined grid's (FRAC_GENOME; psi is the tumour's
     from clonal segments, ploidy all segments' at the point) and its reference segment's (REF_SEG). distance is the clonal metric. REF_SEG is best
     where its point lies inside the limits of ploidy and purity and its distance beats the grid's; a sample without a reference segment counts as
-    rho 1, psi 2 and distance 1, a reference without a rho as infinitely far. A preset (sample_id, rho, psi) takes the coarse grid's place."""
+    rho 1, psi 2 and distance 1, a reference without a rho as infinitely far. A preset (sample_id, rho, psi) takes the coarse grid's place. With
+    mirrored_baf the coarse grid sees 1 - b: it then weighs all segments alike under metric 0, and nothing changes under the others but which of two alleles
+    with equal sums counts."""
     spark, segments = segments.sparkSession, materialise(segments, "fit-segments")  # read by each of the steps
     if preset is None:
         grid = rho_psi_grid(spark, max(min_ploidy - 0.6, 0), max_ploidy + 0.6, max(min_rho - 0.03, 0.05), max_rho + 0.03)
-        coarse = select_ascat_optimum(score_grid_ascat(grid, segments, metric, gamma), segments, metric, min_ploidy, max_ploidy, min_rho, min_goodness, gamma)
+        seen = segments.withColumn("b", 1 - F.col("b")) if mirrored_baf else segments
+        coarse = select_ascat_optimum(score_grid_ascat(grid, seen, metric, gamma), seen, metric, min_ploidy, max_ploidy, min_rho, min_goodness, gamma)
     else:
         coarse = preset.select("sample_id", "psi", "rho", F.col("psi").alias("ploidy"), F.lit(None).cast("double").alias("goodness"))
     coarse = materialise(coarse.filter("psi is not null"), "coarse-fit")

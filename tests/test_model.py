@@ -31,6 +31,15 @@ def test_fit_returns_purity(spark, segments):
     assert got["FRAC_GENOME"]["psi"] == pytest.approx(PSI_T, abs=0.08)
 
 
+def test_mirrored_baf_swaps_the_alleles(spark, segments):
+    grid = fit.rho_psi_grid(spark, 1.5, 3.5, 0.3, 1.0, 0.25, 0.1)
+    scores = lambda df, m: {(r["i"], r["j"]): r["score"] for r in fit.score_grid_ascat(grid, df, m).collect()}
+    turned = segments.withColumn("b", 1 - F.col("b"))
+    assert scores(segments, 1) == pytest.approx(scores(turned, 1)) and scores(segments, 0) != pytest.approx(scores(turned, 0))
+    got = [{r["method"]: (r["rho"], r["psi"]) for r in fit.fit_copy_number(segments, mirrored_baf=m).collect()} for m in (False, True)]
+    assert got[0] == got[1]
+
+
 def test_reference_segment_against_the_grid(spark, segments):
     """The reference segment wins where the grid misses the truth, and only inside the limits."""
 
