@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
@@ -9,7 +10,7 @@ from ..functions import stats
 from ..operators import aggregates, calls, fit, intervals, loci, phasing, pseudonormal, regression, segmentation, tables, windows
 from ..plans import lifecycle
 from ..sources import sinks
-from ..storage import new_path
+from ..storage import materialise, new_path
 from .core import _JOINED, _TOTAL, query, r6, rounded
 
 # --- windows ------------------------------------------------------------------------------------------------------------------
@@ -1199,3 +1200,28 @@ def _(spark, c):
     preset = patients.select("sample_id", F.lit(0.7).alias("rho"), F.lit(2.1).alias("psi"))
     found = lifecycle.multisample(tumour, normal, alleles, haps, patients, preset=preset)["mirrored"]
     return found.groupBy("patient_id", "chrom").agg(F.bool_or("mirrored").alias("mirrored"))
+
+
+@query("segment_phased_baf_planted", "v_cohort", """
+  select sample_id, chrom, cast(1 as bigint) as n_segments, cast(round(20 * (0.3 + 0.7 * nMaj1) / (0.6 + 0.7 * (nMaj1 + nMin1))) as int) as level from planted""", _PLANTED)
+def _(spark, c):
+    """One segment a chromosome, in spite of switched phase, at the BAF of what was planted (in twentieths)."""
+    tumour, _, _, haps = _cohort(c)
+    found = segmentation.segment_phased_baf(phasing.haplotype_baf(tumour, haps, 10))
+    return found.groupBy("sample_id", "chrom").agg(F.count_distinct("baf_seg").alias("n_segments"), F.round(20 * F.avg("baf_seg")).cast("int").alias("level"))
+
+
+@query("merge_segments_planted", "v_cohort", "select sample_id, chrom, min(pos) as start_pos, max(pos) as end_pos from v_cohort group by sample_id, chrom")
+def _(spark, c):
+    """Chromosomes cut in halves of one state become whole again."""
+    own = Window.partitionBy("sample_id", "chrom")
+    rows = c.withColumn("v", F.when(F.col("bit") == 1, F.col("alt") / F.col("depth")).otherwise(1 - F.col("alt") / F.col("depth")))
+    rows = rows.withColumns({"up": F.avg("v").over(own) >= 0.5, "half": F.col("pos") < (F.min("pos").over(own) + F.max("pos").over(own)) / 2})
+    rows = rows.withColumn("baf_phased", F.when(F.col("up"), F.col("v")).otherwise(1 - F.col("v")))
+    depth = c.groupBy("sample_id").agg(F.avg("depth").alias("mean_depth"))
+    rows = rows.withColumn("baf_seg", F.avg("baf_phased").over(Window.partitionBy("sample_id", "chrom", "half")) + F.when(F.col("half"), 0.001).otherwise(0.0))
+    rows = rows.join(depth, "sample_id").select("sample_id", "chrom", "pos", "baf_phased", "baf_seg", F.log2(F.col("depth") / F.col("mean_depth")).alias("logr"))
+    rows = materialise(rows, "halves")
+    fit_ = c.select("sample_id").distinct().select("sample_id", F.lit(0.7).alias("rho"), F.lit(2.32).alias("psi_t"))
+    called = materialise(calls.call_subclones(rows, rows, fit_), "halves-called")
+    return calls.merge_segments(called, rows, rows, fit_).select("sample_id", "chrom", "start_pos", "end_pos")

@@ -90,7 +90,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         select s.sample_id, v.chrom, v.pos, v.ref, v.alt, cast((cast(v.pos / 5000 as bigint) + s.k * cast(floor(cast(v.pos / 5000 as bigint) / 50) as bigint)) % 2 as int) as bit,
           v.ps + s.k as ps, (cast(v.pos / 5000 as bigint)) % (9 + s.k) <> 0 as phased from v_vcf v cross join v_samples s where substr(v.gt, 1, 1) <> substr(v.gt, 3, 1)"""),
     "v_cohort": (["events", "v_samples"], """
-        select sample_id, k, chrom, pos, depth, least(depth, greatest(0, cast(round(depth * case when bit = 1 then up else 1 - up end) as int) + jitter)) as alt, guess as hap1, 1 - guess as hap2
+        select sample_id, k, chrom, pos, depth, least(depth, greatest(0, cast(round(depth * case when bit = 1 then up else 1 - up end) as int) + jitter)) as alt, guess as hap1, 1 - guess as hap2, bit
         from (
           select sample_id, k, chrom, pos, bit, jitter, guess, cast(round(45 * (cast(0.6 as double) + cast(0.7 as double) * (maj + mnr))) as int) + jitter as depth,
             case when side = 1 then 1 - (cast(0.3 as double) + cast(0.7 as double) * maj) / (cast(0.6 as double) + cast(0.7 as double) * (maj + mnr))

@@ -15,6 +15,8 @@ NAMES = [
         "rho_psi_grid", "score_grid_ascat_1", "local_minima",
     "select_ascat_optimum", "centroid_optimum", "refine_bounds", "candidate_edges", "phase_switches", "phase_evidence", "pseudo_normal_counts", "haplotype_baf",
         "apply_external_haplotypes", "union_breakpoints",
+    "phased_genotypes", "imbalanced_regions", "mirrored_imbalance", "refit_suggestions", "call_x_segments", "call_subclones", "one_sample_t_pvalue", "segment_standardised_error",
+    "segment_ln_likelihood_ratio", "coverage_track", "write_profile_extended", "multisample_run",
 ]
 
 
