@@ -24,7 +24,7 @@ def read_track(spark: SparkSession, path: str, sample_id: str, value: str = "log
 def read_gc_covariates(spark: SparkSession, path: str) -> DataFrame:
     """A row name, chromosome, position, the 12 windows and six columns that nothing uses; unread columns are pruned."""
     extra = ", ".join(f"x{i} double" for i in range(6))
-    schema = f"row_name string, chrom string, pos int, {', '.join(f'{c} double' for c in S.GC_COLUMNS)}, {extra}"
+    schema = f"row_name string, chrom string, pos bigint, {', '.join(f'{c} double' for c in S.GC_COLUMNS)}, {extra}"
     return _read(spark, path, schema, header=True).select(normalise_chrom("chrom").alias("chrom"), "pos", *S.GC_COLUMNS)
 
 

@@ -11,6 +11,7 @@ IDS = [600_000, 600_001, 600_002]
 #: query -> its column of positions
 NAMES = {
     "read_baf_segmented": "pos",
+    "read_gc_covariates": "pos",
 }
 
 
