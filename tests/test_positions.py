@@ -12,6 +12,7 @@ IDS = [600_000, 600_001, 600_002]
 NAMES = {
     "read_baf_segmented": "pos",
     "read_gc_covariates": "pos",
+    "read_genotype_input": "pos",
 }
 
 
