@@ -7,7 +7,7 @@ ALLELE_COUNTS = "chrom string, pos int, count_a int, count_c int, count_g int, c
 ALLELES = "pos int, a0 int, a1 int"
 TRACK = "chrom string, pos int, value double"
 BAF_SEGMENTED = "chrom string, pos bigint, baf double, baf_phased double, baf_seg double"
-HAPLOTYPES = "snpidx string, rsidx string, pos int, ref string, alt string, hap1 int, hap2 int"
+HAPLOTYPES = "snpidx string, rsidx string, pos bigint, ref string, alt string, hap1 int, hap2 int"
 GENOTYPES = "snp string, id string, pos bigint, a0 string, a1 string, is_hom_ref int, is_het int, is_hom_alt int"
 VCF = "chrom string, pos int, id string, ref string, alt string, qual string, filter string, info string, format string, sample string"
 REGIONS = "chrom string, impute_legend string, genetic_map string, impute_hap string, start int, end int, is_par int"

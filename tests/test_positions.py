@@ -13,6 +13,7 @@ NAMES = {
     "read_baf_segmented": "pos",
     "read_gc_covariates": "pos",
     "read_genotype_input": "pos",
+    "read_haplotypes": "pos",
 }
 
 
