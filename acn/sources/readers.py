@@ -50,7 +50,7 @@ def read_phased_vcf(spark: SparkSession, path: str) -> DataFrame:
     keys, values = F.split("format", ":"), F.split("sample", ":")
     field = lambda k: F.when(F.array_position(keys, k) > 0, F.try_element_at(values, F.array_position(keys, k).cast("int")))
     depths = F.transform(F.split(field("AD"), ","), lambda x: x.try_cast("int"))
-    return rows.select(normalise_chrom("chrom").alias("chrom"), "pos", "ref", "alt", field("GT").alias("gt"), field("PS").try_cast("int").alias("ps"), depths.alias("ad"))
+    return rows.select(normalise_chrom("chrom").alias("chrom"), "pos", "ref", "alt", field("GT").alias("gt"), field("PS").try_cast("bigint").alias("ps"), depths.alias("ad"))
 
 
 def read_generic_table(spark: SparkSession, path: str, chrom_cols: tuple[int, ...] = (0,), sep: str = "\t", header: bool = True) -> DataFrame:

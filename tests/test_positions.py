@@ -14,6 +14,7 @@ NAMES = {
     "read_gc_covariates": "pos",
     "read_genotype_input": "pos",
     "read_haplotypes": "pos",
+    "read_phased_vcf": "pos",
 }
 
 
