@@ -10,7 +10,7 @@ BAF_SEGMENTED = "chrom string, pos bigint, baf double, baf_phased double, baf_se
 HAPLOTYPES = "snpidx string, rsidx string, pos bigint, ref string, alt string, hap1 int, hap2 int"
 GENOTYPES = "snp string, id string, pos bigint, a0 string, a1 string, is_hom_ref int, is_het int, is_hom_alt int"
 VCF = "chrom string, pos bigint, id string, ref string, alt string, qual string, filter string, info string, format string, sample string"
-REGIONS = "chrom string, impute_legend string, genetic_map string, impute_hap string, start int, end int, is_par int"
+REGIONS = "chrom string, impute_legend string, genetic_map string, impute_hap string, start bigint, end bigint, is_par int"
 RHO_PSI = "method string, rho double, psi double, ploidy double, distance double, is_best boolean"
 GC_WINDOWS = ["25bp", "50bp", "100bp", "200bp", "500bp", "1kb", "2kb", "5kb", "10kb", "20kb", "50kb", "100kb"]
 GC_COLUMNS = [f"gc_{w}" for w in GC_WINDOWS]

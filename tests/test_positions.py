@@ -15,6 +15,7 @@ NAMES = {
     "read_genotype_input": "pos",
     "read_haplotypes": "pos",
     "read_phased_vcf": "pos",
+    "read_region_manifest": "end",
 }
 
 
