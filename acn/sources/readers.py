@@ -29,7 +29,7 @@ def read_gc_covariates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_replication(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, f"chrom string, pos int, {', '.join(f'{c} double' for c in S.REPLICATION_COLUMNS)}", header=True).withColumn("chrom", normalise_chrom("chrom"))
+    return _read(spark, path, f"chrom string, pos bigint, {', '.join(f'{c} double' for c in S.REPLICATION_COLUMNS)}", header=True).withColumn("chrom", normalise_chrom("chrom"))
 
 
 def read_baf_segmented(spark: SparkSession, path: str, sample_id: str) -> DataFrame:

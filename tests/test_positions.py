@@ -16,6 +16,7 @@ NAMES = {
     "read_haplotypes": "pos",
     "read_phased_vcf": "pos",
     "read_region_manifest": "end",
+    "read_replication": "pos",
 }
 
 
