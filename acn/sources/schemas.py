@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 
-ALLELE_COUNTS = "chrom string, pos int, count_a int, count_c int, count_g int, count_t int, good_depth int"
-ALLELES = "pos int, a0 int, a1 int"
-TRACK = "chrom string, pos int, value double"
+ALLELE_COUNTS = "chrom string, pos bigint, count_a int, count_c int, count_g int, count_t int, good_depth int"
+ALLELES = "pos bigint, a0 int, a1 int"
+TRACK = "chrom string, pos bigint, value double"
 BAF_SEGMENTED = "chrom string, pos bigint, baf double, baf_phased double, baf_seg double"
 HAPLOTYPES = "snpidx string, rsidx string, pos bigint, ref string, alt string, hap1 int, hap2 int"
 GENOTYPES = "snp string, id string, pos bigint, a0 string, a1 string, is_hom_ref int, is_het int, is_hom_alt int"

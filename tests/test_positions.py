@@ -17,6 +17,7 @@ NAMES = {
     "read_phased_vcf": "pos",
     "read_region_manifest": "end",
     "read_replication": "pos",
+    "read_track": "pos",
 }
 
 
