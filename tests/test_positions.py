@@ -18,6 +18,7 @@ NAMES = {
     "read_region_manifest": "end",
     "read_replication": "pos",
     "read_track": "pos",
+    "union_chromosome_files": "pos",
 }
 
 
