@@ -19,6 +19,7 @@ NAMES = {
     "read_replication": "pos",
     "read_track": "pos",
     "union_chromosome_files": "pos",
+    "union_region_files": "pos",
 }
 
 
