@@ -68,7 +68,9 @@ def robust_sd(x: np.ndarray, half: int = 25) -> float:
 
 def potts(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, kmin: int, gamma: float) -> np.ndarray:
     """Ends (in cells) of the runs that minimise squared error + gamma per break, with at least kmin values a run.
-    sums and squares may have several columns, which share their breaks. Ties go to the earliest break; one run only wins if cheaper."""
+    sums and squares may have several columns, which share their breaks. Ties go to the earliest break; one run only wins if cheaper.
+    Breaks that a later one beats whatever follows are left out of the search, so that its time grows with the number of values times the
+    length of runs, not with the square of the values."""
     n = len(counts)
     c = np.r_[0, np.cumsum(counts)].astype(float)
     s = np.vstack([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0)])
@@ -76,20 +78,34 @@ def potts(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, kmin: int,
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     if c[n] < 2 * kmin:
         return np.array([n])
+    usable = np.searchsorted(c, c - kmin, "right") - 1  # the last break that leaves kmin values; negative for none
+    margin = 1e-9 * (1 + q)  # far above what the sums lose by rounding
+    one = s.shape[1] == 1
+    s = s[:, 0] if one else s
+    open_, alive, beaten, seen = np.zeros(0, int), np.ones(n + 1, bool), {}, 0
     for j in range(1, n + 1):
         if c[j] < kmin:
             continue
         best[j] = q[j] - (s[j] ** 2).sum() / c[j]
-        i = np.arange(1, int(np.searchsorted(c, c[j] - kmin, "right")))
+        if usable[j] > seen:
+            new = np.arange(seen + 1, usable[j] + 1)
+            seen = int(usable[j])
+            for k in new.tolist():
+                if (lost := beaten.pop(k, None)) is not None:
+                    alive[lost] = False
+            open_ = np.r_[open_, new[np.isfinite(best[new])]]
+            open_ = open_[alive[open_]]
+        i = open_
         if not len(i):
             continue
-        i = i[np.isfinite(best[i])]
-        if not len(i):
-            continue
-        cost = best[i] + (q[j] - q[i]) - ((s[j] - s[i]) ** 2).sum(axis=1) / (c[j] - c[i]) + gamma
+        d = s[j] - s[i]
+        cost = best[i] + (q[j] - q[i]) - (d * d if one else (d * d).sum(axis=1)) / (c[j] - c[i])
         k = int(cost.argmin())
-        if cost[k] <= best[j]:
-            best[j], back[j] = cost[k], i[k]
+        if cost[k] + gamma <= best[j]:
+            best[j], back[j] = cost[k] + gamma, i[k]
+        # a break at j beats these for every end that leaves it kmin values
+        if len(lost := i[cost > best[j] + margin[j]]):
+            beaten[j] = lost
     out, j = [], n
     while j > 0:
         out.append(j)
