@@ -36,3 +36,13 @@ def test_pruned_programme_finds_the_best_runs(seed):
     ends = kernels.potts(np.ones(n), x, x**2, kmin, gamma)
     starts = np.r_[0, ends[:-1]]
     assert sum(map(cost, starts, ends)) + gamma * (len(ends) - 1) == pytest.approx(best[n])
+
+
+def test_segment_info_rounds_halfway_means_up(spark, monkeypatch):
+    """The mean of two neighbours of six digits lies halfway; a sum a last bit short of it was rounded down."""
+    from acn.queries import core
+
+    values = next(v for v in ([round(a, 6), round(a + 1e-6, 6)] for a in np.arange(0.6, 0.9, 1e-3).tolist()) if sum(v) / 2 < round(v[0] + 5e-7, 7))
+    df = spark.createDataFrame([("s", "1", i, v, 0.7, v, 0.1) for i, v in enumerate(values)], "sample_id string, chrom string, pos long, baf double, baf_seg double, baf_phased double, logr double")
+    monkeypatch.setattr(core, "view", lambda *_: df)
+    assert core.QUERIES["segment_info"](spark, "").first()["mean"] == values[1]
