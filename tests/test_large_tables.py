@@ -46,3 +46,17 @@ def test_segment_info_rounds_halfway_means_up(spark, monkeypatch):
     df = spark.createDataFrame([("s", "1", i, v, 0.7, v, 0.1) for i, v in enumerate(values)], "sample_id string, chrom string, pos long, baf double, baf_seg double, baf_phased double, logr double")
     monkeypatch.setattr(core, "view", lambda *_: df)
     assert core.QUERIES["segment_info"](spark, "").first()["mean"] == values[1]
+
+
+def test_log_ratio_of_the_least_probabilities(spark):
+    """Near the least double a probability has a few bits, its logarithm has all."""
+    rows = [("s", k, 0.7, 0.0, 50, 50, 0.7 + k / 500, 0.05) for k in range(-140, 140)]
+    segs = spark.createDataFrame(rows, "sample_id string, seg_id long, b double, r double, length long, size long, mean double, sd double")
+    at = spark.createDataFrame([("s", 0.73, 2.15)], "sample_id string, rho double, psi double")
+    got = {r["seg_id"]: r["ln_ratio"] for r in fit.segment_ln_likelihood_ratio(segs, at).collect()}
+    # between two levels the log of the ratio is a straight line in the number of reads
+    ks = [k for k in sorted(got) if got[k] > 0]
+    signed = np.array([got[k] for k in ks])
+    reads = np.array([math.floor((0.7 + k / 500) * 1500 + 0.5) for k in ks], float)
+    step = np.diff(signed) / np.diff(reads)
+    assert (~np.isclose(np.abs(step), np.median(np.abs(step)), rtol=1e-6)).sum() <= 1  # where the likelier level changes
