@@ -96,7 +96,8 @@ def bootstrap_fraction_ci(baf_segmented: DataFrame, calls: DataFrame, rho_psi: D
                 text = f"{seed}|{one.sample_id}|{one.chrom}|{one.start_pos}"
                 rng = np.random.default_rng(int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big"))
                 x, rho = np.asarray(one.baf_values, float), one.rho
-                means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(n)])
+                some = max(1, 1_000_000 // len(x))  # resamples drawn at once; the stream of numbers is that of one after another
+                means = np.concatenate([x[rng.integers(0, len(x), (min(some, n - k), len(x)))].mean(axis=1) for k in range(0, n, some)])
                 for o in one.options:
                     with np.errstate(divide="ignore", invalid="ignore"):
                         tau = np.sort((1 - rho + rho * o["m2"] - 2 * means * (1 - rho) - means * rho * (o["n2"] + o["m2"])) / (means * rho * (o["n1"] + o["m1"]) - means * rho * (o["n2"] + o["m2"]) - rho * o["m1"] + rho * o["m2"]))
