@@ -60,3 +60,22 @@ def test_log_ratio_of_the_least_probabilities(spark):
     reads = np.array([math.floor((0.7 + k / 500) * 1500 + 0.5) for k in ks], float)
     step = np.diff(signed) / np.diff(reads)
     assert (~np.isclose(np.abs(step), np.median(np.abs(step)), rtol=1e-6)).sum() <= 1  # where the likelier level changes
+
+
+def test_grid_scores_are_dealt_over_tasks(spark):
+    """Small ranges of segments were put together in a few tasks, though each segment stands for thousands of points."""
+    rows = [("s", 0.5 + k / 10_000, 0.0, 100 + k) for k in range(4000)]
+    segs = spark.createDataFrame(rows, "sample_id string, b double, r double, length long").repartition(8)
+    few = fit.rho_psi_grid(spark, 2.0, 2.1, 0.7, 0.72)
+    for scored, kernel in ((fit.score_grid_ascat(few, segs), "ascat"), (fit.grid_point_stats(few, segs), "stats")):
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "mapInArrow" in plan or "MapInArrow" in plan and "REPARTITION_BY_NUM" in plan, kernel
+
+
+def test_grid_point_stats_by_hand(spark):
+    segs = spark.createDataFrame([("s", 0.6, 0.1, 3), ("s", 0.5, -0.2, 5), ("s", None, 0.0, 2), ("t", None, 0.0, 2)], "sample_id string, b double, r double, length long")
+    got = {(r["sample_id"], r["i"], r["j"]): r for r in fit.grid_point_stats(fit.rho_psi_grid(spark, 2.0, 2.0, 0.7, 0.7), segs).collect()}
+    n = lambda b, r: ((0.7 - 1 - (b - 1) * 2**r * (0.6 + 1.4)) / 0.7, (0.7 - 1 + b * 2**r * (0.6 + 1.4)) / 0.7)
+    one, two = n(0.6, 0.1), n(0.5, -0.2)
+    assert got["s", 1, 1]["ploidy"] == pytest.approx((3 * sum(one) + 5 * sum(two)) / 10)
+    assert got["s", 1, 1]["most"] == 2.5 and got["s", 1, 1]["percent_zero"] == 0 and got["t", 1, 1]["ploidy"] is None
