@@ -35,3 +35,12 @@ def far(tmp_path_factory):
 def test_far_positions(spark, far, name):
     got = entry.queries()[name](spark, far).toPandas()[NAMES[name]].tolist()
     assert sorted(got) == [5000 * i for i in (IDS[-1:] if name == "read_region_manifest" else IDS)]
+
+
+def test_a_region_is_one_file(spark, tmp_path):
+    """Each task wrote a file of its own for every region that it held."""
+    folder = str(tmp_path)
+    spark.range(4000).selectExpr("id as event_id", "id as user_id", "50.0 as value").repartition(4).write.parquet(os.path.join(folder, "events.parquet"))
+    pd.DataFrame({"l_orderkey": [1]}).to_parquet(os.path.join(folder, "lineitem.parquet"))
+    read = entry.queries()["union_region_files"](spark, folder)
+    assert len(read.inputFiles()) == 4 and read.count() == 4000
