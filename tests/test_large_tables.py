@@ -79,3 +79,19 @@ def test_grid_point_stats_by_hand(spark):
     one, two = n(0.6, 0.1), n(0.5, -0.2)
     assert got["s", 1, 1]["ploidy"] == pytest.approx((3 * sum(one) + 5 * sum(two)) / 10)
     assert got["s", 1, 1]["most"] == 2.5 and got["s", 1, 1]["percent_zero"] == 0 and got["t", 1, 1]["ploidy"] is None
+
+
+def test_knots_are_exact_without_holding_a_sample_in_a_task(spark):
+    """Percentiles held every value of a sample in one task; bounds and counts give the same numbers."""
+    from pyspark.sql import functions as F
+
+    from acn.operators import regression
+
+    shares = [0.0, 0.25, 0.5, 0.75, 1.0]
+    rows = spark.range(30_001).selectExpr("if(id % 5 = 0, 't', 's') as sample_id", "round(sin(id) * sin(id), 4) as a", "cast(least(id % 9, 3) as double) as b", "id * id / 7 as c").repartition(7)
+    rows = rows.union(spark.createDataFrame([("one", 1.0, 2.0, 3.0), ("two", 1.0, 2.0, 3.0), ("two", 4.0, 2.0, 9.0)], rows.schema))
+    want = {r[0]: r[1:] for r in rows.groupBy("sample_id").agg(*(F.percentile(c, F.array(*map(F.lit, shares))) for c in "abc")).collect()}
+    made = regression.exact_percentiles(rows, ["sample_id"], ["a", "b", "c"], shares)
+    assert {r[0]: r[1:] for r in made.select("sample_id", "k0", "k1", "k2").collect()} == want
+    fitted = regression.gc_replication_correct(rows.withColumn("logr", F.col("a") + F.col("c") / 1e8), "a", "b", "c")
+    assert "percentile(" not in fitted._jdf.queryExecution().optimizedPlan().toString()
