@@ -95,3 +95,42 @@ def test_knots_are_exact_without_holding_a_sample_in_a_task(spark):
     assert {r[0]: r[1:] for r in made.select("sample_id", "k0", "k1", "k2").collect()} == want
     fitted = regression.gc_replication_correct(rows.withColumn("logr", F.col("a") + F.col("c") / 1e8), "a", "b", "c")
     assert "percentile(" not in fitted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_joined_pieces_against_a_plain_loop():
+    """Pieces were lists of lists, some 800 bytes each; arrays of numbers give the same chunks."""
+    from acn.operators import windows
+
+    def plain(chrom, start, end, n, least):
+        pieces = [[chrom[i], start[i], chrom[i], end[i], n[i], [i]] for i in range(len(n))]
+        size = lambda i: pieces[i][4] + (i == 0) - (i == len(pieces) - 1)
+
+        def join(borders):
+            out = []
+            for i, p in enumerate(pieces):
+                if i - 1 in borders:
+                    out[-1] = [*out[-1][:2], *p[2:4], out[-1][4] + p[4], out[-1][5] + p[5]]
+                else:
+                    out.append(p)
+            return out
+
+        def border(i):
+            before, own, after = pieces[i - 1 : i + 2]
+            left, right = before[2] == own[0], own[2] == after[0]
+            return i if right and (own[1] - before[3] > after[1] - own[3] or not left) else i - 1
+
+        while len(pieces) > 1 and size(0) < least:
+            pieces = join({0})
+        while len(pieces) > 1 and size(len(pieces) - 1) < least:
+            pieces = join({len(pieces) - 2})
+        while len(pieces) > 1 and (small := [i for i in range(len(pieces)) if size(i) < least]):
+            pieces = join({border(i) for i in small})
+        return [k for k, p in enumerate(pieces) for _ in p[5]]
+
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        m = int(rng.integers(1, 40))
+        chrom, n = np.sort(rng.integers(0, 5, m)), rng.integers(1, 12, m)
+        start = np.cumsum(rng.integers(5, 30, m))
+        end = start + rng.integers(0, 4, m)
+        assert windows._join_small(chrom, start, end, n, 10).tolist() == plain(chrom.tolist(), start.tolist(), end.tolist(), n.tolist(), 10), seed
