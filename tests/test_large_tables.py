@@ -134,3 +134,11 @@ def test_joined_pieces_against_a_plain_loop():
         start = np.cumsum(rng.integers(5, 30, m))
         end = start + rng.integers(0, 4, m)
         assert windows._join_small(chrom, start, end, n, 10).tolist() == plain(chrom.tolist(), start.tolist(), end.tolist(), n.tolist(), 10), seed
+
+
+def test_ranks_take_little_memory():
+    """A level took 8 bytes a value."""
+    x = np.random.default_rng(0).normal(size=100_000)
+    ranks = kernels.Ranks(x)
+    assert sum(v.nbytes for level in ranks.levels for v in level if hasattr(v, "nbytes")) < 17 * len(x)
+    assert ranks.one(100, 90_000, 44_950) == np.sort(x[100:90_000])[44_950] == ranks.nth([100], [90_000], [44_950])[0]
