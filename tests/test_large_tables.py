@@ -142,3 +142,17 @@ def test_ranks_take_little_memory():
     ranks = kernels.Ranks(x)
     assert sum(v.nbytes for level in ranks.levels for v in level if hasattr(v, "nbytes")) < 17 * len(x)
     assert ranks.one(100, 90_000, 44_950) == np.sort(x[100:90_000])[44_950] == ranks.nth([100], [90_000], [44_950])[0]
+
+
+def test_phase_evidence_meets_by_locus(spark):
+    """Each of a locus's 100 lags was a row of the shuffle in which samples meet."""
+    from acn.operators import windows
+
+    rows = [(s, "1", p, p // 7, (p + k) % 5 > 0) for k, s in enumerate("ab") for p in range(20 - 3 * k)]
+    made = windows.phase_evidence(spark.createDataFrame(rows, "sample_id string, chrom string, pos long, ps long, phased boolean"), 4)
+    assert not [x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x and "lag" in x]
+    got = {(r["sample_id"], r["pos"], r["lag"]): r["evidence"] for r in made.collect()}
+    own = {(s, p): (ps, phased) for s, _, p, ps, phased in rows}
+    weight = lambda s, p, lag: 1.0 if all(own[s, q][1] for q in range(p - lag, p + 1)) and own[s, p][0] == own[s, p - lag][0] else 0.25
+    want = {(s, p, lag): weight(s, p, lag) for s, p in own for lag in range(1, min(p, 4) + 1)}
+    assert got == {(s, p, lag): v / sum(want.get((t, p, lag), 0.0) for t in "ab") for (s, p, lag), v in want.items()}
