@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from ..functions.scalars import allele_letter_to_index, div
 from . import kernels
 from .intervals import assign_points_to_intervals, interval_disjoin, nearest_join
 from .loci import LOCUS, allele_count, join_genotype_counts
-from .windows import KEYS, ordered, phase_evidence, phase_set_ids, phase_switches
+from .windows import KEYS, groups, in_order, ordered, phase_evidence, phase_set_ids, phase_switches
 
 
 def genotype_from_normal(panel: DataFrame, normal_counts: DataFrame, cut: float = 0.1) -> DataFrame:
@@ -108,15 +108,27 @@ def multisample_phasing(phased: DataFrame, max_lag: int = 100, balanced_weight:
     shared = (has.join(n, of) if of else has.join(F.broadcast(n), how="cross")).filter("_has = _of").select(*of, *LOCUS)  # n is one row without of
     rows = phased.join(shared, [*of, *LOCUS], "left_semi").select(*of, "sample_id", *LOCUS, "bit", "phased", F.col("ps").cast("double").alias("ps"))
 
-    def work(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.drop_duplicates(["pos", "sample_id"]).sort_values(["pos", "sample_id"])
-        pos, wide = p["pos"].unique(), (-1, p["sample_id"].nunique())
-        bit = kernels.phase_vote(p["bit"].to_numpy(int).reshape(wide), p["phased"].to_numpy(bool).reshape(wide), p["ps"].to_numpy(float).reshape(wide), max_lag, balanced_weight)
-        out = pd.DataFrame({"chrom": p["chrom"].iloc[0], "pos": pos, "bit": bit})
-        return out.assign(**{k: p[k].iloc[0] for k in of})
+    def work(batches):
+        for key, slices in groups(batches, [*of, "chrom"]):
+            names, columns = {}, []
+            for b in slices:
+                own = b.column("sample_id").dictionary_encode()
+                codes = np.array([names.setdefault(c, len(names)) for c in own.dictionary.to_pylist()], np.int32)[own.indices.to_numpy(zero_copy_only=False)]
+                columns.append((codes, *(b.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "bit", "phased", "ps"))))
+                types = [b.schema.field(k).type for k in (*of, "chrom")]
+            sample, at, bits, sure, sets = (np.concatenate(c) for c in zip(*columns))
+            del columns
+            one = np.r_[True, (at[1:] != at[:-1]) | (sample[1:] != sample[:-1])]  # a sample's first row of a locus
+            wide = (-1, len(names))
+            pos = at[one].reshape(wide)[:, 0]
+            vote = kernels.phase_vote(bits[one].astype(int).reshape(wide), sure[one].astype(bool).reshape(wide), sets[one].astype(float).reshape(wide), max_lag, balanced_weight)
+            for k in range(0, len(pos), 100_000):
+                n = len(pos[k : k + 100_000])
+                keys = [pa.array([v] * n, t) for v, t in zip(key, types)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(pos[k : k + n]), pa.array(vote[k : k + n].astype(np.int32))], names=[*of, "chrom", "pos", "bit"])
 
     schema = ", ".join([*(f"{k} {phased.schema[k].dataType.simpleString()}" for k in of), "chrom string, pos long, bit int"])
-    return rows.groupBy(*of, "chrom").applyInPandas(work, schema)
+    return in_order(rows, [*of, "chrom"], ["pos", "sample_id"], work, schema)
 
 
 def _of_patient(df: DataFrame) -> list[str]:

@@ -156,3 +156,17 @@ def test_phase_evidence_meets_by_locus(spark):
     weight = lambda s, p, lag: 1.0 if all(own[s, q][1] for q in range(p - lag, p + 1)) and own[s, p][0] == own[s, p - lag][0] else 0.25
     want = {(s, p, lag): weight(s, p, lag) for s, p in own for lag in range(1, min(p, 4) + 1)}
     assert got == {(s, p, lag): v / sum(want.get((t, p, lag), 0.0) for t in "ab") for (s, p, lag), v in want.items()}
+
+
+def test_joint_phase_takes_its_loci_batch_by_batch(spark):
+    """A patient's chromosome came as one frame with its names in every row. A repeated row of a sample counts once."""
+    from acn.operators import phasing
+
+    rows = [(q, s, "1", p, p * (k + 2) % 2, p % 9 > 0, float(p // 40)) for q in "xy" for k, s in enumerate("ab") for p in range(300)]
+    df = spark.createDataFrame(rows + rows[:5], "patient_id string, sample_id string, chrom string, pos long, bit int, phased boolean, ps double")
+    made = phasing.multisample_phasing(df, 10)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
+    grid = [np.array([[r[i] for r in rows[:300]], [r[i] for r in rows[300:600]]]).T for i in (4, 5, 6)]
+    want = kernels.phase_vote(*grid, 10, 0.25).tolist()
+    got = {q: [r["bit"] for r in made.filter(made.patient_id == q).orderBy("pos").collect()] for q in "xy"}
+    assert got == {"x": want, "y": want}
