@@ -9,13 +9,12 @@ from ..functions.scalars import cn_major_minor, cn_total, logr_to_cn
 from .aggregates import coverage_normalised
 from .calls import average_states
 from .intervals import assign_points_to_intervals, segment_at_position
-from .windows import KEYS, running_median, thin_rows
+from .windows import KEYS, running_median, running_medians
 
 
 def coverage_track(counts: DataFrame, k: int = 101, step: int = 100) -> DataFrame:
     """Normalised depths, smoothed and thinned."""
-    rows = running_median(coverage_normalised(counts), "tumour", k, out="tumour_smooth")
-    return thin_rows(running_median(rows, "normal", k, out="normal_smooth"), step)
+    return running_medians(coverage_normalised(counts), {"tumour_smooth": "tumour", "normal_smooth": "normal"}, k, step=step)
 
 
 def total_cn_track(profile: DataFrame, logr: DataFrame, fit: DataFrame, k: int = 101) -> DataFrame:
@@ -30,7 +29,7 @@ def allele_ratio_track(baf_segmented: DataFrame, logr_segmented: DataFrame, step
     rows = baf_segmented.select(*KEYS, "pos", "baf_seg", "logr").join(logr_segmented.select(*KEYS, "pos", "logr_seg"), [*KEYS, "pos"])
     ratio = F.pow(F.lit(2.0), F.col("logr_seg"))
     rows = rows.withColumns({"major_ratio": F.col("baf_seg") * ratio, "minor_ratio": (1 - F.col("baf_seg")) * ratio, "ratio": F.exp("logr")})
-    return thin_rows(running_median(rows, "ratio", k, out="ratio_smooth"), step)
+    return running_medians(rows, {"ratio_smooth": "ratio"}, k, step=step)
 
 
 def square_plot_points(profile: DataFrame, rho_psi: DataFrame, chrom: str, pos: int, gamma: float = 1.0) -> DataFrame:

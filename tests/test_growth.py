@@ -25,3 +25,43 @@ def test_planted_cohort_is_made_once(spark):
     """Filters on its counts became conditions of the view's cross join; every table computed the cohort again."""
     plan = entry.queries()["segment_phased_baf_planted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "events.parquet" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_running_medians_leave_slice_by_slice(spark):
+    """A chromosome came as one frame. Medians are those of the whole group wherever batches end, nulls keep their rows."""
+    from acn.operators import windows
+
+    rng = np.random.default_rng(3)
+    for half in (1, 2, 7, 30):
+        for n in (1, 2, 3, 50, 300):
+            x = np.where(rng.random(n) < 0.2, np.nan, rng.integers(0, 30, n))
+            known = ~np.isnan(x)
+            want, got = kernels.running_median(x[known], half), np.full(n, np.nan)
+            cuts = np.unique(np.r_[0, rng.integers(0, n, 9), n])
+            smoother = windows._Smoother(half)
+            for a, b in zip(cuts, cuts[1:]):
+                at, medians = smoother.add(x[a:b], b == n)
+                got[at] = medians
+            assert np.array_equal(got[known], want) and np.isnan(got[~known]).all()
+            assert len(smoother.x) <= max(n, 2 * half + 3)
+    rows = [(s, "1", p, None if p % 9 == 0 else float(p * 7 % 31), float(p * 5 % 17)) for s in "ab" for p in range(700 if s == "a" else 30)]
+    df = spark.createDataFrame(rows, "sample_id string, chrom string, pos long, x double, y double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        made = windows.running_medians(df, {"mx": "x", "my": "y"}, 41, step=10)
+        got = {(r["sample_id"], r["pos"]): (r["mx"], r["my"]) for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in _plan(made)
+    want = {}
+    for s in "ab":
+        own = [r for r in rows if r[0] == s]
+        known = [r for r in own if r[3] is not None]
+        mx = dict(zip((r[2] for r in known), kernels.running_median(np.array([r[3] for r in known]), 20).tolist()))
+        my = kernels.running_median(np.array([r[4] for r in own]), 20).tolist()
+        want |= {(s, r[2]): (mx.get(r[2]), my[r[2]]) for r in own if r[2] % 10 == 0}
+    assert got == want
