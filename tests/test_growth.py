@@ -65,3 +65,21 @@ def test_running_medians_leave_slice_by_slice(spark):
         my = kernels.running_median(np.array([r[4] for r in own]), 20).tolist()
         want |= {(s, r[2]): (mx.get(r[2]), my[r[2]]) for r in own if r[2] % 10 == 0}
     assert got == want
+
+
+def test_switches_of_a_locus_are_one_array(spark):
+    """A window frame collected a hundred bits anew for each locus. Lags go on over the borders of batches; a missing bit has no switch."""
+    from acn.operators import windows
+
+    rows = [(s, "1", p, None if p == 40 else p * p % 7 % 2) for s in "ab" for p in range(90)]
+    df = spark.createDataFrame(rows, "sample_id string, chrom string, pos long, bit int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        made = windows.phase_switches(df, 11)
+        got = {(r["sample_id"], r["pos"], r["lag"]): r["switch"] for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in _plan(made) and made.schema["switch"].dataType == df.schema["bit"].dataType
+    bit = {(s, p): b for s, _, p, b in rows}
+    off = lambda a, b: None if a is None or b is None else abs(a - b)
+    assert got == {(s, p, lag): off(bit[s, p], bit[s, p - lag]) for s, p in bit for lag in range(1, min(p, 11) + 1)}
