@@ -86,10 +86,13 @@ def pick_allele_counts(counts: DataFrame, alleles: DataFrame) -> DataFrame:
 
 
 def match_counts(tumour: DataFrame, normal: DataFrame, alleles: DataFrame) -> DataFrame:
-    """Counts of both alleles in tumour (t1, t2) and normal (n1, n2) at loci that all three have."""
-    t = pick_allele_counts(tumour, alleles).select("sample_id", *LOCUS, F.col("ref").alias("t1"), F.col("alt").alias("t2"))
-    n = pick_allele_counts(normal, alleles).select("sample_id", *LOCUS, F.col("ref").alias("n1"), F.col("alt").alias("n2"))
-    return t.join(n, ["sample_id", *LOCUS])
+    """Counts of both alleles in tumour (t1, t2) and normal (n1, n2) at loci that all three have. Tumour and normal meet first, then the
+    alleles once for both."""
+    key = ["sample_id", *LOCUS]
+    own = normal.select(*key, F.array(*COUNTS).alias("_n"))
+    both = tumour.select(*key, F.array(*COUNTS).alias("_t")).join(own, key).join(alleles.select(*LOCUS, "a0", "a1"), LOCUS)
+    pick = lambda c, a: F.get(c, F.col(a) - 1)
+    return both.select(*key, pick("_t", "a0").alias("t1"), pick("_t", "a1").alias("t2"), pick("_n", "a0").alias("n1"), pick("_n", "a1").alias("n2"))
 
 
 def match_covariates(logr: DataFrame, gc: DataFrame, replication: DataFrame | None = None) -> DataFrame:

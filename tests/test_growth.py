@@ -83,3 +83,16 @@ def test_switches_of_a_locus_are_one_array(spark):
     bit = {(s, p): b for s, _, p, b in rows}
     off = lambda a, b: None if a is None or b is None else abs(a - b)
     assert got == {(s, p, lag): off(bit[s, p], bit[s, p - lag]) for s, p in bit for lag in range(1, min(p, 11) + 1)}
+
+
+def test_counts_meet_their_alleles_once(spark):
+    """Tumour and normal each met the alleles, so that a locus listed twice gave four rows, two of which paired different alleles."""
+    from acn.operators import aggregates, loci
+
+    counts = lambda k: spark.createDataFrame([("s", "1", p, *(k * (p + i) for i in range(4))) for p in (10, 20)], "sample_id string, chrom string, pos long, count_a int, count_c int, count_g int, count_t int")
+    alleles = spark.createDataFrame([("1", 10, 1, 2), ("1", 10, 3, 4), ("1", 20, 2, 1)], "chrom string, pos long, a0 int, a1 int")
+    got = loci.match_counts(counts(1), counts(3), alleles)
+    assert sorted(tuple(r) for r in got.collect()) == [("s", "1", 10, 10, 11, 30, 33), ("s", "1", 10, 12, 13, 36, 39), ("s", "1", 20, 21, 20, 63, 60)]
+    ratios = aggregates.baf_logr(counts(1), counts(3), alleles)
+    # the counts are not matched again for the mean
+    assert "count_a" not in _plan(ratios) and all(abs(r["logr"]) < 1e-9 for r in ratios.collect())
