@@ -96,3 +96,24 @@ def test_counts_meet_their_alleles_once(spark):
     ratios = aggregates.baf_logr(counts(1), counts(3), alleles)
     # the counts are not matched again for the mean
     assert "count_a" not in _plan(ratios) and all(abs(r["logr"]) < 1e-9 for r in ratios.collect())
+
+
+def test_joint_phase_and_haplotypes_read_their_tables_once(spark):
+    """Loci of all samples were counted and met again; external blocks met the haplotypes three times, segments their own imbalanced loci twice."""
+    from acn.operators import phasing, windows
+
+    rows = [(k, "1", p, p // 10 * (k != "b") % 2, p > 40, 1) for k in "abc" for p in range(10, 90, 10) if (k, p) != ("c", 30)]
+    phased = spark.createDataFrame([("p", *r) for r in rows if r[0] != "c"] + [("q", *r) for r in rows if r[0] == "c"], "patient_id string, sample_id string, chrom string, pos long, bit int, phased boolean, ps long")
+    joint = phasing.multisample_phasing(phased)
+    assert "LeftSemi" not in _plan(joint) and {(r["patient_id"], r["pos"]) for r in joint.collect()} == {(r["patient_id"], r["pos"]) for r in phased.collect()}
+    shared = phasing.multisample_phasing(phased.drop("patient_id"))
+    assert sorted(r["pos"] for r in shared.collect()) == [10, 20, 40, 50, 60, 70, 80]
+    haps = spark.createDataFrame([("s", "1", p, "A", "C", p // 10 % 2, 1 - p // 10 % 2 if p != 30 else 1) for p in range(10, 60, 10)], "sample_id string, chrom string, pos long, ref string, alt string, hap1 int, hap2 int")
+    external = spark.createDataFrame([("s", "1", 20, 1, 1), ("s", "1", 20, 1, 1), ("s", "1", 50, 1, 1)], "sample_id string, chrom string, pos long, hap1 int, ps long")
+    made = phasing.apply_external_haplotypes(haps, external)
+    assert _plan(made).count("Join ") == 1
+    assert sorted((r["pos"], r["hap1"], r["hap2"]) for r in made.collect()) == [(10, 0, 1), (20, 1, 0), (30, 1, 1), (40, 0, 1), (50, 1, 0)]
+    levels = spark.createDataFrame([("s", "1", p, v) for p, v in zip(range(10, 90, 10), [0.5, 0.7, 0.7, 0.5, 0.7, 0.8, None, 0.5])], "sample_id string, chrom string, pos long, baf_seg double")
+    sets = windows.phase_set_ids(levels)
+    assert "Union" not in _plan(sets)
+    assert [r["ps"] for r in sets.orderBy("pos").collect()] == [20, 20, 20, 20, 20, 60, 60, 60]
