@@ -117,3 +117,15 @@ def test_joint_phase_and_haplotypes_read_their_tables_once(spark):
     sets = windows.phase_set_ids(levels)
     assert "Union" not in _plan(sets)
     assert [r["ps"] for r in sets.orderBy("pos").collect()] == [20, 20, 20, 20, 20, 60, 60, 60]
+
+
+def test_segments_read_their_runs_once_written(spark):
+    """Means, segments and moments by value each made the runs again and met LogR again: ten windows."""
+    from acn.plans import lifecycle
+
+    rows = [("s", "1", p, 0.6 + p % 2 * 0.02, 0.6 if p < 50 or p > 90 else 0.5, 0.1 * (p > 90)) for p in range(10, 140)]
+    df = spark.createDataFrame(rows, "sample_id string, chrom string, pos long, baf_phased double, baf_seg double, logr double")
+    made = lifecycle.segments_of(df.drop("logr"), df.select("sample_id", "chrom", "pos", "logr"))
+    assert _plan(made).count("Window [") <= 2 and _plan(made).count("Join ") <= 3
+    got = sorted((r["start_pos"], r["end_pos"], r["length"], r["size"], round(r["r"], 6)) for r in made.collect())
+    assert got == [(10, 49, 40, 89, 0.0), (50, 90, 41, 41, 0.0), (91, 139, 49, 89, 0.1)]
