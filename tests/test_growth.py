@@ -129,3 +129,15 @@ def test_segments_read_their_runs_once_written(spark):
     assert _plan(made).count("Window [") <= 2 and _plan(made).count("Join ") <= 3
     got = sorted((r["start_pos"], r["end_pos"], r["length"], r["size"], round(r["r"], 6)) for r in made.collect())
     assert got == [(10, 49, 40, 89, 0.0), (50, 90, 41, 41, 0.0), (91, 139, 49, 89, 0.1)]
+
+
+def test_calls_read_their_segments_written(spark):
+    """Counting the segments' pieces, meeting LogR and joining the means each made the runs of all loci again."""
+    from acn.operators import calls
+
+    rows = [("s", "1", p, 0.6 + p % 2 * 0.02, 0.6 if p < 50 else 0.5, 0.0) for p in range(10, 140)]
+    df = spark.createDataFrame(rows, "sample_id string, chrom string, pos long, baf_phased double, baf_seg double, logr double")
+    fit = spark.createDataFrame([("s", 0.7, 2.1)], "sample_id string, rho double, psi_t double")
+    made = calls.call_subclones(df, df, fit)
+    assert "Window [" not in _plan(made)
+    assert sorted((r["start_pos"], r["end_pos"], r["n"]) for r in made.collect()) == [(10, 49, 40), (50, 139, 90)]
