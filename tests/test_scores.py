@@ -143,6 +143,26 @@ def test_reference_segment_gives_its_state(spark):
     assert (got["b"]["rho"], got["b"]["psi"], got["b"]["has_reference"]) == (1, 2, False)
 
 
+def test_reference_segment_is_rated(spark):
+    """Its point's ploidy over all segments, its clonal share there, and whether that beats the grid's: rho and psi alone were given."""
+    rho, psi_t = 0.7, 2.4
+    places = [("a", 2, 1, 100), ("a", 2, 0, 50), ("a", 1, 1, 30)]
+    r = lambda n: math.log2((2 - 2 * rho + rho * n) / (2 - 2 * rho + rho * psi_t))
+    rows = [(s, k, level(rho, x, y), r(x + y), n, n, level(rho, x, y), 0.01) for k, (s, x, y, n) in enumerate(places)]
+    rows.append(("a", 9, 0.615, r(3), 20, 20, 0.615, 1e-4))  # no state explains this one
+    rows += [("b", 0, 0.6, 0.0, 10, 10, 0.6, 0.01), ("c", 0, 0.6, 0.0, 10, 10, 0.6, 0.01)]
+    segs = spark.createDataFrame(rows, "sample_id string, seg_id long, b double, r double, length long, size long, mean double, sd double")
+    ref = "struct<b:double,r:double,nMaj:double,nMin:double>"
+    best = spark.createDataFrame([("a", 0.5, (rows[0][2], rows[0][3], 2.0, 1.0)), ("b", 0.5, None), ("c", 0.5, (0.6, 0.0, 0.0, 2.0))], f"sample_id string, score double, ref {ref}")
+    got = {x["sample_id"]: x for x in fit.reference_segment_solution(best, segments=segs).collect()}
+    copies = lambda b, r: 2**r * (2 - 2 * rho + rho * psi_t) / rho - 2 * (1 - rho) / rho  # noqa: E731  of both alleles
+    want = sum(copies(x[2], x[3]) * x[4] for x in rows[:4]) / 200
+    assert (got["a"]["rho"], got["a"]["psi"], got["a"]["ploidy"]) == pytest.approx((rho, psi_t, want))
+    assert got["a"]["distance"] == pytest.approx(150 / 170) and got["a"]["is_better"]  # the balanced one isn't informative
+    assert tuple(got["b"][c] for c in ("rho", "psi", "ploidy", "distance", "is_better")) == (1, 2, 2, 1, True)
+    assert tuple(got["c"][c] for c in ("rho", "psi", "ploidy", "distance", "is_better")) == (None, None, None, math.inf, False)
+
+
 def track(values, half):
     return kernels.running_median(np.asarray(values, float), half)
 
