@@ -54,9 +54,11 @@ def running_median(x: np.ndarray, half: int) -> np.ndarray:
     half = min(half, ((n if n % 2 else n - 1) - 1) // 2) if n else 0
     if half < 1 or n < 3:
         return x.astype(float).copy()
-    i = np.arange(n)
-    h = np.minimum(half, np.minimum(i, n - 1 - i))
-    out = Ranks(x).nth(i - h, i + h + 1, h).astype(float)
+    ranks, out = Ranks(x), np.empty(n)
+    for start in range(0, n, 100_000):  # a search of all places at once takes a dozen arrays of their number
+        i = np.arange(start, min(start + 100_000, n))
+        h = np.minimum(half, np.minimum(i, n - 1 - i))
+        out[i] = ranks.nth(i - h, i + h + 1, h)
     out[0] = np.median([x[0], out[1], 3 * out[1] - 2 * out[2]])
     out[-1] = np.median([x[-1], out[-2], 3 * out[-2] - 2 * out[-3]])
     return out

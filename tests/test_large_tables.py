@@ -170,3 +170,29 @@ def test_joint_phase_takes_its_loci_batch_by_batch(spark):
     want = kernels.phase_vote(*grid, 10, 0.25).tolist()
     got = {q: [r["bit"] for r in made.filter(made.patient_id == q).orderBy("pos").collect()] for q in "xy"}
     assert got == {"x": want, "y": want}
+
+
+def test_segmentation_takes_its_rows_batch_by_batch(spark):
+    """A patient's chromosome came as one frame with its names in every row, and was turned to a wide one and copied."""
+    from acn.operators import segmentation
+
+    rng = np.random.default_rng(4)
+    n = 400
+    side = np.where(np.arange(n) // 40 % 2, 1, -1)
+    own = {s: np.clip(0.5 + side * np.where(np.arange(n) < 150, 0.0, 0.2 + 0.05 * k) + rng.normal(0, 0.03, n), 0.01, 0.99) for k, s in enumerate("ba")}
+    rows = [(q, q + s, "1", 100 * i, float(v), k) for q in "xy" for k, s in enumerate("ba") for i, v in enumerate(own[s]) if (q, s, i % 7) != ("y", "a", 0)]
+    df = spark.createDataFrame(rows, "patient_id string, sample_id string, chrom string, pos long, baf double, extra int").repartition(5)
+    made = segmentation.segment_phased_baf_multisample(df)
+    alone = segmentation.segment_phased_baf(df.drop("patient_id"))
+    for one in (made, alone):
+        assert "FlatMapGroupsInPandas" not in one._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["patient_id"], r["sample_id"], r["pos"]): r for r in made.collect()}
+    given = {r[:2] + (r[3],): r for r in rows}
+    assert len(got) == 2 * n + 2 * sum(i % 7 != 0 for i in range(n))  # loci of all of a patient's samples
+    for key, r in got.items():
+        assert (r["baf"], r["extra"]) == given[key][4:] and r["baf_phased"] in (r["baf"], 1 - r["baf"])
+    breaks = {s: [p for p in range(1, n) if got["x", "x" + s, 100 * p]["baf_seg"] != got["x", "x" + s, 100 * p - 100]["baf_seg"]] for s in "ab"}
+    assert breaks["a"] == breaks["b"] and len(breaks["a"]) == 1 and abs(breaks["a"][0] - 150) < 5
+    phased, run = kernels.two_pass(own["a"], 10, 3, 3, 3)
+    level = pd.Series(phased).groupby(run).transform("median").tolist()
+    assert [(r["baf_phased"], r["baf_seg"]) for r in alone.filter("sample_id = 'xa'").orderBy("pos").collect()] == list(zip(phased.tolist(), level))
