@@ -196,3 +196,19 @@ def test_segmentation_takes_its_rows_batch_by_batch(spark):
     phased, run = kernels.two_pass(own["a"], 10, 3, 3, 3)
     level = pd.Series(phased).groupby(run).transform("median").tolist()
     assert [(r["baf_phased"], r["baf_seg"]) for r in alone.filter("sample_id = 'xa'").orderBy("pos").collect()] == list(zip(phased.tolist(), level))
+
+
+def test_votes_take_little_memory():
+    """Steps on the way to the votes took 50 bytes a locus and sample, twice what is kept."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n = 200_000
+    sets = np.repeat(np.arange(n // 50), 50)[:, None] + np.zeros((1, 4))
+    sets[rng.random((n, 4)) < 0.01] = np.nan
+    bits, phased = rng.integers(0, 2, (n, 4)).astype(np.int8), rng.random((n, 4)) > 0.1
+    tracemalloc.start()
+    vote = kernels.phase_vote(bits, phased, sets, 20, 0.25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35 * n * 4 and set(vote.tolist()) <= {0, 1}
